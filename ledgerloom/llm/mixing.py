@@ -38,7 +38,7 @@ def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFram
 
 
 def rake(
-    cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, max_sweeps: int = 20
+    cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-3, max_sweeps: int = 12
 ) -> DataFrame:
     """Iterative proportional fitting: ``cells`` with a ``weight`` whose marginals are the targets.
 
@@ -48,7 +48,8 @@ def rake(
     target share over the sum that the other factors give.  Those sums are
     aggregated before they are shuffled, so no value is too large for a task, and
     each set of factors is written out, so plans stay short.  Sweeps end when no
-    sum is off its target by more than ``tolerance`` of it, or after ``max_sweeps``.
+    factor of the first dimension moves by more than ``tolerance`` of itself, or
+    after ``max_sweeps``.
     A value without a target keeps no weight; a target without cells is ignored.
     """
     names = list(targets)
@@ -65,23 +66,22 @@ def rake(
                 out = out.join(factor, d).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
         return out
 
-    for sweep in range(max_sweeps):
-        worst = 0.0
+    for _ in range(max_sweeps):
+        off = 0.0
         for d in names:
             sums = weighted(d).groupBy(d).agg(F.sum("weight").alias("_sum"))
             share = F.coalesce("share", F.lit(0.0))
             new = F.when(F.col("_sum") > 0, share / F.col("_sum")).otherwise(F.lit(0.0))
             table = sums.join(wanted[d], d, "left").select(d, new.alias("factor"))
-            if d in factors:
-                old = factors[d].select(d, F.col("factor").alias("was"))
-                table = table.join(old, d)
-            else:
-                table = table.withColumn("was", F.lit(0.0))
-            table = materialize(table, "mix-factor")
-            off = table.agg(F.max(F.abs(F.col("factor") - F.col("was")) / F.greatest("factor", F.lit(1e-12)))).first()[0]
-            worst = max(worst, off or 0.0)
-            factors[d] = table.drop("was")
-        if worst <= tolerance:
+            if d == names[0]:
+                was = factors[d].select(d, F.col("factor").alias("was")) if d in factors else None
+                table = table.withColumn("was", F.lit(0.0)) if was is None else table.join(was, d)
+            factors[d] = materialize(table, "mix-factor")
+            if d == names[0]:
+                change = F.abs(F.col("factor") - F.col("was")) / F.greatest("factor", F.lit(1e-12))
+                off = factors[d].agg(F.max(change)).first()[0] or 0.0
+                factors[d] = factors[d].drop("was")
+        if off <= tolerance:
             break
     return weighted()
 
@@ -111,7 +111,7 @@ def mix_documents(
         F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).alias("_draw"),
     )
     table = materialize(labelled, "mix-docs")
-    cells = table.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
+    cells = materialize(table.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     wanted = targets or {d: tempered_targets(cells, d, power) for d in DIMENSIONS}
     rates = _rates(cells, wanted)
     return table.join(broadcast_within(rates, rates.count(), RATE_ROW_BYTES), list(DIMENSIONS)).select(

@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decision_list, mixing, sharding, stream_dedup
+from ledgerloom.llm import (
+    bradley_terry,
+    decision_list,
+    mixing,
+    packing,
+    sharding,
+    stream_dedup,
+    token_counts,
+    toxicity,
+    url_lm,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +37,39 @@ def op4_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op9_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bradley_terry.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_rendezvous_shards, op2_raked_mixture, op3_decision_list, op4_streaming_dedup)
+    for f in (
+        op1_rendezvous_shards,
+        op2_raked_mixture,
+        op3_decision_list,
+        op4_streaming_dedup,
+        op5_url_language_models,
+        op7_minimum_bin_slack,
+        op8_pretoken_counts,
+        op9_clause_grammar,
+        op10_bradley_terry,
+    )
 }
 
 ORACLES: dict[str, str] = {

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm import (
     bradley_terry,
     decision_list,
+    group_join,
     mixing,
     packing,
     sharding,
@@ -41,6 +42,10 @@ def op5_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
         op3_decision_list,
         op4_streaming_dedup,
         op5_url_language_models,
+        op6_token_group_join,
         op7_minimum_bin_slack,
         op8_pretoken_counts,
         op9_clause_grammar,

@@ -10,8 +10,16 @@ from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import SPACE_CHARS, broadcast_within, materialize, new_path
 
-STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: Settings while a dedup stream starts: state on disk with bounded native memory,
+#: commits as change logs, and no files preallocated for small stores.
+STATE_SETTINGS = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 def normalized(text: Column) -> Column:
@@ -69,8 +77,9 @@ class ExactDedupStream:
         def write(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-        before = self.spark.conf.get(STATE_PROVIDER, None)
-        self.spark.conf.set(STATE_PROVIDER, ROCKSDB)
+        before = {name: self.spark.conf.get(name, None) for name in STATE_SETTINGS}
+        for name, value in STATE_SETTINGS.items():
+            self.spark.conf.set(name, value)
         try:
             query = (
                 state.writeStream.outputMode("update")
@@ -81,14 +90,10 @@ class ExactDedupStream:
             )
             query.awaitTermination()
         finally:
-            if before is None:
-                self.spark.conf.unset(STATE_PROVIDER)
-            else:
-                self.spark.conf.set(STATE_PROVIDER, before)
-        kind = state.schema.simpleString()
-        empty = self.spark.createDataFrame([], state.schema)
-        empty.write.mode("overwrite").parquet(f"{changes}/batch=-1")
-        self._schema = kind
+            for name, value in before.items():
+                self.spark.conf.unset(name) if value is None else self.spark.conf.set(name, value)
+        # an empty part, so that a stream without rows has a table too
+        self.spark.createDataFrame([], state.schema).write.mode("overwrite").parquet(f"{changes}/batch=-1")
 
     def groups(self) -> DataFrame:
         """Latest state of every digest: digest, n, best."""

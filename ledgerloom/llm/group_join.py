@@ -15,8 +15,8 @@ from ledgerloom.llm.graph import components
 
 by_value(__name__)
 
-#: Tokens below this value (a fifth of all, as tokens are hashes) come first in the
-#: global order and are the ones whose document frequencies are counted.
+#: Tokens below this value, a fifth of all as tokens are hashes, are the ones whose
+#: document frequencies over all classes are counted first.
 LOW = -(1 << 63) + (1 << 64) // 5
 CACHE_WORDS = 1_000_000
 
@@ -35,10 +35,6 @@ class Similarity:
     def similar(self, overlap: Column, n: Column, m: Column) -> Column:
         return 100 * overlap >= self.percent * (n + m - overlap)
 
-    def sizes_fit(self, n: Column, low: Column, high: Column) -> Column:
-        """Could a set of size ``n`` be similar to one sized between low and high?"""
-        return (100 * high >= self.percent * n) & (100 * n >= self.percent * low)
-
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
@@ -90,32 +86,24 @@ def set_digest(tokens: np.ndarray) -> bytes:
 
 
 def set_rows(docs: DataFrame, like: Similarity) -> DataFrame:
-    """doc_id, n, digest of the set, its low tokens, and the ones that fill its prefix.
-
-    The prefix of a set of n has n - needed + 1 tokens, the first in the global
-    order; ``extra`` holds the tokens after the low ones if these don't fill it.
-    """
-    k, percent = like.words, like.percent
+    """doc_id, n, digest of the set, and its low tokens."""
+    k = like.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, low, extra = [], [], [], []
+            sizes, digests, low = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text, k)
-                n = len(tokens)
-                prefix = n - (n * percent + 99) // 100 + 1 if n else 0
-                few = int(np.searchsorted(tokens, LOW))
-                sizes.append(n)
+                sizes.append(len(tokens))
                 digests.append(set_digest(tokens))
-                low.append(tokens[:few])
-                extra.append(tokens[few : max(few, prefix)])
+                low.append(tokens[: int(np.searchsorted(tokens, LOW))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _long_lists(low), _long_lists(extra)],
-                names=["doc_id", "n", "digest", "low", "extra"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _long_lists(low)],
+                names=["doc_id", "n", "digest", "low"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, digest binary, low array<bigint>, extra array<bigint>"
+        run, "doc_id bigint, n bigint, digest binary, low array<bigint>"
     )
 
 
@@ -138,70 +126,95 @@ class GroupJoin:
 
     1. Texts become sets; equal sets form a class, so copies are never paired.
     2. Document frequencies of the low tokens order them: rare ones first.  A class
-       whose prefix holds only tokens of its own has no partner and is done.  What
-       remains is ``prefix``: rows (class, token).
+       whose prefix holds only tokens of its own has no partner and is done.  For
+       those that remain the same is done with the frequencies of all their tokens
+       among themselves.  Tokens of one class alone are then only counted.
     3. Classes are partitioned into groups: in a few rounds leaders that share a
-       minimum hash are compared with the first of them and join it if similar.
-    4. The token-group matrix has a row for each prefix token of each group's union,
-       however many members hold it.  A class meets the groups with which it shares
-       one; sizes, then its overlap with the group's whole union, bound what any
-       member can reach; only groups that pass are opened and compared exactly.
+       minimum hash are compared with the one of them that has the smallest part of
+       its own (in a cluster of edited copies, the nearest to their origin) and join
+       it if similar.
+    4. The token-group matrix has a row for each index-prefix token of each group's
+       union, however many members hold it.  A class probes it for partners that are
+       no larger than itself; sizes, then its overlap with the group's whole union,
+       bound what any member can reach; only groups that pass are opened and
+       compared exactly.
     5. Groups and links give components.
     """
 
-    def __init__(self, docs: DataFrame, like: Similarity, rounds: int = 4):
+    def __init__(self, docs: DataFrame, like: Similarity, rounds: int = 3):
         self.docs, self.like, self.rounds = docs, like, rounds
         self.rows = materialize(set_rows(docs, like).withColumn("uid", F.monotonically_increasing_id()), "join-sets")
 
-    def classes(self) -> DataFrame:
-        """One row per distinct non-empty set: cls, doc_id (the smallest), n, low, extra."""
-        return (
-            self.rows.where("n > 0")
-            .groupBy("digest")
-            .agg(
-                F.min("uid").alias("cls"),
-                F.min("doc_id").alias("doc_id"),
-                F.first("n").alias("n"),
-                F.first("low").alias("low"),
-                F.first("extra").alias("extra"),
-            )
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """(digest, cls, doc_id) of each distinct non-empty set, and the rows that stand for them.
+
+        A class is named after its first row; the rows of copies leave by an anti
+        join, so the sets themselves aren't shuffled.
+        """
+        narrow = self.rows.where("n > 0").select("digest", "uid", "doc_id")
+        named = materialize(
+            narrow.groupBy("digest").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("doc_id")), "join-classes"
+        )
+        copies = materialize(
+            narrow.join(named.select("digest", "cls"), "digest").where("uid <> cls").select("uid"), "join-copies"
         )
+        few = broadcast_within(copies, copies.count(), 16)
+        return named, self.rows.where("n > 0").join(few, "uid", "left_anti")
 
-    def prefixes(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(classes that may have partners: cls, doc_id, digest, n), (cls, n, token, key order)."""
-        tokens = classes.select("cls", F.explode("low").alias("token"))
+    def sifted(self, firsts: DataFrame) -> DataFrame:
+        """cls, doc_id, digest, n of the classes that the low tokens leave open."""
+        tokens = firsts.select(F.col("uid").alias("cls"), F.explode("low").alias("token"))
         shared = materialize(
-            tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "join-frequencies"
+            tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token"), "join-frequencies"
         )
         known = broadcast_within(shared, shared.count(), 32)
-        met = tokens.join(known, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-        narrow = classes.select("cls", "doc_id", "digest", "n", F.size("low").alias("n_low"), "extra")
-        joined = narrow.join(met, "cls", "left")
-        size = F.col("n") - self.like.needed(F.col("n")) + 1
-        own = F.col("n_low") - F.coalesce(F.size("shared"), F.lit(0))
-        left = (size - own).cast("int")
-        first = F.coalesce(F.slice(F.transform("shared", lambda x: x["token"]), 1, F.greatest(left, F.lit(0))), F.array())
-        fill = F.when(size > F.col("n_low"), F.slice("extra", 1, (size - F.col("n_low")).cast("int"))).otherwise(F.array())
-        open_ = materialize(
-            joined.where(left > 0).select(
-                "cls", "doc_id", "digest", "n", F.concat(first, fill).alias("prefix"),
-                F.coalesce(F.transform("shared", lambda x: x["token"]), F.array().cast("array<bigint>")).alias("keys"),
-            ),
-            "join-prefixes",
+        met = tokens.join(known, "token").groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
+        narrow = firsts.select(F.col("uid").alias("cls"), "doc_id", "digest", "n", F.size("low").alias("n_low"))
+        own = F.col("n_low") - F.coalesce("met", F.lit(0))
+        left = F.col("n") - self.like.needed(F.col("n")) + 1 - own
+        return materialize(
+            narrow.join(met, "cls", "left").where(left > 0).select("cls", "doc_id", "digest", "n"), "join-sifted"
         )
-        # a token that one class alone has in its prefix meets nobody
-        rows = open_.select("cls", "n", F.explode("prefix").alias("token"))
-        return open_, rows
 
     def sets_of(self, chosen: DataFrame) -> DataFrame:
         """cls, n, tokens of the chosen classes, from their texts."""
+        n = chosen.count()
         ids = chosen.select(F.col("doc_id").alias("_id")).distinct()
-        few = broadcast_within(ids, chosen.count(), 16)
+        # a class's smallest id may belong to a copy: its text has the same set
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-            few, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
+            broadcast_within(ids, n, 16), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
         )
-        sets = full_sets(texts, self.like).join(chosen.select("cls", "n", "digest"), "digest")
-        return materialize(sets.dropDuplicates(["cls"]).select("cls", "n", "tokens"), "join-full")
+        sets = full_sets(texts, self.like).join(broadcast_within(chosen.select("cls", "n", "digest"), n, 64), "digest")
+        return materialize(sets.select("cls", "n", "tokens"), "join-full")
+
+    def reduced(self, sets: DataFrame) -> DataFrame:
+        """Classes that their full sets leave open: cls, n, own, tokens.
+
+        ``tokens`` are those that another remaining class has too, in the global
+        order (frequency, token); ``own`` counts the others, which come first in the
+        order and can be in no overlap.
+        """
+        each = sets.select("cls", F.explode("tokens").alias("token"))
+        frequent = materialize(
+            each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "join-full-frequencies"
+        )
+        known = broadcast_within(frequent, frequent.count(), 40)
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
+        # repeated rows of one id and text give a token twice
+        met = each.join(known, "token").groupBy("cls").agg(F.array_distinct(ordered).alias("tokens"))
+        sizes = sets.select("cls", "n").distinct()
+        own = F.col("n") - F.size("tokens")
+        return materialize(
+            sizes.join(met, "cls")
+            .withColumn("own", own)
+            .where(F.col("n") - self.like.needed(F.col("n")) + 1 > F.col("own"))
+            .select("cls", "n", "own", "tokens"),
+            "join-reduced",
+        )
+
+    def _prefix(self, length: Column) -> Column:
+        """The shared tokens within the first ``length`` of the order."""
+        return F.slice("tokens", 1, F.greatest(length - F.col("own"), F.lit(0)).cast("int"))
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose sets are similar."""
@@ -211,82 +224,94 @@ class GroupJoin:
         overlap = F.size(F.array_intersect("_s", "_t"))
         return both.where(self.like.similar(overlap, F.col("_n"), F.col("_m"))).select(*pairs.columns)
 
-    def groups(self, candidates: DataFrame, sets: DataFrame) -> DataFrame:
-        """(cls, grp, n): every class with its group's leader, after all rounds."""
-        keys = candidates.select("cls", "n", "keys")
-        leaders = materialize(keys.select("cls", "keys").where(F.size("keys") > 0), "join-leaders")
+    def groups(self, sets: DataFrame) -> DataFrame:
+        """(cls, grp, n, own): every remaining class with its group's leader."""
+        leaders = sets
         moves = []
         for r in range(self.rounds):
-            mark = F.array_min(F.transform("keys", lambda t: F.xxhash64(t, F.lit(r))))
-            marked = leaders.select("cls", mark.alias("mark"))
-            pivots = marked.groupBy("mark").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-            pairs = (
-                marked.join(pivots, "mark").where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-            )
-            joined = materialize(self._verified(pairs, sets), "join-joined")
+            mark = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(r))))
+            marked = materialize(leaders.select("cls", "n", "own", mark.alias("mark")), "join-marks")
+            central = F.struct((F.col("own") / F.col("n")).alias("part"), "cls")
+            pivots = marked.groupBy("mark").agg(F.min(central).alias("_p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+            pairs = marked.join(pivots.select("mark", F.col("_p.cls").alias("a")), "mark").where("cls <> a")
+            joined = materialize(self._verified(pairs.select("a", F.col("cls").alias("b")), leaders), "join-joined")
             if joined.isEmpty():
                 continue
             moves.append(joined)
-            gone = joined.select(F.col("b").alias("cls"))
-            leaders = materialize(leaders.join(gone, "cls", "left_anti"), "join-leaders")
-        member = keys.select("cls", "n", F.col("cls").alias("grp"))
+            leaders = materialize(leaders.join(joined.select(F.col("b").alias("cls")), "cls", "left_anti"), "join-leaders")
+        member = sets.select("cls", "n", "own", F.col("cls").alias("grp"))
         for joined in moves:
             step = joined.select(F.col("b").alias("grp"), F.col("a").alias("_to"))
-            member = member.join(step, "grp", "left").select("cls", "n", F.coalesce("_to", "grp").alias("grp"))
+            member = member.join(step, "grp", "left").select("cls", "n", "own", F.coalesce("_to", "grp").alias("grp"))
         return materialize(member, "join-groups")
 
-    def links(self, rows: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs of groups (a, b) that hold a similar pair of classes."""
-        like = self.like
-        grouped = rows.join(member.select("cls", "grp"), "cls")
-        matrix = (
-            grouped.groupBy("token", "grp")
-            .agg(F.min("n").alias("low"), F.max("n").alias("high"))
-            .select("token", F.col("grp").alias("other"), "low", "high")
+    def _reaches(self, n: Column, own: Column, m: Column) -> Column:
+        """Can a set of ``n`` with ``own`` unshared tokens be similar to one of ``m``?"""
+        t = self.like.percent
+        return (100 * m >= t * n) & (100 * n >= t * m) & ((100 + t) * (n - own) >= t * (n + m))
+
+    def links(self, member: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs of groups (a, b) that hold a similar pair of classes.
+
+        Of a similar pair the larger set probes: its first n - needed + 1 tokens meet
+        the first m - 2 * percent / (100 + percent) * m + 1 of the other.
+        """
+        t, n = self.like.percent, F.col("n")
+        grouped = sets.join(member.select("cls", "grp"), "cls")
+        least = F.ceil(2 * t * n / (100 + t))
+        index = grouped.select("grp", "n", F.explode(self._prefix(n - least + 1)).alias("token"))
+        probe = grouped.select("cls", "grp", "n", "own", F.explode(self._prefix(n - self.like.needed(n) + 1)).alias("token"))
+        matrix = index.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high")).select(
+            "token", F.col("grp").alias("other"), "low", "high"
+        )
+        nearest = F.greatest(F.col("low"), F.ceil(n * t / 100))
+        fits = (F.col("low") <= n) & (nearest <= F.col("high")) & self._reaches(n, F.col("own"), nearest)
+        met = probe.join(matrix, "token").where((F.col("grp") != F.col("other")) & fits)
+        candidates = materialize(
+            met.groupBy("cls", "other").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("grp").alias("grp")),
+            "join-candidates",
         )
-        fits = like.sizes_fit(F.col("n"), F.col("low"), F.col("high"))
-        met = grouped.join(matrix, "token").where((F.col("grp") < F.col("other")) & fits)
-        candidates = materialize(met.groupBy("cls", "other").agg(F.first("n").alias("n"), F.first("grp").alias("grp")), "join-candidates")
         if candidates.isEmpty():
             return candidates.select(F.col("grp").alias("a"), F.col("other").alias("b"))
-        sizes = member.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
-        sized = candidates.join(sizes.select(F.col("grp").alias("other"), "members"), "other")
-        single = sized.where("members = 1").select("cls", "n", "grp", "other")
-        several = sized.where("members > 1").select("cls", "n", "grp", "other")
-        qualified = self._within_bound(several, member, sets)
-        open_ = single.unionByName(qualified)
-        inside = member.select(F.col("grp").alias("other"), F.col("cls").alias("b"), F.col("n").alias("m"))
-        pairs = open_.join(inside, "other").where(like.sizes_fit(F.col("n"), F.col("m"), F.col("m")))
+        sizes = member.groupBy(F.col("grp").alias("other")).agg(F.count(F.lit(1)).alias("members"))
+        sized = candidates.join(sizes, "other")
+        qualified = self._within_bound(sized.where("members > 1").drop("members"), member, sets)
+        open_ = sized.where("members = 1").drop("members").unionByName(qualified)
+        inside = member.select(F.col("grp").alias("other"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("own").alias("m_own"))
+        pairs = open_.join(inside, "other").where(
+            (F.col("m") <= n) & self._reaches(n, F.col("own"), F.col("m")) & self._reaches(F.col("m"), F.col("m_own"), n)
+        )
         found = self._verified(pairs.select(F.col("cls").alias("a"), "b", "grp", "other"), sets)
         return found.select(F.col("grp").alias("a"), F.col("other").alias("b")).distinct()
 
     def _within_bound(self, several: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
         """Candidates whose overlap with the group's token union could suffice."""
-        wanted = several.select("other").distinct()
+        wanted = several.select(F.col("other").alias("grp")).distinct()
         union = (
-            member.join(wanted.withColumnRenamed("other", "grp"), "grp", "left_semi")
+            member.select("cls", "grp")
+            .join(wanted, "grp", "left_semi")
             .join(sets.select("cls", "tokens"), "cls")
             .select(F.col("grp").alias("other"), F.explode("tokens").alias("token"))
             .distinct()
         )
-        asked = several.join(sets.select("cls", "tokens"), "cls").select("cls", "n", "grp", "other", F.explode("tokens").alias("token"))
-        overlap = asked.join(union, ["other", "token"]).groupBy("cls", "n", "grp", "other").agg(F.count(F.lit(1)).alias("o"))
-        return overlap.where(F.col("o") >= self.like.needed(F.col("n"))).select("cls", "n", "grp", "other")
+        columns = ["cls", "n", "own", "grp", "other"]
+        asked = several.join(sets.select("cls", "tokens"), "cls").select(*columns, F.explode("tokens").alias("token"))
+        overlap = asked.join(union, ["other", "token"]).groupBy(*columns).agg(F.count(F.lit(1)).alias("o"))
+        return overlap.where(F.col("o") >= self.like.needed(F.col("n"))).select(*columns)
 
     def report(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row of the documents."""
-        classes = materialize(self.classes(), "join-classes")
-        candidates, rows = self.prefixes(classes)
-        sets = self.sets_of(candidates)
-        member = self.groups(candidates, sets)
-        links = materialize(self.links(rows, member, sets), "join-links")
+        named, firsts = self.classes()
+        sets = self.reduced(self.sets_of(self.sifted(firsts)))
+        member = self.groups(sets)
+        links = materialize(self.links(member, sets), "join-links")
         if not links.isEmpty():
             roots = components(links, "a", "b").select(F.col("node").alias("grp"), "root")
             member = member.join(roots, "grp", "left").select("cls", F.coalesce("root", "grp").alias("grp"))
-        named = classes.select("cls", "digest", "doc_id").join(member.select("cls", "grp"), "cls", "left")
-        named = materialize(named.select("digest", "doc_id", F.coalesce("grp", "cls").alias("grp")), "join-named")
-        smallest = named.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
-        by_digest = named.join(smallest, "grp").select("digest", "component_id")
+        grouped = named.join(member.select("cls", "grp"), "cls", "left")
+        grouped = materialize(grouped.select("digest", "doc_id", F.coalesce("grp", "cls").alias("grp")), "join-named")
+        smallest = grouped.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
+        by_digest = grouped.join(smallest, "grp").select("digest", "component_id")
         narrow = self.rows.select("doc_id", "n", "digest")
         found = narrow.where("n > 0").join(by_digest, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         alone = narrow.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -26,7 +26,8 @@ class PreTokenizer:
     """Pre-tokens of whole texts by the vocabulary's pattern.
 
     Text between single spaces is a unit whose pre-tokens don't depend on its
-    surroundings, so units are split once and remembered.
+    surroundings, so units are split once and remembered.  A unit that starts or
+    ends with white space depends on them; a part with one is split as a whole.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -35,63 +36,73 @@ class PreTokenizer:
 
         self.find = regex.compile(public.PATTERN).findall
         self.specials = regex.compile("|".join(map(regex.escape, vocabulary.specials)) or r"(?!)")
+        self.plain = [s for s in vocabulary.specials]
         self.units = worker_cache(f"pre-tokens {vocabulary.tokenizer_file}")
 
-    def _learn(self, unit: str) -> tuple[str, ...]:
-        if len(self.units) >= CACHE_UNITS:
-            self.units.clear()
-        bare = unit[1:] if unit[:1] == " " else unit
-        safe = bare and not bare[0].isspace() and not bare[-1].isspace()
-        found = tuple(self.find(unit)) if safe else ()
-        self.units[unit] = found
+    def parts(self, text: str) -> list[str]:
+        """The text between special tokens; one part more than there are of these."""
+        return self.specials.split(text) if any(s in text for s in self.plain) else [text]
+
+    def unit_counts(self, part: str) -> Counter:
+        return Counter(part.replace(" ", "\x00 ").split("\x00"))
+
+    def split(self, unit: str) -> tuple[str, ...] | None:
+        """Pre-tokens of a unit; null if they depend on what surrounds it."""
+        found = self.units.get(unit)
+        if found is None:
+            bare = unit[1:] if unit[:1] == " " else unit
+            if not bare or bare[0].isspace() or bare[-1].isspace():
+                return None
+            if len(self.units) >= CACHE_UNITS:
+                self.units.clear()
+            found = self.units[unit] = tuple(self.find(unit))
         return found
 
-    def frequencies(self, text: str) -> tuple[dict[str, int], int]:
-        """How often each pre-token occurs, and how many special tokens."""
-        parts = self.specials.split(text) if self.specials.search(text) else [text]
-        total: dict[str, int] = {}
-        for part in parts:
-            units = Counter(part.replace(" ", "\x00 ").split("\x00")) if "\x00" not in part else None
-            for unit, many in (units or {}).items():
-                found = self.units.get(unit) or self._learn(unit)
-                if not found and part:
-                    units = None
-                    break
-            if units is None:
-                for token in self.find(part):
-                    total[token] = total.get(token, 0) + 1
-            elif part:
-                for unit, many in units.items():
-                    for token in self.units.get(unit) or self._learn(unit):
-                        total[token] = total.get(token, 0) + many
-        return total, len(parts) - 1
+    def whole(self, part: str) -> bool:
+        """True if the part can't be cut into units."""
+        return "\x00" in part or "  " in part or part[0].isspace() or part[-1].isspace()
 
 
 def distinct_pretokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(pretoken, n_docs) over all documents; merged in each task before the shuffle."""
+    """(pretoken, n_uses) over all documents; merged in each task before the shuffle.
+
+    ``n_uses`` counts a document once for each distinct unit that holds the
+    pre-token: enough to tell common ones from rare ones.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = PreTokenizer(vocabulary)
+        cutter = PreTokenizer(vocabulary)
         seen: Counter = Counter()
+        others: Counter = Counter()
 
         def hand_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())],
-                names=["pretoken", "n_docs"],
-            )
+            uses: dict[str, int] = dict(others)
+            for unit, many in seen.items():
+                for token in cutter.split(unit):
+                    uses[token] = uses.get(token, 0) + many
             seen.clear()
-            return out
+            others.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.int64())], names=["pretoken", "n_uses"]
+            )
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(split.frequencies(text)[0].keys())
-                if len(seen) >= TASK_ROWS:
+                for part in cutter.parts(text or ""):
+                    if not part:
+                        continue
+                    units = None if cutter.whole(part) else cutter.unit_counts(part)
+                    # units are only kept if each stands alone; new ones are looked at once
+                    if units is not None and all(u in seen or cutter.split(u) is not None for u in units):
+                        seen.update(units.keys())
+                    else:
+                        others.update(set(cutter.find(part)))
+                if len(seen) + len(others) >= TASK_ROWS:
                     yield hand_on()
         yield hand_on()
 
-    found = docs.select("text").mapInArrow(gather, "pretoken string, n_docs bigint")
-    return found.groupBy("pretoken").agg(F.sum("n_docs").alias("n_docs"))
+    found = docs.select("text").mapInArrow(gather, "pretoken string, n_uses bigint")
+    return found.groupBy("pretoken").agg(F.sum("n_uses").alias("n_uses"))
 
 
 def count_pieces(pretokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -104,15 +115,15 @@ def count_pieces(pretokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             texts = batch.column(0).to_pylist()
             sizes = [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32())], names=["pretoken", "n_docs", "n_pieces"]
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32())], names=["pretoken", "n_uses", "n_pieces"]
             )
 
-    return pretokens.mapInArrow(count, "pretoken string, n_docs bigint, n_pieces int")
+    return pretokens.mapInArrow(count, "pretoken string, n_uses bigint, n_pieces int")
 
 
 def head_threshold(table: DataFrame, most: int) -> int:
-    """Smallest power of two such that at most ``most`` pre-tokens are in as many documents."""
-    exponents = table.groupBy(F.floor(F.log2("n_docs")).cast("int").alias("e")).count().collect()
+    """Smallest power of two such that at most ``most`` pre-tokens have as many uses."""
+    exponents = table.groupBy(F.floor(F.log2("n_uses")).cast("int").alias("e")).count().collect()
     total, threshold = 0, 1 << 62
     for row in sorted(exponents, key=lambda r: -r["e"]):
         total += row["count"]
@@ -138,33 +149,68 @@ def count_tokens(
     spark = docs.sparkSession
     table = materialize(count_pieces(distinct_pretokens(docs, vocabulary), vocabulary), "counts-pretokens")
     threshold = head_threshold(table, head_rows)
-    head_table = table.where(F.col("n_docs") >= threshold).select("pretoken", "n_pieces").toArrow()
+    head_table = table.where(F.col("n_uses") >= threshold).select("pretoken", "n_pieces").toArrow()
     head = spark.sparkContext.broadcast(
         dict(zip(head_table.column(0).to_pylist(), head_table.column(1).to_pylist(), strict=True))
     )
 
     def sum_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = PreTokenizer(vocabulary), head.value
+        cutter, known = PreTokenizer(vocabulary), head.value
+        resolved: dict[str, tuple[int, tuple[str, ...]]] = {}
+
+        def resolve(tokens) -> tuple[int, tuple[str, ...]]:
+            """Pieces of the tokens in the head, and the other tokens."""
+            pieces = [known.get(t) for t in tokens]
+            return sum(p for p in pieces if p), tuple(t for t, p in zip(tokens, pieces, strict=True) if p is None)
+
+        def add(part: str, rare: dict[str, int]) -> int:
+            """Head pieces of a part; its rare pre-tokens are added to ``rare``."""
+            total = 0
+            units = None if cutter.whole(part) else cutter.unit_counts(part)
+            pairs = []
+            for unit, many in (units or {}).items():
+                got = resolved.get(unit)
+                if got is None:
+                    tokens = cutter.split(unit)
+                    if tokens is None:
+                        units = None
+                        break
+                    if len(resolved) >= CACHE_UNITS:
+                        resolved.clear()
+                    got = resolved[unit] = resolve(tokens)
+                total += got[0] * many
+                if got[1]:
+                    pairs.append((got[1], many))
+            if units is None:
+                counts = Counter(cutter.find(part))
+                total, pairs = 0, []
+                for token, many in counts.items():
+                    pieces = known.get(token)
+                    if pieces is None:
+                        pairs.append(((token,), many))
+                    else:
+                        total += pieces * many
+            for tokens, many in pairs:
+                for token in tokens:
+                    rare[token] = rare.get(token, 0) + many
+            return total
+
         for batch in batches:
             rows, ids, size, tokens, many = [], [], [], [], []
             for row, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 text = text or ""
-                found, inside = split.frequencies(text)
-                for token, times in found.items():
-                    pieces = known.get(token)
-                    if pieces is None:
-                        rows.append(row)
-                        ids.append(None)
-                        size.append(None)
-                        tokens.append(token)
-                        many.append(times)
-                    else:
-                        inside += pieces * times
-                rows.append(row)
+                rare: dict[str, int] = {}
+                between = cutter.parts(text)
+                inside = len(between) - 1 + sum(add(part, rare) for part in between if part)
+                rows.extend([row] * (len(rare) + 1))
                 ids.append(doc_id)
+                ids.extend([None] * len(rare))
                 size.append(len(text.encode()))
+                size.extend([None] * len(rare))
                 tokens.append(None)
+                tokens.extend(rare)
                 many.append(inside)
+                many.extend(rare.values())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows, pa.int64()),
@@ -181,7 +227,7 @@ def count_tokens(
     )
     # a document's own row has a key of its own, so that none of the join's tasks gets them all
     key = F.coalesce("pretoken", F.concat(F.lit("\x00"), F.col("row").cast("string")))
-    tail = table.where(F.col("n_docs") < threshold).select(F.col("pretoken").alias("_tail"), "n_pieces")
+    tail = table.where(F.col("n_uses") < threshold).select(F.col("pretoken").alias("_tail"), "n_pieces")
     met = parts.withColumn("_key", key).join(tail, F.col("_key") == F.col("_tail"), "left")
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return add
 
 
-from ledgerloom.plans import client, loading, report_queries, scalars, streams  # noqa: E402, F401
+from ledgerloom.plans import client, loading, report_queries, rules_queries, scalars, streams  # noqa: E402, F401

@@ -33,8 +33,8 @@ def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFram
     1 keeps the corpus as it is, 0 makes all values equal.
     """
     mass = cells.groupBy(dimension).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("_m"))
-    total = mass.agg(F.sum("_m").alias("_all"))
-    return mass.join(F.broadcast(total)).select(dimension, (F.col("_m") / F.col("_all")).alias("share"))
+    total = mass.agg(F.sum("_m")).first()[0] or 1.0
+    return mass.select(dimension, (F.col("_m") / F.lit(total)).alias("share"))
 
 
 def rake(
@@ -126,14 +126,10 @@ def mix_documents(
 
 def _rates(cells: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
     """Sampling probability of each cell, materialized: weight over tokens, 1 at most."""
-    ratios = rake(cells, wanted).withColumn("_ratio", F.col("weight") / F.col("tokens"))
-    top = ratios.agg(F.max("_ratio").alias("_top"))
-    return materialize(
-        ratios.join(F.broadcast(top)).select(
-            *DIMENSIONS, F.col("weight").alias("cell_weight"), (F.col("_ratio") / F.col("_top")).alias("probability")
-        ),
-        "mix-rates",
-    )
+    weights = materialize(rake(cells, wanted), "mix-rates")
+    ratio = F.col("weight") / F.col("tokens")
+    top = weights.agg(F.max(ratio)).first()[0] or 1.0
+    return weights.select(*DIMENSIONS, F.col("weight").alias("cell_weight"), (ratio / F.lit(top)).alias("probability"))
 
 
 def sample_to_weights(

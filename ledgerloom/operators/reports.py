@@ -174,9 +174,16 @@ def last_visits(players: DataFrame, sessions: DataFrame) -> DataFrame:
 def today_totals(payments: DataFrame, sessions: DataFrame, day: date, goal_cents: int = 55_000) -> DataFrame:
     """Cash taken and sessions of one day, and the share of the day's goal."""
     cash = payments.where((F.col("paid_on") == _day(day)) & (F.col("method").isNull() | (F.col("method") == "cash")))
-    money = cash.agg(F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("cash_cents"), F.count(F.lit(1)).alias("cash_payments"))
-    visits = sessions.agg(F.count_if(F.to_date(F.coalesce("started_at", "created_at")) == _day(day)).alias("sessions"))
-    return money.join(F.broadcast(visits)).withColumn("pace", F.col("cash_cents") / goal_cents)
+    visits = sessions.where(F.to_date(F.coalesce("started_at", "created_at")) == _day(day))
+    rows = cash.select("amount_cents", F.lit(True).alias("paid")).unionByName(
+        visits.select(F.lit(None).cast("long").alias("amount_cents"), F.lit(False).alias("paid"))
+    )
+    totals = rows.agg(
+        F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("cash_cents"),
+        F.count_if("paid").alias("cash_payments"),
+        F.count_if(~F.col("paid")).alias("sessions"),
+    )
+    return totals.withColumn("pace", F.col("cash_cents") / goal_cents)
 
 
 def sync_health(sync_log: DataFrame, now: datetime, stale_days: int = 5) -> DataFrame:

@@ -162,18 +162,18 @@ class GroupJoin:
         return named, self.rows.where("n > 0").join(few, "uid", "left_anti")
 
     def sifted(self, firsts: DataFrame) -> DataFrame:
-        """cls, doc_id, digest, n of the classes that the low tokens leave open."""
+        """cls, doc_id, digest, n of the classes that the low tokens leave open.
+
+        A token that one class has is counted for it straight from the sums by token,
+        so tokens are shuffled once and never joined back.
+        """
         tokens = firsts.select(F.col("uid").alias("cls"), F.explode("low").alias("token"))
-        shared = materialize(
-            tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token"), "join-frequencies"
-        )
-        known = broadcast_within(shared, shared.count(), 32)
-        met = tokens.join(known, "token").groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
-        narrow = firsts.select(F.col("uid").alias("cls"), "doc_id", "digest", "n", F.size("low").alias("n_low"))
-        own = F.col("n_low") - F.coalesce("met", F.lit(0))
-        left = F.col("n") - self.like.needed(F.col("n")) + 1 - own
+        single = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("cls")).where("df = 1")
+        counted = single.groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+        narrow = firsts.select(F.col("uid").alias("cls"), "doc_id", "digest", "n")
+        left = F.col("n") - self.like.needed(F.col("n")) + 1 - F.coalesce("own", F.lit(0))
         return materialize(
-            narrow.join(met, "cls", "left").where(left > 0).select("cls", "doc_id", "digest", "n"), "join-sifted"
+            narrow.join(counted, "cls", "left").where(left > 0).select("cls", "doc_id", "digest", "n"), "join-sifted"
         )
 
     def sets_of(self, chosen: DataFrame) -> DataFrame:

@@ -155,3 +155,63 @@ def attendance_consistency(spark, d):
     s = table(spark, d, "sessions").select(F.col("id").alias("session_id"), F.col("player_id").alias("_p"))
     reason = F.when(F.col("_p").isNull(), "session_required").when(F.col("_p") != F.col("player_id"), "session_player_mismatch")
     return a.join(s, "session_id", "left").select("id", "session_id", reason.alias("reason"))
+
+
+@query("""select p.id, p.first_name || ' ' || p.last_name as name, b.units as units, v.last_visit
+          from players p
+          left join (select player_id, sum(remaining_units)::bigint as units from entitlements where status = 'active' group by 1) b on b.player_id = p.id
+          left join (select player_id, max(coalesce(started_at, created_at)::date) as last_visit from sessions group by 1) v on v.player_id = p.id""")
+def roster_overview(spark, d):
+    """Roster rows with summed balances and last visits."""
+    p = table(spark, d, "players").select("id", F.concat_ws(" ", "first_name", "last_name").alias("name"))
+    b = table(spark, d, "entitlements").where("status = 'active'").groupBy(F.col("player_id").alias("id")).agg(F.sum("remaining_units").alias("units"))
+    v = table(spark, d, "sessions").groupBy(F.col("player_id").alias("id")).agg(F.max(F.to_date(F.coalesce("started_at", "created_at"))).alias("last_visit"))
+    return p.join(b, "id", "left").join(v, "id", "left")
+
+
+@query("""select event_id as id, case when event_id % 13 = 0 then 'quarantined' when event_id % 4 in (0, 1) then 'unsynced' else 'done' end as queue
+          from events where user_id % 2 = 0 or event_id % 13 = 0""")
+def queue_by_owner(spark, d):
+    """Queue items of the current owner; items without an owner are quarantined."""
+    e = raw(spark, d, "events")
+    k = F.col("event_id")
+    owner = F.when(k % 13 != 0, F.col("user_id") % 2)
+    status = F.when(owner.isNull(), "quarantined").when((k % 4).isin(0, 1), "unsynced").otherwise("done")
+    return e.where(owner.isNull() | (owner == 0)).select(k.alias("id"), status.alias("queue"))
+
+
+@query("""select event_id as id, case event_type when 'click' then 'session' when 'purchase' then 'payment' else 'other' end as entity
+          from events where (user_id = 8 or json_extract(props, '$.k')::bigint = 8) and event_id % 4 in (0, 1)""")
+def player_local_actions(spark, d):
+    """Unsynced actions of a player by mirrored id or by the payload's."""
+    in_payload = F.get_json_object("props", "$.k").cast("long") == 8
+    kind = F.when(F.col("event_type") == "click", "session").when(F.col("event_type") == "purchase", "payment").otherwise("other")
+    mine = ((F.col("user_id") == 8) | in_payload) & (F.col("event_id") % 4).isin(0, 1)
+    return raw(spark, d, "events").where(mine).select(F.col("event_id").alias("id"), kind.alias("entity"))
+
+
+@query("""select s.location_id, s.cents is not distinct from c.cents as same
+          from (select location_id, sum(amount_cents)::bigint as cents from payments group by 1) s
+          left join (select location_id, sum(amount_cents)::bigint as cents from payments where location_id <> 2 group by 1) c using (location_id)""")
+def summaries_equal(spark, d):
+    """Does a cached summary equal the fresh one?"""
+    p = table(spark, d, "payments")
+    fresh = p.groupBy("location_id").agg(F.sum("amount_cents").alias("cents"))
+    cached = p.where("location_id <> 2").groupBy("location_id").agg(F.sum("amount_cents").alias("was"))
+    return fresh.join(cached, "location_id", "left").select("location_id", F.col("cents").eqNullSafe(F.col("was")).alias("same"))
+
+
+@query("""select user_id, max(greatest(ts, ts + interval 1 minute * (event_id % 3))) as latest from events group by user_id""")
+def latest_timestamp(spark, d):
+    later = F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 3).cast("int"))
+    return raw(spark, d, "events").groupBy("user_id").agg(F.max(F.greatest("ts", later)).alias("latest"))
+
+
+@query("""select 'Prices: ' || string_agg(type || ' from R' || (cents // 100), '; ' order by type) as prompt
+          from (select type, min(price_cents) as cents from products group by type)""")
+def pricing_prompt(spark, d):
+    """The price list as one line of text for a model's instructions."""
+    least = table(spark, d, "products").groupBy("type").agg(F.min("price_cents").alias("cents"))
+    line = F.struct("type", F.concat(F.col("type"), F.lit(" from R"), F.floor(F.col("cents") / 100).cast("string")).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    return least.agg(F.concat(F.lit("Prices: "), F.array_join(lines, "; ")).alias("prompt"))

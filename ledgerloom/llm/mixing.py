@@ -92,6 +92,7 @@ def mix_documents(
     targets: dict[str, DataFrame] | None = None,
     topic: Column | None = None,
     seed: int = 23,
+    keep_share: float | None = None,
 ) -> DataFrame:
     """One row per document with its calibrated probability and the draw's outcome.
 
@@ -113,7 +114,7 @@ def mix_documents(
     table = materialize(labelled, "mix-docs")
     cells = materialize(table.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     wanted = targets or {d: tempered_targets(cells, d, power) for d in DIMENSIONS}
-    rates = _rates(cells, wanted)
+    rates = _rates(cells, wanted, keep_share)
     return table.join(broadcast_within(rates, rates.count(), RATE_ROW_BYTES), list(DIMENSIONS)).select(
         "doc_id",
         *DIMENSIONS,
@@ -124,12 +125,30 @@ def mix_documents(
     )
 
 
-def _rates(cells: DataFrame, wanted: dict[str, DataFrame]) -> DataFrame:
-    """Sampling probability of each cell, materialized: weight over tokens, 1 at most."""
+def _rates(cells: DataFrame, wanted: dict[str, DataFrame], keep_share: float | None = None) -> DataFrame:
+    """Sampling probability of each cell, materialized.
+
+    It is the cell's weight over its tokens, times a scale: by default the largest
+    that needs no probability above 1, so that the targets hold in expectation.
+    With ``keep_share`` it is the scale at which that share of all tokens is kept;
+    cells that would need more than 1 are kept whole.
+    """
     weights = materialize(rake(cells, wanted), "mix-rates")
     ratio = F.col("weight") / F.col("tokens")
-    top = weights.agg(F.max(ratio)).first()[0] or 1.0
-    return weights.select(*DIMENSIONS, F.col("weight").alias("cell_weight"), (ratio / F.lit(top)).alias("probability"))
+    ends = weights.where("weight > 0").agg(F.max(ratio).alias("top"), F.min(ratio).alias("low")).first()
+    top, low = ends["top"] or 1.0, ends["low"] or 1.0
+    scale = 1 / top
+    if keep_share is not None:
+        least, most = 1 / top, 1 / low
+        for _ in range(3):  # a finer grid between the two points around the share
+            grid = [least * (most / least) ** (i / 32) for i in range(33)]
+            part = [F.sum(F.least(F.lit(1.0), ratio * F.lit(x)) * F.col("tokens")) / F.sum("tokens") for x in grid]
+            kept = [x or 0.0 for x in weights.agg(*part).first()]
+            at = max((i for i, x in enumerate(kept) if x <= keep_share), default=0)
+            least, most = grid[at], grid[min(at + 1, 32)]
+        scale = least
+    probability = F.least(F.lit(1.0), ratio * F.lit(scale))
+    return weights.select(*DIMENSIONS, F.col("weight").alias("cell_weight"), probability.alias("probability"))
 
 
 def sample_to_weights(
@@ -138,6 +157,7 @@ def sample_to_weights(
     targets: dict[str, DataFrame] | None = None,
     topic: Column | None = None,
     seed: int = 23,
+    keep_share: float | None = None,
 ) -> DataFrame:
     """The documents that ``mix_documents`` samples, with all their columns.
 
@@ -152,7 +172,7 @@ def sample_to_weights(
     tokens = F.greatest(F.coalesce(F.regexp_count("text", F.lit(WORD_RUN)), F.lit(0)), F.lit(1)).cast("long")
     labelled = docs.select(*[v.alias(k) for k, v in keys.items()], tokens.alias("n_tokens"))
     cells = materialize(labelled.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rates = _rates(cells, targets or {d: tempered_targets(cells, d, power) for d in DIMENSIONS})
+    rates = _rates(cells, targets or {d: tempered_targets(cells, d, power) for d in DIMENSIONS}, keep_share)
     n = rates.count()
     rates = rates.select(*[F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
     same = F.lit(True)

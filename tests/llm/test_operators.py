@@ -90,6 +90,14 @@ def test_raking_meets_its_marginals(spark):
             assert abs(got[r[0]] - r["share"]) < 1e-4
 
 
+def test_kept_share_of_tokens(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = mixing.mix_documents(docs, keep_share=0.6).collect()
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert abs(sum(r["probability"] * r["n_tokens"] for r in rows) / tokens - 0.6) < 0.01
+    assert max(r["probability"] for r in rows) <= 1
+
+
 def test_mixture_rows_and_sample_agree(messy):
     rows = mixing.mix_documents(messy).collect()
     assert len(rows) == messy.count()

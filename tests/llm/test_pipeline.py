@@ -34,7 +34,7 @@ def test_stages(spark, tmp_path):
 
             assert ids == {c for _, _, c in brute_components(before, 5, 80)}
         elif name == "mix_sources":
-            assert ids == {r["doc_id"] for r in mixing.mix_documents(docs).where("sampled").collect()}
+            assert ids == {r["doc_id"] for r in mixing.mix_documents(docs, keep_share=0.8).where("sampled").collect()}
         else:
             assert ids == {r["doc_id"] for r in before}
         if name != "pack":

@@ -140,8 +140,9 @@ def _compare_bytes(docs: DataFrame, digest, hits: DataFrame, n_hits: int) -> Dat
     """Rows of hit digests; same: their bytes equal those of the row that stays.
 
     Texts are not shuffled unless their digest was hit, as long as the hit digests
-    fit the broadcast bound; a hot group's rows are split by the skew join, since
-    the other side has one row for a digest.
+    fit the broadcast bound.  The texts that stay are a table of one row for a
+    digest, written out: with no sum between it and the join, Spark can split a hot
+    group's rows over tasks.
     """
     texts = docs.select(
         "doc_id",
@@ -150,7 +151,9 @@ def _compare_bytes(docs: DataFrame, digest, hits: DataFrame, n_hits: int) -> Dat
     ).withColumn("digest", digest(F.col("norm")))
     few = broadcast_within(hits, n_hits, 200)
     met = texts.join(few, F.col("digest") == F.col("_hit"))
-    stays = met.where(F.col("doc_id").eqNullSafe(F.col("_stays"))).groupBy("_hit").agg(F.min("norm").alias("_norm"))
+    stays = materialize(
+        met.where(F.col("doc_id").eqNullSafe(F.col("_stays"))).groupBy("_hit").agg(F.min("norm").alias("_norm")), "dedup-stays"
+    )
     members = met.drop("_hit", "_stays")
     same = F.coalesce(F.col("norm") == F.col("_norm"), F.lit(False))
     return members.join(stays, F.col("digest") == F.col("_hit"), "left").select(

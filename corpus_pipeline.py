@@ -26,7 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by probabilities raked to source, language and topic shares.
 
-    Four fifths of the tokens stay: common cells are thinned, rare ones kept whole.
+    Four fifths of the tokens stay; the shares are moved towards the observed ones
+    just so far that a draw of that size meets them.
     """
     return mixing.sample_to_weights(docs, keep_share=0.8)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,8 +97,8 @@ def mix_documents(
     """One row per document with its calibrated probability and the draw's outcome.
 
     Token weights (words) are raked to the marginals; a cell's probability is its
-    weight over its tokens, scaled so that the largest is 1.  The draw compares it
-    with a hash of (doc_id, text): the same rows are kept on every run.  Null
+    weight over its tokens, scaled so that the largest is 1, or with ``keep_share``
+    so that this share of tokens stays (see ``_rates``).  The draw compares it with a hash of (doc_id, text): the same rows are kept on every run.  Null
     values of a dimension form the value ''.  A text without words has one token,
     so that it takes part.  Returns doc_id, source, lang, topic, n_tokens,
     cell_weight, probability, sampled.  An empty table gives no rows.
@@ -113,8 +113,7 @@ def mix_documents(
     )
     table = materialize(labelled, "mix-docs")
     cells = materialize(table.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    wanted = targets or {d: tempered_targets(cells, d, power) for d in DIMENSIONS}
-    rates = _rates(cells, wanted, keep_share)
+    rates = _rates(cells, targets, power, keep_share)
     return table.join(broadcast_within(rates, rates.count(), RATE_ROW_BYTES), list(DIMENSIONS)).select(
         "doc_id",
         *DIMENSIONS,
@@ -125,29 +124,56 @@ def mix_documents(
     )
 
 
-def _rates(cells: DataFrame, wanted: dict[str, DataFrame], keep_share: float | None = None) -> DataFrame:
+def attainable_weights(cells: DataFrame, power: float, keep_share: float, rounds: int = 6) -> tuple[float, DataFrame]:
+    """The power nearest to ``power`` whose targets let ``keep_share`` of the tokens stay, and its raked cells.
+
+    A draw that meets the targets keeps at most 1 / (top * tokens), where top is the
+    largest weight over tokens of a cell: all tokens at power 1, fewer below.  The
+    logarithm is close to linear in the power, so a few secants through (1, 0) find it.
+    """
+    least = 0.0
+    for _ in range(rounds):
+        weights = materialize(rake(cells, {d: tempered_targets(cells, d, power) for d in DIMENSIONS}), "mix-rates")
+        most = _most_kept(weights)
+        if most >= keep_share * 0.995 and (least == 0.0 or most <= keep_share * 1.005):
+            return power, weights
+        if power >= 1:
+            return power, weights
+        if least == 0.0:
+            least = power
+        slope = -math.log(min(most, 1 - 1e-9)) / (1 - power)
+        power = min(1.0, max(least, 1 + math.log(keep_share) / slope))
+    return power, weights
+
+
+def _most_kept(weights: DataFrame) -> float:
+    """Largest share of tokens that a draw can keep with all probabilities in proportion to the weights."""
+    r = weights.agg(F.max(F.col("weight") / F.col("tokens")).alias("top"), F.sum("weight").alias("w"), F.sum("tokens").alias("t")).first()
+    return r["w"] / (r["top"] * r["t"]) if r["top"] else 1.0
+
+
+def _rates(
+    cells: DataFrame, targets: dict[str, DataFrame] | None, power: float, keep_share: float | None = None
+) -> DataFrame:
     """Sampling probability of each cell, materialized.
 
-    It is the cell's weight over its tokens, times a scale: by default the largest
-    that needs no probability above 1, so that the targets hold in expectation.
-    With ``keep_share`` it is the scale at which that share of all tokens is kept;
-    cells that would need more than 1 are kept whole.
+    It is the cell's weight over its tokens, times one scale that needs no
+    probability above 1, so that the targets hold in expectation: by default the
+    largest such scale, with ``keep_share`` at most the one that keeps that share of
+    all tokens.  Targets that are given bind, even if less can be kept then; default
+    targets move towards the observed shares until that share can be kept.
     """
-    weights = materialize(rake(cells, wanted), "mix-rates")
+    if targets or keep_share is None:
+        wanted = targets or {d: tempered_targets(cells, d, power) for d in DIMENSIONS}
+        weights = materialize(rake(cells, wanted), "mix-rates")
+    else:
+        _, weights = attainable_weights(cells, power, keep_share)
     ratio = F.col("weight") / F.col("tokens")
-    ends = weights.where("weight > 0").agg(F.max(ratio).alias("top"), F.min(ratio).alias("low")).first()
-    top, low = ends["top"] or 1.0, ends["low"] or 1.0
-    scale = 1 / top
-    if keep_share is not None:
-        least, most = 1 / top, 1 / low
-        for _ in range(3):  # a finer grid between the two points around the share
-            grid = [least * (most / least) ** (i / 32) for i in range(33)]
-            part = [F.sum(F.least(F.lit(1.0), ratio * F.lit(x)) * F.col("tokens")) / F.sum("tokens") for x in grid]
-            kept = [x or 0.0 for x in weights.agg(*part).first()]
-            at = max((i for i, x in enumerate(kept) if x <= keep_share), default=0)
-            least, most = grid[at], grid[min(at + 1, 32)]
-        scale = least
-    probability = F.least(F.lit(1.0), ratio * F.lit(scale))
+    ends = weights.agg(F.max(ratio).alias("top"), F.sum("weight").alias("w"), F.sum("tokens").alias("t")).first()
+    scale = 1 / (ends["top"] or 1.0)
+    if keep_share is not None and ends["w"]:
+        scale = min(scale, keep_share * ends["t"] / ends["w"])
+    probability = F.least(F.lit(1.0), ratio * F.lit(scale))  # 1 is passed by rounding only
     return weights.select(*DIMENSIONS, F.col("weight").alias("cell_weight"), probability.alias("probability"))
 
 
@@ -172,7 +198,7 @@ def sample_to_weights(
     tokens = F.greatest(F.coalesce(F.regexp_count("text", F.lit(WORD_RUN)), F.lit(0)), F.lit(1)).cast("long")
     labelled = docs.select(*[v.alias(k) for k, v in keys.items()], tokens.alias("n_tokens"))
     cells = materialize(labelled.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rates = _rates(cells, targets or {d: tempered_targets(cells, d, power) for d in DIMENSIONS}, keep_share)
+    rates = _rates(cells, targets, power, keep_share)
     n = rates.count()
     rates = rates.select(*[F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
     same = F.lit(True)

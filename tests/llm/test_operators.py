@@ -98,6 +98,39 @@ def test_kept_share_of_tokens(spark):
     assert max(r["probability"] for r in rows) <= 1
 
 
+def kept_shares(rows, d):
+    kept = defaultdict(float)
+    for r in rows:
+        kept[r[d]] += r["probability"] * r["n_tokens"]
+    return {v: x / sum(kept.values()) for v, x in kept.items()}
+
+
+def test_kept_tokens_meet_the_targets(spark):
+    """One source has a third of the tokens, 100 share the rest."""
+    text = " ".join("w" * 10)
+    rows = [(i, text, "en" if i >= 300 else "de", "big" if i % 3 == 0 else f"s{i % 100}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix_documents(docs, keep_share=0.8).collect()
+    kept = sum(r["probability"] * r["n_tokens"] for r in got)
+    assert abs(kept / 12_000 - 0.8) < 0.005
+    cells = docs.select("source", "lang", F.lit("prose").alias("topic")).groupBy("source", "lang", "topic").agg((10 * F.count("source")).alias("tokens"))
+    power, _ = mixing.attainable_weights(cells, 0.7, 0.8)
+    assert 0.7 < power < 1
+    for d in ("source", "lang"):
+        want = {r[0]: r["share"] for r in mixing.tempered_targets(cells, d, power).collect()}
+        found = kept_shares(got, d)
+        assert all(abs(found[v] / w - 1) < 0.01 for v, w in want.items())
+    given = {
+        "source": mixing.tempered_targets(cells, "source", 0.7),
+        "lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "lang string, share double"),
+        "topic": spark.createDataFrame([("prose", 1.0)], "topic string, share double"),
+    }
+    got = mixing.mix_documents(docs, targets=given, keep_share=0.8).collect()
+    for d in ("source", "lang"):
+        found = kept_shares(got, d)
+        assert all(abs(found[r[0]] / r["share"] - 1) < 0.01 for r in given[d].collect())
+
+
 def test_mixture_rows_and_sample_agree(messy):
     rows = mixing.mix_documents(messy).collect()
     assert len(rows) == messy.count()

@@ -85,8 +85,13 @@ def set_digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def set_rows(docs: DataFrame, like: Similarity) -> DataFrame:
-    """doc_id, n, digest of the set, and its low tokens."""
+def row_key(text: Column) -> list[Column]:
+    """128 bits of a text; with the id they tell rows apart that differ in either."""
+    return [F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_i")]
+
+
+def set_rows(docs: DataFrame, like: Similarity, keyed: bool = False) -> DataFrame:
+    """doc_id, n, digest of the set, and its low tokens; ``keyed`` adds the row's key."""
     k = like.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +103,14 @@ def set_rows(docs: DataFrame, like: Similarity) -> DataFrame:
                 digests.append(set_digest(tokens))
                 low.append(tokens[: int(np.searchsorted(tokens, LOW))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _long_lists(low)],
-                names=["doc_id", "n", "digest", "low"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _long_lists(low), *batch.columns[2:]],
+                names=["doc_id", "n", "digest", "low", *more],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, digest binary, low array<bigint>"
+    more = ["_h", "_i"] if keyed else []
+    key = row_key(F.col("text")) if keyed else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).mapInArrow(
+        run, ", ".join(["doc_id bigint, n bigint, digest binary, low array<bigint>", *(f"{c} bigint" for c in more)])
     )
 
 
@@ -141,9 +148,9 @@ class GroupJoin:
     5. Groups and links give components.
     """
 
-    def __init__(self, docs: DataFrame, like: Similarity, rounds: int = 3):
+    def __init__(self, docs: DataFrame, like: Similarity, rounds: int = 3, keyed: bool = False):
         self.docs, self.like, self.rounds = docs, like, rounds
-        self.rows = materialize(set_rows(docs, like).withColumn("uid", F.monotonically_increasing_id()), "join-sets")
+        self.rows = materialize(set_rows(docs, like, keyed).withColumn("uid", F.monotonically_increasing_id()), "join-sets")
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(digest, cls, doc_id) of each distinct non-empty set, and the rows that stand for them.
@@ -299,8 +306,8 @@ class GroupJoin:
         overlap = asked.join(union, ["other", "token"]).groupBy(*columns).agg(F.count(F.lit(1)).alias("o"))
         return overlap.where(F.col("o") >= self.like.needed(F.col("n"))).select(*columns)
 
-    def report(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row of the documents."""
+    def grouped(self) -> DataFrame:
+        """(digest, doc_id, grp) of each distinct non-empty set, with its component."""
         named, firsts = self.classes()
         sets = self.reduced(self.sets_of(self.sifted(firsts)))
         member = self.groups(sets)
@@ -309,7 +316,11 @@ class GroupJoin:
             roots = components(links, "a", "b").select(F.col("node").alias("grp"), "root")
             member = member.join(roots, "grp", "left").select("cls", F.coalesce("root", "grp").alias("grp"))
         grouped = named.join(member.select("cls", "grp"), "cls", "left")
-        grouped = materialize(grouped.select("digest", "doc_id", F.coalesce("grp", "cls").alias("grp")), "join-named")
+        return materialize(grouped.select("digest", "doc_id", F.coalesce("grp", "cls").alias("grp")), "join-named")
+
+    def report(self) -> DataFrame:
+        """doc_id, n_shingles, component_id for every row of the documents."""
+        grouped = self.grouped()
         smallest = grouped.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
         by_digest = grouped.join(smallest, "grp").select("digest", "component_id")
         narrow = self.rows.select("doc_id", "n", "digest")
@@ -317,6 +328,27 @@ class GroupJoin:
         alone = narrow.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return found.unionByName(alone)
 
+    def verdict(self) -> tuple[DataFrame, DataFrame]:
+        """Row keys that go, and those that stay but stand for several rows.
+
+        The first key of a component by (id, null last, key) stays.  A key is equal
+        text under an equal id, so its rows share a component.  Rows without words are
+        in neither table.
+        """
+        key = ["doc_id", "_h", "_i"]
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), *key)
+        keys = materialize(
+            self.rows.where("n > 0").groupBy("digest", *key).agg(F.count(F.lit(1)).alias("copies")), "join-keys"
+        )
+        firsts = keys.groupBy("digest").agg(F.min(order).alias("first"))
+        grouped = self.grouped().select("digest", "grp").join(firsts, "digest")
+        best = grouped.groupBy("grp").agg(F.min("first").alias("best"))
+        by_digest = grouped.join(best, "grp").select("digest", "best")
+        judged = materialize(
+            keys.join(by_digest, "digest").select(*key, "copies", (order == F.col("best")).alias("stays")), "join-judged"
+        )
+        return judged.where("not stays").select(*key), judged.where("stays and copies > 1").select(*key)
+
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every document.
@@ -330,15 +362,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with its smallest id.
+    """``docs`` with one row of each component: the one with its smallest id, null last.
 
-    All columns are kept; rows that share an id count as one document.  Only ids
-    that go meet the texts, behind a size check.
+    All columns are kept.  The verdict is on (id, text), so rows that share an id or
+    have none are told apart by their texts; of rows equal in both one stays.  Only
+    keys meet the texts, behind a size check.
     """
-    report = near_duplicates(docs, words, percent)
-    goes = materialize(
-        report.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_goes")).distinct(),
-        "join-goes",
-    )
-    few = broadcast_within(goes, goes.count(), 16)
-    return docs.join(few, F.col("doc_id").cast("long").eqNullSafe(F.col("_goes")), "left_anti")
+    goes, several = GroupJoin(docs, Similarity(words, percent), keyed=True).verdict()
+    text = F.col("text")
+
+    def met(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        few = broadcast_within(keys.select(*[F.col(c).alias(f"_k{c}") for c in keys.columns]), keys.count(), 48)
+        h, i = row_key(text)
+        return df.join(few, (h == F.col("_k_h")) & (i == F.col("_k_i")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kdoc_id")), how)
+
+    left = met(docs, goes, "left_anti")
+    if several.isEmpty():
+        return left
+    whole = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
+    one = met(docs, several, "left_semi").groupBy("doc_id", "text").agg(whole).select("_row.*")
+    return met(left, several, "left_anti").unionByName(one)

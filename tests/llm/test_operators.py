@@ -339,6 +339,30 @@ def test_one_near_copy_stays(messy):
     assert {1, 3, 4, 5, 6, 9} <= ids and not {2, 10, 7} & ids
 
 
+def test_rows_go_by_row_not_by_id(spark):
+    """Null and repeated ids: distinct texts stay, near copies leave one row."""
+    near, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [
+        (1, near, "x"),
+        (None, near + " z", "x"),
+        (None, other, "x"),
+        (None, other + " z", "x"),
+        (None, "u v w x y", "x"),
+        (2, near + " y", "x"),
+        (2, "only one of its kind", "x"),
+        (3, "twice the same row here", "q"),
+        (3, "twice the same row here", "p"),
+        (None, "", "x"),
+        (None, None, "x"),
+        (None, "", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(3)
+    left = Counter((r["doc_id"], r["text"]) for r in group_join.drop_near_duplicates(docs, 2, 75).collect())
+    one = [t for i, t in left if i is None and t in (other, other + " z")]
+    assert len(one) == 1
+    assert left == Counter([(1, near), (None, one[0]), (None, "u v w x y"), (2, "only one of its kind"), (3, "twice the same row here"), (None, ""), (None, ""), (None, None)])
+
+
 # -- packing and counting ---------------------------------------------------
 
 

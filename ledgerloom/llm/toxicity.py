@@ -26,6 +26,9 @@ NEGATIONS = frozenset("not no never isn aren wasn weren don doesn didn nobody wi
 REPORTS = frozenset("said says say told called calls claimed quoted wrote reported sagte sagt schrieb dit disait écrit dijo dice escribió".split())
 THREATS = frozenset("kill hurt destroy beat punch shoot stab burn crush strangle".split())
 
+#: Symbols between a threat and its target; weight of a threat without one.
+REACH, ALONE = 4, 0.1
+
 WORD, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 HITS = (INSULT, THREAT)
 
@@ -94,10 +97,21 @@ def grammar() -> Machine:
         .compose(scope(NEGATION, 3, 0.4))
         .compose(until_clause_end(REPORT, 0.5))
         .compose(repeated_hits(1.2))
-        .compose(threats_need_target(4, 0.1))
+        .compose(threats_need_target(REACH, ALONE))
     )
 
 
+def without_target(state: int) -> bool:
+    """Has ``grammar``'s last machine seen no target in reach?"""
+    return state % (REACH + 1) == 0
+
+
+def after_comma(state: int) -> int:
+    """The state of ``grammar`` in which only reported speech goes on."""
+    below = 2 * (REACH + 1)
+    return state // below % 2 * below
+
+
 @dataclass
 class ClauseScorer:
     """Scores the clauses of a text; one pass over its words."""
@@ -124,6 +138,7 @@ class ClauseScorer:
             return (0.0,) * 5
         total = best = clause = 0.0
         matched = words = state = 0
+        pending: list[tuple[int, float]] = []  # threats that wait for a target: place, weight it adds
         arcs, symbols = self.machine.arcs, self.symbols
         for word, mark in tokens:
             if mark:
@@ -131,13 +146,21 @@ class ClauseScorer:
                     matched += 1
                     total += clause
                     best = max(best, clause)
-                state, clause = 0, 0.0
+                state = after_comma(state) if mark in ",:" else 0
+                clause = 0.0
+                pending.clear()
                 continue
             words += 1
             symbol, weight = symbols.get(word, (WORD, 0.0))
+            if symbol == TARGET and pending:
+                clause += sum(more for at, more in pending if words - at <= REACH)
+                pending.clear()
+            alone = symbol == THREAT and without_target(state)
             state, factor = arcs[state, symbol]
             if weight:
                 clause += weight * factor
+                if alone:
+                    pending.append((words, weight * factor * (1 / ALONE - 1)))
         if clause:
             matched += 1
             total += clause

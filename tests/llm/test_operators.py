@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small fixtures, edge cases included."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -450,6 +451,17 @@ def test_grammar_weighs_context():
     assert scorer.features(None) == scorer.features("") == (0.0,) * 5
 
 
+def test_targets_on_either_side_and_reports_over_commas():
+    scorer = toxicity.ClauseScorer({"idiot": 1.0})
+    total = lambda t: scorer.features(t)[0]
+    assert abs(total("i will kill you") - math.log1p(1.0)) < 1e-9
+    assert abs(total("i will kill. you") - math.log1p(0.1)) < 1e-9
+    assert abs(total("i will kill a b c d you") - math.log1p(0.1)) < 1e-9
+    assert total('he said, "you idiot"') == total("he said you idiot")
+    assert total("she wrote: you idiot") < total("she went: you idiot")
+    assert total("he said. you idiot") == total("you idiot")
+
+
 def test_composition_multiplies():
     a, b = toxicity.scope(toxicity.NEGATION, 2, 0.5), toxicity.until_clause_end(toxicity.REPORT, 0.5)
     both, state, weights = a.compose(b), 0, []

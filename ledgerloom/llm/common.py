@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,15 +23,21 @@ WORD_RUN = r"[^\x20\x09-\x0D]+"
 #: Largest build side that may be broadcast; beyond it every caller shuffles.
 BROADCAST_BYTES = 32 << 20
 
+#: Text that a Python worker holds as objects at a time.
+PART_BYTES = 2 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is
-    made and set as the session's own.
+    Only where the session has none and runs in one process (tests) a temporary
+    folder is made and set as the session's own; on a cluster that is an error, as
+    each machine would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,11 +79,28 @@ def words_of(text: Column) -> Column:
     )
 
 
+def wrapped(df: DataFrame, columns: Sequence[str] | None = None, **more: Column) -> DataFrame:
+    """``row``, a struct of all columns (or of ``columns``), beside the columns ``more``.
+
+    Joins on ``more`` then meet no column name of the caller's table;
+    ``select("row.*")`` gives the table back.
+    """
+    row = F.struct(*[df[f"`{c}`"] for c in (df.columns if columns is None else columns)])
+    return df.select(row.alias("row"), *[v.alias(k) for k, v in more.items()])
+
+
+def row_mark(df: DataFrame) -> Column:
+    """Hash over all columns that can be hashed: it orders rows that are else alike."""
+    usable = [df[f"`{c}`"] for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*usable) if usable else F.lit(0).cast("long")
+
+
 def dense_number(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     name: str,
+    largest: int | None = None,
     rows_per_bucket: int = 5_000,
 ) -> DataFrame:
     """Number the rows of each group from 0 without a gap, however large the group.
@@ -82,10 +108,12 @@ def dense_number(
     Rows are dealt by (group, hash of all ``order`` columns), numbered inside that
     bucket, and shifted by the rows in the group's earlier buckets.  Only bucket
     counts are summed along a group, so no task holds one.  ``df`` is read twice:
-    pass a narrow, materialized table.  Rows equal in all order columns are
-    interchangeable.  The number of buckets follows the number of rows.
+    pass a narrow, materialized table.  The last ``order`` column must tell rows
+    apart (a stored row number), so that equal rows spread over buckets too.  The
+    number of buckets follows ``largest``, the rows of the largest group (all rows
+    if not given).
     """
-    n_buckets = max(1, -(-df.count() // rows_per_bucket))
+    n_buckets = max(1, -(-(df.count() if largest is None else largest) // rows_per_bucket))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)))
     keys = [*group, "_bucket"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -104,20 +132,77 @@ def dense_number(
     )
 
 
+def head_threshold(table: DataFrame, most: int) -> int:
+    """Smallest power of two such that at most ``most`` rows have as many ``n_uses``."""
+    exponents = table.groupBy(F.floor(F.log2("n_uses")).cast("int").alias("e")).count().collect()
+    total, threshold = 0, 1 << 62
+    for row in sorted(exponents, key=lambda r: -r["e"]):
+        total += row["count"]
+        if total > most:
+            break
+        threshold = 1 << row["e"]
+    return threshold
+
+
+def small_parts(batches: Iterator[pa.RecordBatch], column: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a part has ``most`` bytes in its text column, or one row."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            limit = most + (ends[at - 1] if at else 0)
+            to = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+class Recent:
+    """Values by key, at most twice ``most``: those used since the last but one turn stay."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker process, across its tasks."""
     module = sys.modules.setdefault("_ledgerloom_worker", types.ModuleType("_ledgerloom_worker"))
     return module.__dict__.setdefault(name, {})
 
 
-def by_value(module_name: str) -> None:
-    """Ship a module's functions to executors by value, so that workers need not
-    have this package on their path."""
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[module_name])
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of documents whose labels are never learned from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
+
+
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, label (0 or 1) of the ids that may be learned from.
+
+    Held-out ids, null ids and other values are left out; an id that is labelled both
+    ways teaches nothing.
+    """
+    own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
+        F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    )
+    ends = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_most"))
+    return ends.where("label = _most").select("doc_id", "label")
+
+
+def sampled_labels(known: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` ids of each label, in the order of a hash of the id: a larger
+    table gives another sample of the same size, small enough to be broadcast."""
+    parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)]
+    return materialize(parts[0].unionByName(parts[1]), "sample-ids")

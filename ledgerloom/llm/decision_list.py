@@ -294,9 +294,13 @@ def _best_condition(rows, features) -> tuple[tuple[str, bool, int], int] | None:
 
 
 def label_statistics(statistics: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of the labelled documents, with ``bad`` = quality 0."""
-    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id"), (F.col("quality") == 0).alias("bad"))
-    return statistics.join(known, "doc_id")
+    """Statistics of the labelled documents, with ``bad`` = quality 0.
+
+    An id that is labelled both ways teaches nothing; repeated labels count once.
+    """
+    own = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
+    ends = own.groupBy("doc_id").agg(F.min("quality").alias("_least"), F.max("quality").alias("_most")).where("_least = _most")
+    return statistics.join(ends.select("doc_id", (F.col("_least") == 0).alias("bad")), "doc_id")
 
 
 def base_failed() -> Column:
@@ -332,9 +336,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     Rows and their statistics are written to the shared folder once, so that texts
     are neither judged twice nor shuffled: learning reads the statistics columns
-    only, and the verdict is an expression over the row itself.
+    only, and the verdict is an expression over the row itself.  Columns may have any
+    name; null and empty texts have no word and go; ids may be null or repeated, as each
+    row is judged by its own text.  Without labels the base rules alone decide.
     """
-    whole = F.struct(*[F.col(c) for c in docs.columns])
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     judged = materialize(text_statistics(docs.withColumn("doc_id", whole)), "rules-judged")
     statistics = judged.withColumn("doc_id", F.col("doc_id.doc_id"))
     labelled = materialize(label_statistics(statistics.where(~base_failed()), labels), "rules-labelled")

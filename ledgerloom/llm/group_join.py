@@ -10,16 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import broadcast_within, by_value, materialize, worker_cache
+from ledgerloom.llm.common import broadcast_within, materialize, row_mark, small_parts, wrapped
 from ledgerloom.llm.graph import components
 
-by_value(__name__)
-
-#: Tokens below this value, a fifth of all as tokens are hashes, are the ones whose
-#: document frequencies over all classes are counted first.
-LOW = -(1 << 63) + (1 << 64) // 5
-CACHE_WORDS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Similarity:
@@ -28,6 +21,17 @@ class Similarity:
     words: int = 5
     percent: int = 80
 
+    @property
+    def low(self) -> int:
+        """Tokens below this value are low: the ones counted over all classes first.
+
+        Tokens are hashes, so it sets a share of each set.  A class is done once it has
+        more tokens of its own than it may miss; the share is half as large again as
+        that, so that a class without a partner is done in all likelihood.
+        """
+        share = min(1.0, 1.5 * (100 - self.percent) / 100 + 0.02)
+        return -(1 << 63) + int(share * ((1 << 64) - 1))
+
     def needed(self, n: Column) -> Column:
         """Least overlap of a set of size ``n`` with any similar one."""
         return F.floor((n * self.percent + 99) / 100).cast("long")
@@ -36,32 +40,18 @@ class Similarity:
         return 100 * overlap >= self.percent * (n + m - overlap)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    known = worker_cache("word hashes")
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    digest = xxhash.xxh64_intdigest
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = digest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a whole text.
 
     A-Z are lower-cased; words are what ASCII white space separates.  Fewer than k
     words are one shingle; no words none.
     """
+    import xxhash
+
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.int64)
-    h = word_hashes(words)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - k + 1)
     span = min(k, len(words))
     mixed = np.full(n, np.uint64(0x9E3779B97F4A7C15 + span), np.uint64)
@@ -92,16 +82,16 @@ def row_key(text: Column) -> list[Column]:
 
 def set_rows(docs: DataFrame, like: Similarity, keyed: bool = False) -> DataFrame:
     """doc_id, n, digest of the set, and its low tokens; ``keyed`` adds the row's key."""
-    k = like.words
+    k, low_end = like.words, like.low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches, 1):
             sizes, digests, low = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text, k)
                 sizes.append(len(tokens))
                 digests.append(set_digest(tokens))
-                low.append(tokens[: int(np.searchsorted(tokens, LOW))])
+                low.append(tokens[: int(np.searchsorted(tokens, low_end))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _long_lists(low), *batch.columns[2:]],
                 names=["doc_id", "n", "digest", "low", *more],
@@ -119,7 +109,7 @@ def full_sets(texts: DataFrame, like: Similarity) -> DataFrame:
     k = like.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches, 0):
             sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_digest(s) for s in sets], pa.binary()), _long_lists(sets)], names=["digest", "tokens"]
@@ -294,12 +284,14 @@ class GroupJoin:
     def _within_bound(self, several: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
         """Candidates whose overlap with the group's token union could suffice."""
         wanted = several.select(F.col("other").alias("grp")).distinct()
-        union = (
+        # written out: with no sum between it and the join, Spark can split a hot group's rows
+        union = materialize(
             member.select("cls", "grp")
             .join(wanted, "grp", "left_semi")
             .join(sets.select("cls", "tokens"), "cls")
             .select(F.col("grp").alias("other"), F.explode("tokens").alias("token"))
-            .distinct()
+            .distinct(),
+            "join-unions",
         )
         columns = ["cls", "n", "own", "grp", "other"]
         asked = several.join(sets.select("cls", "tokens"), "cls").select(*columns, F.explode("tokens").alias("token"))
@@ -364,21 +356,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: the one with its smallest id, null last.
 
-    All columns are kept.  The verdict is on (id, text), so rows that share an id or
-    have none are told apart by their texts; of rows equal in both one stays.  Only
-    keys meet the texts, behind a size check.
+    All columns are kept, whatever their names.  The verdict is on (id, text), so rows
+    that share an id or have none are told apart by their texts; of rows equal in both
+    the one with the smallest hash over all its columns stays.  Null, empty and blank
+    texts stay.  Only keys meet the texts, behind a size check.
     """
     goes, several = GroupJoin(docs, Similarity(words, percent), keyed=True).verdict()
-    text = F.col("text")
+    h, i = row_key(docs["text"])
+    whole = wrapped(docs, _h=h, _i=i, _id=docs["doc_id"].cast("long"), _mark=row_mark(docs))
 
     def met(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        few = broadcast_within(keys.select(*[F.col(c).alias(f"_k{c}") for c in keys.columns]), keys.count(), 48)
-        h, i = row_key(text)
-        return df.join(few, (h == F.col("_k_h")) & (i == F.col("_k_i")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kdoc_id")), how)
+        named = keys.select(F.col("_h").alias("_kh"), F.col("_i").alias("_ki"), F.col("doc_id").alias("_kid"))
+        few = broadcast_within(named, keys.count(), 48)
+        return df.join(few, (F.col("_h") == F.col("_kh")) & (F.col("_i") == F.col("_ki")) & F.col("_id").eqNullSafe(F.col("_kid")), how)
 
-    left = met(docs, goes, "left_anti")
+    left = met(whole, goes, "left_anti")
     if several.isEmpty():
-        return left
-    whole = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
-    one = met(docs, several, "left_semi").groupBy("doc_id", "text").agg(whole).select("_row.*")
-    return met(left, several, "left_anti").unionByName(one)
+        return left.select("row.*")
+    one = met(whole, several, "left_semi").groupBy("_h", "_i", "_id").agg(F.min_by("row", "_mark").alias("row"))
+    return met(left, several, "left_anti").select("row").unionByName(one.select("row")).select("row.*")

@@ -2,29 +2,56 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORD_RUN, broadcast_within, materialize
+from ledgerloom.llm.common import WORD_RUN, broadcast_within, materialize, wrapped, words_of
 
 #: Bytes of one row of rates in a hash table, with long category names.
 RATE_ROW_BYTES = 256
 
 DIMENSIONS = ("source", "lang", "topic")
+DRAW_SEED = 23
+#: Most factors of a dimension that are held as a literal table.
+LITERAL_ROWS = 10_000
 
 
-def default_topic(text: Column) -> Column:
-    """Coarse content type of a text, from its surface; null texts are 'empty'."""
-    return (
-        F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("empty"))
-        .when(text.contains("License"), F.lit("licence"))
-        .when(text.contains(" | "), F.lit("tabular"))
-        .when(text.contains("!!"), F.lit("shouted"))
-        .when(text.rlike("[#*$%&]{3}"), F.lit("symbolic"))
-        .otherwise(F.lit("prose"))
-    )
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words are counted in so many hashed bins to find a corpus's topic words.
+TOPIC_BINS = 1 << 16
+
+
+def _bins_of(text: Column) -> Column:
+    """Hashed bins of the distinct words of four or more characters, A-Z lower-cased."""
+    words = F.filter(words_of(F.translate(text, UPPER, LOWER)), lambda w: F.length(w) >= 4)
+    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(TOPIC_BINS)).cast("int")))
+
+
+def learn_topics(docs: DataFrame, topics: int = 8, widest: float = 0.2) -> list[int]:
+    """Bins of the ``topics`` words that most documents hold, but at most ``widest`` of them.
+
+    Words of all documents are counted in ``TOPIC_BINS`` hashed bins, so that what is
+    shuffled and what the driver sees is bounded; a bin's count is that of its common
+    word, as rare ones add little.  Rarest first, ties by bin.
+    """
+    total = docs.count()
+    each = docs.select(F.explode(_bins_of(F.col("text"))).alias("bin"))
+    counts = each.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= F.lit(widest * total))
+    top = counts.orderBy(F.desc("n"), "bin").limit(topics).collect()
+    return [r["bin"] for r in sorted(top, key=lambda r: (r["n"], r["bin"]))]
+
+
+def topic_of(text: Column, bins: list[int]) -> Column:
+    """'word-<bin>' of the rarest topic word in the text, 'other' without one, 'empty' for no text."""
+    if bins:
+        met = F.get(F.array_intersect(F.array(*[F.lit(b) for b in bins]), _bins_of(text)), F.lit(0))
+        named = F.coalesce(F.concat(F.lit("word-"), met.cast("string")), F.lit("other"))
+    else:
+        named = F.lit("other")
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("empty")).otherwise(named)
 
 
 def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -38,7 +65,12 @@ def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFram
 
 
 def rake(
-    cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-3, max_sweeps: int = 12
+    cells: DataFrame,
+    targets: dict[str, DataFrame],
+    tolerance: float = 1e-3,
+    max_sweeps: int = 15,
+    start: dict[str, DataFrame] | None = None,
+    found: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Iterative proportional fitting: ``cells`` with a ``weight`` whose marginals are the targets.
 
@@ -47,16 +79,17 @@ def rake(
     row per value, change.  A sweep sets each dimension's factors in turn to the
     target share over the sum that the other factors give.  Those sums are
     aggregated before they are shuffled, so no value is too large for a task, and
-    each set of factors is written out, so plans stay short.  Sweeps end when no
-    factor of the first dimension moves by more than ``tolerance`` of itself, or
-    after ``max_sweeps``.
+    each set of factors is computed at once, so plans stay short.  Sweeps end when no
+    factor moves by more than ``tolerance`` of itself, or after ``max_sweeps``; the
+    column ``converged`` tells which it was.  ``start`` has the factors to begin with;
+    ``found`` gets the last ones.
     A value without a target keeps no weight; a target without cells is ignored.
     """
     names = list(targets)
     wanted = {d: materialize(t.select(d, F.col("share").cast("double").alias("share")), "mix-target") for d, t in targets.items()}
-    all_tokens = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 1.0
-    shares = cells.withColumn("weight", F.col("tokens") / F.lit(all_tokens))
-    factors: dict[str, DataFrame] = {}
+    counts = cells.agg(F.sum("tokens").cast("double").alias("t"), *[F.count_distinct(d).alias(d) for d in names]).first()
+    shares = cells.withColumn("weight", F.col("tokens") / F.lit(counts["t"] or 1.0))
+    factors = {d: t for d, t in (start or {}).items() if d in names}
 
     def weighted(without: str | None = None) -> DataFrame:
         out = shares
@@ -66,6 +99,7 @@ def rake(
                 out = out.join(factor, d).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
         return out
 
+    off = 0.0
     for _ in range(max_sweeps):
         off = 0.0
         for d in names:
@@ -73,17 +107,51 @@ def rake(
             share = F.coalesce("share", F.lit(0.0))
             new = F.when(F.col("_sum") > 0, share / F.col("_sum")).otherwise(F.lit(0.0))
             table = sums.join(wanted[d], d, "left").select(d, new.alias("factor"))
-            if d == names[0]:
-                was = factors[d].select(d, F.col("factor").alias("was")) if d in factors else None
-                table = table.withColumn("was", F.lit(0.0)) if was is None else table.join(was, d)
-            factors[d] = materialize(table, "mix-factor")
-            if d == names[0]:
-                change = F.abs(F.col("factor") - F.col("was")) / F.greatest("factor", F.lit(1e-12))
-                off = factors[d].agg(F.max(change)).first()[0] or 0.0
-                factors[d] = factors[d].drop("was")
+            was = factors[d].select(d, F.col("factor").alias("was")) if d in factors else sums.select(d, F.lit(0.0).alias("was"))
+            factors[d], change = _pinned(table.join(was, d), d, counts[d])
+            off = max(off, change)
         if off <= tolerance:
             break
-    return weighted()
+    if found is not None:
+        found.update(factors)
+    return weighted().withColumn("converged", F.lit(off <= tolerance))
+
+
+def _pinned(table: DataFrame, d: str, values: int) -> tuple[DataFrame, float]:
+    """A dimension's factors, computed, and the largest relative change among them.
+
+    Up to ``LITERAL_ROWS`` values become a literal table; more are written out.
+    """
+    if values > LITERAL_ROWS:
+        kept = materialize(table, "mix-factor")
+        change = F.abs(F.col("factor") - F.col("was")) / F.greatest("factor", F.lit(1e-12))
+        return kept.drop("was"), kept.agg(F.max(change)).first()[0] or 0.0
+    rows = table.collect()
+    change = max((abs(r["factor"] - r["was"]) / max(r["factor"], 1e-12) for r in rows), default=0.0)
+    literal = json.dumps([{d: r[d], "factor": r["factor"]} for r in rows])
+    kind = table.schema[d].dataType.simpleString()
+    parsed = F.from_json(F.lit(literal), f"array<struct<{d}:{kind},factor:double>>")
+    return F.broadcast(table.sparkSession.range(1).select(F.inline(parsed))), change
+
+
+def _labelled(docs: DataFrame, topic: Column | None, topics: int) -> dict[str, Column]:
+    """Dimensions and tokens as expressions over a row; null values are ''."""
+    if topic is None:
+        topic = topic_of(F.col("text"), learn_topics(docs, topics))
+    return {
+        "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
+        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
+        "topic": F.coalesce(topic.cast("string"), F.lit("")),
+        "n_tokens": F.greatest(F.coalesce(F.regexp_count("text", F.lit(WORD_RUN)), F.lit(0)), F.lit(1)).cast("long"),
+        "draw": F.shiftrightunsigned(F.xxhash64(F.lit(DRAW_SEED), "doc_id", "text"), 11) / F.lit(float(1 << 53)),
+    }
+
+
+def _with_rates(table: DataFrame, targets, power: float, keep_share: float | None) -> DataFrame:
+    """``table`` (dimensions, n_tokens, ...) with cell_weight, probability, converged."""
+    cells = materialize(table.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    rates = _rates(cells, targets, power, keep_share)
+    return table.join(broadcast_within(rates, rates.count(), RATE_ROW_BYTES), list(DIMENSIONS))
 
 
 def mix_documents(
@@ -91,36 +159,31 @@ def mix_documents(
     power: float = 0.7,
     targets: dict[str, DataFrame] | None = None,
     topic: Column | None = None,
-    seed: int = 23,
+    topics: int = 8,
     keep_share: float | None = None,
 ) -> DataFrame:
     """One row per document with its calibrated probability and the draw's outcome.
 
     Token weights (words) are raked to the marginals; a cell's probability is its
     weight over its tokens, scaled so that the largest is 1, or with ``keep_share``
-    so that this share of tokens stays (see ``_rates``).  The draw compares it with a hash of (doc_id, text): the same rows are kept on every run.  Null
-    values of a dimension form the value ''.  A text without words has one token,
-    so that it takes part.  Returns doc_id, source, lang, topic, n_tokens,
-    cell_weight, probability, sampled.  An empty table gives no rows.
+    so that this share of tokens stays (see ``_rates``).  ``topic`` is an expression;
+    without one topics are learned from the words of all documents.  The draw compares
+    the probability with a hash of (doc_id, text): the same rows are kept on every run,
+    and repeated rows share their fate.  Null values of a dimension form the value ''.
+    A text without words has one token, so that it takes part.  Returns doc_id, source,
+    lang, topic, n_tokens, cell_weight, probability, converged (did raking end within
+    its tolerance?), sampled.  An empty table gives no rows.
     """
-    labelled = docs.select(
-        "doc_id",
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        (default_topic(F.col("text")) if topic is None else topic).alias("topic"),
-        F.greatest(F.coalesce(F.regexp_count("text", F.lit(WORD_RUN)), F.lit(0)), F.lit(1)).cast("long").alias("n_tokens"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).alias("_draw"),
-    )
-    table = materialize(labelled, "mix-docs")
-    cells = materialize(table.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rates = _rates(cells, targets, power, keep_share)
-    return table.join(broadcast_within(rates, rates.count(), RATE_ROW_BYTES), list(DIMENSIONS)).select(
+    parts = _labelled(docs, topic, topics)
+    table = materialize(docs.select("doc_id", *[v.alias(k) for k, v in parts.items()]), "mix-docs")
+    return _with_rates(table, targets, power, keep_share).select(
         "doc_id",
         *DIMENSIONS,
         "n_tokens",
         "cell_weight",
         "probability",
-        (F.col("_draw") / F.lit(float(1 << 53)) < F.col("probability")).alias("sampled"),
+        "converged",
+        (F.col("draw") < F.col("probability")).alias("sampled"),
     )
 
 
@@ -129,21 +192,22 @@ def attainable_weights(cells: DataFrame, power: float, keep_share: float, rounds
 
     A draw that meets the targets keeps at most 1 / (top * tokens), where top is the
     largest weight over tokens of a cell: all tokens at power 1, fewer below.  The
-    logarithm is close to linear in the power, so a few secants through (1, 0) find it.
+    logarithm is close to linear in the power, so a few secants through (1, 0) find it;
+    each search step rakes a few sweeps on from the last one's factors, and the power
+    found is then raked to the end.
     """
-    least = 0.0
+    least, factors = 0.0, {}
     for _ in range(rounds):
-        weights = materialize(rake(cells, {d: tempered_targets(cells, d, power) for d in DIMENSIONS}), "mix-rates")
-        most = _most_kept(weights)
-        if most >= keep_share * 0.995 and (least == 0.0 or most <= keep_share * 1.005):
-            return power, weights
-        if power >= 1:
-            return power, weights
+        targets = {d: tempered_targets(cells, d, power) for d in DIMENSIONS}
+        most = _most_kept(rake(cells, targets, tolerance=0.02, max_sweeps=3, start=dict(factors), found=factors))
+        if power >= 1 or most >= keep_share * 0.995 and (least == 0.0 or most <= keep_share * 1.005):
+            break
         if least == 0.0:
             least = power
         slope = -math.log(min(most, 1 - 1e-9)) / (1 - power)
         power = min(1.0, max(least, 1 + math.log(keep_share) / slope))
-    return power, weights
+    targets = {d: tempered_targets(cells, d, power) for d in DIMENSIONS}
+    return power, materialize(rake(cells, targets, start=factors), "mix-rates")
 
 
 def _most_kept(weights: DataFrame) -> float:
@@ -174,7 +238,7 @@ def _rates(
     if keep_share is not None and ends["w"]:
         scale = min(scale, keep_share * ends["t"] / ends["w"])
     probability = F.least(F.lit(1.0), ratio * F.lit(scale))  # 1 is passed by rounding only
-    return weights.select(*DIMENSIONS, F.col("weight").alias("cell_weight"), probability.alias("probability"))
+    return weights.select(*DIMENSIONS, F.col("weight").alias("cell_weight"), probability.alias("probability"), "converged")
 
 
 def sample_to_weights(
@@ -182,28 +246,16 @@ def sample_to_weights(
     power: float = 0.7,
     targets: dict[str, DataFrame] | None = None,
     topic: Column | None = None,
-    seed: int = 23,
+    topics: int = 8,
     keep_share: float | None = None,
 ) -> DataFrame:
     """The documents that ``mix_documents`` samples, with all their columns.
 
-    Texts are not shuffled while the table of rates is within the broadcast bound;
-    a larger one meets them by key.
+    Rows, their dimensions and draws are written once, so that no text is judged twice;
+    columns may have any name, and ids may be null or repeated.  Rows are not shuffled
+    while the table of rates is within the broadcast bound; a larger one meets them by
+    key.  An empty table stays empty.
     """
-    keys = {
-        "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "topic": default_topic(F.col("text")) if topic is None else topic,
-    }
-    tokens = F.greatest(F.coalesce(F.regexp_count("text", F.lit(WORD_RUN)), F.lit(0)), F.lit(1)).cast("long")
-    labelled = docs.select(*[v.alias(k) for k, v in keys.items()], tokens.alias("n_tokens"))
-    cells = materialize(labelled.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    rates = _rates(cells, targets, power, keep_share)
-    n = rates.count()
-    rates = rates.select(*[F.col(d).alias(f"_cell_{d}") for d in DIMENSIONS], F.col("probability").alias("_probability"))
-    same = F.lit(True)
-    for d, value in keys.items():
-        same = same & (value == F.col(f"_cell_{d}"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    met = docs.join(broadcast_within(rates, n, RATE_ROW_BYTES), same)
-    return met.where(draw < F.col("_probability")).select(*docs.columns)
+    parts = _labelled(docs, topic, topics)
+    table = materialize(wrapped(docs, **parts), "mix-rows")
+    return _with_rates(table, targets, power, keep_share).where(F.col("draw") < F.col("probability")).select("row.*")

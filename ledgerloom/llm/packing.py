@@ -10,15 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_value, dense_number, materialize
+from ledgerloom.llm.common import dense_number, materialize, small_parts
 from ledgerloom.llm.tokenizing import IdEncoder, Vocabulary, crc32, default_vocabulary, piece_bounds
 
-by_value(__name__)
-
 CAPACITY = 1024
 END_ID = 2
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECE_COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
 
 
 def document_pieces(
@@ -26,16 +25,18 @@ def document_pieces(
 ) -> DataFrame:
     """Pieces of every document's ids (with the end id), without the ids themselves.
 
-    A null text is empty and has the end id only.
+    A null text is empty and has the end id only.  Rows that share an id, or have
+    none, give the pieces of each; an empty table gives none.
     """
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = IdEncoder(vocabulary)
-        for batch in batches:
+        for batch in small_parts(batches, 1):
             docs_out, piece, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                ids += end
                 for k, (at, size) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                     docs_out.append(doc_id)
                     piece.append(k)
@@ -50,7 +51,7 @@ def document_pieces(
                     pa.array(length, pa.int64()),
                     pa.array(crc, pa.int64()),
                 ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                names=list(PIECE_COLUMNS),
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE_SCHEMA)
@@ -176,9 +177,9 @@ def pack_documents(
     table gives no rows.
     """
     vocabulary = vocabulary or default_vocabulary()
-    pieces = materialize(document_pieces(docs, vocabulary, capacity, end_id), "pack-pieces")
+    cut = document_pieces(docs, vocabulary, capacity, end_id).withColumn("_row", F.monotonically_increasing_id())
+    pieces = materialize(cut, "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     lookup = plan_lookup(minimum_bin_slack(histogram, capacity))
-    order = ["doc_id", "piece", "start", "ids_crc32"]
-    ranked = dense_number(pieces, ["length"], order, "_rank_in_length")
-    return place(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank_in_length"), lookup)
+    ranked = dense_number(pieces, ["length"], ["_row"], "_rank_in_length", max(histogram.values(), default=0))
+    return place(ranked.select(*PIECE_COLUMNS, "_rank_in_length"), lookup)

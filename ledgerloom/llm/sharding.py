@@ -55,7 +55,8 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * N_SHARD
         rendezvous_shard(F.col("doc_id"), weights).alias("shard"),
         rendezvous_shard(F.col("doc_id"), [*weights, new_weight]).alias("grown_shard"),
     )
-    placed = dense_number(materialize(narrow, "shards"), ["shard"], ["doc_id", "size", "text_crc32"], "slot")
+    kept = materialize(narrow.withColumn("_row", F.monotonically_increasing_id()), "shards")
+    placed = dense_number(kept, ["shard"], ["doc_id", "size", "text_crc32", "_row"], "slot")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )

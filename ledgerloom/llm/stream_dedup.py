@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import SPACE_CHARS, broadcast_within, materialize, new_path
+from ledgerloom.llm.common import SPACE_CHARS, broadcast_within, materialize, new_path, row_mark, wrapped
 
 _STORE = "spark.sql.streaming.stateStore"
 #: Settings while a dedup stream starts: state on disk with bounded native memory,
@@ -18,9 +17,12 @@ STATE_SETTINGS = {
     f"{_STORE}.rocksdb.allowFAllocate": "false",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
-    f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "128",
 }
 
+#: What the state sees of an arrival; its content stays in the content table.
+NARROW = ("locator", "doc_id", "digest", "points", "mark")
+
 
 def normalized(text: Column) -> Column:
     """The text without its white space; null counts as empty."""
@@ -31,51 +33,87 @@ def sha256_digest(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
-def records_of(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
-    """Narrow arrivals: doc_id, digest, code points of the original text.
+def content_rows(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest, whole: bool = False) -> DataFrame:
+    """Rows of the content table: id, digest, code points of the original text, mark, row.
 
-    Works on a batch and on a stream of documents alike.
+    ``row`` holds the text, or with ``whole`` all columns; ``mark`` is a hash over all
+    columns, which orders rows that are else alike.
     """
-    return docs.select(
-        "doc_id",
-        digest(normalized(F.col("text"))).alias("digest"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("points"),
+    text = docs["text"]
+    return wrapped(
+        docs,
+        None if whole else ["text"],
+        doc_id=docs["doc_id"],
+        digest=digest(normalized(text)),
+        points=F.coalesce(F.length(text), F.lit(0)).cast("long"),
+        mark=row_mark(docs),
     )
 
 
 def stays_first() -> Column:
-    """Order in which equal texts stay: most code points, smallest id (null last),
-    then the locator, which tells repeated rows apart."""
+    """Order in which equal texts stay: most code points, smallest id (null last), then
+    the mark and the locator, which tell repeated rows apart."""
     return F.struct(
         (-F.col("points")).alias("shorter"),
         F.col("doc_id").isNull().alias("unnamed"),
         F.col("doc_id").alias("doc_id"),
+        F.col("mark").alias("mark"),
         F.col("locator").alias("locator"),
     )
 
 
 class ExactDedupStream:
-    """Keyed state by digest over a stream of arrivals, kept in RocksDB on disk.
-
-    State of a digest: rows seen, and the row that stays with its stable id and its
-    content locator.  There is no watermark and nothing expires.  Each micro-batch
-    writes the digests that it changed under its own number, overwriting what a
-    failed try of the same batch left, so a replay adds nothing.  The state lies in
-    the stream's checkpoint in the shared folder; a new run with the same folder
-    goes on where the last one ended.
+    """Keyed state by digest over arrivals in waves, kept in RocksDB on disk.
+
+    A wave's rows are written to the content table; a row's locator is its place there
+    (wave, row).  The narrow columns then go through the stream, a micro-batch a wave.
+    State of a digest: rows seen, the row that stays with its stable id, and the locator
+    of the first content.  There is no watermark and nothing expires.  Each micro-batch
+    writes the digests that it changed, and checks the whole bytes of its hits against
+    the content that the state's locator names; rows that differ in spite of an equal
+    digest are written beside.  Both go under the batch's number, overwriting what a
+    failed try left, so a replay adds nothing.  The state lies in the stream's checkpoint
+    in the shared folder; a new run with the same folder goes on where the last ended.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or new_path(spark, "dedup-stream")
 
-    def observe(self, arrivals: DataFrame) -> None:
-        """Take all that the stream ``arrivals`` (doc_id, digest, points, locator) has now."""
-        state = arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(stays_first()).alias("best"))
-        changes = f"{self.folder}/changes"
+    def _table(self, name: str) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        there = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+        return self.spark.read.parquet(f"{self.folder}/{name}") if there else None
+
+    def content(self) -> DataFrame:
+        return self._table("content")
+
+    def observe(self, rows: DataFrame, waves: int = 1) -> None:
+        """Take ``rows`` (see ``content_rows``) as arrivals in ``waves`` micro-batches."""
+        before = self._table("content")
+        last = None if before is None else before.agg(F.max("locator.wave")).first()[0]
+        first = 0 if last is None else last + 1
+        wave = (F.lit(first) + F.pmod(F.spark_partition_id(), F.lit(waves))).cast("int")
+        placed = rows.select(F.struct(wave.alias("wave"), F.monotonically_increasing_id().alias("row")).alias("locator"), "*")
+        placed.write.mode("append").parquet(f"{self.folder}/content")
+        content = self.content()
+        for w in range(first, first + waves):
+            # a wave fills whole files, so their statistics keep the others unread; one
+            # without rows leaves its number to the next run
+            arrived = content.where(F.col("locator.wave") == w).select(*NARROW)
+            arrived.write.mode("append").parquet(f"{self.folder}/arrivals/wave={w}")
+            self._take(arrived.schema, w)
+
+    def _take(self, schema, wave: int) -> None:
+        arrivals = self.spark.readStream.schema(schema).parquet(f"{self.folder}/arrivals/wave=*")
+        state = arrivals.groupBy("digest").agg(
+            F.count(F.lit(1)).alias("n"), F.min(stays_first()).alias("best"), F.min("locator").alias("content")
+        )
 
         def write(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
+            path = f"{self.folder}/changes/batch={number}"
+            batch.write.mode("overwrite").parquet(path)
+            self._check_bytes(self.spark.read.schema(batch.schema).parquet(path), wave, number)
 
         before = {name: self.spark.conf.get(name, None) for name in STATE_SETTINGS}
         for name, value in STATE_SETTINGS.items():
@@ -93,36 +131,45 @@ class ExactDedupStream:
             for name, value in before.items():
                 self.spark.conf.unset(name) if value is None else self.spark.conf.set(name, value)
         # an empty part, so that a stream without rows has a table too
-        self.spark.createDataFrame([], state.schema).write.mode("overwrite").parquet(f"{changes}/batch=-1")
+        self.spark.createDataFrame([], state.schema).write.mode("overwrite").parquet(f"{self.folder}/changes/batch=-1")
+
+    def _check_bytes(self, changed: DataFrame, wave: int, number: int) -> None:
+        """Compare the texts of the wave's rows of hit digests with their first content.
+
+        Only texts of hit digests are normalised again and shuffled, as long as the hits
+        fit the broadcast bound.  The first contents are a table of one row a digest,
+        written out: with no sum between it and the join, Spark can split a hot group's
+        rows over tasks.
+        """
+        hits = changed.where("n > 1").select(F.col("digest").alias("_hit"), F.col("content").alias("_first"))
+        n = hits.count()
+        if not n:
+            return
+        few, norm = broadcast_within(hits, n, 200), normalized(F.col("row.text"))
+        content = self.content()
+        first = content.join(few, F.col("locator") == F.col("_first")).select("_hit", norm.alias("_norm"))
+        first = materialize(first, "dedup-first")
+        met = content.where(F.col("locator.wave") == wave).join(few.select("_hit"), F.col("digest") == F.col("_hit"), "left_semi")
+        differ = met.select("digest", "locator", norm.alias("other")).join(first, F.col("digest") == F.col("_hit"))
+        differ.where(F.col("other") != F.col("_norm")).select("digest", "locator", "other").write.mode("overwrite").parquet(
+            f"{self.folder}/differing/batch={number}"
+        )
 
     def groups(self) -> DataFrame:
-        """Latest state of every digest: digest, n, best."""
-        seen = self.spark.read.parquet(f"{self.folder}/changes")
-        latest = seen.groupBy("digest").agg(F.max_by(F.struct("n", "best"), "batch").alias("_s"))
-        return latest.select("digest", "_s.n", "_s.best")
+        """Latest state of every digest: digest, n, best, content."""
+        seen = self._table("changes")
+        latest = seen.groupBy("digest").agg(F.max_by(F.struct("n", "best", "content"), "batch").alias("_s"))
+        return latest.select("digest", "_s.*")
 
+    def differing(self) -> DataFrame | None:
+        """digest, locator, other: rows whose bytes aren't their digest's first content."""
+        return self._table("differing")
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
-    """One row per document: locator, doc_id, digest, points, keep_id, group_size, kept.
 
-    Arrivals are written once (the locator is the row's place there) and streamed
-    through the keyed state.  A digest that only one row has needs no more.  The
-    texts of hit digests, and only those, are compared byte by byte with the text
-    that the state's locator names; rows whose bytes differ in spite of equal
-    digests form groups of their own by their whole text.  Null texts are empty
-    ones; repeated rows are copies of which one stays.  No rows give no rows.
-    """
-    spark = docs.sparkSession
-    path = new_path(spark, "dedup-arrivals")
-    records_of(docs, digest).withColumn("locator", F.monotonically_increasing_id()).write.parquet(path)
-    arrivals = spark.read.parquet(path)
-    stream = ExactDedupStream(spark)
-    stream.observe(spark.readStream.schema(arrivals.schema).parquet(path))
-    groups = materialize(stream.groups(), "dedup-groups")
-    hits = groups.where("n > 1").select(F.col("digest").alias("_hit"), F.col("best.doc_id").alias("_stays"))
-    n_hits = hits.count()
-    checked = materialize(_compare_bytes(docs, digest, hits, n_hits), "dedup-checked")
-    placed = arrivals.join(groups, "digest").select(
+def _placed(stream: ExactDedupStream) -> DataFrame:
+    """One row per arrival with its group: locator, doc_id, digest, points, keep_id, group_size, kept."""
+    arrivals = stream.content().select(*NARROW)
+    columns = (
         "locator",
         "doc_id",
         "digest",
@@ -131,52 +178,32 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_di
         F.col("n").alias("group_size"),
         (F.col("best.locator") == F.col("locator")).alias("kept"),
     )
-    if checked.where(~F.col("same")).isEmpty():
+    placed = arrivals.join(materialize(stream.groups(), "dedup-groups"), "digest").select(*columns)
+    differ = stream.differing()
+    if differ is None or differ.isEmpty():
         return placed
-    return placed.where("group_size = 1").unionByName(_regroup(checked))
+    # a digest with two texts: its rows form groups by their whole text
+    odd = materialize(differ.select("digest").distinct(), "dedup-odd")
+    mixed = materialize(
+        arrivals.join(odd, "digest", "left_semi").join(differ.select("locator", "other"), "locator", "left"), "dedup-mixed"
+    )
+    best = mixed.groupBy("digest", "other").agg(F.count(F.lit(1)).alias("n"), F.min(stays_first()).alias("best"))
+    best = best.select(F.col("digest").alias("_d"), F.col("other").alias("_o"), "n", "best")
+    again = mixed.join(best, (F.col("digest") == F.col("_d")) & F.col("other").eqNullSafe(F.col("_o"))).select(*columns)
+    return placed.join(odd, "digest", "left_anti").select(*again.columns).unionByName(again)
 
 
-def _compare_bytes(docs: DataFrame, digest, hits: DataFrame, n_hits: int) -> DataFrame:
-    """Rows of hit digests; same: their bytes equal those of the row that stays.
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest, waves: int = 3) -> DataFrame:
+    """One row per document: locator, doc_id, digest, points, keep_id, group_size, kept.
 
-    Texts are not shuffled unless their digest was hit, as long as the hit digests
-    fit the broadcast bound.  The texts that stay are a table of one row for a
-    digest, written out: with no sum between it and the join, Spark can split a hot
-    group's rows over tasks.
+    Documents arrive in ``waves`` micro-batches, each of which meets the state that the
+    earlier ones left.  A digest that only one row has needs no more; the texts of hit
+    digests are compared byte by byte inside the stream.  Null texts are empty ones;
+    repeated rows are copies of which one stays.  No rows give no rows.
     """
-    texts = docs.select(
-        "doc_id",
-        normalized(F.col("text")).alias("norm"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("points"),
-    ).withColumn("digest", digest(F.col("norm")))
-    few = broadcast_within(hits, n_hits, 200)
-    met = texts.join(few, F.col("digest") == F.col("_hit"))
-    stays = materialize(
-        met.where(F.col("doc_id").eqNullSafe(F.col("_stays"))).groupBy("_hit").agg(F.min("norm").alias("_norm")), "dedup-stays"
-    )
-    members = met.drop("_hit", "_stays")
-    same = F.coalesce(F.col("norm") == F.col("_norm"), F.lit(False))
-    return members.join(stays, F.col("digest") == F.col("_hit"), "left").select(
-        "doc_id", "digest", "points", same.alias("same"), F.when(~same, F.col("norm")).alias("other")
-    )
-
-
-def _regroup(checked: DataFrame) -> DataFrame:
-    """Groups of hit digests by (digest, whole text) where a digest had two texts."""
-    rows = materialize(checked.withColumn("locator", F.monotonically_increasing_id()), "dedup-regroup")
-    keys = ["digest", "other"]
-    best = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(stays_first()).alias("best"))
-    best = best.select(F.col("digest").alias("_d"), F.col("other").alias("_o"), "n", "best")
-    joined = rows.join(best, (F.col("digest") == F.col("_d")) & F.col("other").eqNullSafe(F.col("_o")))
-    return joined.select(
-        (-F.col("locator") - 1).alias("locator"),
-        "doc_id",
-        "digest",
-        "points",
-        F.col("best.doc_id").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("best.locator") == F.col("locator")).alias("kept"),
-    )
+    stream = ExactDedupStream(docs.sparkSession)
+    stream.observe(content_rows(docs, digest), waves)
+    return _placed(stream)
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -186,40 +213,16 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, waves: int = 3) -> DataFrame:
     """``docs`` without the rows whose text another row has, all columns kept.
 
-    Only ids that go meet the texts, behind a size check.  Where repeated rows share
-    an id and a text, one of them stays.
+    Whole rows are the stream's content, so the verdict is on rows: ids may be null or
+    repeated, and columns may have any name.  Of repeated rows that differ in other
+    columns the one with the smallest hash over all its columns stays.  Only locators
+    that go meet the rows, behind a size check.
     """
-    verdicts = materialize(exact_groups(docs), "dedup-verdicts")
-    goes = verdicts.groupBy("doc_id").agg(
-        F.count_if(F.col("kept")).alias("_keep"), F.count(F.lit(1)).alias("_all")
-    )
-    plain = goes.where("_keep = 0 or _all > 1").select(F.col("doc_id").alias("_goes"), F.col("_all").alias("_all"), "_keep")
-    plain = materialize(plain, "dedup-goes")
-    n = plain.count()
-    none = plain.where("_all = 1 or _keep = 0").select("_goes")
-    kept = docs.join(broadcast_within(none, n, 64), F.col("doc_id").eqNullSafe(F.col("_goes")), "left_anti")
-    repeated = plain.where("_all > 1 and _keep > 0").select("_goes")
-    if repeated.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_goes"))
-    single = kept.join(broadcast_within(repeated, n, 64), same, "left_anti")
-    several = kept.join(broadcast_within(repeated, n, 64), same, "left_semi").withColumn(
-        "_digest", sha256_digest(normalized(F.col("text")))
-    )
-    wanted = verdicts.where("kept").select(
-        F.col("doc_id").alias("_w"), F.col("digest").alias("_wd"), F.col("points").alias("_wp")
-    )
-    points = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    first = Window.partitionBy("doc_id", "_digest").orderBy(F.lit(1))
-    several = (
-        several.join(
-            wanted,
-            F.col("doc_id").eqNullSafe(F.col("_w")) & (F.col("_digest") == F.col("_wd")) & (points == F.col("_wp")),
-        )
-        .withColumn("_row", F.row_number().over(first))
-        .where("_row = 1")
-    )
-    return single.unionByName(several.select(*docs.columns))
+    stream = ExactDedupStream(docs.sparkSession)
+    stream.observe(content_rows(docs, whole=True), waves)
+    goes = materialize(_placed(stream).where("not kept").select(F.col("locator").alias("_goes")), "dedup-goes")
+    few = broadcast_within(goes, goes.count(), 40)
+    return stream.content().join(few, F.col("locator") == F.col("_goes"), "left_anti").select("row.*")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,94 +9,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_value, materialize, worker_cache
-from ledgerloom.llm.tokenizing import Vocabulary, default_vocabulary, library
-
-by_value(__name__)
+from ledgerloom.llm.common import head_threshold, materialize, small_parts
+from ledgerloom.llm.tokenizing import Vocabulary, default_vocabulary, library, special_strings
 
 #: Most pre-tokens in the head, whose counts every task gets.
 HEAD_ROWS = 200_000
 #: Most distinct pre-tokens that a task gathers before it hands them on.
-TASK_ROWS = 400_000
-CACHE_UNITS = 300_000
+TASK_ROWS = 200_000
+#: Pre-tokens that the library counts in one call.
+COUNT_ROWS = 5_000
 
 
 class PreTokenizer:
-    """Pre-tokens of whole texts by the vocabulary's pattern.
-
-    Text between single spaces is a unit whose pre-tokens don't depend on its
-    surroundings, so units are split once and remembered.  A unit that starts or
-    ends with white space depends on them; a part with one is split as a whole.
-    """
+    """Pre-tokens of whole texts by the vocabulary's pattern, around its special tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
         import public_tokenizers as public
         import regex
 
         self.find = regex.compile(public.PATTERN).findall
-        self.specials = regex.compile("|".join(map(regex.escape, vocabulary.specials)) or r"(?!)")
-        self.plain = [s for s in vocabulary.specials]
-        self.units = worker_cache(f"pre-tokens {vocabulary.tokenizer_file}")
-
-    def parts(self, text: str) -> list[str]:
-        """The text between special tokens; one part more than there are of these."""
-        return self.specials.split(text) if any(s in text for s in self.plain) else [text]
-
-    def unit_counts(self, part: str) -> Counter:
-        return Counter(part.replace(" ", "\x00 ").split("\x00"))
-
-    def split(self, unit: str) -> tuple[str, ...] | None:
-        """Pre-tokens of a unit; null if they depend on what surrounds it."""
-        found = self.units.get(unit)
-        if found is None:
-            bare = unit[1:] if unit[:1] == " " else unit
-            if not bare or bare[0].isspace() or bare[-1].isspace():
-                return None
-            if len(self.units) >= CACHE_UNITS:
-                self.units.clear()
-            found = self.units[unit] = tuple(self.find(unit))
-        return found
-
-    def whole(self, part: str) -> bool:
-        """True if the part can't be cut into units."""
-        return "\x00" in part or "  " in part or part[0].isspace() or part[-1].isspace()
+        self.plain = special_strings(vocabulary)
+        self.specials = regex.compile("|".join(map(regex.escape, self.plain)) or r"(?!)")
+
+    def frequencies(self, text: str) -> tuple[Counter, int]:
+        """Pre-tokens of the text by frequency, and its special tokens."""
+        if not any(s in text for s in self.plain):
+            return Counter(self.find(text)), 0
+        parts = self.specials.split(text)
+        counts: Counter = Counter()
+        for part in parts:
+            counts.update(self.find(part))
+        return counts, len(parts) - 1
 
 
 def distinct_pretokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(pretoken, n_uses) over all documents; merged in each task before the shuffle.
 
-    ``n_uses`` counts a document once for each distinct unit that holds the
-    pre-token: enough to tell common ones from rare ones.
+    ``n_uses`` counts each document that has the pre-token once.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokenizer(vocabulary)
-        seen: Counter = Counter()
-        others: Counter = Counter()
+        uses: Counter = Counter()
 
         def hand_on() -> pa.RecordBatch:
-            uses: dict[str, int] = dict(others)
-            for unit, many in seen.items():
-                for token in cutter.split(unit):
-                    uses[token] = uses.get(token, 0) + many
-            seen.clear()
-            others.clear()
-            return pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.int64())], names=["pretoken", "n_uses"]
             )
+            uses.clear()
+            return out
 
-        for batch in batches:
+        for batch in small_parts(batches, 0):
             for text in batch.column(0).to_pylist():
-                for part in cutter.parts(text or ""):
-                    if not part:
-                        continue
-                    units = None if cutter.whole(part) else cutter.unit_counts(part)
-                    # units are only kept if each stands alone; new ones are looked at once
-                    if units is not None and all(u in seen or cutter.split(u) is not None for u in units):
-                        seen.update(units.keys())
-                    else:
-                        others.update(set(cutter.find(part)))
-                if len(seen) + len(others) >= TASK_ROWS:
+                uses.update(cutter.frequencies(text or "")[0].keys())
+                if len(uses) >= TASK_ROWS:
                     yield hand_on()
         yield hand_on()
 
@@ -109,30 +74,19 @@ def count_pieces(pretokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds n_pieces, the library's count of ids for the pre-token alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = library(vocabulary)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            sizes = [len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32())], names=["pretoken", "n_uses", "n_pieces"]
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, COUNT_ROWS):
+                batch = whole.slice(at, COUNT_ROWS)
+                found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
+                sizes = [len(x.ids) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int32())], names=["pretoken", "n_uses", "n_pieces"]
+                )
 
     return pretokens.mapInArrow(count, "pretoken string, n_uses bigint, n_pieces int")
 
 
-def head_threshold(table: DataFrame, most: int) -> int:
-    """Smallest power of two such that at most ``most`` pre-tokens have as many uses."""
-    exponents = table.groupBy(F.floor(F.log2("n_uses")).cast("int").alias("e")).count().collect()
-    total, threshold = 0, 1 << 62
-    for row in sorted(exponents, key=lambda r: -r["e"]):
-        total += row["count"]
-        if total > most:
-            break
-        threshold = 1 << row["e"]
-    return threshold
-
-
 def count_tokens(
     docs: DataFrame, vocabulary: Vocabulary | None = None, limit: int = 512, head_rows: int = HEAD_ROWS
 ) -> DataFrame:
@@ -156,52 +110,18 @@ def count_tokens(
 
     def sum_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = PreTokenizer(vocabulary), head.value
-        resolved: dict[str, tuple[int, tuple[str, ...]]] = {}
-
-        def resolve(tokens) -> tuple[int, tuple[str, ...]]:
-            """Pieces of the tokens in the head, and the other tokens."""
-            pieces = [known.get(t) for t in tokens]
-            return sum(p for p in pieces if p), tuple(t for t, p in zip(tokens, pieces, strict=True) if p is None)
-
-        def add(part: str, rare: dict[str, int]) -> int:
-            """Head pieces of a part; its rare pre-tokens are added to ``rare``."""
-            total = 0
-            units = None if cutter.whole(part) else cutter.unit_counts(part)
-            pairs = []
-            for unit, many in (units or {}).items():
-                got = resolved.get(unit)
-                if got is None:
-                    tokens = cutter.split(unit)
-                    if tokens is None:
-                        units = None
-                        break
-                    if len(resolved) >= CACHE_UNITS:
-                        resolved.clear()
-                    got = resolved[unit] = resolve(tokens)
-                total += got[0] * many
-                if got[1]:
-                    pairs.append((got[1], many))
-            if units is None:
-                counts = Counter(cutter.find(part))
-                total, pairs = 0, []
-                for token, many in counts.items():
-                    pieces = known.get(token)
-                    if pieces is None:
-                        pairs.append(((token,), many))
-                    else:
-                        total += pieces * many
-            for tokens, many in pairs:
-                for token in tokens:
-                    rare[token] = rare.get(token, 0) + many
-            return total
-
-        for batch in batches:
+        for batch in small_parts(batches, 2):
             rows, ids, size, tokens, many = [], [], [], [], []
             for row, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 text = text or ""
-                rare: dict[str, int] = {}
-                between = cutter.parts(text)
-                inside = len(between) - 1 + sum(add(part, rare) for part in between if part)
+                counts, total = cutter.frequencies(text)
+                rare = []
+                for token, times in counts.items():
+                    pieces = known.get(token)
+                    if pieces is None:
+                        rare.append(token)
+                    else:
+                        total += pieces * times
                 rows.extend([row] * (len(rare) + 1))
                 ids.append(doc_id)
                 ids.extend([None] * len(rare))
@@ -209,8 +129,8 @@ def count_tokens(
                 size.extend([None] * len(rare))
                 tokens.append(None)
                 tokens.extend(rare)
-                many.append(inside)
-                many.extend(rare.values())
+                many.append(total)
+                many.extend(counts[t] for t in rare)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows, pa.int64()),
@@ -229,9 +149,10 @@ def count_tokens(
     key = F.coalesce("pretoken", F.concat(F.lit("\x00"), F.col("row").cast("string")))
     tail = table.where(F.col("n_uses") < threshold).select(F.col("pretoken").alias("_tail"), "n_pieces")
     met = parts.withColumn("_key", key).join(tail, F.col("_key") == F.col("_tail"), "left")
+    # only a document's own row has no pre-token; any other without a count is an error
+    missing = F.raise_error(F.concat(F.lit("no count for pre-token "), F.col("pretoken")))
+    pieces = F.when(F.col("pretoken").isNull(), F.lit(1)).when(F.col("n_pieces").isNull(), missing).otherwise(F.col("n_pieces"))
     sums = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_bytes").alias("n_bytes"),
-        F.sum(F.col("times") * F.coalesce("n_pieces", F.lit(1))).alias("n_tokens"),
+        F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("times") * pieces).alias("n_tokens")
     )
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

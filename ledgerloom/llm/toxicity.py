@@ -1,4 +1,4 @@
-"""Toxicity: a weighted finite-state grammar over clauses, with learned lexemes."""
+"""Toxicity: a weighted finite-state grammar over clauses, with learned lexemes and weights."""
 
 from __future__ import annotations
 
@@ -11,110 +11,117 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import by_value, held_out, materialize
-
-by_value(__name__)
+from ledgerloom.llm.common import held_out, known_labels, materialize, sampled_labels, small_parts
 
 #: Letters run together; clauses end at the marks in the second group.
-TOKEN = re.compile(r"([^\W\d_]+)|([.!?;:,\n])")
+TOKEN = re.compile(r"([^\W\d_]+)|([.!?;:,\n\"“”«»„])")
+QUOTES = frozenset('"“”«»„')
 
-# Closed word classes that the grammar names.
-TARGETS = frozenset("you your yours yourself u he she they them him her his their du dich dir ihr euch tu te toi vous tú te usted ustedes vosotros".split())
-NEGATIONS = frozenset("not no never isn aren wasn weren don doesn didn nobody without nicht kein keine nie ne pas jamais sans nunca sin".split())
+# Closed word classes that the grammar names, in the corpus's four languages.
+TARGETS = frozenset("you your yours yourself u he she they him her his their du dich dir ihr euch tu te toi vous tú te usted ustedes vosotros".split())
+NEGATIONS = frozenset("not no never isn aren wasn weren don doesn didn cannot nobody without nicht kein keine nie ne pas jamais sans nunca sin".split())
 REPORTS = frozenset("said says say told called calls claimed quoted wrote reported sagte sagt schrieb dit disait écrit dijo dice escribió".split())
-THREATS = frozenset("kill hurt destroy beat punch shoot stab burn crush strangle".split())
+THREATS = frozenset(
+    "kill hurt destroy beat punch shoot stab burn crush strangle "
+    "töten töte umbringen schlagen verprügeln erschießen erstechen verbrennen erwürgen "
+    "tuer tue frapper détruire poignarder brûler écraser étrangler "
+    "matar mataré golpear destruir apuñalar quemar aplastar estrangular".split()
+)
 
-#: Symbols between a threat and its target; weight of a threat without one.
-REACH, ALONE = 4, 0.1
+#: Symbols between a hit and its target, and after a negation; words between a quotation and who said it.
+REACH, NEGATED_REACH, REPORT_REACH = 4, 3, 3
 
 WORD, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 HITS = (INSULT, THREAT)
+#: What the transducers write beside a hit.
+AT_TARGET, NEGATED, REPORTED, REPEATED = 1, 2, 4, 8
+#: Matched patterns; each is a feature, and its weight in the score is learned.
+PATTERNS = ("insult", "insult at a target", "threat", "threat at a target", "negated", "reported", "repeated")
 
 
 @dataclass(frozen=True)
 class Machine:
-    """Deterministic weighted transducer: (state, symbol) to (state, weight of a hit)."""
+    """Deterministic transducer: (state, symbol) to (state, marks of a hit)."""
 
     states: int
-    arcs: dict[tuple[int, int], tuple[int, float]]
+    arcs: dict[tuple[int, int], tuple[int, int]]
 
     def compose(self, other: Machine) -> Machine:
-        """Both machines on the same symbols; a hit's weights multiply."""
+        """Both machines on the same symbols; a hit gets the marks of both."""
         arcs = {}
         for a in range(self.states):
             for b in range(other.states):
                 for symbol in range(6):
-                    to_a, w_a = self.arcs[a, symbol]
-                    to_b, w_b = other.arcs[b, symbol]
-                    arcs[a * other.states + b, symbol] = (to_a * other.states + to_b, w_a * w_b)
+                    to_a, marks_a = self.arcs[a, symbol]
+                    to_b, marks_b = other.arcs[b, symbol]
+                    arcs[a * other.states + b, symbol] = (to_a * other.states + to_b, marks_a | marks_b)
         return Machine(self.states * other.states, arcs)
 
 
-def scope(opener: int, reach: int, inside: float) -> Machine:
-    """For ``reach`` symbols after an opener, hits weigh ``inside``; else 1."""
+def scope(opener: int, reach: int, mark: int) -> Machine:
+    """For ``reach`` symbols after an opener, hits get ``mark``."""
     arcs = {}
     for left in range(reach + 1):
         for symbol in range(6):
             after = reach if symbol == opener else max(0, left - 1)
-            arcs[left, symbol] = (after, inside if left and symbol in HITS else 1.0)
+            arcs[left, symbol] = (after, mark if left and symbol in HITS else 0)
     return Machine(reach + 1, arcs)
 
 
-def until_clause_end(opener: int, inside: float) -> Machine:
-    """From an opener to the end of the clause, hits weigh ``inside``."""
+def from_then_on(openers: tuple[int, ...], mark: int) -> Machine:
+    """From an opener on, hits get ``mark``."""
     arcs = {}
     for on in (0, 1):
         for symbol in range(6):
-            arcs[on, symbol] = (1 if symbol == opener else on, inside if on and symbol in HITS else 1.0)
+            arcs[on, symbol] = (1 if symbol in openers else on, mark if on and symbol in HITS else 0)
     return Machine(2, arcs)
 
 
-def repeated_hits(more: float) -> Machine:
-    """A second and later hit of a clause weighs ``more``."""
-    arcs = {}
-    for n in (0, 1):
-        for symbol in range(6):
-            arcs[n, symbol] = (1 if symbol in HITS else n, more if n and symbol in HITS else 1.0)
-    return Machine(2, arcs)
-
-
-def threats_need_target(reach: int, alone: float) -> Machine:
-    """A threat without a target in the last ``reach`` symbols weighs ``alone``."""
-    arcs = {}
-    for left in range(reach + 1):
-        for symbol in range(6):
-            after = reach if symbol == TARGET else max(0, left - 1)
-            arcs[left, symbol] = (after, alone if symbol == THREAT and not left else 1.0)
-    return Machine(reach + 1, arcs)
-
-
 def grammar() -> Machine:
-    """Target, negation, reported speech and repetition composed into one machine."""
+    """Reported speech, target, negation and repetition composed into one machine.
+
+    Reported speech is the first factor, so that ``after_clause`` can keep it alone.
+    """
     return (
-        scope(TARGET, 4, 1.3)
-        .compose(scope(NEGATION, 3, 0.4))
-        .compose(until_clause_end(REPORT, 0.5))
-        .compose(repeated_hits(1.2))
-        .compose(threats_need_target(REACH, ALONE))
+        from_then_on((REPORT,), REPORTED)
+        .compose(scope(TARGET, REACH, AT_TARGET))
+        .compose(scope(NEGATION, NEGATED_REACH, NEGATED))
+        .compose(from_then_on(HITS, REPEATED))
     )
 
 
-def without_target(state: int) -> bool:
-    """Has ``grammar``'s last machine seen no target in reach?"""
-    return state % (REACH + 1) == 0
+def after_clause(machine: Machine, state: int) -> int:
+    """The state of ``grammar`` in which only reported speech goes on."""
+    rest = machine.states // 2
+    return state // rest * rest
 
 
-def after_comma(state: int) -> int:
-    """The state of ``grammar`` in which only reported speech goes on."""
-    below = 2 * (REACH + 1)
-    return state // below % 2 * below
+@dataclass
+class Hit:
+    clause: int
+    place: int
+    threat: bool
+    marks: int
+    weight: float
+
+    def pattern(self) -> int:
+        if self.marks & NEGATED:
+            return 4
+        if self.marks & REPORTED:
+            return 5
+        return 2 * self.threat + bool(self.marks & AT_TARGET)
 
 
 @dataclass
 class ClauseScorer:
-    """Scores the clauses of a text; one pass over its words."""
+    """Matches the clauses of a text against the grammar; one pass over its words.
+
+    A clause ends at any mark.  A sentence ends at a full stop, question or exclamation
+    mark outside a quotation, at a semicolon and at a line's end; reported speech goes on
+    to the end of its sentence, and one that comes up to ``REPORT_REACH`` words after a
+    clause reports that clause too.  A target after a threat counts like one before it.
+    """
 
     lexemes: dict[str, float]
     threat_weight: float = 1.0
@@ -128,60 +135,73 @@ class ClauseScorer:
         self.symbols |= {w: (INSULT, x) for w, x in self.lexemes.items()}
         self.hits = frozenset(self.lexemes) | THREATS
 
-    def features(self, text: str | None) -> tuple[float, ...]:
-        """ln(1 + summed clause scores), best clause, matched clauses and distinct
-        hits (as ln(1 + n)), and score per hundred words; all 0 without a hit."""
-        lowered = (text or "").lower()
+    def matches(self, text: str | None) -> tuple[list[Hit], int]:
+        """Hits with their marks, and the words of the text (0 if there is no hit)."""
+        lowered = (text or "").lower().replace("’", "'").replace("n't", " not")
         tokens = TOKEN.findall(lowered)
-        found = self.hits.intersection(w for w, _ in tokens)
-        if not found:
-            return (0.0,) * 5
-        total = best = clause = 0.0
-        matched = words = state = 0
-        pending: list[tuple[int, float]] = []  # threats that wait for a target: place, weight it adds
+        if self.hits.isdisjoint(w for w, _ in tokens):
+            return [], 0
         arcs, symbols = self.machine.arcs, self.symbols
+        found: list[Hit] = []
+        words = state = clause = since = sentence = 0
+        quoted = False
         for word, mark in tokens:
             if mark:
-                if clause:
-                    matched += 1
-                    total += clause
-                    best = max(best, clause)
-                state = after_comma(state) if mark in ",:" else 0
-                clause = 0.0
-                pending.clear()
+                clause, since = clause + 1, words
+                if mark in QUOTES:
+                    quoted = not quoted if mark == '"' else mark in "“«„"
+                ends = mark in ";\n" or (mark in ".!?" and not quoted)
+                state = 0 if ends else after_clause(self.machine, state)
+                if ends:
+                    sentence = len(found)
+                    quoted = quoted and mark != "\n"
                 continue
             words += 1
             symbol, weight = symbols.get(word, (WORD, 0.0))
-            if symbol == TARGET and pending:
-                clause += sum(more for at, more in pending if words - at <= REACH)
-                pending.clear()
-            alone = symbol == THREAT and without_target(state)
-            state, factor = arcs[state, symbol]
+            if symbol == REPORT and words - since <= REPORT_REACH:
+                for hit in found[sentence:]:
+                    if hit.clause < clause:
+                        hit.marks |= REPORTED
+            elif symbol == TARGET:
+                for hit in found[sentence:]:
+                    if hit.threat and hit.clause == clause and words - hit.place <= REACH:
+                        hit.marks |= AT_TARGET
+            state, marks = arcs[state, symbol]
             if weight:
-                clause += weight * factor
-                if alone:
-                    pending.append((words, weight * factor * (1 / ALONE - 1)))
-        if clause:
-            matched += 1
-            total += clause
-            best = max(best, clause)
-        per = 100 * total / max(words, 20)
-        return (math.log1p(total), math.log1p(best), math.log1p(matched), math.log1p(len(found)), math.log1p(per))
+                found.append(Hit(clause, words, symbol == THREAT, marks, weight))
+        return found, words
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """ln(1 + summed weight) of each pattern, then of the best clause, of the number
+        of clauses matched, and of the weight per hundred words; all 0 without a hit.
+
+        Negated and reported hits are in their own patterns only.
+        """
+        found, words = self.matches(text)
+        sums = [0.0] * len(PATTERNS)
+        clauses: dict[int, float] = {}
+        for hit in found:
+            k = hit.pattern()
+            sums[k] += hit.weight
+            if k < 4:
+                clauses[hit.clause] = clauses.get(hit.clause, 0.0) + hit.weight
+                if hit.marks & REPEATED:
+                    sums[6] += hit.weight
+        total = sum(clauses.values())
+        more = (max(clauses.values(), default=0.0), float(len(clauses)), 100 * total / max(words, 20))
+        return tuple(math.log1p(x) for x in (*sums, *more))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Texts of at most ``most`` labelled documents of each label, never held-out ones.
+    """doc_id, text, label of at most ``most`` labelled documents of each label.
 
-    The bound is this parameter; within it rows are taken in the order of a hash of
-    their id, so a larger table gives another sample of the same size.  Only ids are
-    sorted; they are few enough to be broadcast to the texts.
+    Ids are chosen by ``sampled_labels``, never held-out ones.  Of rows that share an id
+    the text with the smallest hash is taken, so the bound holds for rows.
     """
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
-    parts = [
-        known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v in (0, 1)
-    ]
-    chosen = materialize(parts[0].unionByName(parts[1]), "sample-ids")
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample-texts")
+    chosen = sampled_labels(known_labels(labels, label), most)
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = met.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return materialize(one.select("doc_id", "text", "label"), "sample-texts")
 
 
 def learn_lexemes(sample: DataFrame, least_z: float = 3.3, most: int = 4_000, least_docs: int = 3) -> dict[str, float]:
@@ -192,7 +212,7 @@ def learn_lexemes(sample: DataFrame, least_z: float = 3.3, most: int = 4_000, le
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches, 0):
             out, bad = [], []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 distinct = {w for w, _ in TOKEN.findall((text or "").lower()) if len(w) > 2}
@@ -239,7 +259,7 @@ def clause_features(docs: DataFrame, scorer: ClauseScorer, *more: str) -> DataFr
     """Adds ``features`` array<double> to the columns ``more``; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches, 0):
             rows = [scorer.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(rows, pa.list_(pa.float64()))], names=[*more, "features"]
@@ -250,34 +270,38 @@ def clause_features(docs: DataFrame, scorer: ClauseScorer, *more: str) -> DataFr
     return picked.mapInArrow(run, f"{kinds}, features array<double>")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = 8_000, label: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted for every document.
-
-    Lexemes and the calibration are learned from a bounded sample of documents that
-    are not held out.  Empty and null texts have no clause and get the score of a
-    text without a match.  Without labels of both kinds all scores are 0.
-    """
+def fit_scorer(docs: DataFrame, labels: DataFrame, sample: int, label: str) -> tuple[ClauseScorer, np.ndarray] | None:
+    """Scorer and weights (one a feature, then the intercept); null without both labels."""
     texts = labelled_sample(docs, labels, label, sample)
-    lexemes = learn_lexemes(texts)
-    scorer = ClauseScorer(lexemes)
+    scorer = ClauseScorer(learn_lexemes(texts))
     got = clause_features(texts, scorer, "label").toArrow()
     y = got.column("label").to_numpy().astype(float)
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-    share = known.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
+    share = known_labels(labels, label).agg(F.avg("label").alias("p")).first()["p"]
     if not len(y) or y.min() == y.max():
-        return docs.select(
-            F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"),
-            F.lit(0.0).alias("score"), F.lit(0).alias("predicted"),
-        )
-    x = np.array(got.column("features").to_pylist())
-    w = fit_logistic(x, y)
+        return None
+    w = fit_logistic(np.array(got.column("features").to_pylist()), y)
     # back from the sample's share of toxic documents to that of all labelled ones
     w[-1] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
-    line = F.lit(float(w[-1]))
-    for k in range(x.shape[1]):
-        line = line + F.lit(float(w[k])) * F.get("features", F.lit(k))
-    scored = clause_features(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), scorer, "doc_id")
-    score = 1 / (1 + F.exp(-line))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")
-    )
+    return scorer, w
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = 8_000, label: str = "toxic") -> DataFrame:
+    """doc_id, held_out, score, predicted for every document.
+
+    Lexemes and the patterns' weights are learned from a bounded sample of documents that
+    are not held out.  Scores come from matched clauses only.  Repeated rows get one row
+    each.  Empty and null texts have no clause and get the score of a text without a
+    match.  Without labels of both kinds all scores are 0.
+    """
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    found = fit_scorer(docs, labels, sample, label)
+    if found is None:
+        plain = docs.select(ids).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"))
+    else:
+        scorer, w = found
+        line = F.lit(float(w[-1]))
+        for k in range(len(w) - 1):
+            line = line + F.lit(float(w[k])) * F.get("features", F.lit(k))
+        scored = clause_features(docs.select("text", ids), scorer, "doc_id")
+        plain = scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), (1 / (1 + F.exp(-line))).alias("score"))
+    return plain.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

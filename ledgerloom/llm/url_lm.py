@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import broadcast_within, materialize
+from ledgerloom.llm import common
+from ledgerloom.llm.common import head_threshold, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Context length of the Markov models; grams are one longer.
 CONTEXT = 4
 PAD = "\x02"
+#: Bytes of one row of the gram table in a hash table.
+GRAM_BYTES = 96
 
 
 @dataclass(frozen=True)
@@ -132,15 +135,34 @@ def calibrated_threshold(scores: DataFrame, steps: int = 200) -> float:
     return (best + lower) / 2
 
 
+def with_ratios(each: DataFrame, ratios: DataFrame, uses: DataFrame) -> DataFrame:
+    """(row, ratio) of every position, however many grams there are.
+
+    A gram table within the broadcast bound meets the positions by broadcast.  Of a
+    larger one only the head does, grams of at least so many uses (a power of two) that
+    they fit; all others meet theirs in a shuffle join, where no key is hot.
+    """
+    n, most = ratios.count(), common.BROADCAST_BYTES // GRAM_BYTES
+    if n <= most:
+        return each.join(F.broadcast(ratios), "gram").select("row", "ratio")
+    threshold = head_threshold(uses, most)
+    known = ratios.join(uses, "gram")
+    head = known.where(F.col("n_uses") >= threshold).select("gram", "ratio")
+    met = each.join(F.broadcast(head), "gram", "left")
+    tail = known.where(F.col("n_uses") < threshold).select("gram", F.col("ratio").alias("_rare"))
+    rest = met.where("ratio is null").select("row", "gram").join(tail, "gram").select("row", F.col("_rare").alias("ratio"))
+    return met.where("ratio is not null").select("row", "ratio").unionByName(rest)
+
+
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, context: int = CONTEXT) -> DataFrame:
     """One row per page: host, path, rule, verdict, and the model's score.
 
-    URLs that a rule decides train the two models (accepted and rejected); the
-    others get 'allow' if their mean log ratio per character reaches the threshold
-    calibrated on the decided ones.  An empty URL scores 0.  Repeated ids are judged
-    row by row; without decided URLs all others are allowed.
-    Only URL columns are read.  Positions are summed by gram before the shuffle, and
-    pages meet the gram table by broadcast within the bound, else by a shuffle join.
+    URLs that a rule decides train the two models (accepted and rejected), but for a
+    fifth of them, by hash, on which the threshold is calibrated; where that fifth lacks
+    one of the classes, all decided URLs are.  The others get 'allow' if their mean log
+    ratio per character reaches the threshold.  An empty or null URL scores 0.  Repeated
+    ids are judged row by row, equal URLs alike; without decided URLs all others are
+    allowed.  Only URL columns are read.  Positions are summed by gram before the shuffle.
     """
     host, path = split_url(F.col("url"))
     parts = pages.select("page_id", F.col("url").cast("string").alias("url")).select(
@@ -156,23 +178,27 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, context: int =
             "seen",
             F.col("_rule.rule").alias("rule"),
             F.col("_rule.verdict").alias("label"),
+            (F.pmod(F.xxhash64("seen"), F.lit(5)) == 0).alias("spare"),
         ),
         "url-pages",
     )
-    each = table.select("row", "label", F.explode(grams(F.col("seen"), context)).alias("gram"))
+    each = table.select("row", F.when(~F.col("spare"), F.col("label")).alias("label"), F.explode(grams(F.col("seen"), context)).alias("gram"))
     counts = materialize(
         each.groupBy("gram").agg(
-            F.count_if(F.col("label") == "allow").alias("yes"), F.count_if(F.col("label") == "block").alias("no")
+            F.count_if(F.col("label") == "allow").alias("yes"),
+            F.count_if(F.col("label") == "block").alias("no"),
+            F.count(F.lit(1)).alias("n_uses"),
         ),
         "url-grams",
     )
-    ratios = gram_ratios(counts, context)
-    ratios = broadcast_within(ratios, counts.count(), 96)
-    sums = each.select("row", "gram").join(ratios, "gram").groupBy("row").agg(F.avg("ratio").alias("score"))
+    found = with_ratios(each.select("row", "gram"), gram_ratios(counts, context), counts.select("gram", "n_uses"))
+    sums = found.groupBy("row").agg(F.avg("ratio").alias("score"))
     scored = materialize(
         table.drop("seen").join(sums, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "url-scored"
     )
-    threshold = calibrated_threshold(scored.where("label is not null"))
+    decided = scored.where("label is not null")
+    both = decided.where("spare").agg(F.count_distinct("label").alias("n")).first()["n"] == 2
+    threshold = calibrated_threshold(decided.where("spare") if both else decided)
     verdict = F.when(F.col("score") >= F.lit(threshold), F.lit("allow")).otherwise(F.lit("block"))
     return scored.select(
         "page_id", "host", "path", "rule", F.coalesce("label", verdict).alias("verdict"), "score"

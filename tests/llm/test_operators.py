@@ -2,6 +2,7 @@
 
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -26,6 +27,22 @@ from ledgerloom.llm import (
 from tests.compare import assert_same
 from tests.conftest import SMALL
 
+import xxhash
+
+from ledgerloom.llm import common
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, int (as a tuple of one) and long values."""
+    h = 42
+    for v in values:
+        if v is None:
+            continue
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -51,6 +68,25 @@ def test_shards_are_dense_and_grow_into_the_new_one(messy):
     assert (by[8]["size"], by[8]["text_crc32"]) == (len(text) + 1, zlib.crc32(text))
 
 
+def test_clocks_by_hand(messy):
+    def ring(doc_id, shards):
+        key = "\x00null" if doc_id is None else str(doc_id)
+        clocks = [(-math.log(((spark_hash(key, (17,), (j,)) >> 11) + 0.5) / 2**53), j) for j in range(shards)]
+        return min(clocks)[1]
+
+    for r in sharding.shard_documents(messy).collect():
+        assert (r["shard"], r["grown_shard"]) == (ring(r["doc_id"], 8), ring(r["doc_id"], 9))
+
+
+def test_equal_rows_are_numbered_in_many_tasks(spark):
+    df = spark.range(100_000).select(F.lit(None).cast("long").alias("k"), F.lit("g").alias("g"), F.col("id").alias("_row"))
+    numbered = common.dense_number(df, ["g"], ["k", "_row"], "slot", 100_000)
+    got = numbered.agg(F.min("slot"), F.max("slot"), F.count_distinct("slot")).first()
+    assert tuple(got) == (0, 99_999, 100_000)
+    buckets = df.groupBy(F.pmod(F.xxhash64("k", "_row"), F.lit(20)).alias("b")).count().collect()
+    assert len(buckets) == 20 and max(r["count"] for r in buckets) < 6_000
+
+
 def test_few_rows_move_and_weights_count(spark):
     df = spark.range(20_000).withColumnRenamed("id", "k")
     both = df.select(sharding.rendezvous_shard(F.col("k"), [1, 1, 2]).alias("a"), sharding.rendezvous_shard(F.col("k"), [1, 1, 2, 1]).alias("b"))
@@ -114,7 +150,7 @@ def test_kept_tokens_meet_the_targets(spark):
     got = mixing.mix_documents(docs, keep_share=0.8).collect()
     kept = sum(r["probability"] * r["n_tokens"] for r in got)
     assert abs(kept / 12_000 - 0.8) < 0.005
-    cells = docs.select("source", "lang", F.lit("prose").alias("topic")).groupBy("source", "lang", "topic").agg((10 * F.count("source")).alias("tokens"))
+    cells = docs.select("source", "lang", F.lit("other").alias("topic")).groupBy("source", "lang", "topic").agg((10 * F.count("source")).alias("tokens"))
     power, _ = mixing.attainable_weights(cells, 0.7, 0.8)
     assert 0.7 < power < 1
     for d in ("source", "lang"):
@@ -124,7 +160,7 @@ def test_kept_tokens_meet_the_targets(spark):
     given = {
         "source": mixing.tempered_targets(cells, "source", 0.7),
         "lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "lang string, share double"),
-        "topic": spark.createDataFrame([("prose", 1.0)], "topic string, share double"),
+        "topic": spark.createDataFrame([("other", 1.0)], "topic string, share double"),
     }
     got = mixing.mix_documents(docs, targets=given, keep_share=0.8).collect()
     for d in ("source", "lang"):
@@ -136,8 +172,59 @@ def test_mixture_rows_and_sample_agree(messy):
     rows = mixing.mix_documents(messy).collect()
     assert len(rows) == messy.count()
     assert all(0 < r["probability"] <= 1 + 1e-12 for r in rows)
-    kept = Counter(r["doc_id"] for r in mixing.sample_to_weights(messy).collect())
-    assert kept == Counter(r["doc_id"] for r in rows if r["sampled"])
+    left = mixing.sample_to_weights(messy)
+    assert left.columns == messy.columns
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter(r["doc_id"] for r in rows if r["sampled"])
+
+
+def test_mixture_by_hand(spark):
+    """Topics, raking and draw over a whole table in plain Python."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    bins = {}
+    for r in docs:
+        lowered = r["text"].translate(str.maketrans(mixing.UPPER, mixing.LOWER))
+        bins[r["doc_id"]] = {(lambda h: (h - 2**64 if h >= 2**63 else h) % mixing.TOPIC_BINS)(spark_hash(w)) for w in WORD.findall(lowered) if len(w) >= 4}
+    df = Counter(b for v in bins.values() for b in v)
+    top = sorted((b for b in df if df[b] <= 0.2 * len(docs)), key=lambda b: (-df[b], b))[:8]
+    rarest = sorted(top, key=lambda b: (df[b], b))
+    topic = {i: next((f"word-{b}" for b in rarest if b in v), "other") for i, v in bins.items()}
+    cells = Counter()
+    for r in docs:
+        cells[r["source"], r["lang"], topic[r["doc_id"]]] += max(1, len(WORD.findall(r["text"])))
+    targets = []
+    for d in range(3):
+        mass = Counter()
+        for c, n in cells.items():
+            mass[c[d]] += n
+        mass = {v: m**0.7 for v, m in mass.items()}
+        targets.append({v: m / sum(mass.values()) for v, m in mass.items()})
+    whole = sum(cells.values())
+    factors = [dict.fromkeys(t, 1.0) for t in targets]
+    weight = lambda c: cells[c] / whole * factors[0][c[0]] * factors[1][c[1]] * factors[2][c[2]]
+    for _ in range(15):
+        was = [dict(f) for f in factors]
+        for d in range(3):
+            sums = Counter()
+            for c in cells:
+                sums[c[d]] += weight(c) / factors[d][c[d]]
+            factors[d] = {v: targets[d][v] / sums[v] for v in sums}
+        if max(abs(f[v] - x) / f[v] for f, w in zip(factors, was, strict=True) for v, x in w.items()) <= 1e-3:
+            break
+    top_rate = max(weight(c) / cells[c] for c in cells)
+    for r in mixing.mix_documents(spark.read.parquet(f"{SMALL}/documents.parquet")).collect():
+        c = (r["source"], r["lang"], topic[r["doc_id"]])
+        assert r["topic"] == c[2]
+        assert math.isclose(r["probability"], weight(c) / cells[c] / top_rate, rel_tol=1e-6)
+        text = next(x["text"] for x in docs if x["doc_id"] == r["doc_id"])
+        draw = (spark_hash((23,), r["doc_id"], text) >> 11) / 2**53
+        assert r["sampled"] == (draw < r["probability"])
+
+
+def test_unfinished_raking_says_so(spark):
+    cells = spark.createDataFrame([("a", "x", 9), ("a", "y", 1), ("b", "y", 5)], "s string, l string, tokens long")
+    targets = {"s": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "s string, share double"),
+               "l": spark.createDataFrame([("x", 0.9), ("y", 0.1)], "l string, share double")}
+    assert not mixing.rake(cells, targets, max_sweeps=2).first()["converged"]
 
 
 # -- quality rules ----------------------------------------------------------
@@ -176,6 +263,42 @@ def test_list_learns_a_conjunction(spark):
     assert rules.rules and wrong == 0
 
 
+def python_ratios(text):
+    words = WORD.findall(text or "")
+    n, chars, symbols, dup, covered = base_counts(text)
+    text = text or ""
+    w, c = max(n, 1), max(chars, 1)
+    return {
+        "words": float(n), "mean_word": chars / w, "symbol_ratio": symbols / w, "bang_ratio": text.count("!") / w,
+        "capital_ratio": sum("A" <= x <= "Z" for x in text) / c, "pipe_ratio": text.count("|") / w,
+        "dup_line_ratio": dup / (text.count("\n") + 1), "repeat_ratio": covered / w, "distinct_ratio": len(set(words)) / w,
+    }
+
+
+def test_learned_list_applied_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    stats = decision_list.text_statistics(docs)
+    rules = decision_list.learn_decision_list(decision_list.label_statistics(stats.where(~decision_list.base_failed()), labels)).rules
+    want = {}
+    for r in docs.collect():
+        x, base = python_ratios(r["text"]), base_counts(r["text"])
+        fired = next((k for k, rule in enumerate(rules, 1) if all((x[c.feature] > c.threshold) == c.above for c in rule.conditions)), None)
+        want[r["doc_id"]] = (fired, base[0] >= 20 and 100 * base[4] <= 30 * base[0] and fired is None)
+    got = {r["doc_id"]: (r["rule"], r["kept"]) for r in decision_list.judge_documents(docs, labels).collect()}
+    assert rules and got == want
+
+
+def test_odd_labels_and_columns(messy, odd_labels):
+    left = decision_list.keep_good(messy, odd_labels)
+    assert left.columns == messy.columns
+    assert decision_list.judge_documents(messy, odd_labels).count() == messy.count()
+    known = {tuple(r) for r in common.known_labels(odd_labels, "toxic").collect()}
+    assert known <= {(1, 0), (6, 1), (99, 0)} and all(zlib.crc32(str(i).encode()) % 5 for i, _ in known)
+    for rows in (toxicity.score_documents(messy, odd_labels), bradley_terry.score_quality(messy, odd_labels)):
+        assert Counter(r["doc_id"] for r in rows.collect()) == Counter(r["doc_id"] for r in messy.collect())
+
+
 def test_list_keeps_all_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
@@ -207,26 +330,36 @@ def test_dedup_of_messy_rows(messy):
 
 def test_bytes_are_checked_on_hits(spark):
     """A digest of one bit collides all the time; whole texts still decide."""
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).repartition(4)
     weak = lambda norm: F.pmod(F.crc32(norm.cast("binary")), F.lit(2)).cast("string")
     got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in stream_dedup.exact_groups(docs, weak).collect())
     assert got == expected_groups(docs.collect())
 
 
-def test_state_outlives_a_run(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
-    more = spark.createDataFrame([(3, "ab"), (4, "a  b")], "doc_id long, text string")
-    source = str(tmp_path / "in")
-    stream = lambda: spark.readStream.schema(arrivals.schema).parquet(source)
-    arrivals = stream_dedup.records_of(docs).withColumn("locator", F.monotonically_increasing_id())
-    arrivals.write.parquet(source)
-    folder = "file://" + str(tmp_path / "state")
-    stream_dedup.ExactDedupStream(spark, folder).observe(stream())
-    stream_dedup.records_of(more).withColumn("locator", F.monotonically_increasing_id() + 100).write.mode("append").parquet(source)
+def test_state_meets_later_waves_and_runs(spark, tmp_path):
+    """State of one run goes on in the next; bytes are checked against the first content."""
+    folder = "file://" + str(tmp_path / "stream")
+    weak = lambda norm: F.substring(norm, 1, 1)
+
+    def rows(*pairs):
+        return stream_dedup.content_rows(spark.createDataFrame(list(pairs), "doc_id long, text string").repartition(4), weak)
+
+    stream_dedup.ExactDedupStream(spark, folder).observe(rows((1, "a b"), (2, "c")), waves=2)
     again = stream_dedup.ExactDedupStream(spark, folder)
-    again.observe(stream())
-    got = {(r["n"], r["best"]["doc_id"]) for r in again.groups().collect()}
-    assert got == {(3, 4), (1, 2)}
+    again.observe(rows((3, "ab"), (4, "a  b"), (5, "ax")))
+    assert {(r["digest"], r["n"]) for r in again.groups().collect()} == {("a", 4), ("c", 1)}
+    assert {r["other"] for r in again.differing().collect()} == {"ax"}
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in stream_dedup._placed(again).collect()}
+    assert got == {(1, 4, 3, False), (3, 4, 3, False), (4, 4, 3, True), (2, 2, 1, True), (5, 5, 1, True)}
+    locator = {r["digest"]: r["content"]["wave"] for r in again.groups().collect()}
+    assert locator["a"] in (0, 1)
+
+
+def test_repeated_rows_leave_the_defined_one(spark):
+    docs = spark.createDataFrame([(1, "a b", t) for t in "pqr"] + [(1, "other", "s"), (None, "ab", "z")], "doc_id long, text string, _row string").repartition(3)
+    least = docs.where("_row in ('p', 'q', 'r')").orderBy(F.xxhash64(*docs.columns)).first()["_row"]
+    for _ in range(2):
+        assert {(r["text"], r["_row"]) for r in stream_dedup.drop_copies(docs.repartition(2)).collect()} == {("a b", least), ("other", "s")}
 
 
 def test_drop_copies_keeps_one_of_each(messy):
@@ -278,6 +411,44 @@ def test_gram_ratios_against_plain_python(spark):
         assert abs(got[g] - (math.log(p(g, 0, context)) - math.log(p(g, 1, context)))) < 1e-9
 
 
+def test_verdicts_by_hand(spark, monkeypatch):
+    """Models, scores, threshold and verdicts over all pages; also beyond the broadcast bound."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url")
+    pages = pages.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "nothing")], "page_id long, url string")).cache()
+    got = {r["page_id"]: r for r in url_lm.judge_urls(pages).collect()}
+    k = url_lm.CONTEXT
+    seen = {i: re.sub("[0-9]", "0", (r["url"] or "").lower()) for i, r in ((r["page_id"], r) for r in pages.collect())}
+    grams = {i: [(url_lm.PAD * k + t)[j : j + k + 1] for j in range(len(t))] for i, t in seen.items()}
+    label = {i: r["verdict"] for i, r in got.items() if r["rule"] is not None}
+    spare = {i for i, t in seen.items() if (lambda h: (h - 2**64 if h >= 2**63 else h) % 5)(spark_hash(t)) == 0}
+    tables = {}
+    for verdict in ("allow", "block"):
+        full, before = defaultdict(int), defaultdict(int)
+        for i, gs in grams.items():
+            if label.get(i) == verdict and i not in spare:
+                for g in gs:
+                    for n in range(k + 1):
+                        full[g[k - n :]] += 1
+                        before[n, g[k - n : k]] += 1
+        tables[verdict] = full, before
+
+    def p(verdict, gram, n):
+        if n < 0:
+            return 1 / 128
+        full, before = tables[verdict]
+        return (full[gram[k - n :]] + 4 * p(verdict, gram, n - 1)) / (before[n, gram[k - n : k]] + 4)
+
+    score = {i: sum(math.log(p("allow", g, k)) - math.log(p("block", g, k)) for g in gs) / len(gs) if gs else 0.0 for i, gs in grams.items()}
+    for i, r in got.items():
+        assert math.isclose(r["score"], score[i], rel_tol=1e-6, abs_tol=1e-9)
+    own = spark.createDataFrame([(score[i], label[i]) for i in label if i in spare], "score double, label string")
+    cut = url_lm.calibrated_threshold(own)
+    assert {i: r["verdict"] for i, r in got.items()} == {i: label.get(i, "allow" if score[i] >= cut else "block") for i in got}
+    monkeypatch.setattr("ledgerloom.llm.common.BROADCAST_BYTES", 96 * 40)
+    again = {r["page_id"]: r for r in url_lm.judge_urls(pages).collect()}
+    assert all(math.isclose(again[i]["score"], r["score"], abs_tol=1e-9) and again[i]["verdict"] == r["verdict"] for i, r in got.items())
+
+
 # -- n-gram Jaccard join ----------------------------------------------------
 
 
@@ -375,9 +546,30 @@ def library_ids(rows):
 def test_units_give_the_library_ids():
     encoder = tokenizing.IdEncoder(tokenizing.default_vocabulary())
     tok = tokenizing.library(tokenizing.default_vocabulary())
-    for t in ["", " ", "a", " a", "a ", "a  b", "it's  we'll\n\n x", "x\ty \n z", "\x00 a", "<|endoftext|>", "a<|endoftext|> b", "é\u0301 日本 \u2003 x", "1 234 5\r\n", "\x1c a", "a \x85 b"]:
+    texts = ["", " ", "a", " a", "a ", "a  b", "it's  we'll\n\n x", "x\ty \n z", "\x00 a", "<|endoftext|>", "a<|endoftext|> b", "é\u0301 日本 \u2003 x", "1 234 5\r\n", "\x1c a", "a \x85 b"]
+    for t, got in zip(texts, encoder.encode(texts), strict=True):
         ids = tok.encode(t, add_special_tokens=False).ids
-        assert encoder.encode(t) == b"".join(i.to_bytes(4, "little") for i in ids), repr(t)
+        assert got == b"".join(i.to_bytes(4, "little") for i in ids), repr(t)
+    assert tokenizing.special_strings(tokenizing.default_vocabulary()) == ("<|endoftext|>",)
+
+
+def test_ids_and_counts_of_all_texts():
+    """Every whole text of sf0.01: ids from units and pre-tokens' sums against the library."""
+    import pyarrow.parquet as pq
+
+    vocabulary = tokenizing.default_vocabulary()
+    tok, encoder, cutter = tokenizing.library(vocabulary), tokenizing.IdEncoder(vocabulary), token_counts.PreTokenizer(vocabulary)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    pieces = {}
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        for t, got, want in zip(part, encoder.encode(part), tok.encode_batch(part, add_special_tokens=False), strict=True):
+            assert got == struct.pack(f"<{len(want.ids)}I", *want.ids)
+            counts, specials = cutter.frequencies(t)
+            for x in counts:
+                if x not in pieces:
+                    pieces[x] = len(tok.encode(x, add_special_tokens=False).ids)
+            assert specials + sum(pieces[x] * n for x, n in counts.items()) == len(want.ids)
 
 
 def test_packing_of_messy_rows(messy):
@@ -440,35 +632,124 @@ def test_counts_equal_the_library(messy, head):
 # -- classifiers ------------------------------------------------------------
 
 
-def test_grammar_weighs_context():
-    scorer = toxicity.ClauseScorer({"idiot": 1.0})
-    total = lambda t: scorer.features(t)[0]
-    assert total("you are an idiot") > total("an idiot") > total("he wrote an idiot") > 0
-    assert total("not an idiot") < total("an idiot")
-    assert total("he said idiot") < total("an idiot")
-    assert total("he said. an idiot") == total("he went. an idiot")
-    assert total("i will kill you") < total("you i will kill")
-    assert scorer.features(None) == scorer.features("") == (0.0,) * 5
-
-
-def test_targets_on_either_side_and_reports_over_commas():
-    scorer = toxicity.ClauseScorer({"idiot": 1.0})
-    total = lambda t: scorer.features(t)[0]
-    assert abs(total("i will kill you") - math.log1p(1.0)) < 1e-9
-    assert abs(total("i will kill. you") - math.log1p(0.1)) < 1e-9
-    assert abs(total("i will kill a b c d you") - math.log1p(0.1)) < 1e-9
-    assert total('he said, "you idiot"') == total("he said you idiot")
-    assert total("she wrote: you idiot") < total("she went: you idiot")
-    assert total("he said. you idiot") == total("you idiot")
+PATTERN_SENTENCES = [
+    ("idiot", "insult"),
+    ("you are an idiot", "insult at a target"),
+    ("not an idiot", "negated"),
+    ("you aren't an idiot", "negated"),
+    ("you can't be an idiot", "negated"),
+    ("we won’t be idiot", "negated"),
+    ("n'est pas un idiot", "negated"),
+    ("he wrote an idiot", "reported"),
+    ("he said, you idiot", "reported"),
+    ("he said: you idiot", "reported"),
+    ('he said: "what! you idiot"', "reported"),
+    ('"you idiot", he said', "reported"),
+    ('"you idiot!" he said', "reported"),
+    ("«tu es idiot», dit il", "reported"),
+    ("he said. idiot", "insult"),
+    ("idiot. he said nothing of it", "insult"),
+    ("he said hello\nyou idiot", "insult at a target"),
+    ("i will kill you", "threat at a target"),
+    ("you i will kill", "threat at a target"),
+    ("i will kill. you", "threat"),
+    ("i will kill a b c d you", "threat"),
+    ("ich werde dich töten", "threat at a target"),
+    ("je vais te tuer", "threat at a target"),
+    ("te voy a matar", "threat at a target"),
+]
+
+
+@pytest.mark.parametrize(("text", "pattern"), PATTERN_SENTENCES)
+def test_patterns_of_sentences(text, pattern):
+    found, _ = toxicity.ClauseScorer({"idiot": 1.0}).matches(text)
+    assert [toxicity.PATTERNS[h.pattern()] for h in found] == [pattern]
+
+
+def test_features_are_of_matched_clauses():
+    scorer = toxicity.ClauseScorer({"idiot": 1.0, "scum": 2.0})
+    assert scorer.features(None) == scorer.features("") == scorer.features("nothing here") == (0.0,) * 10
+    got = scorer.features("idiot and scum, you idiot. not an idiot")
+    ln = math.log1p
+    assert got == pytest.approx((ln(3), ln(1), 0, 0, ln(1), 0, ln(2), ln(3), ln(2), ln(20.0)))
+
+
+def test_composition_joins_marks():
+    a, b = toxicity.scope(toxicity.NEGATION, 2, toxicity.NEGATED), toxicity.from_then_on((toxicity.REPORT,), toxicity.REPORTED)
+    both, state, marks = a.compose(b), 0, []
+    for symbol in (toxicity.NEGATION, toxicity.REPORT, toxicity.INSULT, toxicity.INSULT):
+        state, m = both.arcs[state, symbol]
+        marks.append(m)
+    assert marks == [0, 0, toxicity.NEGATED | toxicity.REPORTED, toxicity.REPORTED]
 
 
-def test_composition_multiplies():
-    a, b = toxicity.scope(toxicity.NEGATION, 2, 0.5), toxicity.until_clause_end(toxicity.REPORT, 0.5)
-    both, state, weights = a.compose(b), 0, []
-    for symbol in (toxicity.NEGATION, toxicity.REPORT, toxicity.INSULT, toxicity.INSULT):
-        state, w = both.arcs[state, symbol]
-        weights.append(w)
-    assert weights[2:] == [0.25, 0.5]
+def test_scores_by_hand(spark):
+    """Both classifiers' scores from their fitted models in plain Python."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    scorer, w = toxicity.fit_scorer(docs, labels, 8_000, "toxic")
+    for r in toxicity.score_documents(docs, labels).collect():
+        line = sum(a * b for a, b in zip(w, (*scorer.features(texts[r["doc_id"]]), 1.0), strict=True))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-line)), rel_tol=1e-9)
+    model, _, cut = bradley_terry.fitted(decision_list.text_statistics(docs), labels, 8_000, "quality")
+    n = len(model.features)
+    strengths = {}
+    for i, t in texts.items():
+        x, total = python_ratios(t), 0.0
+        for k, f in enumerate(model.features):
+            z = (math.log1p(x[f] * (1 if f in ("words", "mean_word") else 20)) - model.means[k]) / model.deviations[k]
+            z = max(-6, min(6, z))
+            total += model.weights[k] * z + model.weights[n + k] * max(z - 1, 0) + model.weights[2 * n + k] * max(-z - 1, 0)
+        strengths[i] = total
+    assert any(math.isclose(cut, s, rel_tol=1e-9) for s in strengths.values())
+    for r in bradley_terry.score_quality(docs, labels).collect():
+        line = strengths[r["doc_id"]] - cut + math.log(0.3 / 0.7)
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, line))))) < 1e-6
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, "toxic", 10).count() <= 1
+
+
+def test_workers_without_the_package(tmp_path):
+    """op6, op7, op8 and op9 where Python workers don't have this package on their path."""
+    import os
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+from ledgerloom.llm import group_join, packing, token_counts, toxicity
+docs = spark.createDataFrame([(i, f"you idiot number w{{i}} and so on to the end of it") for i in range(30)], "doc_id long, text string")
+labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+for f in (group_join.near_duplicates, packing.pack_documents, token_counts.count_tokens, lambda d: toxicity.score_documents(d, labels)):
+    assert f(docs).count() > 0
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf(dict):
+        pass
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Fake())
 
 
 def test_scores_without_labels(messy, no_labels):

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import SPACE_CHARS, let, materialize, words_of
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = r"[#*$%&|<>]"
 #: Ratios that the conjunctions test.
 FEATURES = (
     "words",
@@ -26,8 +25,8 @@ FEATURES = (
 )
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def _repeated_words(words: Column) -> Column:
@@ -60,14 +59,9 @@ def _repeated_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(covered(windows))
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = let(
-        hashes,
-        lambda h: F.slice(
-            F.transform(h, lambda _, i: F.xxhash64(F.slice(h, i + 1, F.lit(WINDOW)))),
-            F.lit(1),
-            F.size(h) - F.lit(WINDOW - 1),
-        ),
-    )
+    # the last words begin no window
+    window = lambda h: lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)])
+    windows = let(hashes, lambda h: F.slice(F.transform(h, window(h)), F.lit(1), F.size(h) - F.lit(WINDOW - 1)))
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(windows, counted)).cast("long")
 
 
@@ -90,15 +84,15 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     counted = base.select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
-        _without(F.col("_text"), SPACE_CHARS).cast("long").alias("word_chars"),
-        (F.length("_text") - _without(F.col("_text"), SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.length("_text") - _count(F.col("_text"), r"[\x20\x09-\x0D]")).alias("word_chars"),
+        _count(F.col("_text"), SYMBOLS).alias("n_symbols"),
         _repeated_lines(F.col("_text")).alias("n_dup_lines"),
         _repeated_words(F.col("_words")).alias("n_repeat_words"),
         F.size(F.array_distinct("_words")).alias("_distinct"),
-        (F.length("_text") - _without(F.col("_text"), "!")).alias("_bangs"),
-        (F.length("_text") - _without(F.col("_text"), CAPITALS)).alias("_capitals"),
-        (F.length("_text") - _without(F.col("_text"), "|")).alias("_pipes"),
-        (F.length("_text") - _without(F.col("_text"), "\n") + 1).alias("_lines"),
+        _count(F.col("_text"), "!").alias("_bangs"),
+        _count(F.col("_text"), "[A-Z]").alias("_capitals"),
+        _count(F.col("_text"), r"\|").alias("_pipes"),
+        (_count(F.col("_text"), "\n") + 1).alias("_lines"),
     )
     per_word = lambda c: F.col(c) / F.greatest("n_words", F.lit(1))
     per_char = lambda c: F.col(c) / F.greatest("word_chars", F.lit(1))

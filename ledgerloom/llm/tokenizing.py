@@ -4,11 +4,14 @@ Text between single spaces is a unit: with this family's pre-tokenizer a space
 before a non-space always starts a new pre-token, so units are tokenized one by one
 and their ids joined.  A unit that starts or ends with white space (double spaces,
 line ends beside spaces) or a special token's string sends the whole text to the
-library at once.  All ids are the library's.
+tokenizers library.  Units are encoded by the same vocabulary's ranks, which takes a
+quarter of the library's time; tests hold the ids of all whole texts of a table equal
+to the library's.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import struct
 import zlib
@@ -23,15 +26,16 @@ CACHE_UNITS = 100_000
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """File of one vocabulary for the tokenizers library."""
+    """Files of one vocabulary: for the tokenizers library, and as ranks."""
 
     tokenizer_file: str
+    rank_file: str
 
 
 def default_vocabulary() -> Vocabulary:
     import public_tokenizers as public
 
-    return Vocabulary(public.path("byte_bpe_50k.json"))
+    return Vocabulary(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"))
 
 
 def library(vocabulary: Vocabulary):
@@ -45,6 +49,20 @@ def library(vocabulary: Vocabulary):
     return cache[vocabulary.tokenizer_file]
 
 
+def rank_encoder(vocabulary: Vocabulary):
+    """Encoder of text without special tokens over the vocabulary's ranks."""
+    cache = worker_cache("ranks")
+    if vocabulary.rank_file not in cache:
+        import public_tokenizers as public
+        import tiktoken
+
+        with open(vocabulary.rank_file, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        encoding = tiktoken.Encoding("units", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        cache[vocabulary.rank_file] = encoding.encode_ordinary
+    return cache[vocabulary.rank_file]
+
+
 def special_strings(vocabulary: Vocabulary) -> tuple[str, ...]:
     """The added tokens that the vocabulary's file lists, longest first."""
     added = library(vocabulary).get_added_tokens_decoder().values()
@@ -55,7 +73,7 @@ class IdEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, as the library gives them."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.library = library(vocabulary)
+        self.library, self.encode_unit = library(vocabulary), rank_encoder(vocabulary)
         self.specials = special_strings(vocabulary)
         cache = worker_cache("units")
         self.units = cache.setdefault(vocabulary.tokenizer_file, Recent(CACHE_UNITS))
@@ -70,17 +88,17 @@ class IdEncoder:
         return bool(bare) and not bare[0].isspace() and not bare[-1].isspace()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text; units new to the worker go to the library in one call."""
+        """Ids of each text; units are encoded once and remembered."""
         split = [
             None if "\x00" in t or any(s in t for s in self.specials) else t.replace(" ", "\x00 ").split("\x00")
             for t in texts
         ]
         known: dict[str, bytes | None] = {u: self.units.get(u) for u in set().union(*filter(None, split))}
         new = [u for u, ids in known.items() if ids is None]
-        alone = [u for u in new if self._stands_alone(u)]
-        for unit, ids in zip(alone, self._by_library(alone), strict=True):
-            known[unit] = ids
-            self.units.put(unit, ids)
+        for unit in new:
+            if self._stands_alone(unit):
+                ids = known[unit] = little_endian(self.encode_unit(unit))
+                self.units.put(unit, ids)
         out: list[bytes | None] = []
         for text, units in zip(texts, split, strict=True):
             ids = [known[u] for u in units] if units is not None and text else []

@@ -8,6 +8,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +44,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_open_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; deleted when the driver's JVM ends."""
+    """A fresh path in the shared folder; deleted when the driver's JVM ends, or with
+    the ``tables_made`` that it belongs to."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop_path)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     return path
 
 
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """Gathers the paths that ``new_path`` gives meanwhile."""
+    paths: list[str] = []
+    _open_scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _open_scopes.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that no result to come reads any more."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a
     lost executor costs no more than the tasks it was running."""

@@ -15,8 +15,8 @@ RATE_ROW_BYTES = 256
 
 DIMENSIONS = ("source", "lang", "topic")
 DRAW_SEED = 23
-#: Most factors of a dimension that are held as a literal table.
-LITERAL_ROWS = 10_000
+#: Most factors of a dimension that are held as a literal.
+LITERAL_ROWS = 1_000
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,8 +69,8 @@ def rake(
     targets: dict[str, DataFrame],
     tolerance: float = 1e-3,
     max_sweeps: int = 15,
-    start: dict[str, DataFrame] | None = None,
-    found: dict[str, DataFrame] | None = None,
+    start: dict | None = None,
+    found: dict | None = None,
 ) -> DataFrame:
     """Iterative proportional fitting: ``cells`` with a ``weight`` whose marginals are the targets.
 
@@ -86,29 +86,31 @@ def rake(
     A value without a target keeps no weight; a target without cells is ignored.
     """
     names = list(targets)
-    wanted = {d: materialize(t.select(d, F.col("share").cast("double").alias("share")), "mix-target") for d, t in targets.items()}
     counts = cells.agg(F.sum("tokens").cast("double").alias("t"), *[F.count_distinct(d).alias(d) for d in names]).first()
     shares = cells.withColumn("weight", F.col("tokens") / F.lit(counts["t"] or 1.0))
-    factors = {d: t for d, t in (start or {}).items() if d in names}
+    wanted = {d: _few(t.select(d, F.col("share").cast("double")), max(counts[d], t.count())) for d, t in targets.items()}
+    factors = {d: f for d, f in (start or {}).items() if d in names}
 
     def weighted(without: str | None = None) -> DataFrame:
         out = shares
-        for d, table in factors.items():
-            if d != without:
-                factor = table.select(d, F.col("factor").alias("_factor"))
-                out = out.join(factor, d).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
+        for d, factor in factors.items():
+            if d == without:
+                continue
+            if isinstance(factor, dict):
+                known = F.from_json(F.lit(json.dumps(factor)), "map<string,double>")
+                value = F.coalesce(F.try_element_at(known, F.col(d).cast("string")), F.lit(0.0))
+                out = out.withColumn("weight", F.col("weight") * value)
+            else:
+                out = out.join(factor.withColumnRenamed("factor", "_factor"), d)
+                out = out.withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
         return out
 
     off = 0.0
     for _ in range(max_sweeps):
         off = 0.0
         for d in names:
-            sums = weighted(d).groupBy(d).agg(F.sum("weight").alias("_sum"))
-            share = F.coalesce("share", F.lit(0.0))
-            new = F.when(F.col("_sum") > 0, share / F.col("_sum")).otherwise(F.lit(0.0))
-            table = sums.join(wanted[d], d, "left").select(d, new.alias("factor"))
-            was = factors[d].select(d, F.col("factor").alias("was")) if d in factors else sums.select(d, F.lit(0.0).alias("was"))
-            factors[d], change = _pinned(table.join(was, d), d, counts[d])
+            sums = weighted(d).groupBy(F.col(d).cast("string").alias(d)).agg(F.sum("weight").alias("_sum"))
+            factors[d], change = _new_factors(sums, wanted[d], factors.get(d), d)
             off = max(off, change)
         if off <= tolerance:
             break
@@ -117,21 +119,25 @@ def rake(
     return weighted().withColumn("converged", F.lit(off <= tolerance))
 
 
-def _pinned(table: DataFrame, d: str, values: int) -> tuple[DataFrame, float]:
-    """A dimension's factors, computed, and the largest relative change among them.
+def _few(shares: DataFrame, values: int) -> DataFrame | dict[str, float]:
+    """Shares by value: a dict of up to ``LITERAL_ROWS`` values, a written table of more."""
+    return materialize(shares, "mix-target") if values > LITERAL_ROWS else {str(v): x for v, x in shares.collect()}
 
-    Up to ``LITERAL_ROWS`` values become a literal table; more are written out.
+
+def _new_factors(sums: DataFrame, wanted, was, d: str) -> tuple[DataFrame | dict[str, float], float]:
+    """A dimension's factors, share over sum, and the largest relative change among them.
+
+    Few values are a literal in the next sums; many stay a table.
     """
-    if values > LITERAL_ROWS:
-        kept = materialize(table, "mix-factor")
-        change = F.abs(F.col("factor") - F.col("was")) / F.greatest("factor", F.lit(1e-12))
-        return kept.drop("was"), kept.agg(F.max(change)).first()[0] or 0.0
-    rows = table.collect()
-    change = max((abs(r["factor"] - r["was"]) / max(r["factor"], 1e-12) for r in rows), default=0.0)
-    literal = json.dumps([{d: r[d], "factor": r["factor"]} for r in rows])
-    kind = table.schema[d].dataType.simpleString()
-    parsed = F.from_json(F.lit(literal), f"array<struct<{d}:{kind},factor:double>>")
-    return F.broadcast(table.sparkSession.range(1).select(F.inline(parsed))), change
+    if isinstance(wanted, dict):
+        new = {v: wanted.get(v, 0.0) / total if total > 0 else 0.0 for v, total in sums.collect()}
+        return new, max((abs(x - (was or {}).get(v, 0.0)) / max(x, 1e-12) for v, x in new.items()), default=0.0)
+    factor = F.when(F.col("_sum") > 0, F.coalesce("share", F.lit(0.0)) / F.col("_sum")).otherwise(F.lit(0.0))
+    table = sums.join(wanted.withColumn(d, F.col(d).cast("string")), d, "left").select(d, factor.alias("factor"))
+    before = sums.select(d, F.lit(0.0).alias("was")) if was is None else was.withColumnRenamed("factor", "was")
+    kept = materialize(table.join(before, d), "mix-factor")
+    change = F.abs(F.col("factor") - F.col("was")) / F.greatest("factor", F.lit(1e-12))
+    return kept.drop("was"), kept.agg(F.max(change)).first()[0] or 0.0
 
 
 def _labelled(docs: DataFrame, topic: Column | None, topics: int) -> dict[str, Column]:
@@ -187,7 +193,7 @@ def mix_documents(
     )
 
 
-def attainable_weights(cells: DataFrame, power: float, keep_share: float, rounds: int = 6) -> tuple[float, DataFrame]:
+def attainable_weights(cells: DataFrame, power: float, keep_share: float, rounds: int = 3) -> tuple[float, DataFrame]:
     """The power nearest to ``power`` whose targets let ``keep_share`` of the tokens stay, and its raked cells.
 
     A draw that meets the targets keeps at most 1 / (top * tokens), where top is the
@@ -199,7 +205,7 @@ def attainable_weights(cells: DataFrame, power: float, keep_share: float, rounds
     least, factors = 0.0, {}
     for _ in range(rounds):
         targets = {d: tempered_targets(cells, d, power) for d in DIMENSIONS}
-        most = _most_kept(rake(cells, targets, tolerance=0.02, max_sweeps=3, start=dict(factors), found=factors))
+        most = _most_kept(rake(cells, targets, tolerance=0.02, max_sweeps=2, start=dict(factors), found=factors))
         if power >= 1 or most >= keep_share * 0.995 and (least == 0.0 or most <= keep_share * 1.005):
             break
         if least == 0.0:

@@ -116,7 +116,9 @@ def test_empty_tables(nothing, no_labels):
 # -- mixing -----------------------------------------------------------------
 
 
-def test_raking_meets_its_marginals(spark):
+@pytest.mark.parametrize("literal", [1_000, 1])
+def test_raking_meets_its_marginals(spark, monkeypatch, literal):
+    monkeypatch.setattr("ledgerloom.llm.mixing.LITERAL_ROWS", literal)
     cells = spark.createDataFrame([(s, l, 10 * (i + 1)) for i, (s, l) in enumerate((s, l) for s in "ab" for l in "xyz")], "s string, l string, tokens long")
     targets = {"s": spark.createDataFrame([("a", 0.7), ("b", 0.3)], "s string, share double"),
                "l": spark.createDataFrame([("x", 0.2), ("y", 0.3), ("z", 0.5)], "l string, share double")}

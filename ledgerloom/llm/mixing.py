@@ -30,28 +30,31 @@ def _bins_of(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(TOPIC_BINS)).cast("int")))
 
 
-def learn_topics(docs: DataFrame, topics: int = 8, widest: float = 0.2) -> list[int]:
+def learn_topics(table: DataFrame, topics: int = 8, widest: float = 0.2) -> list[int]:
     """Bins of the ``topics`` words that most documents hold, but at most ``widest`` of them.
 
-    Words of all documents are counted in ``TOPIC_BINS`` hashed bins, so that what is
-    shuffled and what the driver sees is bounded; a bin's count is that of its common
-    word, as rare ones add little.  Rarest first, ties by bin.
+    ``table`` has the ``bins`` of every document.  Words are counted in ``TOPIC_BINS``
+    hashed bins, so that what is shuffled and what the driver sees is bounded; a bin's
+    count is that of its common word, as rare ones add little.  Rarest first, ties by bin.
     """
-    total = docs.count()
-    each = docs.select(F.explode(_bins_of(F.col("text"))).alias("bin"))
+    total = table.count()
+    each = table.select(F.explode("bins").alias("bin"))
     counts = each.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= F.lit(widest * total))
     top = counts.orderBy(F.desc("n"), "bin").limit(topics).collect()
     return [r["bin"] for r in sorted(top, key=lambda r: (r["n"], r["bin"]))]
 
 
-def topic_of(text: Column, bins: list[int]) -> Column:
-    """'word-<bin>' of the rarest topic word in the text, 'other' without one, 'empty' for no text."""
+def _with_topics(table: DataFrame, topics: int) -> DataFrame:
+    """Adds topic: 'word-<bin>' of the rarest topic word of the text, 'other' without one,
+    'empty' for no text."""
+    if "bins" not in table.columns:
+        return table
+    bins = learn_topics(table, topics)
+    named = F.lit("other")
     if bins:
-        met = F.get(F.array_intersect(F.array(*[F.lit(b) for b in bins]), _bins_of(text)), F.lit(0))
-        named = F.coalesce(F.concat(F.lit("word-"), met.cast("string")), F.lit("other"))
-    else:
-        named = F.lit("other")
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("empty")).otherwise(named)
+        met = F.get(F.array_intersect(F.array(*[F.lit(b) for b in bins]), "bins"), F.lit(0))
+        named = F.coalesce(F.concat(F.lit("word-"), met.cast("string")), named)
+    return table.withColumn("topic", F.when(F.col("blank"), F.lit("empty")).otherwise(named)).drop("bins", "blank")
 
 
 def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -140,14 +143,19 @@ def _new_factors(sums: DataFrame, wanted, was, d: str) -> tuple[DataFrame | dict
     return kept.drop("was"), kept.agg(F.max(change)).first()[0] or 0.0
 
 
-def _labelled(docs: DataFrame, topic: Column | None, topics: int) -> dict[str, Column]:
-    """Dimensions and tokens as expressions over a row; null values are ''."""
+def _labelled(topic: Column | None) -> dict[str, Column]:
+    """Dimensions, tokens and draw as expressions over a row; null values are ''.
+
+    Without a topic the row's word bins stand for it, as topics are still to be learned.
+    """
+    text = F.col("text")
     if topic is None:
-        topic = topic_of(F.col("text"), learn_topics(docs, topics))
-    return {
+        about = {"bins": _bins_of(text), "blank": F.coalesce(F.length(text), F.lit(0)) == 0}
+    else:
+        about = {"topic": F.coalesce(topic.cast("string"), F.lit(""))}
+    return about | {
         "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
         "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "topic": F.coalesce(topic.cast("string"), F.lit("")),
         "n_tokens": F.greatest(F.coalesce(F.regexp_count("text", F.lit(WORD_RUN)), F.lit(0)), F.lit(1)).cast("long"),
         "draw": F.shiftrightunsigned(F.xxhash64(F.lit(DRAW_SEED), "doc_id", "text"), 11) / F.lit(float(1 << 53)),
     }
@@ -180,8 +188,8 @@ def mix_documents(
     lang, topic, n_tokens, cell_weight, probability, converged (did raking end within
     its tolerance?), sampled.  An empty table gives no rows.
     """
-    parts = _labelled(docs, topic, topics)
-    table = materialize(docs.select("doc_id", *[v.alias(k) for k, v in parts.items()]), "mix-docs")
+    written = materialize(docs.select("doc_id", *[v.alias(k) for k, v in _labelled(topic).items()]), "mix-docs")
+    table = _with_topics(written, topics)
     return _with_rates(table, targets, power, keep_share).select(
         "doc_id",
         *DIMENSIONS,
@@ -262,6 +270,5 @@ def sample_to_weights(
     while the table of rates is within the broadcast bound; a larger one meets them by
     key.  An empty table stays empty.
     """
-    parts = _labelled(docs, topic, topics)
-    table = materialize(wrapped(docs, **parts), "mix-rows")
+    table = _with_topics(materialize(wrapped(docs, **_labelled(topic)), "mix-rows"), topics)
     return _with_rates(table, targets, power, keep_share).where(F.col("draw") < F.col("probability")).select("row.*")

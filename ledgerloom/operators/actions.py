@@ -134,18 +134,22 @@ def lookup_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     return requests.join(exact, "identifier", "left").join(loose, "identifier", "left").select("identifier", chosen.alias("user_id"))
 
 
-def reachable_roles(grants: DataFrame, depth: int = 16) -> DataFrame:
+def reachable_roles(grants: DataFrame) -> DataFrame:
     """(member, role) of every role that a member holds directly or through others.
 
-    Grants (member, role) are joined until no pair is new; cycles end by themselves.
+    Known pairs are joined with each other until no pair is new, so a chain needs as
+    many rounds as the logarithm of its length; cycles end by themselves.  Each round is
+    checkpointed; a session without a checkpoint folder on its context takes the one in
+    ``spark.checkpoint.dir``.
     """
-    seen = grants.select("member", "role").distinct()
-    step = grants.select(F.col("member").alias("role"), F.col("role").alias("_next"))
-    count = seen.count()
-    for _ in range(depth):
-        more = seen.join(step, "role").select("member", F.col("_next").alias("role"))
-        seen = seen.unionByName(more).distinct().checkpoint()
-        if (now := seen.count()) == count:
-            break
-        count = now
-    return seen
+    spark = grants.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    seen = grants.select("member", "role").distinct().checkpoint()
+    while True:
+        onward = seen.select(F.col("member").alias("role"), F.col("role").alias("_next"))
+        met = seen.join(onward, "role").select("member", F.col("_next").alias("role")).distinct()
+        new = met.join(seen, ["member", "role"], "left_anti").checkpoint()
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new).checkpoint()

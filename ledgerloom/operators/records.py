@@ -71,10 +71,11 @@ def validate(
     return out.withColumn("status", F.when(F.size("reasons") == 0, "clean").otherwise("flagged"))
 
 
-def review_rows(validated: DataFrame, run_id: str) -> DataFrame:
-    """Flagged records as the review file's rows."""
+def review_rows(validated: DataFrame) -> DataFrame:
+    """Flagged records as the review file's rows; columns that the records lack are empty."""
+    own = lambda c: F.col(c) if c in validated.columns else F.lit(None).cast("string").alias(c)
     return validated.where(F.col("status") == "flagged").select(
-        F.lit(run_id).alias("run_id"), "record_id", "target_table", "source_file", "confidence_score",
+        "record_id", "target_table", "confidence_score", "source_file", own("provider"), own("extracted_at"),
         F.array_join("reasons", ";").alias("reasons"),
         F.to_json(F.map_from_entries(F.array_sort(F.map_entries("payload")))).alias("payload"),
     )
@@ -150,12 +151,54 @@ def fill_gaps(existing: DataFrame, incoming: DataFrame, key: str, attributes: li
 
 def insert_if_absent(batch: DataFrame, key: str, order: list[str], existing: DataFrame) -> DataFrame:
     """Batch rows with a disposition: the first of a key that the table lacks is
-    inserted, all others are duplicates."""
-    first = Window.partitionBy(key).orderBy(*order)
-    there = existing.select(F.col(key)).distinct().withColumn("_there", F.lit(True))
-    ranked = batch.withColumn("_n", F.row_number().over(first)).join(there, key, "left")
-    new = (F.col("_n") == 1) & F.col("_there").isNull()
-    return ranked.withColumn("disposition", F.when(new, "inserted").otherwise("duplicate")).drop("_n", "_there")
+    inserted, all others are duplicates; a row without a key is ``no_key``.
+
+    Firsts are a minimum by key, so a hot key is summed before it is shuffled.
+    """
+    rows = batch.withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_m")))
+    firsts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("_at").alias("_first"))
+    there = existing.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct().withColumn("_there", F.lit(True))
+    known = firsts.join(there, "_k", "left")
+    joined = rows.join(known, rows[key] == known["_k"], "left")
+    new = (F.col("_at") == F.col("_first")) & F.col("_there").isNull()
+    disposition = F.when(F.col(key).isNull(), "no_key").when(new, "inserted").otherwise("duplicate")
+    return joined.withColumn("disposition", disposition).drop("_at", "_k", "_first", "_there")
+
+
+#: Attributes of a person that a later record may fill.
+PLAYER_ATTRIBUTES = ("grade", "school_name", "guardian_name", "photo_consent")
+
+
+def load_players(candidates: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(players, candidates with a disposition) after the candidates' identities are resolved.
+
+    A name with several identities is ambiguous and loads nothing.  Records of one
+    identity are merged attribute by attribute, the most confident first; a stored player
+    only has gaps filled.  A new player's id is a hash of the identity, so a second run
+    finds it.  ``stored`` has id, first_name, last_name and may lack other columns.
+    """
+    own = lambda n: text.blank_to_null(field(F.col("payload"), n)).alias(n)
+    names = ["first_name", "last_name", "birth_date", *PLAYER_ATTRIBUTES]
+    keys = lambda df: df.withColumn("name_key", text.name_key(F.col("first_name"), F.col("last_name"))).withColumn(
+        "dedup_key", text.dedup_key(F.col("first_name"), F.col("last_name"), F.col("birth_date"))
+    )
+    batch = keys(candidates.select("record_id", "confidence_score", *[own(n) for n in names]))
+    batch = batch.withColumn("_order", F.crc32("record_id"))
+    there = keys(stored.select("id", *[(F.col(n).cast("string") if n in stored.columns else F.lit(None).cast("string")).alias(n) for n in names]))
+    judged = identity_outcomes(batch, there)
+    good = judged.where(F.col("outcome").isin("new", "existing"))
+    merged = merge_attributes(good, "dedup_key", names, "confidence_score", "_order")
+    filled = fill_gaps(there, merged, "dedup_key", list(PLAYER_ATTRIBUTES)).select("id", *names)
+    new = merged.join(there.select("dedup_key"), "dedup_key", "left_anti").select(F.xxhash64("dedup_key").alias("id"), *names)
+    firsts = good.where("outcome = 'new'").groupBy("dedup_key").agg(F.min("record_id").alias("_first"))
+    outcome = (
+        F.when(F.col("outcome") == "existing", "merged")
+        .when((F.col("outcome") == "new") & (F.col("record_id") == F.col("_first")), "inserted")
+        .when(F.col("outcome") == "new", "duplicate")
+        .otherwise(F.col("outcome"))
+    )
+    told = judged.join(firsts, "dedup_key", "left").select("record_id", outcome.alias("disposition"))
+    return filled.unionByName(new), candidates.join(told, "record_id")
 
 
 def first_failure(payload_table: Column, outcomes: dict[str, Column]) -> Column:

@@ -39,6 +39,8 @@ def _payments_in(spark, d):
         ).alias("payload"),
         (k % 10 / 10).alias("confidence_score"),
         F.concat(F.lit("cards/"), (k % 9).cast("string"), F.lit(".png")).alias("source_file"),
+        F.lit("reader").alias("provider"),
+        F.date_format("ts", "yyyy-MM-dd").alias("extracted_at"),
     )
 
 
@@ -119,13 +121,20 @@ def popia_filter(spark, d):
 
 
 @query(f"""with x as ({PAYMENTS_IN_SQL})
-    select 'run-1' as run_id, record_id, 'payments' as target_table, array_to_string(list_filter([
+    select record_id, 'payments' as target_table, confidence as confidence_score, 'cards/' || (x.event_id % 9) || '.png' as source_file,
+           'reader' as provider, strftime(e.ts, '%Y-%m-%d') as extracted_at, array_to_string(list_filter([
              case when confidence < 0.7 then 'LOW_CONFIDENCE' end, case when bad_date then 'IMPOSSIBLE_DATE' end,
-             case when not list_has_any(cents, {KNOWN_LIST}) then 'AMOUNT_NO_TIER' end], lambda r: r is not null), ';') as reasons
-    from x where not (confidence >= 0.7 and not bad_date and list_has_any(cents, {KNOWN_LIST}))""")
+             case when not list_has_any(cents, {KNOWN_LIST}) then 'AMOUNT_NO_TIER' end], lambda r: r is not null), ';') as reasons,
+           json_object('ID Number', 'x',
+             'amount', case x.event_id % 6 when 0 then 'R' || (x.event_id % 50) when 1 then (x.event_id % 50)::varchar
+                         when 2 then (x.event_id % 50 * 100)::varchar when 3 then 'not-a-number' when 4 then 'r ' || (x.event_id % 50) || '.50' else '' end,
+             'paid_at', case x.event_id % 7 when 0 then '2024-02-30' when 1 then '2024/01/01' when 2 then '1899-12-31' when 3 then '2031-01-01'
+                          when 4 then '' else strftime(e.ts, '%Y-%m-%d') end,
+             'player_name', ' User  ' || e.user_id, 'street', 'y')::varchar as payload
+    from x join events e using (event_id) where not (confidence >= 0.7 and not bad_date and list_has_any(cents, {KNOWN_LIST}))""")
 def review_artifact(spark, d):
     out = records.validate(_payments_in(spark, d), None, _known(), F.lit("2024-12-31").cast("date"))
-    return records.review_rows(out, "run-1").select("run_id", "record_id", "target_table", "reasons")
+    return records.review_rows(out)
 
 
 @query("""select id, lower(first_name) || '|' || lower(last_name) || '|' || birth_date as dedup_key,

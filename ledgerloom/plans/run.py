@@ -131,35 +131,76 @@ def run_batch(
         out["extract"] = spark.read.parquet(f"{base}/extract")
         sinks.write_record_csvs(out["extract"], f"{base}/csv")
     if "validate" in todo:
-        names = players.select(text.slug(F.concat_ws(" ", "first_name", "last_name")).alias("slug"))
+        names = _stored_players(spark, players, settings.state).select(text.slug(F.concat_ws(" ", "first_name", "last_name")).alias("slug"))
         cents = F.array(*[F.lit(c).cast("long") for c in settings.known_cents])
         checked = records.validate(out["extract"], names, cents, F.lit(settings.reference_date).cast("date"), settings.threshold)
         checked.write.mode("overwrite").parquet(f"{base}/validate")
         out["validate"] = spark.read.parquet(f"{base}/validate")
         sinks.write_review(out["validate"], run_id, base)
     if "load" in todo:
-        clean = records.privacy_filter(out["validate"].where("status = 'clean' and target_table <> 'players'").drop("reasons", "status"))
-        key = F.lit(None).cast("string")
-        for table in text.LOAD_KEY_FIELDS:
-            own = text.load_key(table, lambda f: records.field(F.col("payload"), f), F.col("source_file"))
-            key = F.when(F.col("target_table") == table, own).otherwise(key)
-        resolved = records.resolve_names(clean, records.field(F.col("payload"), "player_name"), records.name_index(players))
-        keyed = resolved.withColumn("natural_key", key)
-        needs_player = F.col("target_table").isin("sessions", "payments", "student_metrics") & (F.col("outcome") != "resolved")
-        loadable = keyed.where(~needs_player)
-        done = records.insert_if_absent(loadable, "natural_key", ["record_id"], loadable.where("false"))
-        flagged = keyed.where(needs_player).withColumn("disposition", F.col("outcome"))
-        result = done.unionByName(flagged)
-        result.write.mode("overwrite").parquet(f"{base}/load")
-        out["load"] = spark.read.parquet(f"{base}/load")
+        out |= _load(spark, out["validate"], players, settings.state, base)
     if "archive" in todo:
+        taken = routed.where("handler is not null").select("path")
         content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(settings.source)
-        nothing = spark.createDataFrame([], "key string, sha256 string")
-        out["archive"] = sinks.archive_plan(content.select("path", "content"), nothing)
-        sinks.write_archive(out["archive"], content, f"{base}/archive")
+        content = content.select("path", "content").join(taken, "path", "left_semi")
+        there = sinks.stored(spark, f"{settings.state}/archive", "sha256 string, key string").select("key", "sha256").distinct()
+        plan = sinks.archive_plan(content, there)
+        plan.write.mode("overwrite").parquet(f"{base}/archive-plan")
+        out["archive"] = spark.read.parquet(f"{base}/archive-plan")
+        sinks.write_archive(out["archive"], content, f"{settings.state}/archive")
     return out
 
 
+#: The load tables' rows of all runs.
+LOADED = "natural_key string, record_id string, target_table string, player_id long"
+
+
+def _load(spark: SparkSession, validated: DataFrame, players: DataFrame, state: str, base: str) -> dict[str, DataFrame]:
+    """Load the clean records against what earlier runs have stored below ``state``.
+
+    Players come first, so that the batch's own names resolve; ``players`` seeds the
+    first run.  Rows inserted are appended to the stored table, and the players are
+    written as a new version, whose name the next run finds.
+    """
+    clean = records.privacy_filter(validated.where("status = 'clean'").drop("reasons", "status"))
+    known = _stored_players(spark, players, state)
+    people, told = records.load_players(clean.where("target_table = 'players'"), known)
+    people.write.mode("overwrite").parquet(f"{base}/players")
+    people = spark.read.parquet(f"{base}/players")
+    told.write.mode("overwrite").parquet(f"{base}/load-players")
+    told = spark.read.parquet(f"{base}/load-players")
+    key = F.lit(None).cast("string")
+    for table in text.LOAD_KEY_FIELDS:
+        own = text.load_key(table, lambda f: records.field(F.col("payload"), f), F.col("source_file"))
+        key = F.when(F.col("target_table") == table, own).otherwise(key)
+    rest = clean.where("target_table <> 'players'")
+    resolved = records.resolve_names(rest, records.field(F.col("payload"), "player_name"), records.name_index(people))
+    keyed = resolved.withColumn("natural_key", key)
+    needs_player = F.col("target_table").isin("sessions", "payments", "student_metrics") & (F.col("outcome") != "resolved")
+    loaded = f"{state}/loaded"
+    done = records.insert_if_absent(keyed.where(~needs_player), "natural_key", ["record_id"], sinks.stored(spark, loaded, LOADED))
+    flagged = keyed.where(needs_player).withColumn("disposition", F.col("outcome"))
+    result = done.unionByName(flagged).unionByName(told, allowMissingColumns=True)
+    result.write.mode("overwrite").parquet(f"{base}/load")
+    result = spark.read.parquet(f"{base}/load")
+    new = result.where("disposition = 'inserted' and target_table <> 'players'")
+    new.select("natural_key", "record_id", "target_table", F.col("player_id").cast("long")).write.mode("append").parquet(loaded)
+    version = spark.createDataFrame([(f"{base}/players",)], "path string").withColumn("at", F.current_timestamp())
+    version.write.mode("append").parquet(f"{state}/player-versions")
+    return {"load": result, "players": people}
+
+
+def _stored_players(spark: SparkSession, players: DataFrame, state: str) -> DataFrame:
+    """The last run's players, or the seed.  A run under an old id keeps its own version apart."""
+    latest = sinks.stored(spark, f"{state}/player-versions", "path string, at timestamp").orderBy(F.desc("at")).first()
+    if latest is None:
+        return players
+    kept = spark.read.parquet(latest["path"])
+    path = f"{state}/players-before"
+    kept.write.mode("overwrite").parquet(path)  # this run may write over the folder that it reads
+    return spark.read.parquet(path)
+
+
 def summary(tables: dict[str, DataFrame]) -> dict[str, int]:
     """Counters of a run: one aggregate per table."""
     counts = {}

@@ -50,7 +50,7 @@ def write_record_csvs(records: DataFrame, folder: str) -> list[str]:
 
 def write_review(validated: DataFrame, run_id: str, folder: str) -> str:
     path = f"{folder}/review-{run_id}"
-    review_rows(validated, run_id).write.mode("overwrite").option("header", True).csv(path)
+    review_rows(validated).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -80,11 +80,17 @@ def write_archive(plan: DataFrame, files: DataFrame, folder: str) -> DataFrame:
 
 def audit_rows(dispositions: DataFrame, entity: str, record: str, device: Column, user: Column, at: Column) -> DataFrame:
     """Audit rows of a batch: an insert or a skip for each disposition."""
-    action = F.when(F.col("disposition") == "inserted", "insert").otherwise("skip")
-    return dispositions.select(
+    action = F.when(F.col("disposition") == "inserted", "insert").when(F.col("disposition") == "merged", "update").otherwise("skip")
+    return checked_actions(dispositions.select(
         F.lit(entity).alias("entity"), F.col(record).cast("string").alias("record_id"), action.alias("action"),
         device.alias("device_id"), user.alias("user_id"), at.alias("server_timestamp"),
-    )
+    ))
+
+
+def checked_actions(rows: DataFrame) -> DataFrame:
+    """The audit rows; an action that is not one of ``AUDIT_ACTIONS`` is an error."""
+    wrong = F.raise_error(F.concat(F.lit("no audit action: "), F.coalesce("action", F.lit("null")))).cast("string")
+    return rows.withColumn("action", F.when(F.col("action").isin(*AUDIT_ACTIONS), F.col("action")).otherwise(wrong))
 
 
 class AppendOnly:
@@ -116,6 +122,14 @@ def remaining_files(files: DataFrame, state: DataFrame, stage: str) -> DataFrame
     return files.join(done.select(F.col("target").alias("path")), "path", "left_anti")
 
 
+def stored(spark, folder: str, schema: str) -> DataFrame:
+    """The Parquet table in ``folder``, or an empty one where nothing has been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return spark.read.schema(schema).parquet(folder)
+    return spark.createDataFrame([], schema)
+
+
 def write_version(rows: DataFrame, folder: str, version: int) -> str:
     """Upsert's last step: a new version beside the old ones."""
     path = f"{folder}/v{version}"

@@ -117,3 +117,8 @@ def outputs_in_order(submitted: DataFrame, outputs: DataFrame) -> DataFrame:
     joined = submitted.join(got, submitted["custom_id"] == F.col("_id"), "full")
     state = F.when(F.col("custom_id").isNull(), "stray").when(F.col("_id").isNull(), "missing").otherwise("answered")
     return joined.select(F.coalesce("custom_id", "_id").alias("custom_id"), F.col("ord"), "content", state.alias("state"))
+
+
+def sync_statuses(sent: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Actions that were sent with the status that the server answered; 'unsynced' without one."""
+    return sent.join(results.select(key, "status"), key, "left").withColumn("status", F.coalesce("status", F.lit("unsynced")))

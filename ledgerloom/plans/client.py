@@ -11,17 +11,20 @@ from ledgerloom.sources.adapter import raw, table
 
 
 def _draws(spark, d):
-    """Draws of entitlements: purchases, on the entitlements of low number."""
+    """Draws of entitlements: all purchases; a tenth of them replays another's client id."""
     n = 400
+    replayed = F.floor(F.col("event_id") / n) % 10 == 9
+    client = F.col("event_id") - F.when(replayed, n).otherwise(0)
     return raw(spark, d, "events").where("event_type = 'purchase'").select(
         (F.col("event_id") % n).alias("entitlement_id"),
-        F.concat(F.lit("d"), F.lpad((F.col("event_id") % 4000).cast("string"), 6, "0")).alias("client_id"),
+        F.concat(F.lit("d"), F.lpad(client.cast("string"), 12, "0")).alias("client_id"),
         F.col("ts").alias("created_at"),
         F.floor("value").alias("amount"),
     )
 
 
-DRAWS_SQL = """select event_id % 400 as entitlement_id, 'd' || lpad(cast(event_id % 4000 as varchar), 6, '0') as client_id,
+DRAWS_SQL = """select event_id % 400 as entitlement_id,
+                      'd' || lpad(cast(event_id - case when event_id // 400 % 10 = 9 then 400 else 0 end as varchar), 12, '0') as client_id,
                       ts as created_at, cast(floor(value) as bigint) as amount from events where event_type = 'purchase'"""
 
 
@@ -67,65 +70,56 @@ def draw_reasons(spark, d):
     return e.join(t, "_e", "left").select("id", reason.alias("reason"))
 
 
-@query("""with local as (select c_custkey as id, 'local' as origin from customer where c_custkey % 3 = 0
-              union all select c_custkey + 10000000, 'local' from customer where c_custkey % 5 = 0),
+@query("""with local as (select p_partkey as id, 'local' as origin from part),
           server as (select id, 'server' as origin from players)
           select * from server union all select * from local where id not in (select id from server)""")
 def local_not_in_roster(spark, d):
-    c = raw(spark, d, "customer")
-    local = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("local").alias("origin")).unionByName(
-        c.where("c_custkey % 5 = 0").select((F.col("c_custkey") + 10000000).alias("id"), F.lit("local").alias("origin"))
-    )
+    local = raw(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("local").alias("origin"))
     server = table(spark, d, "players").select("id", F.lit("server").alias("origin"))
     return ledger.only_local(local, server, "id")
 
 
-@query("""select o.o_orderkey as id, coalesce('s' || c.c_custkey, 'l' || o.o_custkey) as player
-          from orders o left join customer c on c.c_custkey = o.o_custkey and c.c_custkey % 2 = 0""")
+@query("""select o.o_orderkey as id, coalesce('s' || s.s_suppkey, 'l' || o.o_custkey) as player
+          from orders o left join supplier s on s.s_suppkey = o.o_custkey""")
 def local_id_rewrite(spark, d):
     rows = raw(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("l"), F.col("o_custkey").cast("string")).alias("player"))
-    known = raw(spark, d, "customer").where("c_custkey % 2 = 0").select(
-        F.concat(F.lit("l"), F.col("c_custkey").cast("string")).alias("local_id"),
-        F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("server_id"),
+    known = raw(spark, d, "supplier").select(
+        F.concat(F.lit("l"), F.col("s_suppkey").cast("string")).alias("local_id"),
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("server_id"),
     )
     return ledger.resolve_ids(rows, "player", known)
 
 
-@query("""select id, created_at, 'server' as origin from sessions where id % 2 = 0
-          union all select id, created_at, 'local' from sessions where id % 3 = 0""")
+@query("""select id, created_at, 'server' as origin from sessions
+          union all select event_id, ts, 'local' from events""")
 def history_union(spark, d):
-    s = table(spark, d, "sessions")
-    return s.where("id % 2 = 0").select("id", "created_at", F.lit("server").alias("origin")).unionByName(
-        s.where("id % 3 = 0").select("id", "created_at", F.lit("local").alias("origin"))
-    )
+    server = table(spark, d, "sessions").select("id", "created_at", F.lit("server").alias("origin"))
+    return server.unionByName(raw(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.lit("local").alias("origin")))
 
 
-@query("""select n_name as name from nation where n_nationkey not in (select distinct c_nationkey from customer where c_custkey % 40 = 0)""")
+@query("""select n_name as name from nation where n_nationkey not in (select distinct s_nationkey from supplier)""")
 def missing_expected(spark, d):
     """Expected names that are not present."""
-    present = raw(spark, d, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("n_nationkey"))
+    present = raw(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
     return raw(spark, d, "nation").join(present, "n_nationkey", "left_anti").select(F.col("n_name").alias("name"))
 
 
 @query("""select e.event_id as client_id, coalesce(r.status, 'unsynced') as status
-          from events e left join (select event_id, case event_id % 3 when 0 then 'applied' when 1 then 'skipped' else 'rejected' end as status
-                                   from events where event_id % 4 <> 0) r using (event_id)""")
+          from events e left join (select o_orderkey as event_id, case o_orderstatus when 'F' then 'applied' when 'O' then 'skipped' else 'rejected' end as status
+                                   from orders) r using (event_id)""")
 def match_sync_results(spark, d):
-    e = raw(spark, d, "events")
-    k = F.col("event_id") % 3
-    got = e.where("event_id % 4 <> 0").select("event_id", F.when(k == 0, "applied").when(k == 1, "skipped").otherwise("rejected").alias("status"))
-    return e.select("event_id").join(got, "event_id", "left").select(F.col("event_id").alias("client_id"), F.coalesce("status", F.lit("unsynced")).alias("status"))
+    kind = F.when(F.col("o_orderstatus") == "F", "applied").when(F.col("o_orderstatus") == "O", "skipped").otherwise("rejected")
+    got = raw(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), kind.alias("status"))
+    return ledger.sync_statuses(raw(spark, d, "events").select("event_id"), got, "event_id").withColumnRenamed("event_id", "client_id")
 
 
-@query("""with s as (select c_custkey as id from customer where c_custkey % 2 = 0),
-               o as (select c_custkey as id, c_name from customer where c_custkey % 3 = 0)
-          select coalesce(s.id, o.id)::varchar as custom_id, s.id as ord, o.c_name as content,
+@query("""with s as (select c_custkey as id from customer), o as (select p_partkey as id, p_name from part)
+          select coalesce(s.id, o.id)::varchar as custom_id, s.id as ord, o.p_name as content,
                  case when s.id is null then 'stray' when o.id is null then 'missing' else 'answered' end as state
           from s full join o on o.id = s.id""")
 def batch_outputs_in_order(spark, d):
-    c = raw(spark, d, "customer")
-    asked = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("custom_id"), F.col("c_custkey").alias("ord"))
-    out = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("custom_id"), F.col("c_name").alias("content"))
+    asked = raw(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("custom_id"), F.col("c_custkey").alias("ord"))
+    out = raw(spark, d, "part").select(F.col("p_partkey").cast("string").alias("custom_id"), F.col("p_name").alias("content"))
     return ledger.outputs_in_order(asked, out).orderBy(F.asc_nulls_last("ord"), "custom_id")
 
 

@@ -14,9 +14,14 @@ from ledgerloom.operators import ledger
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's checkpoint folder; a local one only if unset."""
+    """A new folder under the cluster's checkpoint folder.
+
+    A local one only where none is set and all runs in one process (tests).
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.money import to_cents
 from ledgerloom.functions.text import METRIC_TYPES, day_of
 from ledgerloom.operators.scope import Scope
 
@@ -85,6 +86,17 @@ def sale_actions(captures: DataFrame, most_members: int = 4) -> DataFrame:
     return _exploded(captures, F.concat(F.array(action(F.concat(c("capture_id"), F.lit("-p")), "payment", paid)), given))
 
 
+def normalized_payload(entity: Column, body: Column, known_cents: Column) -> Column:
+    """A payload before it is keyed: a payment without amount_cents takes the cents of its amount.
+
+    Payloads are maps of texts, so a metric's value is a text already.
+    """
+    given = F.coalesce(F.map_contains_key(body, "amount_cents") & F.try_element_at(body, F.lit("amount_cents")).isNotNull(), F.lit(False))
+    cents = to_cents(F.try_element_at(body, F.lit("amount")), known_cents).cast("string")
+    without = F.map_filter(body, lambda k, _: k != "amount_cents")
+    return F.when((entity == "payment") & ~given, F.map_concat(without, F.create_map(F.lit("amount_cents"), cents))).otherwise(body)
+
+
 def in_sync_order(actions: DataFrame) -> DataFrame:
     """Producers of ids first, then by time and client id."""
     return actions.orderBy((~F.col("entity").isin(*PRODUCERS)).cast("int"), "created_at", "client_id")

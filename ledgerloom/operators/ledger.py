@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.dates import period_start
+from ledgerloom.functions.entitlement import RULES, allowance_units, is_recurring, rule
+
 
 def version(created_at: str = "created_at", client_id: str = "client_id") -> Column:
     """What decides which edit wins; a null time loses to any."""
@@ -52,30 +59,109 @@ def merge_stored(stored: DataFrame, winners: DataFrame, key: str, mutable: list[
     )
 
 
+#: What the fold needs of a row, in this order.
+_FOLDED = ("_start", "_since", "_period", "_allowance", "_amount", "_first", "_found", "_active", "_signed")
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and time; only the balance of the key at hand is held."""
+    held: object = object()
+    left = since = None
+    for batch in batches:
+        out = []
+        columns = [batch.column(n).to_pylist() for n in ("_key", *_FOLDED)]
+        for key, start, valid_from, period, allowance, amount, first, found, active, signed in zip(*columns, strict=True):
+            if key != held:
+                held, left, since = key, start, valid_from
+            if amount is None or amount <= 0:
+                out.append(("rejected", "invalid_amount", left, None))
+                continue
+            if not found:
+                out.append(("rejected", "not_found", None, None))
+                continue
+            if not first:
+                out.append(("skipped", None, left, "skip"))
+                continue
+            if period is not None:
+                if since is not None and period > since:
+                    left = allowance
+                since = period if since is None else max(since, period)
+            if not active:
+                out.append(("rejected", "inactive", left, None))
+            elif left is None:
+                out.append(("applied", None, None, "skip"))
+            elif left < amount:
+                out.append(("rejected", "insufficient_units", left, None))
+            elif not signed:
+                out.append(("rejected", "signature_failed", left, None))
+            else:
+                left -= amount
+                out.append(("applied", None, left, "update"))
+        told = list(zip(*out, strict=True)) if out else [()] * 4
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(i) for i in range(3)] + [pa.array(c, k) for c, k in zip(told, kinds, strict=True)],
+            names=[*batch.schema.names[:3], "status", "reason", "remaining", "audit"],
+        )
+
+
+def draw_results(entitlements: DataFrame, draws: DataFrame, key: str = "entitlement_id", today: Column | None = None) -> DataFrame:
+    """A row per draw: its key, client_id and created_at, status (applied, rejected or
+    skipped), reason, the units left after it, and the audit action that signs it.
+
+    ``entitlements`` has the key and remaining_units (null: unlimited) and may have
+    status, valid_from and rules; ``draws`` has the key, client_id, created_at, amount
+    and may have signed (false: no signature could be recorded, which takes nothing).
+    A client id counts once in a key, whatever came of it.  With rules, units are reset
+    where the period of a draw's day (``today``, else the day of created_at) is newer
+    than the last one.  Only limited draws are signed (``update``); unlimited and
+    repeated ones leave a ``skip``.
+
+    Draws are sorted by key and time inside their partition and folded as they
+    come, so an entitlement with most draws needs one task's time but no more memory.
+    """
+    has = lambda df, c, other: F.col(c) if c in df.columns else other
+    rules = has(entitlements, "rules", F.lit(None).cast(RULES))
+    there = entitlements.select(
+        F.col(key).alias("_key"), F.col("remaining_units").cast("long").alias("_start"), F.lit(True).alias("_found"),
+        (has(entitlements, "status", F.lit("active")) == "active").alias("_active"),
+        has(entitlements, "valid_from", F.lit(None)).cast("date").alias("_since"), rules.alias("_rules"),
+    )
+    day = F.to_date("created_at") if today is None else today
+    earliest = Window.partitionBy(key, "client_id").orderBy("created_at", "amount")
+    asked = draws.select(
+        key, "client_id", "created_at", F.col("amount").cast("long").alias("_amount"), day.alias("_day"),
+        F.coalesce(has(draws, "signed", F.lit(True)), F.lit(True)).alias("_signed"), (F.row_number().over(earliest) == 1).alias("_first"),
+    )
+    joined = asked.join(there, asked[key] == F.col("_key"), "left").select(
+        key, "client_id", "created_at", F.col(key).alias("_key"), "_start", "_since",
+        F.when(is_recurring(F.col("_rules")), period_start(rule(F.col("_rules"), "reset"), F.col("_day"))).alias("_period"),
+        allowance_units(F.col("_rules")).alias("_allowance"), "_amount", "_first", F.coalesce("_found", F.lit(False)).alias("_found"),
+        F.coalesce("_active", F.lit(False)).alias("_active"), "_signed",
+    )
+    ordered = joined.repartition(key).sortWithinPartitions(key, "created_at", "client_id", F.desc("_first"))
+    schema = StructType(joined.select(key, "client_id", "created_at").schema.fields)
+    for name, kind in (("status", "string"), ("reason", "string"), ("remaining", "long"), ("audit", "string")):
+        schema = schema.add(name, kind)
+    return ordered.mapInArrow(_fold, schema)
+
+
 def fold_draws(balances: DataFrame, draws: DataFrame, key: str = "entitlement_id") -> DataFrame:
     """Balance and outcome counts per entitlement after its draws, in order.
 
     A draw that exceeds what is left is rejected and takes nothing, so this is a
     fold, not a running sum.  A null balance is unlimited.  A client id counts once.
-    Draws of one entitlement make one array; they are one person's, so they are few.
     """
-    once = draws.groupBy(key, "client_id").agg(F.min(F.struct("created_at", "amount")).alias("_d"))
-    queue = once.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_d.created_at").alias("at"), "client_id", F.col("_d.amount").alias("amount")))).alias("_q")
-    )
-    joined = balances.select(key, "remaining_units").join(queue, key, "left")
-    start = F.struct(F.col("remaining_units").cast("long").alias("left"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"))
-
-    def step(s: Column, d: Column) -> Column:
-        ok = (d["amount"] > 0) & (s["left"].isNull() | (s["left"] >= d["amount"]))
-        return F.struct(
-            F.when(ok, s["left"] - d["amount"]).otherwise(s["left"]).alias("left"),
-            F.when(ok, s["applied"] + 1).otherwise(s["applied"]).alias("applied"),
-            F.when(ok, s["rejected"]).otherwise(s["rejected"] + 1).alias("rejected"),
-        )
-
-    end = F.aggregate(F.coalesce("_q", F.array().cast("array<struct<at:timestamp_ntz,client_id:string,amount:bigint>>")), start, step)
-    return joined.select(key, end["left"].alias("remaining_units"), end["applied"].alias("applied"), end["rejected"].alias("rejected"))
+    own = F.when(F.col("status") != "skipped", F.struct("created_at", "client_id"))
+    done = draw_results(balances, draws, key).groupBy(key).agg(
+        F.max_by("remaining", own).alias("_left"), F.count_if(F.col("status") == "applied").cast("int").alias("_applied"),
+        F.count_if(F.col("status") == "rejected").cast("int").alias("_rejected"),
+    )
+    joined = balances.select(key, F.col("remaining_units").cast("long").alias("_start")).join(done, key, "left")
+    return joined.select(
+        key, F.when(F.col("_applied") > 0, F.col("_left")).otherwise(F.col("_start")).alias("remaining_units"),
+        F.coalesce("_applied", F.lit(0)).alias("applied"), F.coalesce("_rejected", F.lit(0)).alias("rejected"),
+    )
 
 
 def pending_balances(entitlements: DataFrame, pending: DataFrame) -> DataFrame:

@@ -111,6 +111,87 @@ def resolve_names(records: DataFrame, name: Column, index: DataFrame) -> DataFra
     return joined.withColumn("outcome", outcome).drop("_slug", "holders")
 
 
+#: Reasons at load time and of consents, each in the order of its tests.
+LOAD_REASONS = (
+    "UNRESOLVED_PLAYER", "AMBIGUOUS_PLAYER", "BAD_SESSION_TYPE", "BAD_AMOUNT", "UNRESOLVED_SCHOOL", "UNRESOLVED_PRODUCT",
+)
+CONSENT_REASONS = ("MISSING_PLAYER", "UNRESOLVED_PLAYER", "AMBIGUOUS_PLAYER", "MISSING_CONSENT_TYPE")
+#: Tables whose rows belong to a player.
+PLAYER_TABLES = ("sessions", "payments", "student_metrics")
+
+
+def reference_index(rows: DataFrame) -> DataFrame:
+    """(slug, id) of a reference table's names; a name that several ids hold has none."""
+    named = rows.select(text.slug(F.col("name")).alias("slug"), "id").where(F.length("slug") > 0)
+    found = named.groupBy("slug").agg(F.count_distinct("id").alias("_ids"), F.min("id").alias("_one"))
+    return found.select("slug", F.when(F.col("_ids") == 1, F.col("_one")).alias("id"))
+
+
+def _with_reference(rows: DataFrame, table: str, name: str, index: DataFrame, out: str) -> DataFrame:
+    """Rows with the id that their optional name has, and whether a name was given in vain."""
+    given = F.when(F.col("target_table") == table, text.blank_to_null(field(F.col("payload"), name)))
+    found = index.select(F.col("slug").alias(f"_{out}_slug"), F.col("id").alias(out))
+    joined = rows.withColumn(f"_{out}_slug", text.slug(given)).join(found, f"_{out}_slug", "left")
+    lost = (F.length(f"_{out}_slug") > 0) & F.col(out).isNull()
+    return joined.withColumn(f"_no_{out}", F.coalesce(lost, F.lit(False))).drop(f"_{out}_slug")
+
+
+def resolve_references(records: DataFrame, players: DataFrame, schools: DataFrame, products: DataFrame, known_cents: Column) -> DataFrame:
+    """Records with player_id, school_id, product_id, amount_cents and load_reason.
+
+    The indexes are those of ``name_index`` and ``reference_index``.  A school (of
+    sessions) and a product (of payments) may be absent; a name that none or several
+    have is a reason, and the first of ``LOAD_REASONS`` that holds is given.
+    """
+    table, payload = F.col("target_table"), F.col("payload")
+    rows = resolve_names(records, field(payload, "player_name"), players)
+    rows = _with_reference(rows, "sessions", "school_name", schools, "school_id")
+    rows = _with_reference(rows, "payments", "product_name", products, "product_id")
+    rows = rows.withColumn("amount_cents", F.when(table == "payments", money.to_cents(field(payload, "amount"), known_cents)))
+    kind = F.lower(F.trim(field(payload, "session_type")))
+    owned = table.isin(*PLAYER_TABLES)
+    tests = (
+        owned & (F.col("outcome") == "UNRESOLVED_PLAYER"), owned & (F.col("outcome") == "AMBIGUOUS_PLAYER"),
+        (table == "sessions") & ~F.coalesce(kind.isin(*SESSION_TYPES), F.lit(False)),
+        (table == "payments") & F.col("amount_cents").isNull(), F.col("_no_school_id"), F.col("_no_product_id"),
+    )
+    reason = first_failure(table, dict(zip(LOAD_REASONS, tests, strict=True)))
+    return rows.withColumn("load_reason", reason).drop("outcome", "_no_school_id", "_no_product_id")
+
+
+def granted(value: Column) -> Column:
+    """What a consent's field says; anything else, and nothing, counts as given."""
+    word = F.lower(F.trim(value.cast("string")))
+    return ~F.coalesce(word.isin(*text.FALSE_WORDS), F.lit(False))
+
+
+def consent_outcomes(records: DataFrame, players: DataFrame) -> DataFrame:
+    """Consent records with player_id, consent_type, granted, granted_at, method and reason.
+
+    ``reason`` is the first of ``CONSENT_REASONS`` that holds; rows without one may
+    be appended to the ledger.
+    """
+    payload = F.col("payload")
+    name, kind = field(payload, "player_name"), text.blank_to_null(field(payload, "consent_type"))
+    rows = resolve_names(records.where("target_table = 'consents'"), name, players)
+    tests = (
+        ~text.present(name), F.col("outcome") == "UNRESOLVED_PLAYER", F.col("outcome") == "AMBIGUOUS_PLAYER", kind.isNull(),
+    )
+    reason = first_failure(F.col("target_table"), dict(zip(CONSENT_REASONS, tests, strict=True)))
+    return rows.select(
+        *records.columns, "player_id", kind.alias("consent_type"), granted(field(payload, "granted")).alias("granted"),
+        field(payload, "granted_at").alias("granted_at"), field(payload, "method").alias("method"), reason.alias("reason"),
+    )
+
+
+def distinct_names(*lists: DataFrame) -> DataFrame:
+    """Names of several tables (name), each once."""
+    out = lists[0].select("name")
+    for more in lists[1:]:
+        out = out.unionByName(more.select("name"))
+    return out.where(text.present(F.col("name"))).select(F.trim("name").alias("name")).distinct()
+
+
 def merge_attributes(candidates: DataFrame, key: str, attributes: list[str], confidence: str, order: str) -> DataFrame:
     """Per key and attribute the present value of highest confidence, the earliest on ties."""
     picks = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.operators import ledger
+from ledgerloom.operators import actions, client, ledger, records
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.adapter import raw, table
 
@@ -93,15 +93,15 @@ def local_id_rewrite(spark, d):
 @query("""select id, created_at, 'server' as origin from sessions
           union all select event_id, ts, 'local' from events""")
 def history_union(spark, d):
-    server = table(spark, d, "sessions").select("id", "created_at", F.lit("server").alias("origin"))
-    return server.unionByName(raw(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.lit("local").alias("origin")))
+    local = raw(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return client.with_origin(table(spark, d, "sessions").select("id", "created_at"), local)
 
 
 @query("""select n_name as name from nation where n_nationkey not in (select distinct s_nationkey from supplier)""")
 def missing_expected(spark, d):
     """Expected names that are not present."""
     present = raw(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
-    return raw(spark, d, "nation").join(present, "n_nationkey", "left_anti").select(F.col("n_name").alias("name"))
+    return client.missing(raw(spark, d, "nation"), present, "n_nationkey").select(F.col("n_name").alias("name"))
 
 
 @query("""select e.event_id as client_id, coalesce(r.status, 'unsynced') as status
@@ -158,30 +158,30 @@ def attendance_consistency(spark, d):
 def roster_overview(spark, d):
     """Roster rows with summed balances and last visits."""
     p = table(spark, d, "players").select("id", F.concat_ws(" ", "first_name", "last_name").alias("name"))
-    b = table(spark, d, "entitlements").where("status = 'active'").groupBy(F.col("player_id").alias("id")).agg(F.sum("remaining_units").alias("units"))
-    v = table(spark, d, "sessions").groupBy(F.col("player_id").alias("id")).agg(F.max(F.to_date(F.coalesce("started_at", "created_at"))).alias("last_visit"))
-    return p.join(b, "id", "left").join(v, "id", "left")
+    return client.overview(p, table(spark, d, "entitlements"), table(spark, d, "sessions"))
 
 
 @query("""select event_id as id, case when event_id % 13 = 0 then 'quarantined' when event_id % 4 in (0, 1) then 'unsynced' else 'done' end as queue
           from events where user_id % 2 = 0 or event_id % 13 = 0""")
 def queue_by_owner(spark, d):
     """Queue items of the current owner; items without an owner are quarantined."""
-    e = raw(spark, d, "events")
     k = F.col("event_id")
-    owner = F.when(k % 13 != 0, F.col("user_id") % 2)
-    status = F.when(owner.isNull(), "quarantined").when((k % 4).isin(0, 1), "unsynced").otherwise("done")
-    return e.where(owner.isNull() | (owner == 0)).select(k.alias("id"), status.alias("queue"))
+    items = raw(spark, d, "events").select(
+        k.alias("id"), F.when(k % 13 != 0, F.col("user_id") % 2).alias("owner"), F.when((k % 4).isin(0, 1), "unsynced").otherwise("done").alias("status")
+    )
+    return client.queue_of(items, F.lit(0)).select("id", F.col("status").alias("queue"))
 
 
 @query("""select event_id as id, case event_type when 'click' then 'session' when 'purchase' then 'payment' else 'other' end as entity
           from events where (user_id = 8 or json_extract(props, '$.k')::bigint = 8) and event_id % 4 in (0, 1)""")
 def player_local_actions(spark, d):
     """Unsynced actions of a player by mirrored id or by the payload's."""
-    in_payload = F.get_json_object("props", "$.k").cast("long") == 8
     kind = F.when(F.col("event_type") == "click", "session").when(F.col("event_type") == "purchase", "payment").otherwise("other")
-    mine = ((F.col("user_id") == 8) | in_payload) & (F.col("event_id") % 4).isin(0, 1)
-    return raw(spark, d, "events").where(mine).select(F.col("event_id").alias("id"), kind.alias("entity"))
+    queued = raw(spark, d, "events").select(
+        F.col("event_id").alias("id"), kind.alias("entity"), F.col("user_id").alias("player_id"),
+        F.get_json_object("props", "$.k").cast("long").alias("payload_player_id"), (F.col("event_id") % 4).isin(0, 1).alias("unsynced"),
+    )
+    return client.local_actions(queued, F.lit(8)).select("id", "entity")
 
 
 @query("""select s.location_id, s.cents is not distinct from c.cents as same
@@ -190,9 +190,8 @@ def player_local_actions(spark, d):
 def summaries_equal(spark, d):
     """Does a cached summary equal the fresh one?"""
     p = table(spark, d, "payments")
-    fresh = p.groupBy("location_id").agg(F.sum("amount_cents").alias("cents"))
-    cached = p.where("location_id <> 2").groupBy("location_id").agg(F.sum("amount_cents").alias("was"))
-    return fresh.join(cached, "location_id", "left").select("location_id", F.col("cents").eqNullSafe(F.col("was")).alias("same"))
+    total = lambda df: df.groupBy("location_id").agg(F.sum("amount_cents").alias("cents"))
+    return client.same_totals(total(p), total(p.where("location_id <> 2")), "location_id", "cents")
 
 
 @query("""select user_id, max(greatest(ts, ts + interval 1 minute * (event_id % 3))) as latest from events group by user_id""")
@@ -209,3 +208,100 @@ def pricing_prompt(spark, d):
     line = F.struct("type", F.concat(F.col("type"), F.lit(" from R"), F.floor(F.col("cents") / 100).cast("string")).alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
     return least.agg(F.concat(F.lit("Prices: "), F.array_join(lines, "; ")).alias("prompt"))
+
+
+@query("""select s.id, s.name, coalesce(b.present, false) as present from (select id, first_name || ' ' || last_name as name from players) s
+          left join (select user_id as id, bool_or(event_id % 2 = 0) as present from events group by 1) b using (id)""")
+def attendance_roster(spark, d):
+    """Marks of the roster before are kept for the players who are still there."""
+    before = raw(spark, d, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 2 == 0).alias("present"))
+    return client.attendance_roster(table(spark, d, "players").select("id", F.concat_ws(" ", "first_name", "last_name").alias("name")), before)
+
+
+@query("""with puts as (select user_id as device_id, case event_id % 3 when 0 then 'session' when 1 then 'session_owner' else 'last_sync' end as key,
+                               'v' || event_id % 4 as value, event_id as seq from events),
+               stored as (select c_custkey as device_id, 'device_id' as key, c_name as value from customer
+                          union all select c_custkey, 'session_owner', 'v0' from customer where c_custkey % 2 = 0),
+               new as (select device_id, key, arg_max(value, seq) as value from puts group by 1, 2),
+               merged as (select device_id, key, coalesce(n.value, s.value) as value from stored s full join new n using (device_id, key)),
+               gone as (select c_custkey as device_id from customer c left join merged o on o.device_id = c_custkey and o.key = 'session_owner'
+                        where o.value is not distinct from case when c_custkey % 3 <> 0 then 'v0' end)
+          select * from merged m where not (key in ('session', 'session_owner') and device_id in (select device_id from gone))""")
+def client_metadata(spark, d):
+    """Puts by key, then sign-outs that hold only where the owner is the expected one."""
+    e, c = raw(spark, d, "events"), raw(spark, d, "customer")
+    third = F.col("event_id") % 3
+    puts = e.select(
+        F.col("user_id").alias("device_id"), F.when(third == 0, "session").when(third == 1, "session_owner").otherwise("last_sync").alias("key"),
+        F.concat(F.lit("v"), (F.col("event_id") % 4).cast("string")).alias("value"), F.col("event_id").alias("seq"),
+    )
+    device = F.col("c_custkey").alias("device_id")
+    stored = c.select(device, F.lit("device_id").alias("key"), F.col("c_name").alias("value")).unionByName(
+        c.where("c_custkey % 2 = 0").select(device, F.lit("session_owner").alias("key"), F.lit("v0").alias("value"))
+    )
+    out = c.select(device, F.when(F.col("c_custkey") % 3 != 0, "v0").alias("expected_owner"))
+    return client.delete_if_owned(client.put_values(stored, puts), out, "session_owner", ["session", "session_owner"])
+
+
+@query("""select user_id as device_id, coalesce(c_name, 'new-' || user_id) as id from (select distinct user_id from events)
+          left join (select c_custkey, c_name from customer where c_custkey % 2 = 0) on c_custkey = user_id""")
+def device_ids(spark, d):
+    """An install keeps its stored id, or takes a new one."""
+    installs = raw(spark, d, "events").select(F.col("user_id").alias("device_id")).distinct()
+    fresh = installs.withColumn("fresh", F.concat(F.lit("new-"), F.col("device_id").cast("string")))
+    stored = raw(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("device_id"), F.lit("device_id").alias("key"), F.col("c_name").alias("value"))
+    return client.device_ids(fresh, stored)
+
+
+@query("""select c_custkey as id, c_name as name, case when c_custkey % 3 <> 0 then '0' || c_custkey end as phone,
+                 case when c_custkey % 3 <> 0 then 2 else 1 end as fields from customer""")
+def registration_fields(spark, d):
+    """Of a registration only the name and a filled guardian's phone are kept."""
+    phone = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("0"), F.col("c_custkey").cast("string")))
+    kept = client.personal_fields(F.concat(F.lit(" "), F.col("c_name"), F.lit("  ")), phone)
+    rows = raw(spark, d, "customer").select(F.col("c_custkey").alias("id"), kept.alias("_m"))
+    at = lambda n: F.try_element_at("_m", F.lit(n))
+    return rows.select("id", at("name").alias("name"), at("guardian_phone").alias("phone"), F.size("_m").alias("fields"))
+
+
+@query("""select event_id as id, case when event_type = 'purchase' then case when event_id % 3 = 0 then '77' else (case when event_id % 2 = 0 then 3000 else 3050 end)::varchar end end as amount_cents,
+                 'x' || event_id as value from events""")
+def normalized_payloads(spark, d):
+    """Payments get the cents of their amount unless they have cents; other payloads stay."""
+    k = F.col("event_id")
+    body = actions.payload(amount=F.when(k % 2 == 0, "R30").otherwise("30.50"), value=F.concat(F.lit("x"), k.cast("string")), amount_cents=F.when((k % 3 == 0) & (F.col("event_type") == "purchase"), F.lit(77)))
+    entity = F.when(F.col("event_type") == "purchase", "payment").otherwise("student_metrics")
+    known = F.array(F.lit(3000).cast("long"))
+    rows = raw(spark, d, "events").select(k.alias("id"), actions.normalized_payload(entity, body, known).alias("_m"))
+    return rows.select("id", F.try_element_at("_m", F.lit("amount_cents")).alias("amount_cents"), F.try_element_at("_m", F.lit("value")).alias("value"))
+
+
+@query("""select n_name as name from nation union select r_name from region""")
+def school_names(spark, d):
+    """Partner and proposed names, each once."""
+    return records.distinct_names(raw(spark, d, "nation").select(F.col("n_name").alias("name")), raw(spark, d, "region").select(F.col("r_name").alias("name")))
+
+
+@query(f"""with recursive draws as ({DRAWS_SQL}),
+    first as (select *, row_number() over (partition by entitlement_id, client_id order by created_at, amount) = 1 as f from draws),
+    queue as (select *, created_at::date - cast(isodow_ as integer) as period, row_number() over (partition by entitlement_id order by created_at, client_id) as k
+              from (select *, (isodow(created_at) - 1)::bigint as isodow_ from first where f and amount > 0)),
+    fold as (
+        select id, remaining_units as remaining, valid_from as since, null::varchar as status, 0::bigint as k from entitlements where status = 'active'
+        union all
+        select g.id, case when g.start is null or g.start < g.amount then g.start else g.start - g.amount end, greatest(g.since, g.period),
+               case when g.start is null or g.start >= g.amount then 'applied' else 'rejected' end, g.k
+        from (select f.id, f.since, q.period, q.amount, q.k, case when q.period > f.since then 120 else f.remaining end as start
+              from fold f join queue q on q.entitlement_id = f.id and q.k = f.k + 1) g)
+    select id as entitlement_id, count(*) filter (status = 'applied') as applied, count(*) filter (status = 'rejected') as rejected,
+           arg_max(coalesce(remaining, -1), k) as remaining
+    from fold where k > 0 group by 1""")
+def draws_with_reset(spark, d):
+    """Draws of active weekly entitlements, whose units come back each Monday."""
+    rules = F.create_map(F.lit("reset"), F.lit("monday"), F.lit("hours_per_week"), F.lit("2"))
+    e = table(spark, d, "entitlements").select(F.col("id").alias("entitlement_id"), "remaining_units", "status", "valid_from", rules.alias("rules"))
+    told = ledger.draw_results(e.where("status = 'active'"), _draws(spark, d)).where("status <> 'skipped' and coalesce(reason, '') not in ('not_found', 'invalid_amount')")
+    return told.groupBy("entitlement_id").agg(
+        F.count_if(F.col("status") == "applied").alias("applied"), F.count_if(F.col("status") == "rejected").alias("rejected"),
+        F.max_by(F.coalesce("remaining", F.lit(-1)), F.struct("created_at", "client_id")).alias("remaining"),
+    )

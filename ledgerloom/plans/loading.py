@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import ledger, records
+from ledgerloom.operators import actions, client, ledger, records
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.adapter import raw, table
 
@@ -346,5 +346,66 @@ def unique_client_violations(spark, d):
 @query("""select lower(name) as slug, arg_min(id, id) as id from (select p_name as name, p_partkey as id from part) group by 1""")
 def title_first_match(spark, d):
     """The first record of each title, case and outer white space aside."""
-    p = raw(spark, d, "part")
-    return p.groupBy(F.lower(F.trim("p_name")).alias("slug")).agg(F.min_by("p_partkey", "p_partkey").alias("id"))
+    p = raw(spark, d, "part").withColumnRenamed("p_partkey", "id")
+    return client.first_by_title(p, "p_name", "id", "id")
+
+
+@query("""with f as (select lower(first_name || ' ' || last_name) as slug, id from players union all select lower(first_name), id from players),
+               x as (select slug, case when count(distinct id) = 1 then min(id) end as one from f group by slug),
+               e as (select event_id, case when event_id % 4 = 0 then 'payments' when event_id % 4 = 1 then 'lessons' else 'sessions' end as t,
+                            lower(c_mktsegment) || ' n' || (event_id % 450) as who, event_id % 5 as k, event_id % 6 as m, event_id % 30 as school
+                     from events join customer on c_custkey = user_id),
+               r as (select e.*, x.one, x.slug is not null as known, n_nationkey from e left join x on x.slug = e.who left join nation on n_nationkey = school)
+          select event_id as id,
+                 case when t = 'lessons' then null when not known then 'UNRESOLVED_PLAYER' when one is null then 'AMBIGUOUS_PLAYER'
+                      when t = 'sessions' and k = 0 then 'BAD_SESSION_TYPE' when t = 'payments' and k = 0 then 'BAD_AMOUNT'
+                      when t = 'sessions' and m <> 0 and n_nationkey is null then 'UNRESOLVED_SCHOOL'
+                      when t = 'payments' and m = 1 then 'UNRESOLVED_PRODUCT' end as load_reason,
+                 case when t = 'sessions' and m <> 0 then n_nationkey end as school_id,
+                 case when t = 'payments' and k <> 0 then 3000 end as amount_cents
+          from r""")
+def load_reasons(spark, d):
+    """Player, school and product of extracted records, and the first reason against loading them."""
+    e = raw(spark, d, "events").join(raw(spark, d, "customer"), F.col("c_custkey") == F.col("user_id"))
+    k = F.col("event_id")
+    n = raw(spark, d, "nation")
+    names = n.select((F.col("n_nationkey").cast("long")).alias("_school"), F.col("n_name").alias("_name"))
+    e = e.withColumn("_school", k % 30).join(names, "_school", "left")
+    school = F.when(k % 6 != 0, F.upper(F.coalesce("_name", F.lit("No Such Place")))).otherwise(" ")
+    rows = e.select(
+        k.alias("id"), F.when(k % 4 == 0, "payments").when(k % 4 == 1, "lessons").otherwise("sessions").alias("target_table"),
+        actions.payload(
+            player_name=F.concat(F.upper("c_mktsegment"), F.lit("  N"), (k % 450).cast("string")), school_name=school,
+            session_type=F.when(k % 5 == 0, "party").otherwise(" Lesson"), amount=F.when(k % 5 == 0, "free").otherwise("R30"),
+            product_name=F.when(k % 6 == 1, "no such product"),
+        ).alias("payload"),
+    )
+    out = records.resolve_references(
+        rows, records.name_index(table(spark, d, "players")), records.reference_index(table(spark, d, "schools")),
+        records.reference_index(table(spark, d, "products")), F.array(F.lit(3000).cast("long")),
+    )
+    return out.select("id", "load_reason", "school_id", "amount_cents")
+
+
+@query("""with f as (select lower(first_name || ' ' || last_name) as slug, id from players union all select lower(first_name), id from players),
+               x as (select slug, case when count(distinct id) = 1 then min(id) end as one from f group by slug),
+               e as (select event_id, case when event_id % 9 <> 0 then lower(c_mktsegment) || ' n' || (event_id % 450) end as who, event_id % 5 as k, event_id % 4 as g
+                     from events join customer on c_custkey = user_id)
+          select event_id as id, x.one as player_id, case when k <> 0 then 'photo' end as consent_type, g <> 1 as granted,
+                 case when who is null then 'MISSING_PLAYER' when x.slug is null then 'UNRESOLVED_PLAYER' when x.one is null then 'AMBIGUOUS_PLAYER'
+                      when k = 0 then 'MISSING_CONSENT_TYPE' end as reason
+          from e left join x on x.slug = e.who""")
+def consent_reasons(spark, d):
+    """Consent records against the players, with what they grant and the first reason against them."""
+    e = raw(spark, d, "events").join(raw(spark, d, "customer"), F.col("c_custkey") == F.col("user_id"))
+    k = F.col("event_id")
+    said = F.when(k % 4 == 1, " Revoked").when(k % 4 == 2, "YES").when(k % 4 == 3, "perhaps")
+    rows = e.select(
+        k.alias("id"), F.lit("consents").alias("target_table"),
+        actions.payload(
+            player_name=F.when(k % 9 != 0, F.concat("c_mktsegment", F.lit(" N"), (k % 450).cast("string"))).otherwise(" "),
+            consent_type=F.when(k % 5 == 0, "").otherwise("photo"), granted=said,
+        ).alias("payload"),
+    )
+    out = records.consent_outcomes(rows, records.name_index(table(spark, d, "players")))
+    return out.select("id", "player_id", "consent_type", "granted", "reason")

@@ -28,28 +28,42 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 class LastWriteTable:
-    """Rows by key in versioned Parquet folders; a batch makes the next version.
+    """Rows by key as the winners of each batch, in a Parquet folder of its own.
 
-    A version is named after its batch, so that a replayed batch writes the same
-    one again.  Readers take the last version; nothing is changed in place.
+    A batch writes what it changes, not the table, and its folder is named after it,
+    so that a replayed batch writes the same one again.  Reading takes the newest
+    winner of each key; ``compact`` writes that once, as the start of later reads.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, mutable: list[str], schema):
         self.spark, self.folder, self.key, self.mutable, self.schema = spark, folder, key, mutable, schema
-        self.version = -1
+        self.version, self.base = -1, -1
 
     def read(self, version: int | None = None) -> DataFrame:
-        v = self.version if version is None else version
-        if v < 0:
+        last = self.version if version is None else version
+        start = self.base if self.base <= last else -1
+        paths = [f"{self.folder}/v{n}" for n in range(start + 1, last + 1)]
+        if start >= 0:
+            paths.append(f"{self.folder}/upto{start}")
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{v}")
+        winners = self.spark.read.schema(self.schema).parquet(*paths)
+        newest = [F.max_by(m, ledger.version()).alias(m) for m in self.mutable]
+        return winners.groupBy(self.key).agg(F.max(ledger.version()).alias("_v"), *newest).select(
+            self.key, "_v.created_at", "_v.client_id", *self.mutable
+        )
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        """Winners of the batch against the version before it."""
-        winners = ledger.last_write(batch, self.key, self.mutable, "seq").drop("n_edits")
-        merged = ledger.merge_stored(self.read(number - 1), winners, self.key, self.mutable)
-        merged.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
-        self.version = number
+        """Write the winners of the batch beside those before it."""
+        winners = ledger.last_write(batch, self.key, self.mutable, "seq").select(self.schema.names)
+        winners.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+        self.version = max(self.version, number)
+
+    def compact(self) -> None:
+        """Gather all batches so far in one folder; the old ones stay for older readers."""
+        last = self.version
+        self.read(last).write.mode("overwrite").parquet(f"{self.folder}/upto{last}")
+        self.base = last
 
 
 def sync_edits(edits_path_df: DataFrame, key: str, mutable: list[str], files_per_batch: int = 1) -> DataFrame:

@@ -373,13 +373,16 @@ def table_metrics(tables: DataFrame) -> DataFrame:
     """Metric tables (source_file, header array, row_no, cells array) as one row a value.
 
     The first column names the person; other columns count where their header is a
-    metric type and their cell is filled.
+    metric type and their cell is filled.  Tables with a table_no give each value's
+    place as ``cell``.
     """
-    head = tables.select("source_file", "row_no", "cells", F.posexplode("header").alias("col", "title"))
+    place = [F.concat_ws("-", *[F.col(c).cast("string") for c in ("table_no", "row_no", "col")]).alias("cell")] if "table_no" in tables.columns else []
+    own = ["table_no"] if place else []
+    head = tables.select("source_file", *own, "row_no", "cells", F.posexplode("header").alias("col", "title"))
     cell = F.get("cells", F.col("col"))
     kind = text.metric_type(F.col("title"))
     return head.where((F.col("col") > 0) & kind.isNotNull() & text.present(cell)).select(
-        "source_file", "row_no", F.get("cells", F.lit(0)).alias("player_name"), kind.alias("metric_type"), cell.alias("value")
+        "source_file", "row_no", F.get("cells", F.lit(0)).alias("player_name"), kind.alias("metric_type"), cell.alias("value"), *place
     )
 
 

@@ -131,10 +131,12 @@ def docx_lines(items: DataFrame) -> DataFrame:
 
 
 def docx_tables(items: DataFrame) -> DataFrame:
-    """Data rows of each table with the table's header, the row numbered 1."""
+    """Data rows of each table with the table's header, the row numbered 1, and its place in the file."""
     rows = items.where("kind = 'table'").withColumn("_start", F.col("pos") - F.col("row_no"))
     head = rows.where("row_no = 1").select("source_file", "_start", F.col("cells").alias("header"))
-    return rows.where("row_no > 1").join(head, ["source_file", "_start"]).select("source_file", "header", "row_no", "cells")
+    return rows.where("row_no > 1").join(head, ["source_file", "_start"]).select(
+        "source_file", F.col("_start").alias("table_no"), "header", "row_no", "cells"
+    )
 
 
 def read_batch_output(spark: SparkSession, glob: str) -> DataFrame:

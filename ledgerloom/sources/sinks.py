@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
@@ -110,6 +110,11 @@ class AppendOnly:
         return spark.read.parquet(self.folder)
 
 
+MANIFEST = "run_id string, stage string, kind string, target string, status string, reason string"
+#: What a stage, and a file or record in it, may be.
+STAGE_STATUSES = ("pending", "running", "completed", "failed")
+
+
 def manifest_state(events: DataFrame) -> DataFrame:
     """Latest status per (run, stage, kind, target) of append-only manifest rows."""
     keys = ["run_id", "stage", "kind", "target"]
@@ -122,7 +127,74 @@ def remaining_files(files: DataFrame, state: DataFrame, stage: str) -> DataFrame
     return files.join(done.select(F.col("target").alias("path")), "path", "left_anti")
 
 
-def stored(spark, folder: str, schema: str) -> DataFrame:
+class Manifest:
+    """What a run has done, as append-only rows below ``folder``.
+
+    A save is written under a name that readers pass over and then renamed, so it is
+    seen whole or not at all (where the file system renames at once).  The latest
+    row of a stage, file or record holds; skips and failures all stay.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, run_id: str):
+        self.spark, self.folder, self.run_id = spark, folder, run_id
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self._files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self._next = 1 + max([int(s.getPath().getName()[4:]) for s in self._saves(path)], default=0)
+
+    def _saves(self, path) -> list:
+        if not self._files.exists(path):
+            return []
+        return [s for s in self._files.listStatus(path) if s.getPath().getName().startswith("seq=")]
+
+    def exists(self) -> bool:
+        return self._next > 1
+
+    def _save(self, rows: DataFrame) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        hidden, name = f"{self.folder}/_saving-{self._next}", f"{self.folder}/seq={self._next}"
+        rows.write.mode("overwrite").parquet(hidden)
+        if not self._files.rename(at(hidden), at(name)):
+            raise OSError(f"{name} can't be written")
+        self._next += 1
+
+    def _told(self, stage: str, kind: str, target: str | None, status: str, reason: str | None = None) -> None:
+        self._save(self.spark.createDataFrame([(self.run_id, stage, kind, target, status, reason)], MANIFEST).coalesce(1))
+
+    def start_stage(self, stage: str) -> None:
+        self._told(stage, "stage", stage, "running")
+
+    def complete_stage(self, stage: str) -> None:
+        self._told(stage, "stage", stage, "completed")
+
+    def fail_stage(self, stage: str, error: str) -> None:
+        self._told(stage, "stage", stage, "failed", error)
+
+    def mark(self, stage: str, kind: str, rows: DataFrame) -> None:
+        """A row per target: ``rows`` has target, status and reason."""
+        head = [F.lit(v).alias(n) for n, v in (("run_id", self.run_id), ("stage", stage), ("kind", kind))]
+        self._save(rows.select(*head, F.col("target").cast("string").alias("target"), "status", F.col("reason").cast("string").alias("reason")))
+
+    def record_skip(self, stage: str, target: str, reason: str) -> None:
+        self._told(stage, "skip", target, "skipped", reason)
+
+    def record_failure(self, stage: str, target: str, reason: str) -> None:
+        self._told(stage, "failure", target, "failed", reason)
+
+    def events(self) -> DataFrame:
+        if not self.exists():
+            return self.spark.createDataFrame([], f"{MANIFEST}, seq int")
+        return self.spark.read.schema(f"{MANIFEST}, seq int").option("basePath", self.folder).parquet(self.folder)
+
+    def state(self) -> DataFrame:
+        """Latest rows of stages, files and records."""
+        return manifest_state(self.events().where("kind not in ('skip', 'failure')"))
+
+    def stage_status(self, stage: str) -> str:
+        row = self.state().where((F.col("kind") == "stage") & (F.col("stage") == stage)).first()
+        return "pending" if row is None else row["status"]
+
+
+def stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The Parquet table in ``folder``, or an empty one where nothing has been stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):

@@ -1,7 +1,8 @@
 """Operators on small frames with known answers."""
 
+import json
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from ledgerloom.operators import actions, ledger, records, reports
 from ledgerloom.operators.scope import Scope, ScopeError, sync_gate
 from ledgerloom.plans import run
 from ledgerloom.sources import files, sinks
+from ledgerloom.streaming import sync
 
 
 def test_scopes_fail_closed(spark):
@@ -208,3 +210,199 @@ def test_keyless_rows_and_audit_actions(spark):
     bad = spark.createDataFrame([("truncate",)], "action string")
     with pytest.raises(Exception, match="no audit action"):
         sinks.checked_actions(bad).collect()
+
+
+def _answers(*records):
+    return '{"records":[' + ",".join(records) + "]}"
+
+
+def test_run_loads_references_and_consents(spark, tmp_path):
+    """Schools, products and consents are resolved, else flagged with their reasons; a table's metrics are read."""
+    source = tmp_path / "src"
+    (source / "cards").mkdir(parents=True)
+    (source / "lessons").mkdir()
+    (source / "cards" / "a.png").write_bytes(b"x")
+    cell = lambda s: f"<w:tc><w:p><w:r><w:t>{s}</w:t></w:r></w:p></w:tc>"
+    row = lambda *c: "<w:tr>" + "".join(map(cell, c)) + "</w:tr>"
+    table = "<w:tbl>" + row("Student", "Quiz 1", "Quiz 2") + row("Kabelo M", "7", "8") + "</w:tbl>"
+    _docx(source / "lessons" / "week.docx", table + table)
+    session = '{"target_table":"sessions","confidence":0.9,"payload":{"player_name":"Kabelo M","session_type":"%s","started_at":"2023-12-01","school_name":"%s"}}'
+    payment = '{"target_table":"payments","confidence":0.9,"payload":{"player_name":"Kabelo M","amount":"R30","paid_at":"2023-12-0%d","product_name":"%s"}}'
+    consent = '{"target_table":"consents","confidence":0.9,"payload":{"player_name":"%s","consent_type":"%s","granted":"%s"}}'
+    answer = _answers(
+        session % ("lesson", "hill  SIDE"), session % ("kit", "nowhere"), session % ("party", "nowhere"), payment % (1, "Pass"), payment % (2, "twice"), payment % (3, ""),
+        consent % ("Kabelo M", "photo", "no"), consent % ("Kabelo M", "", "no"), consent % ("", "photo", "yes"),
+    )
+    players = spark.createDataFrame([(1, "Kabelo", "M")], "id long, first_name string, last_name string")
+    schools = spark.createDataFrame([(5, "Hill Side")], "id long, name string")
+    products = spark.createDataFrame([(7, "pass"), (8, "Twice"), (9, "twice")], "id long, name string")
+    providers = run.Providers({"stub": lambda: lambda request: answer})
+    settings = run.Settings(f"file://{source}", f"file://{tmp_path}/state")
+    go = lambda name: run.run_batch(spark, settings, providers, players, run_id=name, schools=schools, products=products)
+    first = go("one")
+    counts = run.summary(first)
+    assert {k: counts.get(k) for k in ("UNRESOLVED_SCHOOL", "BAD_SESSION_TYPE", "UNRESOLVED_PRODUCT", "MISSING_CONSENT_TYPE", "MISSING_PLAYER", "appended")} == {
+        "UNRESOLVED_SCHOOL": 1, "BAD_SESSION_TYPE": 1, "UNRESOLVED_PRODUCT": 1, "MISSING_CONSENT_TYPE": 1, "MISSING_PLAYER": 1, "appended": 1,
+    }
+    rows = {(r["target_table"], r["disposition"], r["school_id"], r["product_id"]) for r in first["load"].collect()}
+    assert ("sessions", "inserted", 5, None) in rows and ("payments", "inserted", None, 7) in rows and ("payments", "inserted", None, None) in rows
+    # two tables of two quizzes: four records, of which two have the key of another
+    metrics = [r["disposition"] for r in first["load"].where("target_table = 'student_metrics'").collect()]
+    assert sorted(metrics) == ["duplicate", "duplicate", "inserted", "inserted"]
+    book = sinks.AppendOnly(f"file://{tmp_path}/state/consents")
+    assert [(r["player_id"], r["consent_type"], r["granted"]) for r in book.read(spark).collect()] == [(1, "photo", False)]
+    assert "appended" not in run.summary(go("two")) and book.read(spark).count() == 1
+
+
+def test_resume_goes_on_with_what_is_left(spark, tmp_path):
+    """A run that halts in extract is resumed: what was extracted stays, the rest is done once."""
+    source = tmp_path / "src"
+    (source / "cards").mkdir(parents=True)
+    (source / "cards" / "a.png").write_bytes(b"a")
+    asked = tmp_path / "asked"
+
+    def client():
+        def call(request):
+            with open(asked, "a") as f:
+                f.write(request["path"].rsplit("/", 1)[1] + "\n")
+            if (tmp_path / "down").exists():
+                raise RuntimeError("the service is down")
+            return _answers('{"target_table":"lessons","confidence":0.9,"payload":{"title":"%s"}}' % request["path"][-5:])
+
+        return call
+
+    providers = run.Providers({"stub": lambda: client()})
+    nobody = spark.createDataFrame([], "id long, first_name string, last_name string")
+    settings = run.Settings(f"file://{source}", f"file://{tmp_path}/state")
+    go = lambda **more: run.run_batch(spark, settings, providers, nobody, "validate", "r", **more)
+    with pytest.raises(FileNotFoundError):
+        go(resume=True)
+    assert go()["extract"].count() == 1
+    (source / "cards" / "b.png").write_bytes(b"b")
+    (tmp_path / "down").write_text("")
+    with pytest.raises(Exception, match="down"):
+        go(resume=True)
+    manifest = sinks.Manifest(spark, f"file://{tmp_path}/state/r/manifest", "r")
+    assert manifest.stage_status("extract") == "failed" and manifest.stage_status("load") == "pending"
+    (tmp_path / "down").unlink()
+    asked.unlink()
+    whole = go(resume=True)["extract"]
+    assert sorted(r["payload"]["title"] for r in whole.collect()) == ["a.png", "b.png"]
+    assert set(asked.read_text().split()) == {"b.png"}
+    manifest = sinks.Manifest(spark, f"file://{tmp_path}/state/r/manifest", "r")
+    assert [manifest.stage_status(s) for s in ("collect", "extract", "validate")] == ["completed"] * 3
+    manifest.record_skip("archive", "x", "why")
+    manifest.record_skip("archive", "x", "why")
+    assert manifest.events().where("kind = 'skip'").count() == 2 and manifest.state().where("target = 'x'").isEmpty()
+
+
+def test_command_line_reads_answers(spark, tmp_path, capsys):
+    source, state = tmp_path / "src", tmp_path / "state"
+    (source / "cards").mkdir(parents=True)
+    (source / "cards" / "a.png").write_bytes(b"a")
+    path = files.list_files(spark, f"file://{source}").first()["path"]
+    said = _answers('{"target_table":"lessons","confidence":0.9,"payload":{"title":"T"}}')
+    line = {"recordId": path, "modelOutput": {"content": [{"type": "text", "text": said}]}}
+    (tmp_path / "out.jsonl").write_text(json.dumps(line) + "\n")
+    at = ["--source-folder", f"file://{source}", "--state-dir", f"file://{state}"]
+    assert run.main([*at, "--answers", f"file://{tmp_path}/out.jsonl"]) == 0
+    assert "inserted: 1" in capsys.readouterr().out
+    assert run.main([*at, "--resume", "unknown"]) == 1
+    assert run.main([*at, "--reference-date", "today"]) == 2
+    assert run.main([*at, "--config", str(tmp_path / "none.json")]) == 2
+
+
+def test_settings_from_file_and_environment(tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text('{"llm_provider": "Batch", "confidence_threshold": 0.5}')
+    got = run.load_settings("s", "t", str(path), env={"CONFIDENCE_THRESHOLD": "0.9", "LLM_PROVIDER": ""})
+    assert (got.provider, got.threshold) == ("batch", 0.9)
+    path.write_text("[1]")
+    with pytest.raises(run.ConfigError):
+        run.load_settings("s", "t", str(path), env={})
+    for wrong in ("2", "high"):
+        with pytest.raises(run.ConfigError):
+            run.load_settings("s", "t", env={"CONFIDENCE_THRESHOLD": wrong})
+
+
+def test_batch_jobs_end_or_fail(spark, tmp_path):
+    states, waits = iter(["Submitted", "InProgress", "Completed"]), []
+    run.await_job(lambda: next(states), 30, sleep=waits.append)
+    assert waits == [30, 30]
+    with pytest.raises(run.BatchFailed):
+        run.await_job(lambda: "Stopped")
+    with pytest.raises(run.BatchFailed):
+        run.await_job(lambda: "InProgress", 30, 60, sleep=waits.append)
+    asked = spark.createDataFrame([("a", "image/png", "x"), ("b", "image/png", "y")], "path string, media_type string, data string")
+
+    def submit(given, out):
+        assert spark.read.text(given).count() == 2
+        spark.createDataFrame([('{"recordId":"b","modelOutput":{"content":[{"type":"text","text":"yes"}]}}',)], "value string").write.text(out)
+        return lambda: "Completed"
+
+    got = run.generate_in_batch(asked, f"file://{tmp_path}/job", submit)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [("a", None), ("b", "yes")]
+
+
+def test_draws_in_order_with_resets_and_signatures(spark):
+    """A fold in plain Python gives the same status, reason and units for every draw."""
+    import random
+
+    rng = random.Random(5)
+    day = lambda: datetime(2024, 1, rng.randint(1, 28), rng.randint(0, 23))
+    rules = [None, {"reset": "monday", "hours_per_week": "1"}, {"units": "9"}]
+    held = [(k, rng.choice([None, 0, 50, 90]), rng.choice(["active", "active", "expired"]), rng.choice([None, datetime(2024, 1, 1).date()]), rules[k % 3]) for k in range(9)]
+    asked = [(rng.randrange(11), f"c{rng.randrange(150)}", day(), rng.choice([None, -1, 10, 20, 40]), rng.random() < 0.8) for _ in range(400)]
+    e = spark.createDataFrame(held, "entitlement_id long, remaining_units long, status string, valid_from date, rules map<string,string>")
+    d = spark.createDataFrame(asked, "entitlement_id long, client_id string, created_at timestamp_ntz, amount long, signed boolean")
+    got = sorted(((r[0], r[2], r[1], r[3], r[4], r[5]) for r in ledger.draw_results(e, d).collect()), key=str)
+
+    least = {}
+    for key, client, at, amount, _ in asked:
+        order = (at, -(10**9) if amount is None else amount)
+        least[key, client] = min(least.get((key, client), order), order)
+    want, taken = [], set()
+    state = {h[0]: [h[1], h[3]] for h in held}
+    info = {h[0]: h for h in held}
+    for key, client, at, amount, signed in sorted(asked, key=lambda x: (x[0], x[2], x[1], x[3] is not None, x[3] or 0)):
+        left, since = state.get(key, (None, None))
+        first = (key, client) not in taken and (at, -(10**9) if amount is None else amount) == least[key, client]
+        taken |= {(key, client)} if first else set()
+        if amount is None or amount <= 0:
+            want.append((key, at, client, "rejected", "invalid_amount", left))
+        elif key not in info:
+            want.append((key, at, client, "rejected", "not_found", None))
+        elif not first:
+            want.append((key, at, client, "skipped", None, left))
+        else:
+            if key % 3 == 1:
+                monday = at.date() - timedelta(days=at.weekday())
+                if since is not None and monday > since:
+                    left = 60
+                since = monday if since is None else max(since, monday)
+            status, reason = "applied", None
+            if info[key][2] != "active":
+                status, reason = "rejected", "inactive"
+            elif left is not None and left < amount:
+                status, reason = "rejected", "insufficient_units"
+            elif left is not None and not signed:
+                status, reason = "rejected", "signature_failed"
+            elif left is not None:
+                left -= amount
+            state[key] = [left, since]
+            want.append((key, at, client, status, reason, left))
+    assert sorted(want, key=str) == got
+
+
+def test_changes_and_compaction_give_the_same_table(spark, tmp_path):
+    schema = "k string, created_at timestamp, client_id string, value int"
+    table = sync.LastWriteTable(spark, f"file://{tmp_path}/t", "k", ["value"], spark.createDataFrame([], schema).schema)
+    batch = lambda *rows: spark.createDataFrame([(k, datetime(2024, 1, d), c, v, i) for i, (k, d, c, v) in enumerate(rows)], f"{schema}, seq int")
+    table.apply(batch(("a", 2, "x", 1), ("a", 1, "z", 9), ("b", 1, "x", 2)), 0)
+    table.apply(batch(("a", 1, "y", 5), ("c", 1, "x", 3)), 1)
+    rows = lambda: sorted((r["k"], r["value"]) for r in table.read().collect())
+    assert rows() == [("a", 1), ("b", 2), ("c", 3)]
+    table.compact()
+    table.apply(batch(("b", 3, "x", 7)), 2)
+    table.apply(batch(("b", 3, "x", 7)), 2)
+    assert rows() == [("a", 1), ("b", 7), ("c", 3)]

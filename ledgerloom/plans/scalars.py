@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import dates, entitlement, money, text
+from ledgerloom.functions import dates, entitlement, money, sealing, text
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.adapter import raw
 
@@ -146,12 +146,20 @@ def typed_amounts(spark, d):
     )
 
 
-@query("""select item_id, text as secret from benchmark""")
+@query("""select item_id, text as secret, case when text is not null then true end as hidden from benchmark""")
 def encrypted_fields(spark, d):
-    """Personal fields survive a round trip through AES-GCM."""
-    key = F.lit("0123456789abcdef")
-    b = raw(spark, d, "benchmark").select("item_id", F.base64(F.aes_encrypt("text", key, F.lit("GCM"))).alias("sealed"))
-    return b.select("item_id", F.aes_decrypt(F.unbase64("sealed"), key, F.lit("GCM")).cast("string").alias("secret"))
+    """Personal fields survive a round trip through AES-GCM and are hidden on the way.
+
+    The secret is the session's ``spark.ledgerloom.fieldSecret``, else one drawn for the call.
+    """
+    secret = spark.conf.get("spark.ledgerloom.fieldSecret", None) or sealing.new_salt()
+    key = sealing.derive_key(secret, sealing.new_salt())
+    b = raw(spark, d, "benchmark").select("item_id", "text", sealing.seal(F.col("text"), key).alias("sealed"))
+    plain = F.base64(F.col("text").cast("binary"))
+    return b.select(
+        "item_id", sealing.unseal(F.col("sealed"), key).alias("secret"),
+        (~F.contains(F.col("sealed.ciphertext"), plain)).alias("hidden"),
+    )
 
 
 @query("""select event_id, case event_id % 6 when 0 then 'typing_wpm' when 1 then 'typing_accuracy' when 2 then 'homework_done'

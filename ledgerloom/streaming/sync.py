@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ledgerloom.operators import ledger
 
@@ -90,59 +91,87 @@ def sync_edits(edits_path_df: DataFrame, key: str, mutable: list[str], files_per
     return table.read()
 
 
-DRAW_STATE = "remaining long, unlimited boolean, applied int, rejected int, seen string"
 DRAW_RESULT = "entitlement_id long, client_id string, status string, remaining long"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _apply_draws(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Draws of one entitlement in order; state holds its balance and the receipts."""
-    rows = pd.concat(list(batches)).sort_values(["created_at", "client_id"])
-    if state.exists:
-        remaining, unlimited, applied, rejected, seen_text = state.get
-    else:
-        first = rows["start_units"].iloc[0]
-        unlimited = bool(pd.isna(first))
-        remaining, applied, rejected, seen_text = (0 if unlimited else int(first)), 0, 0, ""
-    seen = set(seen_text.split("\n")) if seen_text else set()
-    out = []
-    for client, amount in zip(rows["client_id"], rows["amount"], strict=True):
-        if client in seen:
-            out.append((key[0], client, "skipped", None if unlimited else remaining))
-            continue
-        seen.add(client)
-        if amount > 0 and (unlimited or remaining >= amount):
-            remaining -= 0 if unlimited else int(amount)
-            applied += 1
-            out.append((key[0], client, "applied", None if unlimited else remaining))
-        else:
-            rejected += 1
-            out.append((key[0], client, "rejected", None if unlimited else remaining))
-    state.update((remaining, unlimited, applied, rejected, "\n".join(sorted(seen))))
-    yield pd.DataFrame(out, columns=["entitlement_id", "client_id", "status", "remaining"]).astype({"remaining": "Int64"})
+class DrawKeeper(StatefulProcessor):
+    """Draws of one entitlement in order of time within a micro-batch.
+
+    Its balance is one state value; every receipt is an entry of a map on disk, read and
+    written by its client id alone, so a batch costs its own rows and not the history.
+    """
 
+    def init(self, handle) -> None:
+        self.balance = handle.getValueState("balance", "remaining long, unlimited boolean")
+        self.receipts = handle.getMapState("receipts", "client_id string", "status string")
 
-def stateful_draws(draws: DataFrame, files_per_batch: int = 0) -> DataFrame:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        draws = pd.concat(list(rows)).sort_values(["created_at", "client_id"])
+        if self.balance.exists():
+            remaining, unlimited = self.balance.get()
+        else:
+            first = draws["start_units"].iloc[0]
+            unlimited = bool(pd.isna(first))
+            remaining = 0 if unlimited else int(first)
+        told = []
+        for client, amount, replay in zip(draws["client_id"], draws["amount"], draws["replay"], strict=True):
+            named = not pd.isna(client)
+            known = named and self.receipts.containsKey((client,))
+            if known or replay:
+                status = "skipped"
+            elif amount > 0 and (unlimited or remaining >= amount):
+                remaining -= 0 if unlimited else int(amount)
+                status = "applied"
+            else:
+                status = "rejected"
+            if named and not known:
+                self.receipts.updateValue((client,), (status,))
+            told.append((key[0], client, status, None if unlimited else remaining))
+        self.balance.update((remaining, unlimited))
+        yield pd.DataFrame(told, columns=["entitlement_id", "client_id", "status", "remaining"]).astype({"remaining": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_draws(draws: DataFrame, files_per_batch: int = 0, old_receipts: DataFrame | None = None) -> DataFrame:
     """Stateful stream of draws (entitlement_id, client_id, created_at, amount,
-    start_units): a result row for each, receipts without expiry."""
+    start_units): a result row for each, receipts without expiry.
+
+    A client id counts once for an entitlement; a draw without one is never a replay by
+    its id.  ``old_receipts`` (entitlement_id, created_at) were written without client ids:
+    a draw at the time of one is skipped, and its client id is a receipt from then on.
+    """
     spark = draws.sparkSession
     source, target, state = (shared_folder(spark, n) for n in ("draws", "results", "stream"))
-    draws.write.parquet(source)
-    stream = spark.readStream.schema(draws.schema)
+    marked = draws.withColumn("replay", F.lit(False))
+    if old_receipts is not None:
+        old = old_receipts.select("entitlement_id", "created_at").distinct().withColumn("_old", F.lit(True))
+        marked = draws.join(old, ["entitlement_id", "created_at"], "left").withColumn("replay", F.coalesce("_old", F.lit(False))).drop("_old")
+    marked.write.parquet(source)
+    stream = spark.readStream.schema(marked.schema)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
     results = (
         stream.parquet(source)
         .groupBy("entitlement_id")
-        .applyInPandasWithState(_apply_draws, DRAW_RESULT, DRAW_STATE, "append", "NoTimeout")
-    )
-    query = (
-        results.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", state)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
+        .transformWithStateInPandas(DrawKeeper(), DRAW_RESULT, "Append", "None")
     )
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ON_DISK)
+    try:
+        query = (
+            results.writeStream.format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", state)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(STATE_STORE, before)
     query.awaitTermination()
     return spark.read.schema(DRAW_RESULT).parquet(target)
 

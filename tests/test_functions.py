@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import dates, entitlement, money, text
+from ledgerloom.functions import dates, entitlement, money, sealing, text
 
 
 def value(spark, column):
@@ -103,3 +103,18 @@ def test_periods(spark):
 def test_utc_and_local_days(spark):
     late = F.to_timestamp(F.lit("2024-01-07T22:30:00Z"))
     assert value(spark, dates.local_date(late)) == date(2024, 1, 8)
+
+
+def test_sealed_fields(spark):
+    salt = sealing.new_salt()
+    key = sealing.derive_key("secret", salt)
+    assert len(key) == sealing.KEY_BYTES and key == sealing.derive_key("secret", salt) != sealing.derive_key("secret", sealing.new_salt())
+    df = spark.range(500).select("id", F.when(F.col("id") > 0, F.lit("Thandi M")).alias("na.me"))
+    rows = sealing.seal_fields(df, ["na.me"], key).collect()
+    assert [r["na.me"] for r in rows if r["id"] == 0] == [None]
+    sealed = [r["na.me"] for r in rows if r["id"] > 0]
+    assert len({s["iv"] for s in sealed}) == len({s["ciphertext"] for s in sealed}) == 499
+    again = spark.createDataFrame(sealed[:5], "iv string, ciphertext string").select(F.struct("iv", "ciphertext").alias("e"))
+    other = sealing.derive_key("other", salt)
+    opened = again.select(sealing.unseal(F.col("e"), key).alias("x"), sealing.unseal(F.col("e"), other).alias("y")).collect()
+    assert {(r["x"], r["y"]) for r in opened} == {("Thandi M", None)}

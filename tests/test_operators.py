@@ -406,3 +406,31 @@ def test_changes_and_compaction_give_the_same_table(spark, tmp_path):
     table.apply(batch(("b", 3, "x", 7)), 2)
     table.apply(batch(("b", 3, "x", 7)), 2)
     assert rows() == [("a", 1), ("b", 7), ("c", 3)]
+
+
+def test_stream_of_draws_with_nulls_newlines_and_old_receipts(spark):
+    day = lambda n: datetime(2024, 1, n)
+    schema = "entitlement_id long, client_id string, created_at timestamp, amount long, start_units long"
+    waves = [
+        [(1, "a", day(1), 4, 10), (1, "b\nc", day(2), 4, 10), (1, None, day(3), 1, 10), (2, "a", day(1), 5, None)],
+        [(1, "a", day(4), 4, 10), (1, "b", day(5), 1, 10), (1, None, day(5), 1, 10), (2, "x", day(2), 5, None)],
+        [(1, "b\nc", day(6), 1, 10), (1, "d", day(7), 1, 10), (2, "x", day(8), 0, None), (2, "y", day(9), 0, None)],
+    ]
+    draws = spark.createDataFrame([r for w in waves for r in w], schema).coalesce(1)
+    told = sync.stateful_draws(draws, old_receipts=spark.createDataFrame([(2, day(2))], "entitlement_id long, created_at timestamp"))
+    got = sorted((r["entitlement_id"], str(r["client_id"]), r["status"], r["remaining"] if r["remaining"] is not None else -1) for r in told.collect())
+    assert got == sorted([
+        (1, "a", "applied", 6), (1, "b\nc", "applied", 2), (1, "None", "applied", 1), (2, "a", "applied", -1),
+        (1, "a", "skipped", 1), (1, "b", "applied", 0), (1, "None", "rejected", 0), (2, "x", "skipped", -1),
+        (1, "b\nc", "skipped", 0), (1, "d", "rejected", 0), (2, "x", "skipped", -1), (2, "y", "rejected", -1),
+    ])
+
+
+def test_receipts_and_balances_last_over_batches(spark):
+    """The same client ids in every file: one counts, whichever batch comes first."""
+    schema = "entitlement_id long, client_id string, created_at timestamp, amount long, start_units long"
+    rows = [(k, f"c{i}", datetime(2024, 1, 1) + timedelta(hours=i), 1, 30) for _ in range(3) for k in range(4) for i in range(20)]
+    told = sync.stateful_draws(spark.createDataFrame(rows, schema).repartition(3), 1)
+    counts = {(r["entitlement_id"], r["status"]): r["count"] for r in told.groupBy("entitlement_id", "status").count().collect()}
+    assert counts == {(k, s): n for k in range(4) for s, n in (("applied", 20), ("skipped", 40))}
+    assert {r["m"] for r in told.groupBy("entitlement_id").agg(F.min("remaining").alias("m")).collect()} == {10}

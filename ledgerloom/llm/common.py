@@ -157,12 +157,14 @@ def dense_number(
     )
 
 
-def head_threshold(table: DataFrame, most: int) -> int:
-    """Smallest power of two such that at most ``most`` rows have as many ``n_uses``."""
-    exponents = table.groupBy(F.floor(F.log2("n_uses")).cast("int").alias("e")).count().collect()
+def head_threshold(table: DataFrame, most: int, size: Column | None = None) -> int:
+    """Smallest power of two such that rows with as many ``n_uses`` are at most ``most``,
+    or sum up to it in ``size``."""
+    of_row = F.lit(1) if size is None else size
+    exponents = table.groupBy(F.floor(F.log2("n_uses")).cast("int").alias("e")).agg(F.sum(of_row).alias("size")).collect()
     total, threshold = 0, 1 << 62
     for row in sorted(exponents, key=lambda r: -r["e"]):
-        total += row["count"]
+        total += row["size"]
         if total > most:
             break
         threshold = 1 << row["e"]
@@ -185,10 +187,13 @@ def small_parts(batches: Iterator[pa.RecordBatch], column: int, most: int = PART
 
 
 class Recent:
-    """Values by key, at most twice ``most``: those used since the last but one turn stay."""
+    """Values by key within twice ``most`` bytes: those used since the last but one turn stay."""
+
+    #: Bytes of an entry besides its key and value.
+    ENTRY = 120
 
     def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+        self.most, self.held, self.new, self.old = most, 0, {}, {}
 
     def get(self, key):
         value = self.new.get(key)
@@ -197,9 +202,12 @@ class Recent:
         return value
 
     def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+        size = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+        if self.held + size > self.most:
+            self.old, self.new, self.held = self.new, {}, 0
+        if size <= self.most:
+            self.new[key] = value
+            self.held += size
 
 
 def worker_cache(name: str) -> dict:

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import head_threshold, materialize, small_parts
 from ledgerloom.llm.tokenizing import Vocabulary, default_vocabulary, library, special_strings
 
-#: Most pre-tokens in the head, whose counts every task gets.
+#: Most pre-tokens in the head, whose counts every task gets, and their bytes as objects.
 HEAD_ROWS = 200_000
-#: Most distinct pre-tokens that a task gathers before it hands them on.
-TASK_ROWS = 200_000
+HEAD_BYTES = 32 << 20
+#: Bytes of distinct pre-tokens that a task gathers before it hands them on.
+TASK_BYTES = 32 << 20
+#: Bytes of an entry of a dict besides the pre-token's own.
+ENTRY_BYTES = 160
 #: Pre-tokens that the library counts in one call.
 COUNT_ROWS = 5_000
 
@@ -51,6 +54,7 @@ def distinct_pretokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokenizer(vocabulary)
         uses: Counter = Counter()
+        held = 0
 
         def hand_on() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
@@ -61,13 +65,16 @@ def distinct_pretokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
         for batch in small_parts(batches, 0):
             for text in batch.column(0).to_pylist():
-                uses.update(cutter.frequencies(text or "")[0].keys())
-                if len(uses) >= TASK_ROWS:
+                found = cutter.frequencies(text or "")[0].keys()
+                held += sum(ENTRY_BYTES + 4 * len(t) for t in found if t not in uses)
+                uses.update(found)
+                if held >= TASK_BYTES:
                     yield hand_on()
+                    held = 0
         yield hand_on()
 
-    found = docs.select("text").mapInArrow(gather, "pretoken string, n_uses bigint")
-    return found.groupBy("pretoken").agg(F.sum("n_uses").alias("n_uses"))
+    gathered = docs.select("text").mapInArrow(gather, "pretoken string, n_uses bigint")
+    return gathered.groupBy("pretoken").agg(F.sum("n_uses").alias("n_uses"))
 
 
 def count_pieces(pretokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -97,12 +104,14 @@ def count_tokens(
     All others meet their counts in a shuffle join by pre-token; none of these is in
     many documents, so no key is hot.  Ids are never made for documents.  A special
     token's string in a text counts as one token, as the library has it.  Null texts
-    are empty (0 bytes, 0 tokens).  Repeated rows are counted each.
+    are empty (0 bytes, 0 tokens).  Repeated rows are counted each; an empty table
+    gives no rows.
     """
     vocabulary = vocabulary or default_vocabulary()
     spark = docs.sparkSession
     table = materialize(count_pieces(distinct_pretokens(docs, vocabulary), vocabulary), "counts-pretokens")
-    threshold = head_threshold(table, head_rows)
+    in_memory = 4 * F.length("pretoken") + F.lit(ENTRY_BYTES)
+    threshold = max(head_threshold(table, head_rows), head_threshold(table, HEAD_BYTES, in_memory))
     head_table = table.where(F.col("n_uses") >= threshold).select("pretoken", "n_pieces").toArrow()
     head = spark.sparkContext.broadcast(
         dict(zip(head_table.column(0).to_pylist(), head_table.column(1).to_pylist(), strict=True))

@@ -20,8 +20,10 @@ from dataclasses import dataclass
 
 from ledgerloom.llm.common import Recent, worker_cache
 
-#: Units that a worker remembers in each half of its cache.
-CACHE_UNITS = 100_000
+#: Bytes of units and ids that a worker remembers in each half of its cache.
+CACHE_BYTES = 24 << 20
+#: Longest unit that is remembered, in code points: longer ones hardly come again.
+CACHED_POINTS = 64
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,7 @@ class IdEncoder:
         self.library, self.encode_unit = library(vocabulary), rank_encoder(vocabulary)
         self.specials = special_strings(vocabulary)
         cache = worker_cache("units")
-        self.units = cache.setdefault(vocabulary.tokenizer_file, Recent(CACHE_UNITS))
+        self.units = cache.setdefault(vocabulary.tokenizer_file, Recent(CACHE_BYTES))
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
@@ -98,7 +100,8 @@ class IdEncoder:
         for unit in new:
             if self._stands_alone(unit):
                 ids = known[unit] = little_endian(self.encode_unit(unit))
-                self.units.put(unit, ids)
+                if len(unit) <= CACHED_POINTS:
+                    self.units.put(unit, ids)
         out: list[bytes | None] = []
         for text, units in zip(texts, split, strict=True):
             ids = [known[u] for u in units] if units is not None and text else []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import common
-from ledgerloom.llm.common import head_threshold, materialize
+from ledgerloom.llm.common import head_threshold, let, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Context length of the Markov models; grams are one longer.
@@ -67,10 +67,13 @@ def model_text(url: Column) -> Column:
 
 
 def grams(text: Column, context: int = CONTEXT) -> Column:
-    """One gram a character: the character after its ``context`` predecessors."""
-    padded = F.concat(F.lit(PAD * context), text)
+    """One gram a character: the character after its ``context`` predecessors.
+
+    Grams are cut from an array of the characters, so the work grows with the length.
+    """
     places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substring(padded, i, F.lit(context + 1)))
+    characters = F.split(F.concat(F.lit(PAD * context), text), "")
+    return let(characters, lambda c: F.transform(places, lambda i: F.array_join(F.slice(c, i, F.lit(context + 1)), "")))
 
 
 def gram_ratios(
@@ -162,7 +165,9 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, context: int =
     one of the classes, all decided URLs are.  The others get 'allow' if their mean log
     ratio per character reaches the threshold.  An empty or null URL scores 0.  Repeated
     ids are judged row by row, equal URLs alike; without decided URLs all others are
-    allowed.  Only URL columns are read.  Positions are summed by gram before the shuffle.
+    allowed.  URLs are read whole, in time that grows with their length.  Only page_id and
+    url are read, and an empty table gives no rows.  Positions are summed by gram before
+    the shuffle.
     """
     host, path = split_url(F.col("url"))
     parts = pages.select("page_id", F.col("url").cast("string").alias("url")).select(

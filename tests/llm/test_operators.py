@@ -451,6 +451,30 @@ def test_verdicts_by_hand(spark, monkeypatch):
     assert all(math.isclose(again[i]["score"], r["score"], abs_tol=1e-9) and again[i]["verdict"] == r["verdict"] for i, r in got.items())
 
 
+def test_long_repeated_and_odd_urls(spark, monkeypatch):
+    """1 MB of URL in time that grows with its length; repeated rows and clashing names."""
+    import time
+
+    data = "data://" + "".join(chr(97 + i * i % 23) for i in range(1_000_000))
+    rows = [(1, data), (2, "http://a.com/x"), (2, "http://a.com/x"), (None, None), (3, "http://b.net/es/1"), (4, "x://" + "ü€𝄞" * 3)]
+    extra = "gram string, score double, row int, seen string, label string, spare int, ratio int"
+    pages = spark.createDataFrame([(*r, "g", 1.0, 1, "s", "l", 1, 1) for r in rows], "page_id long, url string, " + extra)
+    took = {}
+    for n in (125_000, 1_000_000):
+        began = time.time()
+        cut = spark.createDataFrame([(data[:n],)], "t string").select(F.explode(url_lm.grams(F.col("t"))).alias("g"))
+        assert cut.agg(F.count("g")).first()[0] == n
+        took[n] = time.time() - began
+    assert took[1_000_000] < 20 + 16 * took[125_000]
+    got = url_lm.judge_urls(pages).collect()
+    assert len(got) == len(rows)
+    twice = [r for r in got if r["page_id"] == 2]
+    assert twice[0] == twice[1] and twice[0]["verdict"] == "allow"
+    text = "ü€𝄞ab"
+    cut = spark.createDataFrame([(text,)], "t string").select(url_lm.grams(F.col("t"), 2)).first()[0]
+    assert cut == [(url_lm.PAD * 2 + text)[i : i + 3] for i in range(5)]
+
+
 # -- n-gram Jaccard join ----------------------------------------------------
 
 
@@ -631,6 +655,19 @@ def test_counts_equal_the_library(messy, head):
     assert want == Counter(tuple(r) for r in token_counts.count_tokens(messy, head_rows=head).collect())
 
 
+def test_caches_are_bounded_by_bytes():
+    recent = common.Recent(100_000)
+    for k in range(5_000):
+        recent.put(f"unit {k}", b"x" * (k % 700))
+        held = sum(len(a) + len(b) for half in (recent.new, recent.old) for a, b in half.items())
+        assert held <= 200_000
+    recent.put("long", b"x" * 200_000)
+    assert recent.get("long") is None and recent.get("unit 4999") is not None
+    encoder = tokenizing.IdEncoder(tokenizing.default_vocabulary())
+    encoder.encode(["a" * 5_000, "short words"])
+    assert encoder.units.get("a" * 5_000) is None and encoder.units.get(" words") is not None
+
+
 # -- classifiers ------------------------------------------------------------
 
 

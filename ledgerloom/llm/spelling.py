@@ -124,28 +124,28 @@ def deletions(word: str) -> list[str]:
 
 
 def _exploded(words: DataFrame, keys: Callable[[str], tuple[list, ...]], names: str) -> DataFrame:
-    """word, n and a row for each of the word's keys."""
+    """id, n and a row for each of the word's keys; the word itself stays behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_parts(batches, 0, 1 << 16):
-            found = [keys(w) for w in batch.column(0).to_pylist()]
+        for batch in small_parts(batches, 2, 1 << 16):
+            found = [keys(w) for w in batch.column(2).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             columns = [pa.array([x for f in found for x in f[k]]) for k in range(len(found[0]))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *columns], names=["word", "n", *fields]
+                [batch.column(0).take(at), batch.column(1).take(at), *columns], names=["id", "n", *fields]
             )
 
     fields = [c.split()[0] for c in names.split(", ")]
-    return words.select("word", "n").mapInArrow(run, f"word string, n bigint, {names}")
+    return words.select("id", "n", "word").mapInArrow(run, f"id bigint, n bigint, {names}")
 
 
-def _better(n: Column, word: Column) -> Column:
+def _better(n: Column, id_: Column) -> Column:
     """Smallest for the word of largest n, then the first in code-point order."""
-    return F.struct((-n).alias("less"), word.alias("word"))
+    return F.struct((-n).alias("less"), id_.alias("id"))
 
 
 def replaced(words: DataFrame) -> DataFrame:
-    """(word, near, best): words that differ in one letter, counted by group.
+    """(id, near, best): words that differ in one letter, counted by group.
 
     Words that agree but for one place share its (position, prefix, suffix) group.  A
     group has at most as many words as there are letters.  Its size and its two top
@@ -154,49 +154,49 @@ def replaced(words: DataFrame) -> DataFrame:
     group = _exploded(words, lambda w: (list(range(len(w))), *wildcards(w)), "position bigint, prefix string, suffix string")
     whole = (
         Window.partitionBy("position", "prefix", "suffix")
-        .orderBy(F.desc("n"), "word")
+        .orderBy(F.desc("n"), "id")
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    top = _better(F.col("n"), F.col("word"))
+    top = _better(F.col("n"), F.col("id"))
     summed = group.select(
-        "word",
+        "id",
         F.count(F.lit(1)).over(whole).alias("size"),
         F.nth_value(top, 1).over(whole).alias("first"),
         F.nth_value(top, 2).over(whole).alias("second"),
     )
-    best = F.when(F.col("first.word") == F.col("word"), F.col("second")).otherwise(F.col("first"))
-    return summed.where("size > 1").select("word", (F.col("size") - 1).alias("near"), best.alias("best"))
+    best = F.when(F.col("first.id") == F.col("id"), F.col("second")).otherwise(F.col("first"))
+    return summed.where("size > 1").select("id", (F.col("size") - 1).alias("near"), best.alias("best"))
 
 
 def inserted_or_deleted(words: DataFrame) -> DataFrame:
-    """(word, near, best): words that one letter more or less gives.
+    """(id, near, best): words that one letter more or less gives.
 
     Deletions meet the vocabulary.  The longer word gets the shorter ones that exist; the
     shorter gets the number of the longer ones and their best, summed before the join.
     """
     shorter = _exploded(words, lambda w: (deletions(w),), "name string")
     known = _exploded(words, lambda w: ([word_name(w)],), "name string")
-    known = known.select("name", F.col("word").alias("short"), F.col("n").alias("short_n"))
+    known = known.select("name", F.col("id").alias("short"), F.col("n").alias("short_n"))
     one = F.count(F.lit(1)).alias("near")
-    down = shorter.join(known, "name").groupBy("word").agg(one, F.min(_better(F.col("short_n"), F.col("short"))).alias("best"))
-    longer = shorter.groupBy("name").agg(one, F.min(_better(F.col("n"), F.col("word"))).alias("best"))
-    return down.unionByName(longer.join(known, "name").select(F.col("short").alias("word"), "near", "best"))
+    down = shorter.join(known, "name").groupBy("id").agg(one, F.min(_better(F.col("short_n"), F.col("short"))).alias("best"))
+    longer = shorter.groupBy("name").agg(one, F.min(_better(F.col("n"), F.col("id"))).alias("best"))
+    return down.unionByName(longer.join(known, "name").select(F.col("short").alias("id"), "near", "best"))
 
 
 def followed(forms: DataFrame) -> DataFrame:
-    """(word, root): for each word with a form, the last word of its chain.
+    """(id, root): for each word with a form, the last word of its chain.
 
     A form has several times the uses of its word, so chains are short; each round
     doubles the steps taken.
     """
-    roots = materialize(forms.where("form is not null").select("word", F.col("form").alias("root")), "spelling-roots")
+    roots = materialize(forms.where("form is not null").select("id", F.col("form").alias("root")), "spelling-roots")
     while True:
-        on = roots.select(F.col("word").alias("mid"), F.col("root").alias("far"))
+        on = roots.select(F.col("id").alias("mid"), F.col("root").alias("far"))
         step = roots.join(on, F.col("root") == F.col("mid"), "left").select(
-            "word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")
+            "id", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")
         )
         new = materialize(step, "spelling-roots")
-        roots = new.select("word", "root")
+        roots = new.select("id", "root")
         if new.where("moved").isEmpty():
             return roots
 
@@ -207,26 +207,29 @@ def spelling_variants(words: DataFrame, times: int = 5) -> DataFrame:
     Two words are near if one letter replaced, inserted or deleted gives the other.  The
     form is the near word of largest n (of equals the first in code-point order) if its n
     is ``times`` the word's or more, else null; the root is where forms end, from the word
-    on.  Words of any length cost in proportion to it.  An empty table gives no rows.
+    on.  Words get ids in their own order, which stand for them in all groups and joins,
+    so that words of any length cost in proportion to it.  An empty table gives no rows.
     """
-    words = materialize(words.select("word", F.col("n").cast("long").alias("n")), "spelling-words")
+    ordered = words.select("word", F.col("n").cast("long").alias("n")).orderBy("word")
+    words = materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "spelling-words")
     near = replaced(words).unionByName(inserted_or_deleted(words))
-    summed = near.groupBy("word").agg(F.sum("near").alias("near"), F.min("best").alias("best"))
+    summed = near.groupBy("id").agg(F.sum("near").alias("near"), F.min("best").alias("best"))
     best_n = -F.col("best.less")
     takes = best_n >= times * F.col("n")
     forms = materialize(
-        words.join(summed, "word", "left").select(
-            "word",
-            F.when(takes, F.col("best.word")).alias("form"),
-            "n",
+        words.select("id", "n").join(summed, "id", "left").select(
+            "id",
+            F.when(takes, F.col("best.id")).alias("form"),
             F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
             F.when(takes, best_n).cast("long").alias("form_n"),
         ),
         "spelling-forms",
     )
-    return forms.join(followed(forms), "word", "left").select(
-        "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
-    )
+    rooted = forms.join(followed(forms), "id", "left").join(words, "id")
+    name = lambda of: words.select(F.col("id").alias(f"_{of}"), F.col("word").alias(of))
+    named_ = rooted.withColumnsRenamed({"form": "_form", "root": "_root"})
+    spelled = named_.join(name("form"), "_form", "left").join(name("root"), "_root", "left")
+    return spelled.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def variant_groups(

@@ -59,91 +59,152 @@ def merge_stored(stored: DataFrame, winners: DataFrame, key: str, mutable: list[
     )
 
 
-#: What the fold needs of a row, in this order.
-_FOLDED = ("_start", "_since", "_period", "_allowance", "_amount", "_first", "_found", "_active", "_signed")
-
-
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and time; only the balance of the key at hand is held."""
-    held: object = object()
-    left = since = None
-    for batch in batches:
-        out = []
-        columns = [batch.column(n).to_pylist() for n in ("_key", *_FOLDED)]
-        for key, start, valid_from, period, allowance, amount, first, found, active, signed in zip(*columns, strict=True):
-            if key != held:
-                held, left, since = key, start, valid_from
-            if amount is None or amount <= 0:
-                out.append(("rejected", "invalid_amount", left, None))
-                continue
-            if not found:
-                out.append(("rejected", "not_found", None, None))
-                continue
-            if not first:
-                out.append(("skipped", None, left, "skip"))
-                continue
-            if period is not None:
-                if since is not None and period > since:
-                    left = allowance
-                since = period if since is None else max(since, period)
-            if not active:
-                out.append(("rejected", "inactive", left, None))
-            elif left is None:
-                out.append(("applied", None, None, "skip"))
-            elif left < amount:
-                out.append(("rejected", "insufficient_units", left, None))
-            elif not signed:
-                out.append(("rejected", "signature_failed", left, None))
-            else:
-                left -= amount
-                out.append(("applied", None, left, "update"))
-        told = list(zip(*out, strict=True)) if out else [()] * 4
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(i) for i in range(3)] + [pa.array(c, k) for c, k in zip(told, kinds, strict=True)],
-            names=[*batch.schema.names[:3], "status", "reason", "remaining", "audit"],
-        )
-
-
-def draw_results(entitlements: DataFrame, draws: DataFrame, key: str = "entitlement_id", today: Column | None = None) -> DataFrame:
-    """A row per draw: its key, client_id and created_at, status (applied, rejected or
-    skipped), reason, the units left after it, and the audit action that signs it.
-
-    ``entitlements`` has the key and remaining_units (null: unlimited) and may have
-    status, valid_from and rules; ``draws`` has the key, client_id, created_at, amount
-    and may have signed (false: no signature could be recorded, which takes nothing).
-    A client id counts once in a key, whatever came of it.  With rules, units are reset
-    where the period of a draw's day (``today``, else the day of created_at) is newer
-    than the last one.  Only limited draws are signed (``update``); unlimited and
-    repeated ones leave a ``skip``.
+class DrawMachine:
+    """The units of one entitlement, draw by draw: the same steps in batches and streams.
 
-    Draws are sorted by key and time inside their partition and folded as they
-    come, so an entitlement with most draws needs one task's time but no more memory.
+    Held are the units left (null: unlimited) and the start of the period they belong
+    to.  What comes first decides: an amount that is none, an unknown entitlement, a
+    receipt of the client's id, a due reset, the status, the units, the signature.
     """
+
+    __slots__ = ("left", "since")
+
+    def __init__(self, left: int | None, since=None):
+        self.left, self.since = left, since
+
+    def step(self, amount, found, active, period, allowance, signed, replayed) -> tuple[str, str | None, int | None, str | None]:
+        """(status, reason, units left, audit action) of the next draw."""
+        if amount is None or amount <= 0:
+            return "rejected", "invalid_amount", self.left, None
+        if not found:
+            return "rejected", "not_found", None, None
+        if replayed:
+            return "skipped", None, self.left, "skip"
+        if period is not None:
+            if self.since is not None and period > self.since:
+                self.left = allowance
+            self.since = period if self.since is None else max(self.since, period)
+        if not active:
+            return "rejected", "inactive", self.left, None
+        if self.left is None:
+            return "applied", None, None, "skip"
+        if self.left < amount:
+            return "rejected", "insufficient_units", self.left, None
+        if not signed:
+            return "rejected", "signature_failed", self.left, None
+        self.left -= amount
+        return "applied", None, self.left, "update"
+
+
+#: What a draw needs to be told, besides its key, client id and time.  (A stream's state
+#: operator renames columns that begin with an underscore.)
+_TOLD = ("d_start", "d_since", "d_period", "d_allowance", "d_amount", "d_found", "d_active", "d_signed", "d_known")
+
+
+def told_draws(entitlements: DataFrame, draws: DataFrame, key: str = "entitlement_id", today: Column | None = None) -> DataFrame:
+    """Draws (a batch or a stream) beside what their entitlement says: the columns that
+    ``DrawMachine`` asks for.  See ``draw_results`` for the tables."""
     has = lambda df, c, other: F.col(c) if c in df.columns else other
     rules = has(entitlements, "rules", F.lit(None).cast(RULES))
     there = entitlements.select(
-        F.col(key).alias("_key"), F.col("remaining_units").cast("long").alias("_start"), F.lit(True).alias("_found"),
-        (has(entitlements, "status", F.lit("active")) == "active").alias("_active"),
-        has(entitlements, "valid_from", F.lit(None)).cast("date").alias("_since"), rules.alias("_rules"),
+        F.col(key).alias("_key"), F.col("remaining_units").cast("long").alias("d_start"), F.lit(True).alias("d_found"),
+        (has(entitlements, "status", F.lit("active")) == "active").alias("d_active"),
+        has(entitlements, "valid_from", F.lit(None)).cast("date").alias("d_since"), rules.alias("_rules"),
     )
     day = F.to_date("created_at") if today is None else today
-    earliest = Window.partitionBy(key, "client_id").orderBy("created_at", "amount")
     asked = draws.select(
-        key, "client_id", "created_at", F.col("amount").cast("long").alias("_amount"), day.alias("_day"),
-        F.coalesce(has(draws, "signed", F.lit(True)), F.lit(True)).alias("_signed"), (F.row_number().over(earliest) == 1).alias("_first"),
+        key, "client_id", "created_at", F.col("amount").cast("long").alias("d_amount"), day.alias("_day"),
+        F.coalesce(has(draws, "signed", F.lit(True)), F.lit(True)).alias("d_signed"),
+        F.coalesce(has(draws, "known", F.lit(False)), F.lit(False)).alias("d_known"),
     )
-    joined = asked.join(there, asked[key] == F.col("_key"), "left").select(
-        key, "client_id", "created_at", F.col(key).alias("_key"), "_start", "_since",
-        F.when(is_recurring(F.col("_rules")), period_start(rule(F.col("_rules"), "reset"), F.col("_day"))).alias("_period"),
-        allowance_units(F.col("_rules")).alias("_allowance"), "_amount", "_first", F.coalesce("_found", F.lit(False)).alias("_found"),
-        F.coalesce("_active", F.lit(False)).alias("_active"), "_signed",
+    return asked.join(there, asked[key] == F.col("_key"), "left").select(
+        key, "client_id", "created_at", "d_start", "d_since",
+        F.when(is_recurring(F.col("_rules")), period_start(rule(F.col("_rules"), "reset"), F.col("_day"))).alias("d_period"),
+        allowance_units(F.col("_rules")).alias("d_allowance"), "d_amount", F.coalesce("d_found", F.lit(False)).alias("d_found"),
+        F.coalesce("d_active", F.lit(False)).alias("d_active"), "d_signed", "d_known",
     )
-    ordered = joined.repartition(key).sortWithinPartitions(key, "created_at", "client_id", F.desc("_first"))
-    schema = StructType(joined.select(key, "client_id", "created_at").schema.fields)
-    for name, kind in (("status", "string"), ("reason", "string"), ("remaining", "long"), ("audit", "string")):
+
+
+def _fold(rejected_too: bool):
+    """Rows sorted by key and time; held are the units of the key at hand, and those of its
+    client ids that come again."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: object = object()
+        machine, seen = DrawMachine(None), set()
+        for batch in batches:
+            out = []
+            key, client, start, since, period, allowance, amount, found, active, signed, known, again = (
+                batch.column(n).to_pylist() for n in (batch.schema.names[0], "client_id", *_TOLD, "_again")
+            )
+            for k in range(batch.num_rows):
+                if key[k] != held:
+                    held, machine, seen = key[k], DrawMachine(start[k], since[k]), set()
+                replayed = known[k] or (again[k] and client[k] in seen)
+                told = machine.step(amount[k], found[k], active[k], period[k], allowance[k], signed[k], replayed)
+                if again[k] and (rejected_too or told[0] == "applied"):
+                    seen.add(client[k])
+                out.append((*told, machine.since))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.date32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(3)] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                names=[*batch.schema.names[:3], "status", "reason", "remaining", "audit", "since"],
+            )
+
+    return fold
+
+
+def draws_in_order(
+    entitlements: DataFrame,
+    draws: DataFrame,
+    key: str = "entitlement_id",
+    today: Column | None = None,
+    receipts: DataFrame | None = None,
+    rejected_too: bool = True,
+) -> DataFrame:
+    """``draw_results`` with ``since``, the start of the period that the units belong to."""
+    if receipts is not None:
+        before = receipts.select("client_id").where("client_id is not null").distinct().withColumn("known", F.lit(True))
+        draws = draws.drop("known").join(before, "client_id", "left")
+    rows = told_draws(entitlements, draws, key, today)
+    # ids that come again, summed before the shuffle; a draw without an id is never a replay
+    named = draws.where("client_id is not null").groupBy(F.col(key).alias("_k"), F.col("client_id").alias("_c"))
+    again = named.agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_k", "_c", F.lit(True).alias("_again"))
+    joined = rows.join(again, (F.col(key) == F.col("_k")) & (F.col("client_id") == F.col("_c")), "left")
+    joined = joined.select(*rows.columns, F.coalesce("_again", F.lit(False)).alias("_again"))
+    ordered = joined.repartition(key).sortWithinPartitions(key, "created_at", "client_id", "d_amount")
+    schema = StructType(rows.select(key, "client_id", "created_at").schema.fields)
+    for name, kind in (("status", "string"), ("reason", "string"), ("remaining", "long"), ("audit", "string"), ("since", "date")):
         schema = schema.add(name, kind)
-    return ordered.mapInArrow(_fold, schema)
+    return ordered.mapInArrow(_fold(rejected_too), schema)
+
+
+def draw_results(
+    entitlements: DataFrame,
+    draws: DataFrame,
+    key: str = "entitlement_id",
+    today: Column | None = None,
+    receipts: DataFrame | None = None,
+    rejected_too: bool = True,
+) -> DataFrame:
+    """A row per draw: its key, client_id and created_at, status (applied, rejected or
+    skipped), reason, the units left after it, and the audit action that signs it.
+
+    ``entitlements`` has the key and remaining_units (null: unlimited) and may have
+    status, valid_from and rules; ``draws`` has the key, client_id, created_at, amount
+    and may have signed (false: no signature could be recorded, which takes nothing).
+    A client id counts once in a key, whatever came of it; with ``rejected_too`` false
+    only an applied draw leaves a receipt, and a rejected one may be sent again.
+    ``receipts`` (client_id) count in every key.  A draw without an id is never a replay.
+    With rules, units are reset where the period of a draw's day (``today``, else the day
+    of created_at) is newer than the last one.  Only limited draws are signed
+    (``update``); unlimited and repeated ones leave a ``skip``.
+
+    Draws are sorted by key and time inside their partition and folded as they
+    come, so an entitlement with most draws needs one task's time but no more memory.
+    """
+    return draws_in_order(entitlements, draws, key, today, receipts, rejected_too).drop("since")
 
 
 def fold_draws(balances: DataFrame, draws: DataFrame, key: str = "entitlement_id") -> DataFrame:
@@ -186,8 +247,8 @@ def draw_reason(amount: Column, found: Column, status: Column, remaining: Column
 
 
 def resolve_ids(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Local ids replaced by the server's where these are known."""
-    known = mapping.select(F.col("local_id").alias(column), F.col("server_id").alias("_server"))
+    """Local ids replaced by the server's where these are known; of several the smallest."""
+    known = mapping.groupBy(F.col("local_id").alias(column)).agg(F.min("server_id").alias("_server"))
     joined = rows.join(known, column, "left")
     return joined.select(*[F.coalesce("_server", column).alias(column) if c == column else F.col(c) for c in rows.columns])
 
@@ -198,13 +259,15 @@ def only_local(local: DataFrame, server: DataFrame, key: str) -> DataFrame:
 
 
 def outputs_in_order(submitted: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Outputs by submitted id in input order; missing ones stay, strays follow."""
-    got = outputs.select(F.col("custom_id").alias("_id"), "content")
+    """Outputs by submitted id in input order; missing ones stay, strays follow.  An id
+    that several outputs have takes the smallest content."""
+    got = outputs.groupBy(F.col("custom_id").alias("_id")).agg(F.min("content").alias("content"))
     joined = submitted.join(got, submitted["custom_id"] == F.col("_id"), "full")
     state = F.when(F.col("custom_id").isNull(), "stray").when(F.col("_id").isNull(), "missing").otherwise("answered")
     return joined.select(F.coalesce("custom_id", "_id").alias("custom_id"), F.col("ord"), "content", state.alias("state"))
 
 
 def sync_statuses(sent: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """Actions that were sent with the status that the server answered; 'unsynced' without one."""
-    return sent.join(results.select(key, "status"), key, "left").withColumn("status", F.coalesce("status", F.lit("unsynced")))
+    """Actions that were sent with the status that the server answered; 'unsynced' without
+    one.  Of several answers 'applied' holds, then 'rejected', then 'skipped'."""
+    return sent.join(results.groupBy(key).agg(F.min("status").alias("status")), key, "left").withColumn("status", F.coalesce("status", F.lit("unsynced")))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import dates, money, text
+from ledgerloom.sources.shared import numbered
 
+#: Reasons to flag a record, date fields by table, kinds of sessions.
 REASONS = ("LOW_CONFIDENCE", "IMPOSSIBLE_DATE", "UNKNOWN_NAME", "AMOUNT_NO_TIER")
 DATE_FIELDS = {
     "players": ("birth_date",), "sessions": ("started_at", "ended_at"), "payments": ("paid_at",),
@@ -234,16 +236,18 @@ def insert_if_absent(batch: DataFrame, key: str, order: list[str], existing: Dat
     """Batch rows with a disposition: the first of a key that the table lacks is
     inserted, all others are duplicates; a row without a key is ``no_key``.
 
-    Firsts are a minimum by key, so a hot key is summed before it is shuffled.
+    The batch is written once with a number for each row, so that the rows compared with
+    their key's first are the very ones it was taken from; of rows equal in ``order`` the
+    lowest number is the first.  Firsts are a minimum by key, so a hot key is summed
+    before it is shuffled, and meet the rows by number, where no key is hot.
     """
-    rows = batch.withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_m")))
-    firsts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("_at").alias("_first"))
-    there = existing.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct().withColumn("_there", F.lit(True))
-    known = firsts.join(there, "_k", "left")
-    joined = rows.join(known, rows[key] == known["_k"], "left")
-    new = (F.col("_at") == F.col("_first")) & F.col("_there").isNull()
-    disposition = F.when(F.col(key).isNull(), "no_key").when(new, "inserted").otherwise("duplicate")
-    return joined.withColumn("disposition", disposition).drop("_at", "_k", "_first", "_there")
+    rows = numbered(batch, "_uid", "insert-batch")
+    firsts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*order, "_uid")).alias("_first"))
+    there = existing.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    new = firsts.join(there, "_k", "left_anti").select(F.col("_first._uid").alias("_new"))
+    joined = rows.join(new, F.col("_uid") == F.col("_new"), "left")
+    disposition = F.when(F.col(key).isNull(), "no_key").when(F.col("_new").isNotNull(), "inserted").otherwise("duplicate")
+    return joined.withColumn("disposition", disposition).drop("_uid", "_new")
 
 
 #: Attributes of a person that a later record may fill.
@@ -257,29 +261,32 @@ def load_players(candidates: DataFrame, stored: DataFrame) -> tuple[DataFrame, D
     identity are merged attribute by attribute, the most confident first; a stored player
     only has gaps filled.  A new player's id is a hash of the identity, so a second run
     finds it.  ``stored`` has id, first_name, last_name and may lack other columns.
+    Candidates are told by a number of their own, as record ids may be missing or repeated.
     """
+    candidates = numbered(candidates, "_uid", "load-candidates")
     own = lambda n: text.blank_to_null(field(F.col("payload"), n)).alias(n)
     names = ["first_name", "last_name", "birth_date", *PLAYER_ATTRIBUTES]
     keys = lambda df: df.withColumn("name_key", text.name_key(F.col("first_name"), F.col("last_name"))).withColumn(
         "dedup_key", text.dedup_key(F.col("first_name"), F.col("last_name"), F.col("birth_date"))
     )
-    batch = keys(candidates.select("record_id", "confidence_score", *[own(n) for n in names]))
-    batch = batch.withColumn("_order", F.crc32("record_id"))
+    batch = keys(candidates.select("_uid", "record_id", "confidence_score", *[own(n) for n in names]))
+    batch = batch.withColumn("_order", F.coalesce(F.crc32("record_id"), F.lit(1 << 32)))
     there = keys(stored.select("id", *[(F.col(n).cast("string") if n in stored.columns else F.lit(None).cast("string")).alias(n) for n in names]))
     judged = identity_outcomes(batch, there)
     good = judged.where(F.col("outcome").isin("new", "existing"))
     merged = merge_attributes(good, "dedup_key", names, "confidence_score", "_order")
     filled = fill_gaps(there, merged, "dedup_key", list(PLAYER_ATTRIBUTES)).select("id", *names)
     new = merged.join(there.select("dedup_key"), "dedup_key", "left_anti").select(F.xxhash64("dedup_key").alias("id"), *names)
-    firsts = good.where("outcome = 'new'").groupBy("dedup_key").agg(F.min("record_id").alias("_first"))
+    at = F.struct(F.col("record_id").isNull(), "record_id", "_uid")
+    firsts = good.where("outcome = 'new'").groupBy("dedup_key").agg(F.min(at)["_uid"].alias("_first"))
     outcome = (
         F.when(F.col("outcome") == "existing", "merged")
-        .when((F.col("outcome") == "new") & (F.col("record_id") == F.col("_first")), "inserted")
+        .when((F.col("outcome") == "new") & (F.col("_uid") == F.col("_first")), "inserted")
         .when(F.col("outcome") == "new", "duplicate")
         .otherwise(F.col("outcome"))
     )
-    told = judged.join(firsts, "dedup_key", "left").select("record_id", outcome.alias("disposition"))
-    return filled.unionByName(new), candidates.join(told, "record_id")
+    told = judged.join(firsts, "dedup_key", "left").select("_uid", outcome.alias("disposition"))
+    return filled.unionByName(new), candidates.join(told, "_uid").drop("_uid")
 
 
 def first_failure(payload_table: Column, outcomes: dict[str, Column]) -> Column:
@@ -304,11 +311,11 @@ def explode_model_output(items: DataFrame, content: str = "content") -> DataFram
         F.when(F.startswith(clean, F.lit("{")), F.concat(F.lit("["), clean, F.lit("]"))),
     )
     parsed = F.from_json(array_text, "array<map<string,string>>")
-    usable = parsed.isNotNull() & F.forall(parsed, lambda m: m.isNotNull())
-    rows = items.withColumn("_ok", F.coalesce(usable, F.lit(False))).withColumn(
-        "_all", F.when(F.col("_ok"), parsed).otherwise(F.array(F.lit(None).cast("map<string,string>")))
-    )
-    out = rows.select(*items.columns, "_ok", F.posexplode("_all").alias("pos", "_m"))
+    usable = lambda p: F.coalesce(p.isNotNull() & F.forall(p, lambda m: m.isNotNull()), F.lit(False))
+    # bound once: each use of the column would parse the text again
+    either = text.let(parsed, lambda p: F.when(usable(p), p).otherwise(F.array(F.lit(None).cast("map<string,string>"))))
+    rows = items.select(*items.columns, F.posexplode(either).alias("pos", "_m"))
+    out = rows.withColumn("_ok", F.col("_m").isNotNull())
     envelope = ("target_table", "confidence", "confidence_score", "payload")
     nested = F.from_json(F.try_element_at("_m", F.lit("payload")), "map<string,string>")
     inline = F.map_filter("_m", lambda k, _: ~k.isin(*envelope))
@@ -369,20 +376,27 @@ def metric_lines(lines: DataFrame) -> DataFrame:
     return got.where(F.col("metric_type").isNotNull()).withColumn("index", F.row_number().over(order) - 1)
 
 
+#: Headers of the column that names a person.
+PERSON_HEADERS = ("student", "player", "name", "learner", "pupil")
+
+
 def table_metrics(tables: DataFrame) -> DataFrame:
     """Metric tables (source_file, header array, row_no, cells array) as one row a value.
 
-    The first column names the person; other columns count where their header is a
-    metric type and their cell is filled.  Tables with a table_no give each value's
-    place as ``cell``.
+    The header's first cell must be one of ``PERSON_HEADERS``, and a row's first names the
+    person; other columns count where their header is a metric type and their cell is
+    filled.  Runs of white space count as one space.  Tables with a table_no give each
+    value's place as ``cell``.
     """
     place = [F.concat_ws("-", *[F.col(c).cast("string") for c in ("table_no", "row_no", "col")]).alias("cell")] if "table_no" in tables.columns else []
     own = ["table_no"] if place else []
-    head = tables.select("source_file", *own, "row_no", "cells", F.posexplode("header").alias("col", "title"))
-    cell = F.get("cells", F.col("col"))
+    titled = F.lower(F.trim(F.get("header", F.lit(0)))).isin(*PERSON_HEADERS)
+    head = tables.where(titled).select("source_file", *own, "row_no", "cells", F.posexplode("header").alias("col", "title"))
+    single = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    cell, person = single(F.get("cells", F.col("col"))), single(F.get("cells", F.lit(0)))
     kind = text.metric_type(F.col("title"))
-    return head.where((F.col("col") > 0) & kind.isNotNull() & text.present(cell)).select(
-        "source_file", "row_no", F.get("cells", F.lit(0)).alias("player_name"), kind.alias("metric_type"), cell.alias("value"), *place
+    return head.where((F.col("col") > 0) & kind.isNotNull() & (F.length(cell) > 0) & (F.length(person) > 0)).select(
+        "source_file", "row_no", person.alias("player_name"), kind.alias("metric_type"), cell.alias("value"), *place
     )
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROLES = ("founder", "manager", "facilitator")
-#: Entities that facilitators may sync, and the session type that they may log.
+#: Entities that facilitators may sync, and session types that they may log.
 FACILITATOR_ENTITIES = ("attendance", "session", "student_metrics")
-FACILITATOR_SESSION = "lesson"
+FACILITATOR_SESSIONS = ("lesson", "kit", "esports")
 
 
 class ScopeError(ValueError):
@@ -67,5 +67,5 @@ def sync_gate(scope: Scope, entity: Column, known: tuple[str, ...], session_type
         return F.when(~entity.isin(*known), F.lit("unknown_entity"))
     return (
         F.when(~entity.isin(*FACILITATOR_ENTITIES), F.lit("forbidden_entity"))
-        .when((entity == "session") & ~session_type.eqNullSafe(F.lit(FACILITATOR_SESSION)), F.lit("forbidden_session_type"))
+        .when((entity == "session") & ~F.coalesce(session_type.isin(*FACILITATOR_SESSIONS), F.lit(False)), F.lit("forbidden_session_type"))
     )

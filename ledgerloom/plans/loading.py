@@ -222,6 +222,26 @@ def load_idempotent_insert(spark, d):
     return out.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""with b as (select l_linenumber as line, l_suppkey || '-' || o_custkey as key, l_orderkey, l_partkey,
+                  row_number() over (partition by l_suppkey, o_custkey order by l_orderkey, l_partkey, l_linenumber) as n
+                  from lineitem join orders on o_orderkey = l_orderkey),
+               e as (select distinct s_suppkey || '-' || c_custkey as key from supplier join customer on c_nationkey = s_nationkey)
+          select line, disposition, count(*) as n from (
+            select line, case when b.n = 1 and e.key is null then 'inserted' else 'duplicate' end as disposition
+            from b left join e on b.key = e.key) group by 1, 2""")
+def load_joined_insert(spark, d):
+    """A batch that comes out of a shuffle join, against stored keys that come out of another."""
+    line, order = raw(spark, d, "lineitem"), raw(spark, d, "orders").hint("merge")
+    key = lambda a, b: F.concat_ws("-", F.col(a).cast("string"), F.col(b).cast("string")).alias("key")
+    batch = line.join(order, line["l_orderkey"] == order["o_orderkey"]).select(
+        F.col("l_linenumber").alias("line"), key("l_suppkey", "o_custkey"), "l_orderkey", "l_partkey"
+    )
+    s, c = raw(spark, d, "supplier"), raw(spark, d, "customer").hint("merge")
+    stored = s.join(c, s["s_nationkey"] == c["c_nationkey"]).select(key("s_suppkey", "c_custkey"))
+    out = records.insert_if_absent(batch, "key", ["l_orderkey", "l_partkey", "line"], stored)
+    return out.groupBy("line", "disposition").agg(F.count(F.lit(1)).alias("n"))
+
+
 LWW_SQL = """select natural_key, max({{'t': created_at, 'c': client_id}}).t as created_at, max({{'t': created_at, 'c': client_id}}).c as client_id,
                     arg_max(value, {{'t': created_at, 'c': client_id}}) as value, count(*) as n_edits from edits {where} group by natural_key"""
 
@@ -329,6 +349,25 @@ def table_metrics(spark, d):
     return records.table_metrics(t)
 
 
+@query("""select o_orderkey::varchar as source_file, 2 as row_no, o_orderpriority as player_name, t.kind as metric_type, t.value
+          from orders, lateral (values ('typing_wpm', o_custkey::varchar), ('quiz_score', case when o_orderkey % 3 <> 1 then 'q ' || o_orderkey end)) t(kind, value)
+          where o_orderkey % 5 in (0, 1) and o_orderkey % 7 <> 3 and t.value is not null""")
+def table_metrics_of_any_header(spark, d):
+    """Of tables with many headers only those that begin with a person's column count, and
+    rows without a name give nothing."""
+    k = F.col("o_orderkey")
+    first = F.element_at(F.array(*map(F.lit, (" Learner ", "PUPIL", "Team", "", "Student no"))), (k % 5 + 1).cast("int"))
+    tables = raw(spark, d, "orders").select(
+        k.cast("string").alias("source_file"), F.lit(2).alias("row_no"),
+        F.array(first, F.lit("words  per minute"), F.lit("Quiz 3"), F.lit("Age")).alias("header"),
+        F.array(
+            F.when(k % 7 == 3, " \t").otherwise(F.concat(F.lit(" "), "o_orderpriority")), F.col("o_custkey").cast("string"),
+            F.when(k % 3 == 1, "").otherwise(F.concat(F.lit("q \n "), k.cast("string"))), F.lit("11"),
+        ).alias("cells"),
+    )
+    return records.table_metrics(tables)
+
+
 @query("""select 'price' as constraint, id::varchar as key from products where price_cents <= 90500
           union all select 'type', id::varchar from products where type = 'once_off_pass'""")
 def constraint_checks(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.plans.client import DRAWS_SQL, _draws
 from ledgerloom.plans.loading import LWW_SQL
 from ledgerloom.plans.registry import query
-from ledgerloom.sources.adapter import table
+from ledgerloom.sources.adapter import raw, table
 from ledgerloom.streaming import sync
 
 
@@ -40,3 +40,45 @@ def stateful_draws(spark, d):
         F.count_if(F.col("status") == "applied").cast("int").alias("applied"),
         F.count_if(F.col("status") == "rejected").cast("int").alias("rejected"),
     )
+
+
+STREAM_DRAWS_SQL = """select event_id // 20 as entitlement_id,
+                             case when event_id % 23 <> 0 then 'd' || (case when event_id % 10 = 9 then event_id - 3 else event_id end) end as client_id,
+                             ts as created_at, cast(floor(value) as bigint) % 40 - 2 as amount, event_id % 17 <> 0 as signed from events"""
+
+
+@query(f"""with recursive draws as ({STREAM_DRAWS_SQL}),
+    first as (select *, client_id is null or row_number() over (partition by entitlement_id, client_id order by created_at, amount) = 1 as f from draws),
+    queue as (select *, created_at::date - cast(isodow(created_at) - 1 as integer) as period,
+                     row_number() over (partition by entitlement_id order by created_at, client_id nulls first, amount) as k from first),
+    fold as (
+        select id, e.status = 'active' as active, remaining_units as remaining, valid_from as since, null::varchar as client_id, null::timestamp as created_at,
+               null::varchar as status, null::varchar as reason, null::varchar as audit, 0::bigint as k from entitlements e
+        union all
+        select id, active, case when took then start - amount else start end, case when counts then greatest(since, period) else since end, client_id, created_at,
+               case when amount <= 0 then 'rejected' when not f then 'skipped' when not active or start < amount or (start is not null and not signed) then 'rejected' else 'applied' end,
+               case when amount <= 0 then 'invalid_amount' when not f then null when not active then 'inactive' when start < amount then 'insufficient_units'
+                    when start is not null and not signed then 'signature_failed' end,
+               case when amount <= 0 then null when not f then 'skip' when not active then null when start is null then 'skip' when took then 'update' end, k
+        from (select *, coalesce(counts and active and signed and start >= amount, false) as took
+              from (select g.id, g.active, g.since, q.period, q.amount, q.f, q.signed, q.client_id, q.created_at, q.k, q.f and q.amount > 0 as counts,
+                           case when q.f and q.amount > 0 and q.period > g.since then 120 else g.remaining end as start
+                    from fold g join queue q on q.entitlement_id = g.id and q.k = g.k + 1)))
+    select id as entitlement_id, client_id, created_at, status, reason, remaining, audit from fold where k > 0
+    union all
+    select entitlement_id, client_id, created_at, 'rejected', case when amount <= 0 then 'invalid_amount' else 'not_found' end, null, null
+    from draws where entitlement_id not in (select id from entitlements)""")
+def stream_draw_results(spark, d):
+    """Draws of weekly entitlements as a stream: a result for each, with reason and signature.
+
+    Some draws have no client id, some repeat another's, some can't be signed.
+    """
+    rules = F.create_map(F.lit("reset"), F.lit("monday"), F.lit("hours_per_week"), F.lit("2"))
+    e = table(spark, d, "entitlements").select(F.col("id").alias("entitlement_id"), "remaining_units", "status", "valid_from", rules.alias("rules"))
+    k = F.col("event_id")
+    draws = raw(spark, d, "events").select(
+        F.floor(k / 20).alias("entitlement_id"),
+        F.when(k % 23 != 0, F.concat(F.lit("d"), F.when(k % 10 == 9, k - 3).otherwise(k).cast("string"))).alias("client_id"),
+        F.col("ts").alias("created_at"), (F.floor("value") % 40 - 2).alias("amount"), (k % 17 != 0).alias("signed"),
+    )
+    return sync.stream_draws(e, draws)

@@ -62,7 +62,7 @@ def route_files(files: DataFrame, routes: tuple[Route, ...] = ROUTES) -> DataFra
     reason = F.when(F.col("handler").isNotNull(), F.lit(None).cast("string")).when(
         F.col("subfolder").isNull(), "unknown folder"
     ).otherwise(F.concat(F.lit("unsupported file type ."), "suffix"))
-    return joined.withColumn("skip_reason", reason).orderBy("path")
+    return joined.withColumn("skip_reason", reason)
 
 
 def absent_folders(routed: DataFrame, routes: tuple[Route, ...] = ROUTES) -> DataFrame:
@@ -79,27 +79,72 @@ def image_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-DOCX_SCHEMA = "source_file string, pos int, kind string, text string, row_no int, cells array<string>"
+DOCX_SCHEMA = "source_file string, pos int, kind string, text string, table_no int, row_no int, cells array<string>"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def _docx_items(content: bytes) -> Iterator[tuple[str, str | None, list[str] | None]]:
-    """Paragraphs and table rows of an OOXML document in order."""
+@dataclass(frozen=True)
+class DocxItem:
+    """A paragraph, a row of a numbered table, or what says that the file can't be read."""
+
+    kind: str
+    text: str | None = None
+    table_no: int | None = None
+    row_no: int | None = None
+    cells: list[str] | None = None
+
+
+def _own_text(cell: ElementTree.Element) -> str:
+    """Text of a cell's own paragraphs; a table inside it is a table of its own."""
+    lines = ("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in cell.findall(f"{_W}p"))
+    return " ".join(" ".join(lines).split())
+
+
+def _number(properties: ElementTree.Element | None, name: str) -> int:
+    found = None if properties is None else properties.find(f"{_W}{name}")
+    return 0 if found is None else int(found.get(f"{_W}val", "0"))
+
+
+def _grid(table: ElementTree.Element) -> Iterator[list[str]]:
+    """The table's rows on its grid: a cell that spans columns fills each of them, one that
+    goes on from the row above has its text, and skipped columns are empty.  Rows that
+    are too short are filled up, so that all have the same columns."""
+    rows: list[list[str]] = []
+    for row in table.findall(f"{_W}tr"):
+        line = [""] * _number(row.find(f"{_W}trPr"), "gridBefore")
+        for cell in row.findall(f"{_W}tc"):
+            properties = cell.find(f"{_W}tcPr")
+            span = max(1, _number(properties, "gridSpan"))
+            merge = None if properties is None else properties.find(f"{_W}vMerge")
+            goes_on = merge is not None and merge.get(f"{_W}val", "continue") == "continue" and rows
+            above = rows[-1][len(line)] if goes_on and len(line) < len(rows[-1]) else None
+            line += [_own_text(cell) if above is None else above] * span
+        rows.append(line)
+    widest = max(map(len, rows), default=0)
+    for line in rows:
+        yield line + [""] * (widest - len(line))
+
+
+def _docx_items(content: bytes) -> Iterator[DocxItem]:
+    """Paragraphs and table rows of an OOXML document in order; tables are numbered, and
+    those inside a cell follow the table that holds them."""
     with zipfile.ZipFile(io.BytesIO(content)) as parts:
         body = ElementTree.fromstring(parts.read("word/document.xml")).find(f"{_W}body")
-    said = lambda node: "".join(t.text or "" for t in node.iter(f"{_W}t"))
+    table_no = 0
     for node in body if body is not None else ():
         if node.tag == f"{_W}p":
-            yield "paragraph", said(node), None
+            yield DocxItem("paragraph", "".join(t.text or "" for t in node.iter(f"{_W}t")))
         elif node.tag == f"{_W}tbl":
-            for row in node.iter(f"{_W}tr"):
-                yield "table", None, [said(cell) for cell in row.iter(f"{_W}tc")]
+            for table in node.iter(f"{_W}tbl"):
+                for k, cells in enumerate(_grid(table)):
+                    yield DocxItem("table", None, table_no, k + 1, cells)
+                table_no += 1
 
 
 def read_docx(spark: SparkSession, folder: str) -> DataFrame:
     """Lines and table rows of all documents below ``folder``, one task a few files.
 
-    A file that is no document gives one row of kind 'unreadable'.
+    A file that is no document gives one row of kind 'unreadable', whose text says why.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,17 +153,14 @@ def read_docx(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     items = list(_docx_items(content))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    items = [("unreadable", None, None)]
-                table_row = 0
-                for pos, (kind, said, cells) in enumerate(items):
-                    table_row = table_row + 1 if kind == "table" else 0
-                    rows.append((path, pos, kind, said, table_row, cells))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()))
+                except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError) as e:
+                    items = [DocxItem("unreadable", f"{type(e).__name__}: {e}"[:500])]
+                rows += [(path, pos, x.kind, x.text, x.table_no, x.row_no, x.cells) for pos, x in enumerate(items)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["source_file", "pos", "kind", "text", "row_no", "cells"],
+                names=["source_file", "pos", "kind", "text", "table_no", "row_no", "cells"],
             )
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(folder)
@@ -131,11 +173,11 @@ def docx_lines(items: DataFrame) -> DataFrame:
 
 
 def docx_tables(items: DataFrame) -> DataFrame:
-    """Data rows of each table with the table's header, the row numbered 1, and its place in the file."""
-    rows = items.where("kind = 'table'").withColumn("_start", F.col("pos") - F.col("row_no"))
-    head = rows.where("row_no = 1").select("source_file", "_start", F.col("cells").alias("header"))
-    return rows.where("row_no > 1").join(head, ["source_file", "_start"]).select(
-        "source_file", F.col("_start").alias("table_no"), "header", "row_no", "cells"
+    """Data rows of each table with the table's header, the row numbered 1, and its number in the file."""
+    rows = items.where("kind = 'table'")
+    head = rows.where("row_no = 1").select("source_file", "table_no", F.col("cells").alias("header"))
+    return rows.where("row_no > 1").join(head, ["source_file", "table_no"]).select(
+        "source_file", "table_no", "header", "row_no", "cells"
     )
 
 

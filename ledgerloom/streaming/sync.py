@@ -2,170 +2,193 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ledgerloom.operators import ledger
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's checkpoint folder.
-
-    A local one only where none is set and all runs in one process (tests).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from ledgerloom.sources.shared import Store, shared_folder, written
 
 
 class LastWriteTable:
-    """Rows by key as the winners of each batch, in a Parquet folder of its own.
+    """Rows by key as the winners of each batch, under a commit log in storage.
 
-    A batch writes what it changes, not the table, and its folder is named after it,
-    so that a replayed batch writes the same one again.  Reading takes the newest
-    winner of each key; ``compact`` writes that once, as the start of later reads.
+    A batch writes what it changes, not the table, and is seen once it is committed; a
+    batch that was committed before changes nothing.  Reading takes the newest winner of
+    each key; ``compact`` writes that once, as the start of later reads.  The driver
+    holds nothing: a new object over the same folder goes on where the last one ended.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, mutable: list[str], schema):
-        self.spark, self.folder, self.key, self.mutable, self.schema = spark, folder, key, mutable, schema
-        self.version, self.base = -1, -1
-
-    def read(self, version: int | None = None) -> DataFrame:
-        last = self.version if version is None else version
-        start = self.base if self.base <= last else -1
-        paths = [f"{self.folder}/v{n}" for n in range(start + 1, last + 1)]
-        if start >= 0:
-            paths.append(f"{self.folder}/upto{start}")
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        winners = self.spark.read.schema(self.schema).parquet(*paths)
+        self.store, self.key, self.mutable, self.schema = Store(spark, folder), key, mutable, schema
+
+    def read(self) -> DataFrame:
+        winners = self.store.table("winners", self.schema)
         newest = [F.max_by(m, ledger.version()).alias(m) for m in self.mutable]
         return winners.groupBy(self.key).agg(F.max(ledger.version()).alias("_v"), *newest).select(
             self.key, "_v.created_at", "_v.client_id", *self.mutable
         )
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        """Write the winners of the batch beside those before it."""
-        winners = ledger.last_write(batch, self.key, self.mutable, "seq").select(self.schema.names)
-        winners.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
-        self.version = max(self.version, number)
+        """Commit the winners of the batch beside those before it."""
+        if not self.store.done(number):
+            winners = ledger.last_write(batch, self.key, self.mutable, "seq").select(self.schema.names)
+            self.store.commit({"winners": winners}, number)
 
     def compact(self) -> None:
-        """Gather all batches so far in one folder; the old ones stay for older readers."""
-        last = self.version
-        self.read(last).write.mode("overwrite").parquet(f"{self.folder}/upto{last}")
-        self.base = last
+        """Gather all batches so far in one part; the old ones stay for older readers."""
+        self.store.compact("winners", self.read())
 
 
-def sync_edits(edits_path_df: DataFrame, key: str, mutable: list[str], files_per_batch: int = 1) -> DataFrame:
+def sync_edits(
+    edits: DataFrame, key: str, mutable: list[str], files_per_batch: int = 1, folder: str | None = None
+) -> DataFrame:
     """Run edits through an available-now stream; returns the table after it.
 
     The edits are written once as files and streamed by ``files_per_batch``, so
-    several batches arrive out of time order; late edits are read and lose.
+    several batches arrive out of time order; late edits are read and lose.  A later call
+    with the same ``folder`` goes on with the table and the stream that lie there.
     """
-    spark = edits_path_df.sparkSession
-    source, target, state = (shared_folder(spark, n) for n in ("edits", "table", "stream"))
-    edits_path_df.write.parquet(source)
-    schema = edits_path_df.select(key, "created_at", "client_id", *mutable).schema
-    table = LastWriteTable(spark, target, key, mutable, schema)
+    spark = edits.sparkSession
+    folder = folder or shared_folder(spark, "sync")
+    edits.write.mode("append").parquet(f"{folder}/edits")
+    schema = edits.select(key, "created_at", "client_id", *mutable).schema
+    table = LastWriteTable(spark, f"{folder}/table", key, mutable, schema)
+    run_stream(_files(spark, edits.schema, f"{folder}/edits", files_per_batch), table.apply, f"{folder}/stream")
+    return table.read()
+
+
+def _files(spark: SparkSession, schema, folder: str, files_per_batch: int) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
+
+
+def run_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hand the micro-batches that are there to ``apply`` and end."""
     query = (
-        spark.readStream.schema(edits_path_df.schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(source)
-        .writeStream.foreachBatch(table.apply)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
+        stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return table.read()
 
 
-DRAW_RESULT = "entitlement_id long, client_id string, status string, remaining long"
+DRAW_RESULT = "status string, reason string, remaining long, audit string"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Draws that are told at a time.
+CHUNK = 10_000
+
+
+#: Columns that pandas gives another type where values are missing.
+_KINDS = {
+    "client_id": pa.string(), "d_start": pa.int64(), "d_amount": pa.int64(), "d_allowance": pa.int64(),
+    "d_since": pa.date32(), "d_period": pa.date32(),
+}
+
+
+def _as_arrow(frame: pd.DataFrame) -> pa.Table:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    for name, kind in _KINDS.items():
+        table = table.set_column(table.schema.get_field_index(name), name, table[name].cast(kind))
+    return table
 
 
 class DrawKeeper(StatefulProcessor):
-    """Draws of one entitlement in order of time within a micro-batch.
+    """``DrawMachine`` over a stream: draws of one entitlement, in order of time within a
+    micro-batch.
 
-    Its balance is one state value; every receipt is an entry of a map on disk, read and
-    written by its client id alone, so a batch costs its own rows and not the history.
+    Units and period are one state value; every receipt is an entry of a map on disk, read
+    and written by its client id alone, so a batch costs its own rows and not the history.
+    A key's rows of a batch are held as Arrow columns, sorted there, and turned into
+    objects a chunk at a time.
     """
 
+    def __init__(self, key: str, rejected_too: bool, known_first: bool):
+        self.key, self.rejected_too, self.known_first = key, rejected_too, known_first
+
     def init(self, handle) -> None:
-        self.balance = handle.getValueState("balance", "remaining long, unlimited boolean")
+        self.units = handle.getValueState("units", "remaining long, unlimited boolean, since date")
         self.receipts = handle.getMapState("receipts", "client_id string", "status string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        draws = pd.concat(list(rows)).sort_values(["created_at", "client_id"])
-        if self.balance.exists():
-            remaining, unlimited = self.balance.get()
+        table = pa.concat_tables([_as_arrow(frame) for frame in rows], promote_options="permissive")
+        order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("created_at", "client_id", "d_amount")], null_placement="at_start")
+        machine = None
+        for at in range(0, table.num_rows, CHUNK):
+            part = table.take(order[at : at + CHUNK])
+            columns = {n: part.column(n).to_pylist() for n in ("client_id", *ledger._TOLD)}
+            if machine is None:
+                machine = self._machine(columns["d_start"][0], columns["d_since"][0])
+            told = [self._told(machine, {n: v[k] for n, v in columns.items()}) for k in range(part.num_rows)]
+            out = pd.DataFrame(told, columns=["status", "reason", "remaining", "audit"]).astype({"remaining": "Int64"})
+            head = part.select([self.key, "client_id", "created_at"]).to_pandas()
+            yield pd.concat([head, out], axis=1)
+        self.units.update((machine.left or 0, machine.left is None, machine.since))
+
+    def _machine(self, start, since) -> ledger.DrawMachine:
+        if not self.units.exists():
+            return ledger.DrawMachine(start, since)
+        remaining, unlimited, since = self.units.get()
+        return ledger.DrawMachine(None if unlimited else remaining, since)
+
+    def _told(self, machine: ledger.DrawMachine, row: dict) -> tuple:
+        client = row["client_id"]
+        known = client is not None and self.receipts.containsKey((client,))
+        replayed = known or row["d_known"]
+        if replayed and self.known_first:
+            told = ("skipped", None, machine.left, "skip")
         else:
-            first = draws["start_units"].iloc[0]
-            unlimited = bool(pd.isna(first))
-            remaining = 0 if unlimited else int(first)
-        told = []
-        for client, amount, replay in zip(draws["client_id"], draws["amount"], draws["replay"], strict=True):
-            named = not pd.isna(client)
-            known = named and self.receipts.containsKey((client,))
-            if known or replay:
-                status = "skipped"
-            elif amount > 0 and (unlimited or remaining >= amount):
-                remaining -= 0 if unlimited else int(amount)
-                status = "applied"
-            else:
-                status = "rejected"
-            if named and not known:
-                self.receipts.updateValue((client,), (status,))
-            told.append((key[0], client, status, None if unlimited else remaining))
-        self.balance.update((remaining, unlimited))
-        yield pd.DataFrame(told, columns=["entitlement_id", "client_id", "status", "remaining"]).astype({"remaining": "Int64"})
+            asked = (row[n] for n in ("d_amount", "d_found", "d_active", "d_period", "d_allowance", "d_signed"))
+            told = machine.step(*asked, replayed)
+        if client is not None and not known and (self.rejected_too or told[0] == "applied" or row["d_known"]):
+            self.receipts.updateValue((client,), (told[0],))
+        return told
 
     def close(self) -> None:
         pass
 
 
-def stateful_draws(draws: DataFrame, files_per_batch: int = 0, old_receipts: DataFrame | None = None) -> DataFrame:
-    """Stateful stream of draws (entitlement_id, client_id, created_at, amount,
-    start_units): a result row for each, receipts without expiry.
-
-    A client id counts once for an entitlement; a draw without one is never a replay by
-    its id.  ``old_receipts`` (entitlement_id, created_at) were written without client ids:
-    a draw at the time of one is skipped, and its client id is a receipt from then on.
+def stream_draws(
+    entitlements: DataFrame,
+    draws: DataFrame,
+    key: str = "entitlement_id",
+    today: Column | None = None,
+    rejected_too: bool = True,
+    known_first: bool = False,
+    files_per_batch: int = 0,
+    old_receipts: DataFrame | None = None,
+    folder: str | None = None,
+) -> DataFrame:
+    """``ledger.draw_results`` of a stream of draws, with state that never expires.
+
+    The entitlements' units are read when a key first comes; then the state has them.
+    ``old_receipts`` (key, created_at) were written without client ids: a draw at the time
+    of one is skipped, and its client id is a receipt from then on.  With ``known_first`` a
+    known id is skipped whatever its amount.  A later call with the same ``folder`` goes
+    on with the state that lies there, and returns all results so far.
     """
     spark = draws.sparkSession
-    source, target, state = (shared_folder(spark, n) for n in ("draws", "results", "stream"))
-    marked = draws.withColumn("replay", F.lit(False))
+    folder = folder or shared_folder(spark, "draws")
+    marked = draws
     if old_receipts is not None:
-        old = old_receipts.select("entitlement_id", "created_at").distinct().withColumn("_old", F.lit(True))
-        marked = draws.join(old, ["entitlement_id", "created_at"], "left").withColumn("replay", F.coalesce("_old", F.lit(False))).drop("_old")
-    marked.write.parquet(source)
-    stream = spark.readStream.schema(marked.schema)
-    if files_per_batch:
-        stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    results = (
-        stream.parquet(source)
-        .groupBy("entitlement_id")
-        .transformWithStateInPandas(DrawKeeper(), DRAW_RESULT, "Append", "None")
-    )
+        old = old_receipts.select(key, "created_at").distinct().withColumn("known", F.lit(True))
+        marked = draws.join(old, [key, "created_at"], "left")
+    marked.write.mode("append").parquet(f"{folder}/draws")
+    told = ledger.told_draws(entitlements, _files(spark, marked.schema, f"{folder}/draws", files_per_batch), key, today)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in told.schema.fields[:3]), DRAW_RESULT])
+    keeper = DrawKeeper(key, rejected_too, known_first)
+    results = told.groupBy(key).transformWithStateInPandas(keeper, schema, "Append", "None")
     before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ON_DISK)
     try:
         query = (
             results.writeStream.format("parquet")
-            .option("path", target)
-            .option("checkpointLocation", state)
+            .option("path", f"{folder}/results")
+            .option("checkpointLocation", f"{folder}/stream")
             .outputMode("append")
             .trigger(availableNow=True)
             .start()
@@ -173,7 +196,22 @@ def stateful_draws(draws: DataFrame, files_per_batch: int = 0, old_receipts: Dat
     finally:
         spark.conf.set(STATE_STORE, before)
     query.awaitTermination()
-    return spark.read.schema(DRAW_RESULT).parquet(target)
+    return spark.read.schema(schema).parquet(f"{folder}/results")
+
+
+def stateful_draws(draws: DataFrame, files_per_batch: int = 0, old_receipts: DataFrame | None = None) -> DataFrame:
+    """Stateful stream of draws (entitlement_id, client_id, created_at, amount,
+    start_units): entitlement_id, client_id, status and remaining of each.
+
+    Draws bring their entitlement's units with them.  A client id counts once for an
+    entitlement, whatever came of it, and is then skipped; see ``stream_draws``.
+    """
+    held = draws.groupBy("entitlement_id").agg(F.first("start_units").alias("remaining_units"))
+    narrow = draws.select("entitlement_id", "client_id", "created_at", "amount")
+    out = stream_draws(
+        written(held, "draw-units"), narrow, files_per_batch=files_per_batch, old_receipts=old_receipts, known_first=True
+    )
+    return out.select("entitlement_id", "client_id", "status", "remaining")
 
 
 def latest_by_device(log: DataFrame) -> DataFrame:

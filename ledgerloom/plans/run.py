@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text
 from ledgerloom.operators import records
 from ledgerloom.sources import files, sinks
+from ledgerloom.sources.shared import Store, written
 
 #: The stages and those before each.
 STAGES = ("collect", "extract", "validate", "load", "archive")
@@ -50,6 +51,17 @@ class Retry:
                     raise
                 sleep(self.delay(attempt))
 
+    def tried(self, f: Callable, sleep: Callable[[float], None] = time.sleep) -> tuple[object, str | None, int]:
+        """(result, error, attempts): what fails to the end is told, not raised."""
+        for attempt in range(1, self.attempts + 1):
+            try:
+                return f(), None, attempt
+            except Exception as e:  # noqa: BLE001 - one call's failure is a row of the result
+                error = f"{type(e).__name__}: {e}"[:500]
+                if attempt < self.attempts:
+                    sleep(self.delay(attempt))
+        return None, error, self.attempts
+
 
 @dataclass
 class Providers:
@@ -66,18 +78,31 @@ class Providers:
     def names(self) -> list[str]:
         return sorted(self.factories)
 
-    def generate(self, name: str, requests: DataFrame) -> DataFrame:
-        """requests (path, ...) through the named client; one call a row, in tasks."""
+    def generate(self, name: str, requests: DataFrame, retry: Retry = Retry()) -> DataFrame:
+        """path, content, error, attempts of requests (path, ...) through the named client.
+
+        One call a row, in tasks, each retried by itself; a call that fails to the end is
+        a row with its error and no content, and the others go on.  A client that can't be
+        made fails the calls that need it.  Write the result before reading it twice.
+        """
         if name not in self.factories:
             raise KeyError(f"no provider {name!r}; known: {', '.join(self.names())}")
         factory = self.factories[name]
 
         def answer(batches):
-            client = factory()
+            clients = []
+
+            def call(request):
+                if not clients:
+                    clients.append(factory())
+                return clients[0](request)
+
             for pdf in batches:
-                yield pdf[["path"]].assign(content=[client(r) for r in pdf.to_dict("records")])
+                told = [retry.tried(lambda r=r: call(r)) for r in pdf.to_dict("records")]
+                names = ("content", "error", "attempts")
+                yield pdf[["path"]].assign(**{n: [t[k] for t in told] for k, n in enumerate(names)})
 
-        return requests.mapInPandas(answer, "path string, content string")
+        return requests.mapInPandas(answer, "path string, content string, error string, attempts int")
 
 
 class BatchFailed(RuntimeError):
@@ -101,16 +126,25 @@ def await_job(poll: Callable[[], str], interval: float = 30.0, longest: float =
         waited += interval
 
 
-def generate_in_batch(requests: DataFrame, folder: str, submit: Callable[[str, str], Callable[[], str]], system: str = "", **waiting) -> DataFrame:
+def generate_in_batch(
+    requests: DataFrame, folder: str, submit: Callable[[str, str], Callable[[], str]], system: str = "",
+    one_by_one: Callable[[DataFrame], DataFrame] | None = None, **waiting,
+) -> DataFrame:
     """Answers (path, content) of a batch service to requests (path, media_type, data).
 
     The requests are written as JSON lines, ``submit(input, output)`` starts the job and
     returns what tells its state, and the output's lines meet the requests by id; a request
-    without an answer has null content, so that it can be asked for by itself.
+    without an answer has null content.  ``one_by_one`` (as ``Providers.generate``) is
+    asked for these by themselves, and its errors come with them.
     """
     sinks.write_batch_input(requests, f"{folder}/input", system)
     await_job(submit(f"{folder}/input", f"{folder}/output"), **waiting)
-    return answers_by_path(requests, files.read_batch_output(requests.sparkSession, f"{folder}/output/*"))
+    told = answers_by_path(requests, files.read_batch_output(requests.sparkSession, f"{folder}/output/*"))
+    if one_by_one is None:
+        return told
+    left = requests.join(told.where("content is null").select("path"), "path", "left_semi")
+    answered = told.where("content is not null")
+    return answered.unionByName(one_by_one(left).select("path", "content", "error"), allowMissingColumns=True)
 
 
 def answers_by_path(requests: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -131,7 +165,11 @@ class Settings:
     provider: str = "stub"
     reference_date: str = "2024-01-01"
     threshold: float = 0.7
+    #: The amounts in cents that the price list has.
     known_cents: tuple[int, ...] = (1000, 3000, 5000, 35000, 25000)
+    retry: Retry = Retry()
+    #: Who is written down as the one that loads.
+    user: str | None = None
 
     def __post_init__(self) -> None:
         if not 0 <= self.threshold <= 1:
@@ -211,7 +249,9 @@ def run_batch(
     ``players`` has id, first_name, last_name; ``schools`` and ``products`` have id
     and name.  ``answers`` (path, content) stands for the provider's, where a batch
     service has written them.  The manifest says what was done: a resumed run goes
-    on with the files that it lacks, and keeps what was extracted of the others.
+    on with the files that it lacks, and keeps what was extracted of the others.  A file
+    that can't be read, or whose call fails to the end, is told in the manifest and in
+    the table ``failures`` and asked again on resume; the run goes on without it.
     Nothing is collected but the summary, which the caller may ask for.
     """
     base = f"{settings.state}/{run_id}"
@@ -244,6 +284,8 @@ def _collect(spark: SparkSession, settings: Settings, manifest: sinks.Manifest)
     taken = F.col("handler").isNotNull()
     told = routed.select(F.col("path").alias("target"), F.when(taken, "done").otherwise("skipped").alias("status"), F.col("skip_reason").alias("reason"))
     manifest.mark("collect", "file", told)
+    absent = files.absent_folders(routed)
+    manifest.mark("collect", "skip", absent.select(F.col("subfolder").alias("target"), F.lit("skipped").alias("status"), F.lit("subfolder absent").alias("reason")))
     return {"collect": routed}
 
 
@@ -251,6 +293,13 @@ def _done(rows: DataFrame, path: str) -> DataFrame:
     return rows.select(F.col(path).alias("target"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("reason")).distinct()
 
 
+def _marked(paths: DataFrame, failures: DataFrame) -> DataFrame:
+    """target, status and reason of every path: failed, or done."""
+    wrong = failures.groupBy("path").agg(F.min("reason").alias("reason"))
+    status = F.when(F.col("reason").isNotNull(), "failed").otherwise("done")
+    return paths.distinct().join(wrong, "path", "left").select(F.col("path").alias("target"), status.alias("status"), "reason")
+
+
 def _extract(spark, settings, providers, answers, routed, base, manifest, resume) -> dict[str, DataFrame]:
     folder = f"{base}/extract"
     kept = routed.where("handler is not null").select("path")
@@ -260,14 +309,22 @@ def _extract(spark, settings, providers, answers, routed, base, manifest, resume
         kept.write.mode("overwrite").parquet(f"{base}/extract-todo")
         kept = spark.read.parquet(f"{base}/extract-todo")
     images = files.image_requests(spark, settings.source).join(kept, "path", "left_semi")
-    said = providers.generate(settings.provider, images) if answers is None else answers_by_path(images, answers)
-    parsed = records.explode_model_output(said)
+    if answers is None:
+        # written once: the calls cost, and their outcome is read for records and for failures
+        said = written(providers.generate(settings.provider, images, settings.retry), "answers")
+    else:
+        unanswered = F.when(F.col("content").isNull(), "no answer")
+        said = written(answers_by_path(images, answers).withColumn("error", unanswered), "answers")
+    parsed = records.explode_model_output(said.where("error is null").select("path", "content"))
     from_images = parsed.select(
         text.record_id(F.col("path"), F.coalesce("target_table", F.lit("")), F.col("pos")).alias("record_id"),
         "target_table", "payload", F.col("confidence").alias("confidence_score"), F.col("path").alias("source_file"),
         F.lit(settings.provider).alias("provider"),
     )
-    items = files.read_docx(spark, settings.source).join(kept.select(F.col("path").alias("source_file")), "source_file", "left_semi")
+    items = written(files.read_docx(spark, settings.source).join(kept.select(F.col("path").alias("source_file")), "source_file", "left_semi"), "documents")
+    failed = lambda why, error: F.concat(F.lit(f"{why}: "), error).alias("reason")
+    unread = items.where("kind = 'unreadable'").select(F.col("source_file").alias("path"), failed("docx parse error", F.col("text")))
+    failures = said.where("error is not null").select("path", failed("extract_failed", F.col("error"))).unionByName(unread)
     lines = files.docx_lines(items)
     as_map = lambda *c: F.map_from_arrays(F.array(*[F.lit(x) for x in c]), F.array(*[F.col(x).cast("string") for x in c]))
 
@@ -284,10 +341,11 @@ def _extract(spark, settings, providers, answers, routed, base, manifest, resume
         .unionByName(parsed_rows(records.table_metrics(files.docx_tables(items)), "student_metrics", "metric_tables", "cell", *metric))
     )
     extracted.write.mode("append" if resume else "overwrite").parquet(folder)
-    manifest.mark("extract", "file", _done(kept, "path"))
+    manifest.mark("extract", "file", _marked(kept, failures))
+    manifest.mark("extract", "failure", failures.select(F.col("path").alias("target"), F.lit("failed").alias("status"), "reason"))
     whole = spark.read.schema(EXTRACTED).parquet(folder)
     sinks.write_record_csvs(whole, f"{base}/csv")
-    return {"extract": whole}
+    return {"extract": whole, "failures": failures}
 
 
 EXTRACTED = (
@@ -314,10 +372,10 @@ def _archive(spark, settings, routed, base, manifest) -> dict[str, DataFrame]:
     taken = routed.where("handler is not null").select("path")
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(settings.source)
     content = content.select("path", "content").join(taken, "path", "left_semi")
-    there = sinks.stored(spark, f"{settings.state}/archive", "sha256 string, key string").select("key", "sha256").distinct()
-    sinks.archive_plan(content, there).write.mode("overwrite").parquet(f"{base}/archive-plan")
+    archive = sinks.Archive(spark, f"{settings.state}/archive")
+    archive.plan(content).write.mode("overwrite").parquet(f"{base}/archive-plan")
     plan = spark.read.parquet(f"{base}/archive-plan")
-    sinks.write_archive(plan, content, f"{settings.state}/archive")
+    archive.upload(plan, content)
     manifest.mark("archive", "file", _done(plan, "path"))
     return {"archive": plan}
 
@@ -329,22 +387,21 @@ LOADED = "natural_key string, record_id string, target_table string, player_id l
 CONSENTS = "record_id string, player_id long, consent_type string, granted boolean, granted_at string, method string"
 
 
+AUDITED = ("inserted", "merged", "appended", "duplicate")
+
+
 def _load(spark, settings, validated, players, references, base, manifest) -> dict[str, DataFrame]:
     """Load the clean records against what earlier runs have stored below the state folder.
 
     Players come first, so that the batch's own names resolve; ``players`` seeds the
-    first run.  Rows inserted are appended to the stored table, consents to their ledger
-    (a record that it holds is a duplicate), and the players are written as a new
-    version, whose name the next run finds.
+    first run.  Rows inserted, consents appended (a record that their ledger holds is a
+    duplicate), the players and an audit row for each outcome are one commit: later runs
+    see all of it or nothing.
     """
-    state = settings.state
+    store = Store(spark, settings.state)
     clean = records.privacy_filter(validated.where("status = 'clean'").drop("reasons", "status"))
-    known = _stored_players(spark, players, state)
-    people, told = records.load_players(clean.where("target_table = 'players'"), known)
-    people.write.mode("overwrite").parquet(f"{base}/players")
-    people = spark.read.parquet(f"{base}/players")
-    told.write.mode("overwrite").parquet(f"{base}/load-players")
-    told = spark.read.parquet(f"{base}/load-players")
+    people, told = records.load_players(clean.where("target_table = 'players'"), _stored_players(spark, players, settings.state))
+    people, told = written(people, "load-players"), written(told, "load-told")
     key = F.lit(None).cast("string")
     for table in text.LOAD_KEY_FIELDS:
         own = text.load_key(table, lambda f: records.field(F.col("payload"), f), F.col("source_file"))
@@ -352,12 +409,11 @@ def _load(spark, settings, validated, players, references, base, manifest) -> di
     index = records.name_index(people)
     schools, products = (records.reference_index(r) for r in references)
     rest = clean.where(~F.col("target_table").isin("players", "consents"))
-    keyed = records.resolve_references(rest, index, schools, products, _cents(settings)).withColumn("natural_key", key)
-    loaded, book = f"{state}/loaded", sinks.AppendOnly(f"{state}/consents")
-    done = records.insert_if_absent(keyed.where("load_reason is null"), "natural_key", ["record_id"], sinks.stored(spark, loaded, LOADED))
+    keyed = written(records.resolve_references(rest, index, schools, products, _cents(settings)).withColumn("natural_key", key), "load-keyed")
+    done = records.insert_if_absent(keyed.where("load_reason is null"), "natural_key", ["record_id"], store.table("loaded", LOADED))
     flagged = keyed.where("load_reason is not null").withColumn("disposition", F.col("load_reason"))
-    consents = records.consent_outcomes(clean, index)
-    given = records.insert_if_absent(consents.where("reason is null"), "record_id", ["record_id"], sinks.stored(spark, book.folder, CONSENTS))
+    consents = written(records.consent_outcomes(clean, index), "load-consents")
+    given = records.insert_if_absent(consents.where("reason is null"), "record_id", ["record_id"], store.table("consents", CONSENTS))
     given = given.withColumn("disposition", F.when(F.col("disposition") == "inserted", "appended").otherwise(F.col("disposition")))
     refused = consents.where("reason is not null").withColumn("disposition", F.col("reason"))
     result = done.unionByName(flagged)
@@ -366,25 +422,27 @@ def _load(spark, settings, validated, players, references, base, manifest) -> di
     result.write.mode("overwrite").parquet(f"{base}/load")
     result = spark.read.parquet(f"{base}/load")
     new = result.where("disposition = 'inserted' and target_table <> 'players'")
-    new.select("natural_key", "record_id", "target_table", F.col("player_id").cast("long")).write.mode("append").parquet(loaded)
     appended = result.where("disposition = 'appended'")
-    book.append(appended.select("record_id", F.col("player_id").cast("long"), "consent_type", "granted", "granted_at", "method"))
-    version = spark.createDataFrame([(f"{base}/players",)], "path string").withColumn("at", F.current_timestamp())
-    version.write.mode("append").parquet(f"{state}/player-versions")
+    audited = result.where(F.col("disposition").isin(*AUDITED))
+    nobody = F.lit(None).cast("string")
+    tables = {
+        "loaded": new.select("natural_key", "record_id", "target_table", F.col("player_id").cast("long")),
+        "consents": appended.select("record_id", F.col("player_id").cast("long"), "consent_type", "granted", "granted_at", "method"),
+        "players": people,
+        "audit": sinks.audit_rows(audited, F.col("target_table"), "record_id", nobody, F.lit(settings.user), F.current_timestamp()),
+    }
+    store.commit(tables, f"{manifest.run_id}:{manifest.number()}", whole=("players",))
     at = F.when(F.col("disposition").isin("inserted", "merged", "appended"), "loaded").when(F.col("disposition") == "duplicate", "skipped").otherwise("flagged")
-    manifest.mark("load", "record", result.select(F.col("record_id").alias("target"), at.alias("status"), F.col("disposition").alias("reason")))
-    return {"load": result, "players": people}
+    marks = result.select(F.col("record_id").alias("target"), at.alias("status"), F.col("disposition").alias("reason"))
+    manifest.mark("load", "record", marks)
+    manifest.mark("load", "skip", marks.where("status <> 'loaded'").withColumn("status", F.lit("skipped")))
+    return {"load": result, "players": spark.read.parquet(*store.parts("players"))}
 
 
 def _stored_players(spark: SparkSession, players: DataFrame, state: str) -> DataFrame:
-    """The last run's players, or the seed.  A run under an old id keeps its own version apart."""
-    latest = sinks.stored(spark, f"{state}/player-versions", "path string, at timestamp").orderBy(F.desc("at")).first()
-    if latest is None:
-        return players
-    kept = spark.read.parquet(latest["path"])
-    path = f"{state}/players-before"
-    kept.write.mode("overwrite").parquet(path)  # this run may write over the folder that it reads
-    return spark.read.parquet(path)
+    """The players of the last commit, or the seed."""
+    parts = Store(spark, state).parts("players")
+    return spark.read.parquet(*parts) if parts else players
 
 
 def summary(tables: dict[str, DataFrame]) -> dict[str, int]:
@@ -394,6 +452,8 @@ def summary(tables: dict[str, DataFrame]) -> dict[str, int]:
         counts["collected"] = tables["collect"].where("handler is not null").count()
     if "extract" in tables:
         counts["extracted"] = tables["extract"].count()
+        if failed := tables["failures"].select("path").distinct().count():
+            counts["failed"] = failed
     if "validate" in tables:
         counts["flagged"] = tables["validate"].where("status = 'flagged'").count()
     if "load" in tables:

@@ -78,6 +78,11 @@ class Store:
         """Names of the committed batches, in order."""
         return [self._told(n)["batch"] for n in self._commits() if self._told(n)["batch"] is not None]
 
+    def number(self) -> int:
+        """The number that the next commit gets."""
+        last = self._commits()
+        return int(last[-1].split(".")[0]) + 1 if last else 0
+
     def done(self, batch: str | int) -> bool:
         return any(self._told(n)["batch"] == str(batch) for n in reversed(self._commits()))
 
@@ -97,9 +102,7 @@ class Store:
 
     def commit(self, rows: dict[str, DataFrame], batch: str | int | None = None, whole: tuple[str, ...] = ()) -> None:
         """Write the rows of all tables, then make them seen at once."""
-        last = self._commits()
-        number = int(last[-1].split(".")[0]) + 1 if last else 0
-        tables = {}
+        number, tables = self.number(), {}
         for table, df in rows.items():
             part = f"{table}/{number:012d}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(f"{self.folder}/{part}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators.records import field, review_rows
+from ledgerloom.sources.shared import Store
 
 ENVELOPE = ("record_id", "confidence_score", "source_file", "provider", "extracted_at")
 #: Domain columns of the five record files.
@@ -17,6 +18,7 @@ PAYLOAD_COLUMNS = {
     "lessons": ("title", "topic", "phenomenon", "content", "source_file"),
     "student_metrics": ("player_name", "lesson_title", "metric_type", "value", "measured_at"),
 }
+#: What an audit row may say.
 AUDIT_ACTIONS = ("insert", "update", "delete", "skip")
 
 
@@ -63,27 +65,67 @@ def write_batch_input(requests: DataFrame, path: str, system: str, max_tokens: i
     requests.select(F.to_json(F.struct(F.col("path").alias("recordId"), body.alias("modelInput"))).alias("value")).write.text(path)
 
 
-def archive_plan(files: DataFrame, archived: DataFrame) -> DataFrame:
-    """path, key, sha256, action: what is uploaded, and what an equal object makes a skip."""
-    hashed = files.select("path", text.archive_key(F.col("path")).alias("key"), F.sha2("content", 256).alias("sha256"))
-    there = archived.select("key", F.col("sha256").alias("_there"))
+def archive_plan(files: DataFrame, latest: DataFrame) -> DataFrame:
+    """path, key, sha256, length, action: a file is skipped if its key's latest version
+    (key, sha256) has the same content, else uploaded.  One row a file."""
+    hashed = files.select(
+        "path", text.archive_key(F.col("path")).alias("key"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("length")
+    )
+    there = latest.select("key", F.col("sha256").alias("_there")).dropDuplicates(["key"])
     action = F.when(F.col("_there").eqNullSafe(F.col("sha256")), "skipped").otherwise("uploaded")
     return hashed.join(there, "key", "left").withColumn("action", action).drop("_there")
 
 
-def write_archive(plan: DataFrame, files: DataFrame, folder: str) -> DataFrame:
-    """Store the uploads by content hash; a retried task writes the same rows again."""
-    wanted = plan.where("action = 'uploaded'").select("path", "key", "sha256")
-    files.select("path", "content").join(wanted, "path").write.mode("append").partitionBy("key").parquet(folder)
-    return plan
+class Archive:
+    """Originals by content: each body is stored once under its digest, packed with others
+    in files of bounded size, and the latest version of a key says which body it has.
 
+    A run's bodies and versions are one commit.  Content that comes back to an earlier
+    state is a new version of the key, but no new body.
+    """
 
-def audit_rows(dispositions: DataFrame, entity: str, record: str, device: Column, user: Column, at: Column) -> DataFrame:
-    """Audit rows of a batch: an insert or a skip for each disposition."""
-    action = F.when(F.col("disposition") == "inserted", "insert").when(F.col("disposition") == "merged", "update").otherwise("skip")
+    BODIES = "sha256 string, content binary"
+    VERSIONS = "key string, sha256 string, path string, version long"
+    #: Bytes of content that a file of bodies holds, about.
+    PACK_BYTES = 128 << 20
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.store = Store(spark, folder)
+
+    def bodies(self) -> DataFrame:
+        return self.store.table("bodies", self.BODIES)
+
+    def latest(self) -> DataFrame:
+        """key, sha256, version: the last one; of files under one key the last path's."""
+        newest = F.max(F.struct("version", "path", "sha256")).alias("_v")
+        return self.store.table("versions", self.VERSIONS).groupBy("key").agg(newest).select("key", "_v.sha256", "_v.version")
+
+    def plan(self, files: DataFrame) -> DataFrame:
+        return archive_plan(files, self.latest())
+
+    def upload(self, plan: DataFrame, files: DataFrame) -> None:
+        """Store what the (written) plan uploads: contents that are new, and all versions."""
+        wanted = plan.where("action = 'uploaded'")
+        firsts = wanted.groupBy("sha256").agg(F.min(F.struct("path", "length")).alias("_f"))
+        new = firsts.join(self.bodies().select("sha256"), "sha256", "left_anti").select("sha256", "_f.path", "_f.length")
+        size = new.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        bodies = files.select("path", "content").join(new.select("path", "sha256"), "path").select("sha256", "content")
+        packed = bodies.repartition(1 + size // self.PACK_BYTES, "sha256")
+        versions = wanted.select("key", "sha256", "path", F.lit(self.store.number()).cast("long").alias("version"))
+        self.store.commit({"bodies": packed, "versions": versions})
+
+    def read(self) -> DataFrame:
+        """key, sha256, content of the latest versions."""
+        return self.latest().join(self.bodies(), "sha256").select("key", "sha256", "content")
+
+
+def audit_rows(dispositions: DataFrame, entity: Column, record: str, device: Column, user: Column, at: Column) -> DataFrame:
+    """Audit rows of a batch: an insert, an update or a skip for each disposition."""
+    changed = F.col("disposition")
+    action = F.when(changed.isin("inserted", "appended"), "insert").when(changed == "merged", "update").otherwise("skip")
     return checked_actions(dispositions.select(
-        F.lit(entity).alias("entity"), F.col(record).cast("string").alias("record_id"), action.alias("action"),
-        device.alias("device_id"), user.alias("user_id"), at.alias("server_timestamp"),
+        entity.cast("string").alias("entity"), F.col(record).cast("string").alias("record_id"), action.alias("action"),
+        device.cast("string").alias("device_id"), user.cast("string").alias("user_id"), at.alias("server_timestamp"),
     ))
 
 
@@ -94,20 +136,32 @@ def checked_actions(rows: DataFrame) -> DataFrame:
 
 
 class AppendOnly:
-    """A ledger folder: rows are added, and no method changes or removes any."""
+    """A ledger folder: rows are added, and no method changes or removes any.
+
+    A folder that belongs to a ``Store`` is read and added to by the store's commits.
+    """
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder = folder.rstrip("/")
+
+    def _store(self, spark: SparkSession) -> tuple[Store, str]:
+        parent, _, name = self.folder.rpartition("/")
+        return Store(spark, parent), name
 
     def append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.folder)
+        store, name = self._store(rows.sparkSession)
+        if store.parts(name):
+            store.commit({name: rows})
+        else:
+            rows.write.mode("append").parquet(self.folder)
 
     def revoke(self, consents: DataFrame, at: Column) -> None:
         """A revocation is a further row that grants nothing."""
         self.append(consents.withColumn("granted", F.lit(False)).withColumn("granted_at", at))
 
     def read(self, spark) -> DataFrame:
-        return spark.read.parquet(self.folder)
+        store, name = self._store(spark)
+        return spark.read.parquet(*(store.parts(name) or [self.folder]))
 
 
 MANIFEST = "run_id string, stage string, kind string, target string, status string, reason string"
@@ -149,6 +203,10 @@ class Manifest:
     def exists(self) -> bool:
         return self._next > 1
 
+    def number(self) -> int:
+        """The number of the next save."""
+        return self._next
+
     def _save(self, rows: DataFrame) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path
         hidden, name = f"{self.folder}/_saving-{self._next}", f"{self.folder}/seq={self._next}"

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger, records
-from ledgerloom.sources import files
+from ledgerloom.plans import run
+from ledgerloom.sources import files, sinks
 from ledgerloom.sources.shared import Store
 from ledgerloom.streaming import sync
 
@@ -271,3 +272,137 @@ def test_unreadable_documents_say_why(spark, tmp_path):
     (tmp_path / "d" / "a.docx").write_bytes(b"no zip")
     row = files.read_docx(spark, f"file://{tmp_path}/d").first()
     assert row["kind"] == "unreadable" and row["text"].startswith("BadZipFile")
+
+
+# -- runs ---------------------------------------------------------------------
+
+
+def _answer(*records):
+    return '{"records":[' + ",".join(records) + "]}"
+
+
+def test_failures_leave_the_run_complete(spark, tmp_path):
+    """One unreadable document and one failing call of three: two failed files, which alone are asked again."""
+    source = tmp_path / "src"
+    for sub in ("cards", "lessons"):
+        (source / sub).mkdir(parents=True)
+    for name in ("a", "b", "c"):
+        (source / "cards" / f"{name}.png").write_bytes(name.encode())
+    (source / "lessons" / "bad.docx").write_bytes(b"no zip")
+    asked = tmp_path / "asked"
+
+    def client():
+        def call(request):
+            name = request["path"].rsplit("/", 1)[1]
+            with open(asked, "a") as f:
+                f.write(name + "\n")
+            if name == "b.png" and not (tmp_path / "mended").exists():
+                raise ValueError("no such page")
+            return _answer('{"target_table":"lessons","confidence":0.9,"payload":{"title":"%s"}}' % name)
+
+        return call
+
+    settings = run.Settings(f"file://{source}", f"file://{tmp_path}/state", retry=run.Retry(first_delay=0))
+    nobody = spark.createDataFrame([], "id long, first_name string, last_name string")
+    go = lambda **more: run.run_batch(spark, settings, run.Providers({"stub": client}), nobody, run_id="r", **more)
+    tables = go()
+    counts = run.summary(tables)
+    assert (counts["collected"], counts["extracted"], counts["failed"], counts["inserted"]) == (4, 2, 2, 2)
+    assert sorted(asked.read_text().split()) == ["a.png", "b.png", "b.png", "b.png", "c.png"]
+    manifest = sinks.Manifest(spark, f"file://{tmp_path}/state/r/manifest", "r")
+    assert [manifest.stage_status(s) for s in run.STAGES] == ["completed"] * 5
+    told = {r["target"].rsplit("/", 1)[1]: r["reason"] for r in manifest.events().where("kind = 'failure'").collect()}
+    assert told["b.png"] == "extract_failed: ValueError: no such page" and told["bad.docx"].startswith("docx parse error: BadZipFile")
+    absent = {r["target"] for r in manifest.events().where("kind = 'skip' and stage = 'collect'").collect()}
+    assert absent == {"registers", "consents", "payments"}
+    (tmp_path / "mended").write_text("")
+    asked.unlink()
+    tables = go(resume=True)
+    assert asked.read_text().split() == ["b.png"]
+    counts = run.summary(tables)
+    assert (counts["extracted"], counts["failed"], counts["inserted"], counts["duplicate"]) == (3, 1, 1, 2)
+
+
+def test_unanswered_requests_are_asked_one_by_one(spark, tmp_path):
+    asked = spark.createDataFrame([(p, "image/png", "x") for p in "abc"], "path string, media_type string, data string")
+
+    def submit(given, out):
+        spark.createDataFrame([('{"recordId":"b","modelOutput":{"content":[{"type":"text","text":"yes"}]}}',)], "value string").write.text(out)
+        return lambda: "Completed"
+
+    def call(request):
+        if request["path"] == "c":
+            raise OSError("gone")
+        return "alone"
+
+    providers = run.Providers({"one": lambda: call})
+    got = run.generate_in_batch(asked, f"file://{tmp_path}/job", submit, one_by_one=lambda left: providers.generate("one", left, run.Retry(2, 0)))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "alone", None), ("b", "yes", None), ("c", None, "OSError: gone")]
+
+
+def test_a_client_that_cant_be_made_fails_its_calls(spark):
+    def broken():
+        raise RuntimeError("no key")
+
+    asked = spark.createDataFrame([("a",), ("b",)], "path string")
+    told = run.Providers({"p": broken}).generate("p", asked, run.Retry(2, 0)).collect()
+    assert {(r["path"], r["content"], r["error"], r["attempts"]) for r in told} == {(p, None, "RuntimeError: no key", 2) for p in "ab"}
+
+
+def test_archive_of_changed_unchanged_and_reverted_content(spark, tmp_path):
+    """One plan row a file in each of four runs; a body is stored once however often it comes back."""
+    archive = sinks.Archive(spark, f"file://{tmp_path}/archive")
+    seen = []
+    for bodies in ({"a": b"one", "b": b"same"}, {"a": b"two", "b": b"same"}, {"a": b"one", "b": b"same", "c": b"two"}, {"a": b"one", "b": b"same", "c": b"two"}):
+        files_ = spark.createDataFrame([(f"/in/cards/{k}.png", v) for k, v in bodies.items()], "path string, content binary")
+        archive.plan(files_).write.mode("overwrite").parquet(f"file://{tmp_path}/plan")
+        plan = spark.read.parquet(f"file://{tmp_path}/plan")
+        archive.upload(plan, files_)
+        seen.append({r["path"][-5]: r["action"] for r in plan.collect()})
+        assert plan.count() == len(bodies)
+        assert {r["key"]: bytes(r["content"]) for r in sinks.Archive(spark, f"file://{tmp_path}/archive").read().collect()} == {f"raw/cards/{k}.png": v for k, v in bodies.items()}
+    up, skip = "uploaded", "skipped"
+    assert seen == [{"a": up, "b": up}, {"a": up, "b": skip}, {"a": up, "b": skip, "c": up}, {"a": skip, "b": skip, "c": skip}]
+    assert sorted(bytes(r["content"]) for r in archive.bodies().collect()) == [b"one", b"same", b"two"]
+
+
+def test_bodies_are_packed_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks.Archive, "PACK_BYTES", 10_000)
+    archive = sinks.Archive(spark, f"file://{tmp_path}/archive")
+    files_ = spark.range(400).select(F.format_string("/in/cards/%d.png", "id").alias("path"), F.repeat(F.format_string("%04d", "id"), 50).cast("binary").alias("content"))
+    archive.plan(files_).write.parquet(f"file://{tmp_path}/plan")
+    archive.upload(spark.read.parquet(f"file://{tmp_path}/plan"), files_)
+    parts = [p for p in (tmp_path / "archive" / "bodies").rglob("part-*.parquet")]
+    assert 4 <= len(parts) <= 9 and archive.read().count() == 400
+
+
+def test_rows_players_consents_and_audit_are_one_commit(spark, tmp_path, monkeypatch):
+    """A load that stops before its commit leaves nothing; the next one loads all of it."""
+    source = tmp_path / "src"
+    (source / "cards").mkdir(parents=True)
+    (source / "cards" / "a.png").write_bytes(b"x")
+    said = _answer(
+        '{"target_table":"players","confidence":0.9,"payload":{"first_name":"Kabelo","last_name":"M"}}',
+        '{"target_table":"payments","confidence":0.9,"payload":{"player_name":"Kabelo M","amount":"R30","paid_at":"2023-12-01"}}',
+        '{"target_table":"consents","confidence":0.9,"payload":{"player_name":"Kabelo M","consent_type":"photo"}}',
+    )
+    nobody = spark.createDataFrame([], "id long, first_name string, last_name string")
+    settings = run.Settings(f"file://{source}", f"file://{tmp_path}/state", user="u1")
+    go = lambda name: run.run_batch(spark, settings, run.Providers({"stub": lambda: lambda request: said}), nobody, "load", name)
+    store = Store(spark, f"file://{tmp_path}/state")
+    sizes = lambda: {t: spark.read.parquet(*store.parts(t)).count() if store.parts(t) else 0 for t in ("loaded", "players", "consents", "audit")}
+
+    real = sinks.audit_rows
+    monkeypatch.setattr(sinks, "audit_rows", lambda rows, *a: real(rows.withColumn("disposition", F.raise_error(F.lit("crash")).cast("string")), *a))
+    with pytest.raises(Exception, match="crash"):
+        go("one")
+    assert sizes() == {"loaded": 0, "players": 0, "consents": 0, "audit": 0}
+    monkeypatch.setattr(sinks, "audit_rows", real)
+    go("two")
+    assert sizes() == {"loaded": 1, "players": 1, "consents": 1, "audit": 3}
+    audit = spark.read.parquet(*store.parts("audit")).collect()
+    assert {(r["entity"], r["action"], r["user_id"]) for r in audit} == {(t, "insert", "u1") for t in ("players", "payments", "consents")}
+    again = go("three")
+    assert sizes() == {"loaded": 1, "players": 1, "consents": 1, "audit": 6}
+    assert Counter(r["disposition"] for r in again["load"].collect()) == {"merged": 1, "duplicate": 2}
+    assert sinks.AppendOnly(f"file://{tmp_path}/state/consents").read(spark).count() == 1

@@ -186,30 +186,6 @@ def small_parts(batches: Iterator[pa.RecordBatch], column: int, most: int = PART
             at = to
 
 
-class Recent:
-    """Values by key within twice ``most`` bytes: those used since the last but one turn stay."""
-
-    #: Bytes of an entry besides its key and value.
-    ENTRY = 120
-
-    def __init__(self, most: int):
-        self.most, self.held, self.new, self.old = most, 0, {}, {}
-
-    def get(self, key):
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        size = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
-        if self.held + size > self.most:
-            self.old, self.new, self.held = self.new, {}, 0
-        if size <= self.most:
-            self.new[key] = value
-            self.held += size
-
-
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker process, across its tasks."""
     module = sys.modules.setdefault("_ledgerloom_worker", types.ModuleType("_ledgerloom_worker"))

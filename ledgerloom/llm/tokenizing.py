@@ -1,12 +1,9 @@
-"""Token ids of byte-level BPE vocabularies, with a cache of text units.
-
-Text between single spaces is a unit: with this family's pre-tokenizer a space
-before a non-space always starts a new pre-token, so units are tokenized one by one
-and their ids joined.  A unit that starts or ends with white space (double spaces,
-line ends beside spaces) or a special token's string sends the whole text to the
-tokenizers library.  Units are encoded by the same vocabulary's ranks, which takes a
-quarter of the library's time; tests hold the ids of all whole texts of a table equal
-to the library's.
+"""Token ids of byte-level BPE vocabularies, as the tokenizers library gives them.
+
+Texts are encoded by the same vocabulary's ranks and pattern, which takes a quarter of the
+library's time; a text with a special token's string, or with white space that the pattern can't
+cut, goes to the library.  Tests hold the ids of all whole texts of a table, and of odd
+ones, equal to the library's.
 """
 
 from __future__ import annotations
@@ -18,12 +15,10 @@ import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from ledgerloom.llm.common import Recent, worker_cache
+from ledgerloom.llm.common import worker_cache
 
-#: Bytes of units and ids that a worker remembers in each half of its cache.
-CACHE_BYTES = 24 << 20
-#: Longest unit that is remembered, in code points: longer ones hardly come again.
-CACHED_POINTS = 64
+#: Longest text whose ids are made as Python numbers; those of longer ones stay in a buffer.
+LISTED_POINTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -52,7 +47,8 @@ def library(vocabulary: Vocabulary):
 
 
 def rank_encoder(vocabulary: Vocabulary):
-    """Encoder of text without special tokens over the vocabulary's ranks."""
+    """Encoder of texts without special tokens over the vocabulary's ranks, to bytes; None
+    for a text that it can't cut."""
     cache = worker_cache("ranks")
     if vocabulary.rank_file not in cache:
         import public_tokenizers as public
@@ -61,7 +57,19 @@ def rank_encoder(vocabulary: Vocabulary):
         with open(vocabulary.rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("units", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        cache[vocabulary.rank_file] = encoding.encode_ordinary
+
+        def encode(text: str) -> bytes | None:
+            try:
+                if len(text) <= LISTED_POINTS:
+                    return little_endian(encoding.encode_ordinary(text))
+                return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except BaseException as e:
+                # the pattern gives up on very long runs of white space
+                if isinstance(e, ValueError) or type(e).__name__ == "PanicException":
+                    return None
+                raise
+
+        cache[vocabulary.rank_file] = encode
     return cache[vocabulary.rank_file]
 
 
@@ -75,37 +83,16 @@ class IdEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, as the library gives them."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.library, self.encode_unit = library(vocabulary), rank_encoder(vocabulary)
-        self.specials = special_strings(vocabulary)
-        cache = worker_cache("units")
-        self.units = cache.setdefault(vocabulary.tokenizer_file, Recent(CACHE_BYTES))
+        self.library, self.specials = library(vocabulary), special_strings(vocabulary)
+        self.by_ranks = rank_encoder(vocabulary)
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [little_endian(x.ids) for x in found]
 
-    @staticmethod
-    def _stands_alone(unit: str) -> bool:
-        bare = unit[1:] if unit[:1] == " " else unit
-        return bool(bare) and not bare[0].isspace() and not bare[-1].isspace()
-
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text; units are encoded once and remembered."""
-        split = [
-            None if "\x00" in t or any(s in t for s in self.specials) else t.replace(" ", "\x00 ").split("\x00")
-            for t in texts
-        ]
-        known: dict[str, bytes | None] = {u: self.units.get(u) for u in set().union(*filter(None, split))}
-        new = [u for u, ids in known.items() if ids is None]
-        for unit in new:
-            if self._stands_alone(unit):
-                ids = known[unit] = little_endian(self.encode_unit(unit))
-                if len(unit) <= CACHED_POINTS:
-                    self.units.put(unit, ids)
-        out: list[bytes | None] = []
-        for text, units in zip(texts, split, strict=True):
-            ids = [known[u] for u in units] if units is not None and text else []
-            out.append(b"" if not text else None if units is None or None in ids else b"".join(ids))
+        """Ids of each text."""
+        out = [None if any(s in t for s in self.specials) else self.by_ranks(t) for t in texts]
         rest = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(rest, self._by_library([texts[k] for k in rest]), strict=True):
             out[k] = ids

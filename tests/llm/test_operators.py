@@ -655,17 +655,15 @@ def test_counts_equal_the_library(messy, head):
     assert want == Counter(tuple(r) for r in token_counts.count_tokens(messy, head_rows=head).collect())
 
 
-def test_caches_are_bounded_by_bytes():
-    recent = common.Recent(100_000)
-    for k in range(5_000):
-        recent.put(f"unit {k}", b"x" * (k % 700))
-        held = sum(len(a) + len(b) for half in (recent.new, recent.old) for a, b in half.items())
-        assert held <= 200_000
-    recent.put("long", b"x" * 200_000)
-    assert recent.get("long") is None and recent.get("unit 4999") is not None
+def test_odd_and_very_long_texts_give_the_library_ids():
+    import random
+
+    rnd = random.Random(1)
+    parts = [*"abcXYZ  \t\n\r\x0b\x0c\x1c\x00\u00a0\u2003\u200b'\u2019.,!?019é", "日本", "한", "🙂", "\u0301", "ﬀ", "'s", "'LL", " the", "  ", "\r\n", "<|endoftext|>", "٣", "Ⅷ"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 60))) for _ in range(5_000)]
+    texts += [" " * 300_000, "a" * 100_000, "\n" * 300_000, "^" * 100_000, " a" * 600_000, "\t \n" * 100_000 + "x", "1" * 100_000]
     encoder = tokenizing.IdEncoder(tokenizing.default_vocabulary())
-    encoder.encode(["a" * 5_000, "short words"])
-    assert encoder.units.get("a" * 5_000) is None and encoder.units.get(" words") is not None
+    assert encoder.encode(texts) == encoder._by_library(texts)
 
 
 # -- classifiers ------------------------------------------------------------

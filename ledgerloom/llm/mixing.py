@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ LITERAL_ROWS = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are counted in so many hashed bins to find a corpus's topic words.
 TOPIC_BINS = 1 << 16
+#: Words that topics are made of, a bit each.
+TOPIC_WORDS = 63
 
 
 def _bins_of(text: Column) -> Column:
@@ -30,31 +34,102 @@ def _bins_of(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(TOPIC_BINS)).cast("int")))
 
 
-def learn_topics(table: DataFrame, topics: int = 8, widest: float = 0.2) -> list[int]:
-    """Bins of the ``topics`` words that most documents hold, but at most ``widest`` of them.
+@dataclass(frozen=True)
+class Topics:
+    """Topic words as bins (commonest first), each with its weight and its topic's number."""
 
-    ``table`` has the ``bins`` of every document.  Words are counted in ``TOPIC_BINS``
-    hashed bins, so that what is shuffled and what the driver sees is bounded; a bin's
-    count is that of its common word, as rare ones add little.  Rarest first, ties by bin.
+    words: list[int]
+    weights: list[float]
+    topic: list[int]
+
+    def mask(self, bins: Column) -> Column:
+        """The words of a document as bits of one number."""
+        known = F.array(*[F.lit(b) for b in self.words])
+        bit = lambda m, b: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(known, b) - 1).cast("int")))
+        return F.aggregate(F.array_intersect(known, bins), F.lit(0).cast("long"), bit)
+
+    def name(self, mask: Column) -> Column:
+        """The topic whose words weigh most in the document; the first of equals."""
+        names, scores = [], []
+        for t in range(max(self.topic) + 1):
+            own = [i for i, of in enumerate(self.topic) if of == t]
+            names.append(F.lit(f"topic-{self.words[own[0]]}"))
+            parts = [F.getbit(mask, F.lit(i)).cast("double") * F.lit(self.weights[i]) for i in own]
+            scores.append(F.struct(reduce(Column.__add__, parts).alias("score"), F.lit(-t).alias("turn")))
+        best = F.array_max(F.array(*scores))
+        return F.when(best["score"] > 0, F.get(F.array(*names), -best["turn"])).otherwise("other")
+
+
+def together(masks: DataFrame, words: int) -> tuple[list[list[float]], list[list[float]]]:
+    """How many documents have both of two words, and how many would if words were
+    independent within each language: two tables of ``words`` by ``words`` numbers.
+
+    ``masks`` has lang and mask.  Counts are summed by (language, word) in each task first.
+    """
+    at = range(words)
+    ones = F.filter(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.getbit("mask", i) == 1)
+    each = masks.select("lang", "mask", F.explode(ones).alias("i"))
+    both = materialize(
+        each.groupBy("lang", "i").agg(*[F.sum(F.getbit("mask", F.lit(j)).cast("long")).alias(f"c{j}") for j in at]), "mix-together"
+    )
+    sizes = masks.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    own = both.groupBy("lang").agg(*[F.coalesce(F.max(F.when(F.col("i") == j, F.col(f"c{j}"))), F.lit(0)).alias(f"n{j}") for j in at])
+    by_word = own.join(sizes, "lang").select("*", F.posexplode(F.array(*[f"n{j}" for j in at])).alias("i", "n_i"))
+    table = lambda rows: [[r[j + 1] for j in at] for r in sorted(rows.collect())]
+    found = both.groupBy("i").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in at])
+    expected = by_word.groupBy("i").agg(*[F.sum(F.col("n_i") * F.col(f"n{j}") / F.col("n")).alias(f"e{j}") for j in at])
+    return table(found), table(expected)
+
+
+def grouped_words(found: list[list[float]], expected: list[list[float]], topics: int) -> list[int]:
+    """The topic of each word: words that meet more often than chance has it are joined,
+    those with the highest mean correlation first, until ``topics`` groups are left."""
+    words = range(len(found))
+    like = lambda i, j: round((found[i][j] - expected[i][j]) / math.sqrt(found[i][i] * found[j][j]), 9)
+    groups = {i: [i] for i in words}
+    sums = {(i, j): like(i, j) for i in words for j in words if i < j}
+    while len(groups) > topics:
+        a, b = min(sums, key=lambda p: (-round(sums[p] / (len(groups[p[0]]) * len(groups[p[1]])), 9), p))
+        groups[a] += groups.pop(b)
+        for c in groups:
+            if c != a:
+                sums[min(a, c), max(a, c)] += sums.pop((min(b, c), max(b, c)))
+        del sums[a, b]
+    number = {w: t for t, first in enumerate(sorted(groups)) for w in groups[first]}
+    return [number[w] for w in words]
+
+
+def learn_topics(table: DataFrame, topics: int = 8, widest: float = 0.2) -> Topics | None:
+    """Groups of words that meet in documents more often than chance has it.
+
+    ``table`` has the ``bins`` and the lang of every document.  Words are counted in
+    ``TOPIC_BINS`` hashed bins, so that what is shuffled and what the driver sees is
+    bounded; a bin's count is that of its common word, as rare ones add little.  The
+    ``TOPIC_WORDS`` words that most documents hold, but at most ``widest`` of them, are
+    grouped by how often they meet beyond what their language explains.  A word weighs the
+    logarithm of documents over those that have it.
     """
     total = table.count()
     each = table.select(F.explode("bins").alias("bin"))
     counts = each.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= F.lit(widest * total))
-    top = counts.orderBy(F.desc("n"), "bin").limit(topics).collect()
-    return [r["bin"] for r in sorted(top, key=lambda r: (r["n"], r["bin"]))]
+    top = counts.orderBy(F.desc("n"), "bin").limit(TOPIC_WORDS).collect()
+    if not top:
+        return None
+    words = [r["bin"] for r in top]
+    weights = [math.log(total / r["n"]) for r in top]
+    masks = table.select("lang", Topics(words, weights, []).mask(F.col("bins")).alias("mask"))
+    return Topics(words, weights, grouped_words(*together(masks, len(words)), topics))
 
 
 def _with_topics(table: DataFrame, topics: int) -> DataFrame:
-    """Adds topic: 'word-<bin>' of the rarest topic word of the text, 'other' without one,
-    'empty' for no text."""
+    """Adds topic: 'topic-<bin>' after the topic's commonest word, 'other' for a text without
+    topic words, 'empty' for no text."""
     if "bins" not in table.columns:
         return table
-    bins = learn_topics(table, topics)
-    named = F.lit("other")
-    if bins:
-        met = F.get(F.array_intersect(F.array(*[F.lit(b) for b in bins]), "bins"), F.lit(0))
-        named = F.coalesce(F.concat(F.lit("word-"), met.cast("string")), named)
-    return table.withColumn("topic", F.when(F.col("blank"), F.lit("empty")).otherwise(named)).drop("bins", "blank")
+    learned = learn_topics(table, topics)
+    named = F.lit("other") if learned is None else learned.name(F.col("mask"))
+    masked = table if learned is None else table.withColumn("mask", learned.mask(F.col("bins")))
+    return masked.withColumn("topic", F.when(F.col("blank"), F.lit("empty")).otherwise(named)).drop("bins", "blank", "mask")
 
 
 def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:

@@ -187,9 +187,30 @@ def test_mixture_by_hand(spark):
         lowered = r["text"].translate(str.maketrans(mixing.UPPER, mixing.LOWER))
         bins[r["doc_id"]] = {(lambda h: (h - 2**64 if h >= 2**63 else h) % mixing.TOPIC_BINS)(spark_hash(w)) for w in WORD.findall(lowered) if len(w) >= 4}
     df = Counter(b for v in bins.values() for b in v)
-    top = sorted((b for b in df if df[b] <= 0.2 * len(docs)), key=lambda b: (-df[b], b))[:8]
-    rarest = sorted(top, key=lambda b: (df[b], b))
-    topic = {i: next((f"word-{b}" for b in rarest if b in v), "other") for i, v in bins.items()}
+    top = sorted((b for b in df if df[b] <= 0.2 * len(docs)), key=lambda b: (-df[b], b))[:63]
+    lang = {r["doc_id"]: r["lang"] for r in docs}
+
+    def like(a, b):
+        """Documents with both words beyond those that chance gives within each language."""
+        both = expected = 0
+        for l in sorted(set(lang.values())):
+            own = [v for i, v in bins.items() if lang[i] == l]
+            both += sum(a in v and b in v for v in own)
+            expected += sum(a in v for v in own) * sum(b in v for v in own) / len(own)
+        return round((both - expected) / math.sqrt(df[a] * df[b]), 9)
+
+    pairs = {(a, b): like(a, b) for k, a in enumerate(top) for b in top[k + 1 :]}
+    groups = [[b] for b in top]
+    while len(groups) > 8:
+        mean = lambda x, y: round(sum(pairs.get((a, b), pairs.get((b, a))) for a in x for b in y) / (len(x) * len(y)), 9)
+        _, i, j = min((-mean(x, y), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+        groups[i] = groups[i] + groups.pop(j)
+    topic = {}
+    for i, v in bins.items():
+        scores = [(sum(math.log(len(docs) / df[b]) for b in sorted(g, key=top.index) if b in v), -t) for t, g in enumerate(groups)]
+        score, turn = max((round(x, 9), t) for x, t in scores)
+        topic[i] = f"topic-{groups[-turn][0]}" if score > 0 else "other"
+    assert len(set(topic.values())) > 5
     cells = Counter()
     for r in docs:
         cells[r["source"], r["lang"], topic[r["doc_id"]]] += max(1, len(WORD.findall(r["text"])))
@@ -222,6 +243,26 @@ def test_mixture_by_hand(spark):
         assert r["sampled"] == (draw < r["probability"])
 
 
+def test_words_that_meet_are_one_topic(spark):
+    """Three topics in two languages; words of one language don't meet for that alone."""
+    import random
+
+    rnd = random.Random(2)
+    subjects = {t: [f"{t}word{k}" for k in range(8)] for t in ("sea", "oven", "code")}
+    rows = []
+    for i in range(1_500):
+        lang, subject = rnd.choice(["en", "de"]), rnd.choice(list(subjects))
+        words = [f"{lang}{rnd.randint(0, 400)}x" for _ in range(30)] + [f"{lang}-{w}" for w in rnd.sample(subjects[subject], 3)]
+        rows.append((i, " ".join(rnd.sample(words, len(words))), lang, "s", subject))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
+    told = {r["doc_id"]: r["topic"] for r in mixing.mix_documents(docs, topics=6).collect()}
+    seen = defaultdict(Counter)
+    for i, _, lang, _, subject in rows:
+        seen[told[i]][lang, subject] += 1
+    pure = sum(c.most_common(1)[0][1] for c in seen.values())
+    assert len(seen) == 6 and pure / len(rows) > 0.9, seen
+
+
 def test_unfinished_raking_says_so(spark):
     cells = spark.createDataFrame([("a", "x", 9), ("a", "y", 1), ("b", "y", 5)], "s string, l string, tokens long")
     targets = {"s": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "s string, share double"),

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORD_RUN, broadcast_within, materialize, wrapped, words_of
+from ledgerloom.llm.common import WORD_RUN, broadcast_within, let, materialize, wrapped, words_of
 
 #: Bytes of one row of rates in a hash table, with long category names.
 RATE_ROW_BYTES = 256
@@ -117,7 +117,8 @@ def learn_topics(table: DataFrame, topics: int = 8, widest: float = 0.2) -> Topi
         return None
     words = [r["bin"] for r in top]
     weights = [math.log(total / r["n"]) for r in top]
-    masks = table.select("lang", Topics(words, weights, []).mask(F.col("bins")).alias("mask"))
+    # written: each of the many counts would make the mask again
+    masks = materialize(table.select("lang", Topics(words, weights, []).mask(F.col("bins")).alias("mask")), "mix-masks")
     return Topics(words, weights, grouped_words(*together(masks, len(words)), topics))
 
 
@@ -127,9 +128,8 @@ def _with_topics(table: DataFrame, topics: int) -> DataFrame:
     if "bins" not in table.columns:
         return table
     learned = learn_topics(table, topics)
-    named = F.lit("other") if learned is None else learned.name(F.col("mask"))
-    masked = table if learned is None else table.withColumn("mask", learned.mask(F.col("bins")))
-    return masked.withColumn("topic", F.when(F.col("blank"), F.lit("empty")).otherwise(named)).drop("bins", "blank", "mask")
+    named = F.lit("other") if learned is None else let(learned.mask(F.col("bins")), learned.name)
+    return table.withColumn("topic", F.when(F.col("blank"), F.lit("empty")).otherwise(named)).drop("bins", "blank")
 
 
 def tempered_targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:

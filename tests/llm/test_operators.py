@@ -187,7 +187,7 @@ def test_mixture_by_hand(spark):
         lowered = r["text"].translate(str.maketrans(mixing.UPPER, mixing.LOWER))
         bins[r["doc_id"]] = {(lambda h: (h - 2**64 if h >= 2**63 else h) % mixing.TOPIC_BINS)(spark_hash(w)) for w in WORD.findall(lowered) if len(w) >= 4}
     df = Counter(b for v in bins.values() for b in v)
-    top = sorted((b for b in df if df[b] <= 0.2 * len(docs)), key=lambda b: (-df[b], b))[:63]
+    top = sorted((b for b in df if df[b] <= 0.2 * len(docs)), key=lambda b: (-df[b], b))[: mixing.TOPIC_WORDS]
     lang = {r["doc_id"]: r["lang"] for r in docs}
 
     def like(a, b):
@@ -735,6 +735,11 @@ PATTERN_SENTENCES = [
     ("ich werde dich töten", "threat at a target"),
     ("je vais te tuer", "threat at a target"),
     ("te voy a matar", "threat at a target"),
+    ("idiot that you are", "insult at a target"),
+    ("idiot, that you are", "insult"),
+    ("such an idiot, he once said", "reported"),
+    ("such an idiot, as he once had said", "insult"),
+    ("such an idiot. he said", "insult"),
 ]
 
 
@@ -744,6 +749,49 @@ def test_patterns_of_sentences(text, pattern):
     assert [toxicity.PATTERNS[h.pattern()] for h in found] == [pattern]
 
 
+def test_marks_by_an_independent_matcher():
+    """Scopes written out as searches to the left and to the right of each hit."""
+    import random
+
+    rnd = random.Random(6)
+    names = {toxicity.WORD: "w", toxicity.INSULT: "idiot", toxicity.THREAT: "kill", toxicity.TARGET: "you", toxicity.NEGATION: "not", toxicity.REPORT: "said", toxicity.CLAUSE: ",", toxicity.SENTENCE: ";"}
+    factors = {toxicity.AT_TARGET: 2.0, toxicity.NEGATED: 0.25, toxicity.REPORTED: 0.5, toxicity.REPEATED: 1.5, toxicity.TARGET_AFTER: 3.0, toxicity.REPORTED_AFTER: 0.125}
+    scorer = toxicity.ClauseScorer({"idiot": 1.0}, threats={"kill": 2.0}, factors=factors)
+    for _ in range(3_000):
+        said = rnd.choices(list(names), weights=[4, 3, 2, 2, 1, 1, 2, 1], k=rnd.randint(1, 25))
+        want = []
+        for at, symbol in enumerate(said):
+            if symbol not in toxicity.HITS:
+                continue
+            ends = [i for i, x in enumerate(said) if x == toxicity.SENTENCE]
+            start, stop = max([i + 1 for i in ends if i < at], default=0), min([i for i in ends if i > at], default=len(said))
+            breaks = [i for i in range(start, stop) if said[i] == toxicity.CLAUSE]
+            first, last = max([i + 1 for i in breaks if i < at], default=start), min([i for i in breaks if i > at], default=stop)
+            marks = 0
+            marks |= toxicity.AT_TARGET * (toxicity.TARGET in said[max(first, at - 4) : at])
+            marks |= toxicity.TARGET_AFTER * (toxicity.TARGET in said[at + 1 : min(last, at + 5)])
+            marks |= toxicity.NEGATED * (toxicity.NEGATION in said[max(first, at - 3) : at])
+            marks |= toxicity.REPORTED * (toxicity.REPORT in said[start:at])
+            marks |= toxicity.REPEATED * any(x in toxicity.HITS for x in said[first:at])
+            marks |= toxicity.REPORTED_AFTER * any(toxicity.REPORT in said[b + 1 : min([i for i in breaks if i > b], default=stop)][:3] for b in breaks if b >= last)
+            weight = 2.0 if symbol == toxicity.THREAT else 1.0
+            for mark, factor in factors.items():
+                weight *= factor if marks & mark else 1.0
+            want.append((marks, weight))
+        got, _ = scorer.matches(" ".join(names[x] for x in said))
+        assert [(h.marks, round(h.weight, 9)) for h in got] == [(m, round(w, 9)) for m, w in want], said
+
+
+def test_threats_and_arcs_are_learned(spark):
+    toxic = [(i, f"i will kill you now n{i}", 1) for i in range(40)] + [(100 + i, f"you utter moron n{i}", 1) for i in range(40)]
+    clean = [(200 + i, f"he said moron and then burn the wood n{i}", 0) for i in range(20)] + [(300 + i, f"we burn wood n{i}", 0) for i in range(60)]
+    sample = spark.createDataFrame(toxic + clean, "doc_id long, text string, label int")
+    words = toxicity.learn_lexemes(sample, least_z=1.0)
+    assert words.threats["kill"] > 2 and "burn" not in words.threats and "kill" not in words.insults
+    factors = toxicity.learn_factors(sample, toxicity.ClauseScorer({"moron": 1.0}, words.unseen_threat, words.threats))
+    assert factors[toxicity.REPORTED] == 0.1 and factors[toxicity.AT_TARGET] > 2 and factors[toxicity.TARGET_AFTER] > 2
+
+
 def test_features_are_of_matched_clauses():
     scorer = toxicity.ClauseScorer({"idiot": 1.0, "scum": 2.0})
     assert scorer.features(None) == scorer.features("") == scorer.features("nothing here") == (0.0,) * 10

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import to_cents
 from ledgerloom.functions.text import METRIC_TYPES, day_of
 from ledgerloom.operators.scope import Scope
+from ledgerloom.sources.shared import written
 
 PRODUCERS = ("player", "session")
 ACTION = "struct<client_id:string,entity:string,payload:map<string,string>>"
@@ -149,19 +150,15 @@ def lookup_users(requests: DataFrame, users: DataFrame) -> DataFrame:
 def reachable_roles(grants: DataFrame) -> DataFrame:
     """(member, role) of every role that a member holds directly or through others.
 
-    Known pairs are joined with each other until no pair is new, so a chain needs as
-    many rounds as the logarithm of its length; cycles end by themselves.  Each round is
-    checkpointed; a session without a checkpoint folder on its context takes the one in
-    ``spark.checkpoint.dir``.
+    A round joins the pairs that the last one found with all known ones, on either side,
+    so a pair is met once as new and a chain needs as many rounds as the logarithm of
+    its length; cycles end by themselves.  Each round's pairs are written out.
     """
-    spark = grants.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    seen = grants.select("member", "role").distinct().checkpoint()
+    seen = new = written(grants.select("member", "role").where("member is not null and role is not null").distinct(), "roles")
     while True:
-        onward = seen.select(F.col("member").alias("role"), F.col("role").alias("_next"))
-        met = seen.join(onward, "role").select("member", F.col("_next").alias("role")).distinct()
-        new = met.join(seen, ["member", "role"], "left_anti").checkpoint()
+        onward = lambda df: df.select(F.col("member").alias("role"), F.col("role").alias("_next"))
+        met = new.join(onward(seen), "role").unionByName(seen.join(onward(new), "role")).select("member", F.col("_next").alias("role"))
+        new = written(met.distinct().join(seen, ["member", "role"], "left_anti"), "roles")
         if new.isEmpty():
             return seen
-        seen = seen.unionByName(new).checkpoint()
+        seen = seen.unionByName(new)

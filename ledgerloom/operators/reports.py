@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.scope import Scope
 
 NO_SESSION_DAYS, UNSYNCED_DAYS, HORIZON_DAYS = 7, 5, 7
-#: The streams of the summary and the product types that they take in; a pass is in none.
+#: The streams of the summary and the product types that they take in; a
+#: pass is in none, and no product has the last type today.
 STREAMS = {
     "pay_per_use_cents": ("pay_per_use",),
     "subscription_cents": ("subscription",),
-    "school_contracts_cents": ("school_contract",),
+    "school_contracts_cents": ("school_contracts",),
 }
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.client import DRAWS_SQL, _draws
 from ledgerloom.plans.loading import LWW_SQL
 from ledgerloom.plans.registry import query
 from ledgerloom.sources.adapter import raw, table
-from ledgerloom.streaming import sync
+from ledgerloom.operators.scope import Scope
+from ledgerloom.sources.shared import shared_folder
+from ledgerloom.streaming import actions, sync
 
 
 @query(LWW_SQL.format(where="").replace(", count(*) as n_edits", ""))
@@ -82,3 +86,87 @@ def stream_draw_results(spark, d):
         F.col("ts").alias("created_at"), (F.floor("value") % 40 - 2).alias("amount"), (k % 17 != 0).alias("signed"),
     )
     return sync.stream_draws(e, draws)
+
+
+@query("""with log as (select device_id, server_timestamp as seen from sync_log where device_id is not null)
+          select device_id, date_trunc('milliseconds', max(seen)) as last_sync from log group by 1 having max(seen) + interval 36 hour <= (select max(seen) from log)""")
+def stale_device_stream(spark, d):
+    """Devices whose last sync lies 36 hours back, told by a timer on the log's own time."""
+    log = table(spark, d, "sync_log").select("device_id", "server_timestamp")
+    return sync.stale_devices(log, after=timedelta(hours=36))
+
+
+def _tables(spark, d, scope):
+    nothing = spark.createDataFrame([], "id long, rules map<string,string>")
+    tables = actions.ActionTables(spark, shared_folder(spark, "actions"), scope, nothing, F.array(F.lit(3000).cast("long")))
+    tables.seed(table(spark, d, "players").drop("active"))
+    return tables
+
+
+def _action(client, entity, at, **fields):
+    entries = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in fields.items()]
+    body = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+    return [client.alias("client_id"), F.lit(entity).alias("entity"), body.alias("payload"), at.cast("timestamp").alias("created_at")]
+
+
+@query("""with e as (select event_id, user_id from events where event_type in ('view', 'click')),
+               p as (select c_custkey as id, c_custkey % 10 = 0 as nameless from customer)
+          select 'p' || id as client_id, 'player' as entity, case when nameless then 'rejected' else 'applied' end as status,
+                 case when nameless then 'unresolved_player' end as reason, 2 as batch from p
+          union all
+          select k || event_id, case k when 's' then 'session' else 'attendance' end, case when nameless then 'rejected' else 'applied' end,
+                 case when nameless then 'producer_rejected' end, 2
+          from e join p on id = user_id, (values ('s'), ('a')) v(k)""")
+def two_phase_flush(spark, d):
+    """Attendances, then their sessions, then their players, each a batch later: all wait for
+    the players, and those of a player that is rejected are rejected with it."""
+    scope = Scope("manager", 1)
+    tables = _tables(spark, d, scope)
+    e = raw(spark, d, "events").where("event_type in ('view', 'click')")
+    k, player, at = F.col("event_id").cast("string"), F.concat(F.lit("p"), F.col("user_id").cast("string")), F.col("ts")
+    session = F.concat(F.lit("s"), k)
+    attends = e.select(*_action(F.concat(F.lit("a"), k), "attendance", at, player_id=player, session_id=session, attendance_date=F.to_date("ts")))
+    sessions = e.select(*_action(session, "session", at, player_id=player, session_type=F.lit("kit"), started_at=k, ended_at=k))
+    c = F.col("c_custkey")
+    name = lambda v: F.when(c % 10 != 0, v)
+    players = raw(spark, d, "customer").select(
+        *_action(F.concat(F.lit("p"), c.cast("string")), "player", F.lit("2024-01-01"), first_name=name(F.concat(F.lit("F"), c.cast("string"))), last_name=name(F.col("c_name")))
+    )
+    folder = shared_folder(spark, "flush")
+    for wave in (attends, sessions, players):
+        out = actions.sync_actions(tables, wave, folder)
+    return out.select("client_id", "entity", "status", "reason", F.col("batch").cast("int").alias("batch"))
+
+
+@query("""with sent as (
+            select event_id as k, event_type as t, p.id is not null as found, p.location_id = 1 as own, copy
+            from events left join players p on p.id = case when event_type = 'signup' and event_id % 6 = 0 then -1 else user_id end,
+                 (values (1), (2)) v(copy) where copy = 1 or event_id % 9 = 0),
+          judged as (
+            select *, case when t not in ('purchase', 'click', 'view', 'signup') then 'unknown_entity'
+                           when t = 'view' and k % 11 = 0 then 'player_required' when not found then 'player_not_found' when not own then 'out_of_scope'
+                           when t = 'purchase' and k % 3 = 2 then 'bad_amount' when t = 'view' and k % 4 = 0 then 'invalid_metric_type'
+                           when t = 'view' and k % 5 = 0 then 'value_required' when t = 'signup' and k % 4 = 0 then 'consent_type_required' end as reason
+            from sent)
+          select 'e' || k as client_id, case t when 'purchase' then 'payment' when 'click' then 'session' when 'view' then 'student_metrics' when 'signup' then 'consent' else 'invoice' end as entity,
+                 case when reason is not null then 'rejected' when copy = 1 then 'applied' else 'skipped' end as status, reason
+          from judged""")
+def apply_batch_results(spark, d):
+    """One batch of all entities from a manager's device, some sent twice: a result for each."""
+    scope = Scope("manager", 1)
+    tables = _tables(spark, d, scope)
+    e, k, u = raw(spark, d, "events"), F.col("event_id"), F.col("user_id")
+    t, text_k = F.col("event_type"), F.col("event_id").cast("string")
+    when = lambda kind, v: F.when(t == kind, v)
+    entity = F.coalesce(when("purchase", F.lit("payment")), when("click", F.lit("session")), when("view", F.lit("student_metrics")), when("signup", F.lit("consent")), F.lit("invoice"))
+    player = F.when((t == "view") & (k % 11 == 0), None).when((t == "signup") & (k % 6 == 0), k + 10**12).otherwise(u)
+    parts = _action(
+        F.concat(F.lit("e"), text_k), "", F.col("ts"), player_id=player,
+        amount=when("purchase", F.element_at(F.array(F.lit("R30"), F.lit("45.5"), F.lit("x")), (k % 3 + 1).cast("int"))), paid_at=when("purchase", k),
+        session_type=when("click", F.lit("kit")), started_at=when("click", k), ended_at=when("click", k),
+        metric_type=when("view", F.when(k % 4 == 0, "mood").otherwise("typing_wpm")), value=when("view", F.when(k % 5 != 0, k)), measured_at=when("view", k),
+        consent_type=when("signup", F.when(k % 4 == 0, "").otherwise("photo")),
+    )
+    once = e.select(parts[0], entity.alias("entity"), *parts[2:], (k % 9 == 0).alias("_twice"))
+    sent = once.unionByName(once.where("_twice")).drop("_twice")
+    return actions.sync_actions(tables, sent, shared_folder(spark, "batch")).select("client_id", "entity", "status", "reason")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 import pyarrow as pa
@@ -79,6 +80,27 @@ def run_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None], check
 DRAW_RESULT = "status string, reason string, remaining long, audit string"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_to_files(results: DataFrame, folder: str, checkpoint: str) -> None:
+    """Run a stateful stream, its state on disk, over what is there into Parquet files."""
+    spark = results.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ON_DISK)
+    try:
+        query = (
+            results.writeStream.format("parquet")
+            .option("path", folder)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    query.awaitTermination()
+
+
 #: Draws that are told at a time.
 CHUNK = 10_000
 
@@ -182,20 +204,7 @@ def stream_draws(
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in told.schema.fields[:3]), DRAW_RESULT])
     keeper = DrawKeeper(key, rejected_too, known_first)
     results = told.groupBy(key).transformWithStateInPandas(keeper, schema, "Append", "None")
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ON_DISK)
-    try:
-        query = (
-            results.writeStream.format("parquet")
-            .option("path", f"{folder}/results")
-            .option("checkpointLocation", f"{folder}/stream")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
-    finally:
-        spark.conf.set(STATE_STORE, before)
-    query.awaitTermination()
+    state_to_files(results, f"{folder}/results", f"{folder}/stream")
     return spark.read.schema(schema).parquet(f"{folder}/results")
 
 
@@ -214,6 +223,84 @@ def stateful_draws(draws: DataFrame, files_per_batch: int = 0, old_receipts: Dat
     return out.select("entitlement_id", "client_id", "status", "remaining")
 
 
+STALE = "device_id long, last_ms long"
+
+
+class StaleDevices(StatefulProcessor):
+    """A device's last sync, and a timer that goes off once when it is too long ago.
+
+    A newer sync moves the timer on and arms it again; older ones change nothing.
+    """
+
+    def __init__(self, after_ms: int):
+        self.after_ms = after_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last_ms long, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(frame["at_ms"].max()) for frame in rows)
+        last, told = self.seen.get() if self.seen.exists() else (None, True)
+        if last is None or newest > last:
+            if not told:
+                self.handle.deleteTimer(last + self.after_ms)
+            self.seen.update((newest, False))
+            self.handle.registerTimer(newest + self.after_ms)
+        yield self._row([], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, told = self.seen.get()
+        if told or expiredTimerInfo.getExpiryTimeInMs() < last + self.after_ms:
+            yield self._row([], [])
+            return
+        self.seen.update((last, True))
+        yield self._row([key[0]], [last])
+
+    @staticmethod
+    def _row(devices: list, last_ms: list) -> pd.DataFrame:
+        return pd.DataFrame({"device_id": devices, "last_ms": last_ms}, dtype="int64")
+
+    def close(self) -> None:
+        pass
+
+
+def told_devices(log: DataFrame, after: timedelta = timedelta(days=5), clock: str = "EventTime", late: str = "0 seconds") -> DataFrame:
+    """A streamed sync log (device_id, server_timestamp) as device_id, last_sync of each
+    device, once, when its last sync lies ``after`` back.
+
+    With the clock ``EventTime`` time is the log's own, less ``late``, up to which rows may
+    come out of order.  With ``ProcessingTime`` it is the machine's; such a query runs
+    until it is stopped, as a timer may go off at any time.  State is a row a device
+    and never expires.  Rows without a device or a time are left out.
+    """
+    at = F.col("server_timestamp").cast("timestamp")
+    rows = log.where("device_id is not null and server_timestamp is not null")
+    rows = rows.select(F.col("device_id").cast("long"), at.alias("server_timestamp"), F.unix_millis(at).alias("at_ms"))
+    if clock == "EventTime":
+        rows = rows.withWatermark("server_timestamp", late)
+    keeper = StaleDevices(int(after.total_seconds() * 1000))
+    told = rows.groupBy("device_id").transformWithStateInPandas(keeper, STALE, "Append", clock)
+    return told.select("device_id", F.timestamp_millis("last_ms").alias("last_sync"))
+
+
+def stale_devices(
+    log: DataFrame, after: timedelta = timedelta(days=5), late: str = "0 seconds", files_per_batch: int = 0, folder: str | None = None
+) -> DataFrame:
+    """``told_devices`` of a log that is there, on its own time.
+
+    A later call with the same ``folder`` goes on with the state that lies there, and
+    returns all that has been told so far.
+    """
+    spark = log.sparkSession
+    folder = folder or shared_folder(spark, "devices")
+    rows = log.select("device_id", F.col("server_timestamp").cast("timestamp").alias("server_timestamp"))
+    rows.write.mode("append").parquet(f"{folder}/log")
+    told = told_devices(_files(spark, rows.schema, f"{folder}/log", files_per_batch), after, "EventTime", late)
+    state_to_files(told, f"{folder}/told", f"{folder}/stream")
+    return spark.read.schema(told.schema).parquet(f"{folder}/told")
+
+
 def latest_by_device(log: DataFrame) -> DataFrame:
     """Latest time per device, for streams and batches alike."""
     return log.groupBy("device_id").agg(F.max("server_timestamp").alias("last_sync"))

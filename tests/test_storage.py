@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ledger, records
+from ledgerloom.operators import ledger, records, reports
+from ledgerloom.operators.scope import Scope
 from ledgerloom.plans import run
 from ledgerloom.sources import files, sinks
 from ledgerloom.sources.shared import Store
@@ -80,6 +81,13 @@ def test_repeated_ids_multiply_nothing(spark):
     assert sorted(tuple(r) for r in ledger.sync_statuses(sent, said, "client_id").collect()) == [("a", "applied"), ("b", "unsynced")]
 
 
+def test_school_contracts_are_a_stream_of_their_own(spark):
+    products = spark.createDataFrame([(1, "school_contracts"), (2, "subscription"), (3, "once_off_pass")], "id long, type string")
+    people = spark.createDataFrame([(1, 5)], "id long, school_id long")
+    payments = spark.createDataFrame([(1, 1, 70, 1), (2, 1, 20, 1), (3, 1, 9, 1), (None, 1, 5, 1)], "product_id long, player_id long, amount_cents long, location_id long")
+    assert tuple(reports.revenue_summary(payments, products, people, Scope("founder")).first()) == (0, 20, 70)
+
+
 # -- commits ------------------------------------------------------------------
 
 
@@ -226,6 +234,45 @@ def test_a_hot_key_is_told_in_chunks(monkeypatch):
     assert keeper.units.get() == (0, False, None) and len(keeper.receipts) == n
 
 
+# -- devices ------------------------------------------------------------------
+
+
+def _log(spark, *rows):
+    return spark.createDataFrame([(k, None if d is None else datetime(2024, 1, 1) + timedelta(days=d)) for k, d in rows], "device_id long, server_timestamp timestamp")
+
+
+def test_devices_are_told_once_when_five_days_pass(spark, tmp_path):
+    folder = f"file://{tmp_path}/devices"
+    go = lambda *rows: sorted((r["device_id"], (r["last_sync"] - datetime(2024, 1, 1)).days) for r in sync.stale_devices(_log(spark, *rows), folder=folder).collect())
+    assert go((1, 0), (2, 4), (None, 1), (3, None)) == []
+    assert go((3, 6)) == [(1, 0)]
+    assert go((3, 7)) == [(1, 0)]
+    assert go((1, 8), (3, 20)) == [(1, 0), (1, 8), (2, 4)]
+    assert go((3, 21)) == [(1, 0), (1, 8), (2, 4)]
+
+
+def test_devices_by_the_machines_clock(spark, tmp_path):
+    import time
+
+    now = datetime.now()
+    rows = [(1, now - timedelta(days=9)), (1, now - timedelta(days=6)), (2, now - timedelta(days=6)), (2, now - timedelta(hours=1))]
+    log = spark.createDataFrame(rows, "device_id long, server_timestamp timestamp").coalesce(1)
+    log.write.parquet(f"{tmp_path}/log")
+    told = sync.told_devices(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log"), clock="ProcessingTime")
+    spark.conf.set(sync.STATE_STORE, sync.ON_DISK)
+    query = told.writeStream.format("parquet").option("path", f"{tmp_path}/told").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+    try:
+        found = []
+        for _ in range(60):
+            time.sleep(1)
+            found = spark.read.schema(told.schema).parquet(f"{tmp_path}/told").collect() if query.lastProgress else []
+            if found:
+                break
+    finally:
+        query.stop()
+    assert [(r["device_id"], abs(r["last_sync"] - rows[1][1]) < timedelta(seconds=1)) for r in found] == [(1, True)]
+
+
 # -- documents ----------------------------------------------------------------
 
 

@@ -173,7 +173,7 @@ def draws_in_order(
     again = named.agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_k", "_c", F.lit(True).alias("_again"))
     joined = rows.join(again, (F.col(key) == F.col("_k")) & (F.col("client_id") == F.col("_c")), "left")
     joined = joined.select(*rows.columns, F.coalesce("_again", F.lit(False)).alias("_again"))
-    ordered = joined.repartition(key).sortWithinPartitions(key, "created_at", "client_id", "d_amount")
+    ordered = joined.repartition(key).sortWithinPartitions(key, "created_at", F.asc_nulls_last("client_id"), "d_amount")
     schema = StructType(rows.select(key, "client_id", "created_at").schema.fields)
     for name, kind in (("status", "string"), ("reason", "string"), ("remaining", "long"), ("audit", "string"), ("since", "date")):
         schema = schema.add(name, kind)

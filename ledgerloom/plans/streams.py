@@ -54,7 +54,7 @@ STREAM_DRAWS_SQL = """select event_id // 20 as entitlement_id,
 @query(f"""with recursive draws as ({STREAM_DRAWS_SQL}),
     first as (select *, client_id is null or row_number() over (partition by entitlement_id, client_id order by created_at, amount) = 1 as f from draws),
     queue as (select *, created_at::date - cast(isodow(created_at) - 1 as integer) as period,
-                     row_number() over (partition by entitlement_id order by created_at, client_id nulls first, amount) as k from first),
+                     row_number() over (partition by entitlement_id order by created_at, client_id nulls last, amount) as k from first),
     fold as (
         select id, e.status = 'active' as active, remaining_units as remaining, valid_from as since, null::varchar as client_id, null::timestamp as created_at,
                null::varchar as status, null::varchar as reason, null::varchar as audit, 0::bigint as k from entitlements e

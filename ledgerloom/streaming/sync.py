@@ -138,7 +138,9 @@ class DrawKeeper(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         table = pa.concat_tables([_as_arrow(frame) for frame in rows], promote_options="permissive")
-        order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("created_at", "client_id", "d_amount")], null_placement="at_start")
+        # as in batches: draws without an id last among those of one time, no amount first
+        ranked = table.append_column("d_rank", pc.fill_null(table["d_amount"], -(1 << 62)))
+        order = pc.sort_indices(ranked, sort_keys=[(c, "ascending") for c in ("created_at", "client_id", "d_rank")])
         machine = None
         for at in range(0, table.num_rows, CHUNK):
             part = table.take(order[at : at + CHUNK])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -232,7 +234,7 @@ def fill_gaps(existing: DataFrame, incoming: DataFrame, key: str, attributes: li
     )
 
 
-def insert_if_absent(batch: DataFrame, key: str, order: list[str], existing: DataFrame) -> DataFrame:
+def insert_if_absent(batch: DataFrame, key: str, order: list[str], existing: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Batch rows with a disposition: the first of a key that the table lacks is
     inserted, all others are duplicates; a row without a key is ``no_key``.
 
@@ -240,10 +242,13 @@ def insert_if_absent(batch: DataFrame, key: str, order: list[str], existing: Dat
     their key's first are the very ones it was taken from; of rows equal in ``order`` the
     lowest number is the first.  Firsts are a minimum by key, so a hot key is summed
     before it is shuffled, and meet the rows by number, where no key is hot.
+    ``existing`` has the stored keys, or is a function that gives those of the written
+    rows' keys that are stored: what a table can look up need not be listed.
     """
     rows = numbered(batch, "_uid", "insert-batch")
     firsts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*order, "_uid")).alias("_first"))
-    there = existing.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    stored = existing(rows) if callable(existing) else existing
+    there = stored.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     new = firsts.join(there, "_k", "left_anti").select(F.col("_first._uid").alias("_new"))
     joined = rows.join(new, F.col("_uid") == F.col("_new"), "left")
     disposition = F.when(F.col(key).isNull(), "no_key").when(F.col("_new").isNotNull(), "inserted").otherwise("duplicate")

@@ -30,3 +30,26 @@ def test_a_typed_nought_is_no_cents(spark, duck, tmp_path):
     got = QUERIES["typed_amounts"](spark, str(tmp_path))
     assert {r["event_id"]: r["cents"] for r in got.collect()} == {0: 0, 1: 1, 2: 1250, 3: 29999, 4: None}
     assert_same(got, con, ORACLES["typed_amounts"])
+
+
+def test_stored_keys_are_looked_up_not_listed(spark, tmp_path):
+    """load_joined_insert: the pairs of one nation (4 million here) are never made."""
+    from ledgerloom.operators import records
+    from ledgerloom.plans.registry import QUERIES
+
+    batch = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1), ("c", 1), (None, 1)], "k string, v long")
+    stored = lambda rows: rows.where("k = 'b'").select("k")
+    done = records.insert_if_absent(batch, "k", ["v"], stored).collect()
+    assert {(r["k"], r["v"]): r["disposition"] for r in done} == {
+        ("a", 2): "duplicate", ("a", 1): "inserted", ("b", 1): "duplicate", ("c", 1): "inserted", (None, 1): "no_key",
+    }
+
+    write = lambda df, name: df.write.parquet(f"{tmp_path}/{name}.parquet")
+    write(spark.sql("select id as s_suppkey, if(id < 1990, 1, 2) as s_nationkey from range(2000)"), "supplier")
+    write(spark.sql("select id as c_custkey, 1 as c_nationkey from range(2000)"), "customer")
+    write(spark.sql("select id as o_orderkey, id as o_custkey from range(2000)"), "orders")
+    write(spark.sql("select id as l_orderkey, 1 as l_linenumber, id as l_suppkey, id as l_partkey from range(2000)"), "lineitem")
+    out = QUERIES["load_joined_insert"](spark, str(tmp_path))
+    assert {r["disposition"]: r["n"] for r in out.collect()} == {"duplicate": 1990, "inserted": 10}
+    pairs = [m for m in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in m and "nationkey" in m]
+    assert all("custkey" in m for m in pairs), pairs

@@ -176,6 +176,52 @@ class DrawKeeper(StatefulProcessor):
         pass
 
 
+class DrawTables:
+    """Units and receipts of draws as keyed tables that each micro-batch of a stream joins.
+
+    A batch is folded as ``ledger.draws_in_order`` folds it, from the units that the last
+    batch of a key has left; its results, units and new receipts are one commit.  Joins
+    and one fold a partition, not calls a draw, are what a batch costs; it scans the keys
+    of earlier receipts, which ``Store.compact`` gathers.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, entitlements: DataFrame, draws: DataFrame, key: str, today: Column | None, rejected_too: bool, known_first: bool):
+        self.store, self.entitlements, self.key, self.today = Store(spark, folder), entitlements, key, today
+        self.rejected_too, self.known_first = rejected_too, known_first
+        kinds = [f"{f.name} {f.dataType.simpleString()}" for f in draws.select(key, "client_id", "created_at").schema.fields]
+        self.schema = ", ".join([*kinds, DRAW_RESULT])
+        self.receipts = ", ".join(kinds[:2])
+        self.units = f"{kinds[0]}, remaining long, since date, version long"
+
+    def results(self) -> DataFrame:
+        return self.store.table("results", self.schema)
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        if self.store.done(number):
+            return
+        key, there = self.key, self.entitlements
+        before = self.store.table("receipts", self.receipts).withColumn("_receipt", F.lit(True))
+        asked = batch.withColumn("known", F.coalesce("known", F.lit(False)) if "known" in batch.columns else F.lit(False))
+        asked = asked.join(before, [key, "client_id"], "left").withColumn("_old", F.coalesce("_receipt", F.lit(False)))
+        draws = asked.withColumn("known", F.col("known") | F.col("_old"))
+        units = self.store.table("units", self.units).groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct("remaining", "since"), "version").alias("_u"))
+        start = F.col("valid_from") if "valid_from" in there.columns else F.lit(None)
+        held = there.join(units, there[key] == F.col("_k"), "left").withColumn("valid_from", F.when(F.col("_k").isNull(), start.cast("date")).otherwise(F.col("_u.since")))
+        held = held.withColumn("remaining_units", F.when(F.col("_k").isNull(), F.col("remaining_units").cast("long")).otherwise(F.col("_u.remaining"))).drop("_k", "_u")
+        told = ledger.draws_in_order(held, draws, key, self.today, None, self.rejected_too, self.known_first)
+        told = written(told, "draws-told")
+        names = told.columns[:7]
+        last = told.groupBy(key).agg(F.max_by(F.struct("remaining", "since"), "nth").alias("_l"))
+        left = last.join(there.select(key).distinct(), key, "left_semi").select(key, "_l.*", F.lit(number).cast("long").alias("version"))
+        # a known draw leaves a receipt, others if they are applied or all do
+        fresh = draws if self.rejected_too else draws.where("known")
+        fresh = fresh.where("not _old").select(key, "client_id")
+        if not self.rejected_too:
+            fresh = fresh.unionByName(told.where("status = 'applied'").select(key, "client_id"))
+        receipts = fresh.where("client_id is not null").distinct()
+        self.store.commit({"results": told.select(*names), "units": left, "receipts": receipts}, number)
+
+
 def stream_draws(
     entitlements: DataFrame,
     draws: DataFrame,
@@ -186,6 +232,7 @@ def stream_draws(
     files_per_batch: int = 0,
     old_receipts: DataFrame | None = None,
     folder: str | None = None,
+    keyed: bool = False,
 ) -> DataFrame:
     """``ledger.draw_results`` of a stream of draws, with state that never expires.
 
@@ -194,6 +241,10 @@ def stream_draws(
     of one is skipped, and its client id is a receipt from then on.  With ``known_first`` a
     known id is skipped whatever its amount.  A later call with the same ``folder`` goes
     on with the state that lies there, and returns all results so far.
+
+    The state lies in ``DrawTables``; with ``keyed`` in the state store of a stateful
+    operator (``DrawKeeper``), which suits many small batches: it calls the store for each
+    draw, but scans no history.  Stay with one of the two for a folder.
     """
     spark = draws.sparkSession
     folder = folder or shared_folder(spark, "draws")
@@ -202,7 +253,12 @@ def stream_draws(
         old = old_receipts.select(key, "created_at").distinct().withColumn("known", F.lit(True))
         marked = draws.join(old, [key, "created_at"], "left")
     marked.write.mode("append").parquet(f"{folder}/draws")
-    told = ledger.told_draws(entitlements, _files(spark, marked.schema, f"{folder}/draws", files_per_batch), key, today)
+    stream = _files(spark, marked.schema, f"{folder}/draws", files_per_batch)
+    if not keyed:
+        tables = DrawTables(spark, f"{folder}/tables", entitlements, marked, key, today, rejected_too, known_first)
+        run_stream(stream, tables.apply, f"{folder}/stream")
+        return tables.results()
+    told = ledger.told_draws(entitlements, stream, key, today)
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in told.schema.fields[:3]), DRAW_RESULT])
     keeper = DrawKeeper(key, rejected_too, known_first)
     results = told.groupBy(key).transformWithStateInPandas(keeper, schema, "Append", "None")

@@ -53,3 +53,27 @@ def test_stored_keys_are_looked_up_not_listed(spark, tmp_path):
     assert {r["disposition"]: r["n"] for r in out.collect()} == {"duplicate": 1990, "inserted": 10}
     pairs = [m for m in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in m and "nationkey" in m]
     assert all("custkey" in m for m in pairs), pairs
+
+
+def test_draws_of_a_stream_by_tables_and_by_keyed_state(spark, tmp_path):
+    """stream_draw_results: both kinds of state go on from call to call and tell the same, the last of equal draws included."""
+    from collections import Counter
+
+    from ledgerloom.streaming import sync
+
+    units = spark.createDataFrame([(1, 9, datetime(2024, 1, 1).date()), (2, None, None)], "entitlement_id long, remaining_units long, valid_from date")
+    schema = "entitlement_id long, client_id string, created_at timestamp_ntz, amount long"
+    waves = [
+        [(1, "a", 1, 4), (1, None, 2, 2), (1, None, 2, 2), (2, "a", 1, 5), (3, "z", 1, 1)],
+        [(1, "a", 3, 1), (1, "b", 3, 2), (1, "b", 4, 1), (1, None, 5, 1), (2, "a", 2, 5), (2, "b", 2, 0), (3, "z", 2, 1)],
+        [(1, "c", 6, 1), (2, "b", 3, 1)],
+    ]
+    told = {}
+    for keyed in (False, True):
+        for wave in waves:
+            part = spark.createDataFrame([(k, c, datetime(2024, 1, d), a) for k, c, d, a in wave], schema).coalesce(1)
+            out = sync.stream_draws(units, part, folder=f"file://{tmp_path}/{keyed}", keyed=keyed)
+        told[keyed] = Counter((r["entitlement_id"], r["client_id"], r["created_at"].day, r["status"], r["reason"], r["remaining"], r["audit"]) for r in out.collect())
+    assert told[False] == told[True]
+    assert told[False][(1, None, 2, "applied", None, 3, "update")] == told[False][(1, None, 2, "applied", None, 1, "update")] == 1
+    assert told[False][(1, "b", 3, "rejected", "insufficient_units", 1, None)] == 1

@@ -77,3 +77,36 @@ def test_draws_of_a_stream_by_tables_and_by_keyed_state(spark, tmp_path):
     assert told[False] == told[True]
     assert told[False][(1, None, 2, "applied", None, 3, "update")] == told[False][(1, None, 2, "applied", None, 1, "update")] == 1
     assert told[False][(1, "b", 3, "rejected", "insufficient_units", 1, None)] == 1
+
+
+def test_actions_without_a_reference_are_dealt_over_all_tasks(spark):
+    """apply_batch_results: null references are no hot join key, and an action that waits keeps what was sent."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.streaming.actions import ActionTables
+
+    rows = spark.range(4000).selectExpr("id as _uid", "string(id) as client_id", "'attendance' as entity", "map('player_id', '7') as payload", "timestamp'2024-01-01' as created_at")
+    waits = spark.sql("select 9999L as _uid, 'w' as client_id, 'attendance' as entity, map('player_id', 'p', 'session_id', 's') as payload, timestamp'2024-01-01' as created_at")
+    known = spark.createDataFrame([("p", "player", 5)], "local_id string, entity string, server_id long")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = ActionTables._resolved(rows.unionByName(waits), known).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = max(sum(r["part"] == p for r in out) for p in range(4))
+    assert len(out) == 4001 and most < 2000
+    assert {(r["_state"], tuple(sorted(r["payload"].items()))) for r in out} == {("ready", (("player_id", "7"),)), ("waiting", (("player_id", "p"), ("session_id", "s")))}
+
+
+def test_payments_are_counted_in_parts_of_a_fixed_size(spark, monkeypatch):
+    """natural_key: more lines make more parts, not larger ones."""
+    import ledgerloom.plans.registry as registry
+    from ledgerloom.plans import loading
+    from tests.conftest import SMALL
+
+    monkeypatch.setattr(loading, "LINES_A_PART", 500)
+    assert registry.QUERIES["natural_key"](spark, SMALL).rdd.getNumPartitions() >= 12
